@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import suffix_dedup
+from . import jaccard_join, projection_forest, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op4_projection_forest": projection_forest.op4_projection_forest,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
