@@ -33,7 +33,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = target
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read any more."""
+    for t in tables:
+        conf = t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        t._staged_at.getFileSystem(conf).delete(t._staged_at, True)
 
 
 def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
@@ -48,26 +57,18 @@ def gapless_rank(df: DataFrame, group: str, levels: list[str], order: list[Colum
     """Add ``out``: the 0-based position of each row in its ``group``, with no task holding a whole group.
 
     ``levels`` are columns of which each splits what the one before holds, consistently with ``order``
-    (e.g. the leading bytes of the sort key). Rows are counted per leaf, leaf counts are summed level by
-    level over a few hundred rows at a time, and only the rows of one leaf are sorted together.
+    (e.g. the leading characters of the sort key); they and ``group`` hold no nulls. Rows are counted per
+    leaf, leaf counts are summed level by level over a few hundred rows at a time, and only the rows of one
+    leaf are sorted together. The rows are shuffled once: the join on the leaf reuses the window's layout.
     """
     keys = [group, *levels]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    offset = None
-    for depth in range(len(levels), 0, -1):
-        above, here = keys[:depth], keys[: depth + 1]
-        at = sizes.groupBy(*here).agg(F.sum("_n").alias("_n"))
-        w = Window.partitionBy(*above).orderBy(F.col(keys[depth]).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-        at = at.withColumn(f"_o{depth}", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-        if offset is None:
-            offset = at
-        else:
-            cond = null_safe(offset, at, *here)
-            offset = offset.join(at, cond).select(*[offset[c] for c in offset.columns], at[f"_o{depth}"])
-    offset = staged(offset.select(*keys, sum((F.col(f"_o{d}") for d in range(1, len(levels) + 1)), F.lit(0)).alias("_base")), "rank")
-    offset = offset.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_base")
+    sizes = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "leaves")
+    base = sizes.select(*keys)
+    for depth in range(1, len(keys)):
+        at = sizes.groupBy(*keys[: depth + 1]).agg(F.sum("_n").alias("_n"))
+        w = Window.partitionBy(*keys[:depth]).orderBy(keys[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        at = at.select(*keys[: depth + 1], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_o{depth}"))
+        base = base.join(at, keys[: depth + 1])
+    base = staged(base.select(*keys, sum((F.col(f"_o{d}") for d in range(1, len(keys))), F.lit(0)).alias("_base")), "rank")
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & ranked[k].eqNullSafe(offset[f"_k{i}"])
-    return ranked.join(offset, cond).select(*[ranked[c] for c in df.columns], (F.col("_base") + F.col("_r") - 1).cast("long").alias(out))
+    return ranked.join(base, keys).select(*df.columns, (F.col("_base") + F.col("_r") - 1).cast("long").alias(out))
