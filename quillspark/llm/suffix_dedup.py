@@ -13,8 +13,10 @@ fingerprints, and order falls out of grouping in three steps:
 
 1. phrases whose key occurs once in the corpus hold no repeated string (most of ordinary text ends here);
 2. phrases whose dictionary entry occurs twice or more are repeated as a whole;
-3. of the remaining entries one copy each is expanded into its suffixes, which are ranked to depth
-   ``length`` by a 128-bit fingerprint; equal ranks are repeated strings.
+3. of the remaining entries one copy each is cut into blocks of a few suffixes, aligned to the trigger, to
+   which 1 and 2 apply again with the bytes that all or any of the block's strings hold; the suffixes of
+   blocks still undecided are ranked one by one to depth ``length`` by a 128-bit fingerprint, and equal
+   ranks are repeated strings.
 
 Nothing is collected; hot entries are counted with map-side combine and joined as staged tables.
 """
@@ -54,7 +56,7 @@ def _triggers(data: np.ndarray, starts: int, window: int) -> np.ndarray:
 
 
 def parse(text: bytes, length: int, window: int):
-    """Yield arrays ``lo, hi, k, c`` of the phrases of ``text``: first and last start position, key, entry."""
+    """Yield arrays ``lo, hi, a, k, c`` of the phrases of ``text``: first and last start, trigger, key, entry."""
     n = len(text)
     for at in range(0, max(0, n - length + 1), BLOCK):
         starts = min(BLOCK, n - length + 1 - at)
@@ -65,19 +67,19 @@ def parse(text: bytes, length: int, window: int):
         right = length - window + 1
         ks = [xxhash.xxh3_64_intdigest(text[i : i + right]) for i in (trig[lo] + at).tolist()]
         cs = [xxhash.xxh3_64_intdigest(text[i:j], 7) for i, j in zip((lo + at).tolist(), (hi + at + length).tolist())]
-        yield lo + at, hi + at, np.array(ks, np.uint64).view(np.int64), np.array(cs, np.uint64).view(np.int64)
+        yield lo + at, hi + at, trig[lo] + at, np.array(ks, np.uint64).view(np.int64), np.array(cs, np.uint64).view(np.int64)
 
 
 def _phrases(length: int, window: int):
     def run(batches):
         for batch in batches:
             ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2)
-            rows, cols, held = [], [[], [], [], []], 0
+            rows, cols, held = [], [[], [], [], [], []], 0
 
             def out():
                 take = pa.array(np.concatenate(rows))
                 arrays = [ids.take(take), hashes.take(take), *(pa.array(np.concatenate(c)) for c in cols)]
-                return pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "lo", "hi", "k", "c"])
+                return pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "lo", "hi", "a", "k", "c"])
 
             for i, text in enumerate(texts):
                 for part in parse(text.as_py() or b"", length, window):
@@ -87,44 +89,86 @@ def _phrases(length: int, window: int):
                         c.append(p)
                     if held > 200_000:
                         yield out()
-                        rows, cols, held = [], [[], [], [], []], 0
+                        rows, cols, held = [], [[], [], [], [], []], 0
             if held:
                 yield out()
 
     return run
 
 
-def _suffixes(length: int):
-    """Rows (_id, _h, p, n, s1, s2): fingerprints of all strings that start in the given phrases."""
+def _contexts(length: int):
+    """Rows (_id, _h, lo, hi, a, n, ctx): the bytes that the strings of the given phrases reach."""
 
     def run(batches):
         for batch in batches:
             ids, hashes, texts, spans = (batch.column(i) for i in range(4))
-            rows, p_, n_, s_ = [], [], [], []
-
-            def out():
-                s = np.frombuffer(b"".join(s_), np.int64).reshape(-1, 2)
-                take = pa.array(np.concatenate(rows))
-                arrays = [ids.take(take), hashes.take(take), pa.array(np.concatenate(p_)), pa.array(np.concatenate(n_)), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())]
-                return pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "p", "n", "s1", "s2"])
-
+            rows, cols = [], [[], [], [], [], []]
             for i, (text, own) in enumerate(zip(texts, spans)):
                 text = text.as_py()
-                for span in own.as_py():
-                    at = range(span["lo"], span["hi"] + 1)
-                    rows.append(np.full(len(at), i))
-                    p_.append(np.arange(at.start, at.stop))
-                    n_.append(np.full(len(at), span["n"]))
-                    s_ += [xxhash.xxh3_128_digest(text[p : p + length]) for p in at]
-                if len(s_) > 200_000:
-                    yield out()
-                    rows, p_, n_, s_ = [], [], [], []
-            if s_:
-                yield out()
+                for s in own.as_py():
+                    rows.append(i)
+                    for c, v in zip(cols, (s["lo"], s["hi"], s["a"], s["n"], text[s["lo"] : s["hi"] + length])):
+                        c.append(v)
+            take = pa.array(rows, pa.int64())
+            arrays = [ids.take(take), hashes.take(take), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "lo", "hi", "a", "n", "ctx"])
+
+    return run
+
+
+def _blocks(length: int, block: int):
+    """Rows (_id, _h, at, lo, hi, n, k, c): phrases cut at each ``block`` positions before the trigger."""
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes, los, his, tr, ns, texts = (batch.column(i) for i in range(7))
+            rows, out, keys = [], [[], [], [], []], [[], []]
+            for i, (lo, hi, a, n, ctx) in enumerate(zip(los.to_pylist(), his.to_pylist(), tr.to_pylist(), ns.to_pylist(), texts.to_pylist())):
+                for j in range((a - hi) // block, (a - lo) // block + 1):
+                    last, first = min(hi, a - j * block), max(lo, a - (j + 1) * block + 1)
+                    core = ctx[a - j * block - lo : a - (j + 1) * block + 1 + length - lo]
+                    rows.append(i)
+                    for c, v in zip(out, (lo, first, last, n)):
+                        c.append(v)
+                    keys[0].append(xxhash.xxh3_64_intdigest(core, j))
+                    keys[1].append(xxhash.xxh3_64_intdigest(ctx[first - lo : last + length - lo], j + 1000))
+            take = pa.array(rows, pa.int64())
+            arrays = [ids.take(take), hashes.take(take), *(pa.array(c, pa.int64()) for c in out), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in keys)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "at", "lo", "hi", "n", "k", "c"])
 
     return run
 
 
+def _suffixes(length: int):
+    """Rows (_id, _h, p, n, s1, s2): fingerprints of all strings that start in the given blocks."""
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes, los, ns, texts, spans = (batch.column(i) for i in range(6))
+            rows, starts, copies, prints = [], [], [], []
+            for i, (lo, n, ctx, own) in enumerate(zip(los.to_pylist(), ns.to_pylist(), texts.to_pylist(), spans.to_pylist())):
+                for s in own:
+                    for p in range(s["lo"], s["hi"] + 1):
+                        rows.append(i)
+                        starts.append(p)
+                        copies.append(n)
+                        prints.append(xxhash.xxh3_128_digest(ctx[p - lo : p - lo + length]))
+            take, s = pa.array(rows, pa.int64()), np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+            arrays = [ids.take(take), hashes.take(take), pa.array(starts, pa.int64()), pa.array(copies, pa.int64()), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "p", "n", "s1", "s2"])
+
+    return run
+
+
+def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key ``k`` occurs at two or more places, with ``mixed``; and how often each (k, c) occurs."""
+    keys = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    keys = staged(keys.where("n > 1").select("k", (F.col("c0") != F.col("c1")).alias("mixed")), "keys")
+    found = staged(rows.join(keys, "k"), "repeats")
+    at = F.min(F.struct(*[c for c in found.columns if c not in ("k", "c", "n", "mixed")])).alias("at")
+    return found, staged(found.groupBy("k", "c", "mixed").agg(F.sum("n").alias("n"), at), "entries")
+
+
 def _cut(batches):
     """Union the spans of each text and cut them out."""
     for batch in batches:
@@ -152,7 +196,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, window: int = 120) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, window: int = 120, block: int = 12) -> DataFrame:
     """Cut every byte that lies in a ``length``-byte string occurring at two or more places of the corpus.
 
     Returns ``(id, n_bytes, spans array<struct<start,end>>, kept binary)``, a row for each input row.
@@ -164,19 +208,23 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     assert 0 < window <= length - GRAM + 1
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
-    head = f"_id {kind}, _h long, "
-    phrases = staged(key.where(F.octet_length("_t") >= length).mapInArrow(_phrases(length, window), head + "lo long, hi long, k long, c long"), "phrases")
-    keys = phrases.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    keys = staged(keys.where("n > 1").select("k", (F.col("c0") != F.col("c1")).alias("mixed")), "keys")
-    found = staged(phrases.join(keys, "k"), "repeats")
-    entries = staged(found.groupBy("k", "c", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h", "lo", "hi")).alias("at")), "entries")
-    whole = found.join(entries.where("n > 1").select("k", "c"), ["k", "c"]).select("_id", "_h", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    lone = entries.where("mixed").select("at.*", "n").groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("spans"))
-    lone_docs = key.join(lone, null_safe(key, lone, "_id", "_h")).select(key["_id"], key["_h"], key["_t"], lone["spans"])
-    ranks = staged(lone_docs.mapInArrow(_suffixes(length), head + "p long, n long, s1 long, s2 long"), "suffixes")
-    twice = staged(ranks.select("s1", "s2", "n").groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"), "ranks")
-    part = ranks.where("n = 1").join(twice, ["s1", "s2"]).select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
-    spans = whole.union(part).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    head, end = f"_id {kind}, _h long, ", (F.col("hi") + length).alias("end")
+    phrases = staged(key.where(F.octet_length("_t") >= length).mapInArrow(_phrases(length, window), head + "lo long, hi long, a long, k long, c long"), "phrases")
+    found, entries = _repeated(phrases.withColumn("n", F.lit(1).cast("long")))
+    whole = found.join(entries.where("n > 1").select("k", "c"), ["k", "c"]).select("_id", "_h", F.col("lo").alias("start"), end)
+
+    lone = entries.where("mixed").select("at.*", "n").groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "a", "n")).alias("spans"))
+    reach = key.join(lone, null_safe(key, lone, "_id", "_h")).select(key["_id"], key["_h"], key["_t"], lone["spans"])
+    reach = staged(reach.mapInArrow(_contexts(length), head + "lo long, hi long, a long, n long, ctx binary"), "contexts")
+    cuts, entries = _repeated(reach.mapInArrow(_blocks(length, block), head + "at long, lo long, hi long, n long, k long, c long"))
+    blocks = cuts.where("n = 1").join(entries.where("n > 1").select("k", "c"), ["k", "c"]).select("_id", "_h", F.col("lo").alias("start"), end)
+
+    left = cuts.where("mixed").groupBy("_id", "_h", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("at", "lo")
+    left = reach.join(left, null_safe(reach, left, "_id", "_h", "lo")).select(reach["_id"], reach["_h"], reach["lo"], "n", "ctx", "spans")
+    ranks = staged(left.mapInArrow(_suffixes(length), head + "p long, n long, s1 long, s2 long"), "suffixes")
+    twice = staged(ranks.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"), "ranks")
+    single = ranks.where("n = 1").join(twice, ["s1", "s2"]).select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
+    spans = whole.union(blocks).union(single).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = key.join(spans, null_safe(key, spans, "_id", "_h"), "left").select(key["_id"], key["_t"], spans["spans"])
     out = out.mapInArrow(_cut, f"_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("_id", id_col)
