@@ -1,11 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import jaccard_join, projection_forest, suffix_dedup
+from . import decontaminate, jaccard_join, mixing, projection_forest, sharding, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_projection_forest": projection_forest.op4_projection_forest,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op10_sharding": sharding.op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
+}
