@@ -85,10 +85,10 @@ run AS (SELECT 0::bigint AS t, list_transform(range(k), lambda x: 0::bigint) AS
   SELECT t + 1, list_transform(range(1, k + 1), lambda x: done[x] + CASE WHEN x = c THEN 1 ELSE 0 END), c FROM (
     SELECT t, done, k, list_min(list_transform(list_filter(range(1, k + 1), lambda x: done[x] < a[x] AND (done[x] * h) // a[x] <= t), lambda x: (((done[x] + 1) * h + a[x] - 1) // a[x]) * 100000 + x)) % 100000 AS c
     FROM run, p WHERE t < h)),
-plan AS (SELECT pick AS i, t - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM run WHERE t > 0),
+plan AS (SELECT pick AS i, t - 1 AS tick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM run WHERE t > 0),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::varchar), doc_id) - 1 AS rk FROM documents),
 b AS (SELECT r.*, rk // 64 AS block, src.i, src.a, p.h FROM r JOIN src USING (source), p)
 SELECT doc_id, source, block::bigint AS block, ((block * h) // a)::bigint AS release, (((block + 1) * h + a - 1) // a)::bigint AS deadline,
-((block // a) * h + at)::bigint AS slot, (((block // a) * h + at) * 64 + rk % 64)::bigint AS position
+((block // a) * h + tick)::bigint AS slot, (((block // a) * h + tick) * 64 + rk % 64)::bigint AS position
 FROM b JOIN plan ON plan.i = b.i AND plan.nth = b.block % b.a
 """

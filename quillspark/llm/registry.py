@@ -1,17 +1,22 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, jaccard_join, mixing, projection_forest, sharding, suffix_dedup
+from . import chat_format, decontaminate, jaccard_join, mixing, projection_forest, rule_quality, sentence_spans, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_projection_forest": projection_forest.op4_projection_forest,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op7_sentence_spans": sentence_spans.op7_sentence_spans,
+    "op8_rule_quality": rule_quality.op8_rule_quality,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_sharding": sharding.op10_sharding,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op9_chat_format": chat_format.OP9_SQL,
 }
