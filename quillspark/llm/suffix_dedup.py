@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import null_safe, staged
+from ..runtime import null_safe, release, staged
 
 GRAM = 16
 BLOCK = 1 << 20
@@ -165,6 +165,7 @@ def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     keys = staged(keys.where("n > 1").select("k", (F.col("c0") != F.col("c1")).alias("mixed")), "keys")
     found = staged(rows.join(keys, "k"), "repeats")
+    release(keys)
     at = F.min(F.struct(*[c for c in found.columns if c not in ("k", "c", "n", "mixed")])).alias("at")
     return found, staged(found.groupBy("k", "c", "mixed").agg(F.sum("n").alias("n"), at), "entries")
 
@@ -211,6 +212,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     head, end = f"_id {kind}, _h long, ", (F.col("hi") + length).alias("end")
     phrases = staged(key.where(F.octet_length("_t") >= length).mapInArrow(_phrases(length, window), head + "lo long, hi long, a long, k long, c long"), "phrases")
     found, entries = _repeated(phrases.withColumn("n", F.lit(1).cast("long")))
+    release(phrases)
     whole = found.join(entries.where("n > 1").select("k", "c"), ["k", "c"]).select("_id", "_h", F.col("lo").alias("start"), end)
 
     lone = entries.where("mixed").select("at.*", "n").groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "a", "n")).alias("spans"))
@@ -225,6 +227,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     twice = staged(ranks.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"), "ranks")
     single = ranks.where("n = 1").join(twice, ["s1", "s2"]).select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
     spans = whole.union(blocks).union(single).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = staged(spans, "spans")
+    release(found, reach, cuts, ranks, twice)
     out = key.join(spans, null_safe(key, spans, "_id", "_h"), "left").select(key["_id"], key["_t"], spans["spans"])
     out = out.mapInArrow(_cut, f"_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("_id", id_col)
