@@ -1 +1,218 @@
-"""Queries."""
+"""Queries of cleaning, chapters and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import chapters as ch
+from .registry import query
+from .views import view
+
+# The cleaning rules as the oracle states them.
+_BLANK = "[\\s\\x0b\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]"
+_WORDS = "list_filter(regexp_split_to_array({0}, '" + _BLANK.replace("{{", "{{{{").replace("}}", "}}}}") + "+'), lambda x: x <> '')"
+_LIG = "replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+_SP = "replace(replace(replace({0}, chr(160), ' '), chr(8203), ''), chr(8232), chr(10))"
+_QUO = "translate({0}, '“”„‟«»‘’‚‛', '\"\"\"\"\"\"''''''''')"
+_DASH = "translate(regexp_replace(regexp_replace(replace({0}, '–', '—'), '---+', '—', 'g'), '--', '—', 'g'), '‒―', '——')"
+_PAGE = "regexp_replace({0}, '(?m)^\\s*\\d{{1,4}}\\s*$', '', 'g')"
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_HEAD = (
+    "array_to_string(list_filter(string_split({0}, chr(10)), lambda l: NOT (" + _STRIP.format("l") + " <> '' AND " + _STRIP.format("l") + " = upper(" + _STRIP.format("l") + ") AND length(" + _STRIP.format("l") + ") < 60 AND len(regexp_split_to_array("
+    + _STRIP.format("l") + ", '\\s+')) <= 5 AND NOT starts_with(" + _STRIP.format("l") + ", '\"'))), chr(10))"
+)
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \\t]+|[ \\t]+$', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def chain(x: str) -> str:
+    for rule in (_LIG, _SP, _QUO, _DASH, _PAGE):
+        x = rule.format(x)
+    return x
+
+
+CLEAN = (
+    "c1 AS (SELECT source AS book_id, doc_id, " + chain("nfc_normalize(text)") + " AS t FROM {{dirty}}), c2 AS (SELECT book_id, doc_id, " + _HEAD.format("t") + " AS t FROM c1), "
+    "clean AS (SELECT book_id, doc_id, " + _STRIP.format(_TIDY.format("t")) + " AS text FROM c2)"
+)
+CLEAN = CLEAN.replace("{{dirty}}", "{dirty}").replace("{1,4}", "{{1,4}}").replace("{2,}", "{{2,}}").replace("{3,}", "{{3,}}")
+
+
+def _one(name: str, rule: str, f):
+    @query(name, f"SELECT doc_id, md5({rule.format('text').replace('{1,4}', '{{1,4}}').replace('{2,}', '{{2,}}').replace('{3,}', '{{3,}}')}) AS digest FROM {{dirty}}")
+    def run(spark, d):
+        return view(spark, d, "dirty").select("doc_id", F.md5(f("text").cast("binary")).alias("digest"))
+
+    run.__doc__ = f.__doc__
+
+
+_one("c1_nfc", "nfc_normalize({0})", tx.composed)
+_one("c2_ligatures", _LIG, tx.ligatures)
+_one("c3_spaces", _SP, tx.plain_spaces)
+_one("c4_quotes", _QUO, tx.plain_quotes)
+_one("c5_dashes", _DASH, tx.em_dashes)
+_one("c6_page_numbers", _PAGE, tx.without_page_numbers)
+_one("c7_headers", _HEAD, tx.without_headers)
+_one("c8_blanks", _TIDY, tx.tidy_blanks)
+
+
+@query("c0_clean_text", f"WITH {CLEAN} SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM clean")
+def c0_clean_text(spark, d):
+    rows = view(spark, d, "dirty").select("doc_id", tx.cleaned("text").alias("text"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("c9_word_count", "SELECT doc_id, len(" + _WORDS.format("text") + ") AS n_words FROM {dirty}")
+def c9_word_count(spark, d):
+    return view(spark, d, "dirty").select("doc_id", tx.word_count("text").cast("long").alias("n_words"))
+
+
+RAW = f"""WITH {CLEAN}, k AS (SELECT c.book_id, r.ord, r.title, c.text, {_WORDS.format('c.text')} AS w FROM clean c JOIN (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', doc_id) END AS title FROM {{documents}}) r USING (book_id, doc_id))"""
+
+
+@query("d1_min_words", RAW + " SELECT book_id, ord, len(w) AS n_words FROM k WHERE len(w) >= 100")
+def d1_min_words(spark, d):
+    rows = view(spark, d, "raw_chapters").select("book_id", F.col("ord").cast("long").alias("ord"), tx.word_count(tx.cleaned("text")).cast("long").alias("n_words"))
+    return rows.where("n_words >= 100")
+
+
+NUMBERED = (
+    RAW
+    + """, s AS (SELECT *, CASE WHEN len(w) > 400 THEN (len(w) + 399) // 400 ELSE 1 END AS parts FROM k WHERE len(w) >= 100),
+b AS (SELECT *, coalesce(sum(parts) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+e AS (SELECT *, unnest(range(1, parts + 1)) AS part FROM b),
+n AS (SELECT book_id, CAST(before + part AS INT) AS number, CASE WHEN title = '' THEN concat('Chapter ', CAST(before + part AS INT)) WHEN parts > 1 THEN concat(title, ' (Part ', part, ')') ELSE title END AS title,
+CASE WHEN parts > 1 THEN array_to_string(w[(part - 1) * 400 + 1:part * 400], ' ') ELSE text END AS text, CASE WHEN parts > 1 THEN len(w[(part - 1) * 400 + 1:part * 400]) ELSE len(w) END AS word_count FROM e)"""
+)
+
+
+@query("g1_chapters", NUMBERED + " SELECT book_id, number, title, md5(text) AS digest, CAST(word_count AS INT) AS word_count FROM n")
+def g1_chapters(spark, d):
+    out = ch.chapters(view(spark, d, "raw_chapters"), max_words=400)
+    return out.select("book_id", "number", "title", F.md5(F.col("text").cast("binary")).alias("digest"), "word_count")
+
+
+@query("f1_book_totals", NUMBERED + " SELECT book_id, count(*) AS total_chapters, CAST(sum(word_count) AS BIGINT) AS total_words FROM n GROUP BY 1")
+def f1_book_totals(spark, d):
+    return ch.book_totals(ch.chapters(view(spark, d, "raw_chapters"), max_words=400))
+
+
+@query("d2_full_text", RAW + " SELECT book_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord)) AS digest, 'Full Text' AS title FROM k GROUP BY 1")
+def d2_full_text(spark, d):
+    """No chapter has a million words, so every book falls back to its full text."""
+    out = ch.chapters(view(spark, d, "raw_chapters"), min_words=1_000_000)
+    return out.select("book_id", F.md5(F.col("text").cast("binary")).alias("digest"), "title")
+
+
+@query(
+    "g4_word_chunks",
+    "WITH w AS (SELECT doc_id, " + _WORDS.format("text") + " AS w FROM {documents}), k AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) > 600 THEN (len(w) - 600 + 449) // 450 ELSE 0 END + 1)) AS c FROM w WHERE len(w) > 0) "
+    "SELECT doc_id, CAST(c AS INT) AS chunk, CAST(c * 450 AS INT) AS start_word, CAST(len(w[c * 450 + 1:c * 450 + 600]) AS INT) AS n_words, md5(array_to_string(w[c * 450 + 1:c * 450 + 600], ' ')) AS digest FROM k",
+)
+def g4_word_chunks(spark, d):
+    out = ch.word_chunks(view(spark, d, "documents"), ["doc_id"], 600, 150)
+    return out.select("doc_id", "chunk", "start_word", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    "g15_context_budget",
+    """WITH c AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, concat('T', doc_id) AS title, text FROM {documents}),
+s AS (SELECT *, number = 1 AND length(text) < 15000 AS whole, substr(text, 1, 500) AS t FROM c),
+e AS (SELECT *, concat('## ', title, CASE WHEN whole THEN concat(' [FULL TEXT]', chr(10), chr(10), text) ELSE concat(' [SUMMARY]', chr(10), chr(10), CASE WHEN contains(t, '.') THEN regexp_extract(t, '(?s)^(.*)\\.', 1) ELSE t END, '.') END) AS entry FROM s),
+u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY book_id ORDER BY number) AS used FROM e),
+o AS (SELECT *, max(CASE WHEN used > 6000 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY number) AS past FROM u)
+SELECT book_id, number, CASE WHEN whole THEN 'FULL TEXT' ELSE 'SUMMARY' END AS strategy, md5(entry) AS digest, CAST(used AS BIGINT) AS used FROM o WHERE past = 0""",
+)
+def g15_context_budget(spark, d):
+    from pyspark.sql import Window
+
+    docs = view(spark, d, "documents")
+    rows = docs.select(F.col("source").alias("book_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("number"), F.concat(F.lit("T"), "doc_id").alias("title"), "text")
+    out = ch.context_budget(rows, limit=6000)
+    return out.select("book_id", "number", "strategy", F.md5(F.col("entry").cast("binary")).alias("digest"), F.col("used").cast("long").alias("used"))
+
+
+_TITLES = "(SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'Table of  Contents' WHEN doc_id % 8 = 1 THEN 'MAPS' WHEN doc_id % 8 = 2 THEN 'roadmap' WHEN doc_id % 8 = 3 THEN 'About the Author' WHEN doc_id % 8 = 4 THEN '' ELSE substr(text, 1, 30) END AS title, text FROM {documents})"
+
+
+@query(
+    "b1_skipped_documents",
+    "SELECT doc_id, CASE WHEN title = '' THEN length(trim(text)) < 50 ELSE regexp_matches(title, '(?i)\\b(table\\s+of\\s+contents|contents|appendix|appendices|glossary|dramatis\\s+personae|map|maps|acknowledgments?|acknowledgements?|dedication|copyright|colophon|about\\s+the\\s+author|also\\s+by|other\\s+books?\\s+by|preview|excerpt|teaser)\\b') END AS skipped FROM " + _TITLES,
+)
+def b1_skipped_documents(spark, d):
+    n = F.col("doc_id") % 8
+    title = F.when(n == 0, "Table of  Contents").when(n == 1, "MAPS").when(n == 2, "roadmap").when(n == 3, "About the Author").when(n == 4, "").otherwise(F.substring("text", 1, 30))
+    return view(spark, d, "documents").select("doc_id", ch.is_skipped_document(title, "text").alias("skipped"))
+
+
+@query("b5_heading_lines", "SELECT doc_id, len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '(?i)^(chapter|part)\\s+(\\d+|[ivxlcdm]+)|(?i)^(prologue|epilogue|interlude)\\b|^\\d+\\.\\s'))) AS n FROM (SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'Chapter IV' WHEN doc_id % 3 = 1 THEN '12. Title' ELSE 'Prologues' END, chr(10), text) AS t FROM {documents})")
+def b5_heading_lines(spark, d):
+    n = F.col("doc_id") % 3
+    t = F.concat(F.when(n == 0, "Chapter IV").when(n == 1, "12. Title").otherwise("Prologues"), F.lit("\n"), "text")
+    return view(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(t, "\n"), ch.is_heading_line)).cast("long").alias("n"))
+
+
+@query(
+    "b4_heading_sections",
+    """WITH t AS (SELECT doc_id, concat('front', chr(10), 'Chapter 1', chr(10), substr(text, 1, 50), chr(10), 'Epilogue', chr(10), substr(text, 51)) AS t FROM {documents} WHERE length(text) > 60),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS p FROM t),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(chapter|part)\\s+(\\d+|[ivxlcdm]+)|(?i)^(prologue|epilogue|interlude)\\b|^\\d+\\.\\s') THEN 1 ELSE 0 END AS hd FROM l),
+s AS (SELECT *, sum(hd) OVER (PARTITION BY doc_id ORDER BY p) AS section FROM h),
+b AS (SELECT doc_id, section, regexp_replace(coalesce(string_agg(CASE WHEN hd = 0 THEN line END, chr(10) ORDER BY p), ''), '^\\s+|\\s+$', '', 'g') AS body FROM s WHERE section > 0 GROUP BY 1, 2)
+SELECT doc_id, CAST(section AS INT) AS section, md5(body) AS digest FROM b WHERE body <> ''""",
+)
+def b4_heading_sections(spark, d):
+    t = F.concat(F.lit("front\nChapter 1\n"), F.substring("text", 1, 50), F.lit("\nEpilogue\n"), F.substring("text", 51, 1 << 30))
+    out = ch.split_by_heading_lines(view(spark, d, "documents").where(F.length("text") > 60).select("doc_id", t.alias("text")), ["doc_id"])
+    return out.select("doc_id", "section", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query("j1_slug", "SELECT doc_id, substr(regexp_replace(regexp_replace(trim(lower(t)), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), 1, 64) AS slug FROM (SELECT doc_id, substr(text, 1, 80) AS t FROM {documents})")
+def j1_slug(spark, d):
+    return view(spark, d, "documents").select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query(
+    "j2_slug_collisions",
+    "WITH s AS (SELECT doc_id, lang AS slug FROM {documents}) SELECT doc_id, CASE WHEN n = 0 THEN slug ELSE concat(slug, '-', n) END AS project_id FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) - 1 + CASE WHEN slug = 'en' THEN 1 ELSE 0 END AS n FROM s)",
+)
+def j2_slug_collisions(spark, d):
+    from ..operators import state as stt
+
+    rows = view(spark, d, "documents").select("doc_id", F.col("lang").alias("slug"))
+    taken = rows.where("slug = 'en'").select("slug").distinct()
+    return stt.free_slugs(rows, taken, "doc_id", "doc_id").select("doc_id", "project_id")
+
+
+@query("j17_pronunciation", "SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'thee', 'g'), '(?i)\\bof\\b', 'o$f', 'g')) AS digest FROM {conversations} WHERE length(text) = strlen(text)")
+def j17_pronunciation(spark, d):
+    rows = view(spark, d, "conversations").where(F.length("text") == F.octet_length("text"))
+    return rows.select("conv_id", "turn", F.md5(tx.rewrite_words("text", [("the", "thee"), ("of", "o$f")]).cast("binary")).alias("digest"))
+
+
+@query("j21_summary", "SELECT doc_id, md5(CASE WHEN contains(t, '.') THEN concat(regexp_extract(t, '(?s)^(.*)\\.', 1), '.') ELSE concat(t, '.') END) AS digest FROM (SELECT doc_id, substr(text, 1, 500) AS t FROM {documents})")
+def j21_summary(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.md5(tx.to_last_stop("text").cast("binary")).alias("digest"))
+
+
+@query("j22_j25_escapes", "SELECT doc_id, md5(concat(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), replace(replace(t, '\\', '/'), '''', '''\\'''''))) AS digest FROM (SELECT doc_id, concat('a&<b>\"''\\', substr(text, 1, 20)) AS t FROM {documents})")
+def j22_j25_escapes(spark, d):
+    t = F.concat(F.lit("a&<b>\"'\\"), F.substring("text", 1, 20))
+    return view(spark, d, "documents").select("doc_id", F.md5(F.concat(tx.escape_html(t), tx.escape_concat_path(t)).cast("binary")).alias("digest"))
+
+
+@query("f10_total_chars", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS total_chars, max(length(text)) AS longest, sum(CASE WHEN length(text) / 1024.0 > 80 THEN 1 ELSE 0 END)::bigint AS over_80_kb FROM {documents} GROUP BY 1")
+def f10_total_chars(spark, d):
+    n = F.length("text")
+    return view(spark, d, "documents").groupBy("source").agg(F.sum(n).alias("total_chars"), F.max(n).cast("long").alias("longest"), F.sum(F.when(n / 1024 > 80, 1).otherwise(0)).alias("over_80_kb"))
+
+
+@query(
+    "j18_json_answers",
+    """WITH t AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN concat('<think>{{x}}', chr(10), '</think>{{"a": ', item_id, '}}') WHEN item_id % 4 = 1 THEN concat('Sure: {{"a": ', item_id, ', "b": {{}}}} done') WHEN item_id % 4 = 2 THEN 'no object' ELSE '{{broken' END AS t FROM {benchmark})
+SELECT item_id, CASE WHEN item_id % 4 < 2 THEN CAST(item_id AS VARCHAR) END AS a FROM t""",
+)
+def j18_json_answers(spark, d):
+    n, i = F.col("item_id") % 4, F.col("item_id")
+    t = F.when(n == 0, F.concat(F.lit("<think>{x}\n</think>{\"a\": "), i, F.lit("}"))).when(n == 1, F.concat(F.lit('Sure: {"a": '), i, F.lit(', "b": {}} done'))).when(n == 2, "no object").otherwise("{broken")
+    return view(spark, d, "benchmark").select("item_id", F.get_json_object(tx.json_object(t), "$.a").alias("a"))

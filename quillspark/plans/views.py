@@ -15,7 +15,7 @@ VIEWS = {
     # documents with what real books hold: curly quotes, page numbers, running titles, dashes, blanks
     "dirty": """SELECT doc_id, source, lang, CASE
         WHEN doc_id % 4 = 1 THEN concat('“', substr(text, 1, 40), '” «q»', '\n12\n', 'RUNNING TITLE\n', '  ', substr(text, 41))
-        WHEN doc_id % 4 = 2 THEN concat(replace(text, ' the ', ' –the-- '), '\n\n\n\n', 'ﬁn   x​ --- y’s', '\n* * *\nend')
+        WHEN doc_id % 4 = 2 THEN concat(replace(text, ' the ', ' –the-- '), '\n\n\n\n', 'ﬁn \u00a0 x\u200b --- y’s', '\n* * *\nend')
         WHEN doc_id % 4 = 3 THEN concat('"KEEP THIS"\n', replace(text, '. ', '.\r\n'), ' z')
         ELSE text END AS text FROM {documents}""",
     "raw_chapters": """SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', doc_id) END AS title, text FROM {dirty}""",
