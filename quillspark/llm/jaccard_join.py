@@ -12,8 +12,11 @@ bit set in one bitmap but not in the other is an element that isn't shared, whic
 above. What remains is decided by intersecting the sorted arrays.
 
 Equal sets are one class. To lose no link and yet not write out all pairs of a large group, candidates are
-judged in two rounds. First each class is compared with one leader, that with which it shares most tiles.
-Then only pairs from tiles that hold classes of more than one component are compared, all of them.
+judged in rounds. The leader of a tile is the class that meets most others over all its tiles, e.g. the
+original of many near copies. First each class is compared with the leader it shares most tiles with, then
+with all its leaders of other components. At last all pairs of different components are compared that share
+a tile: in small tiles by a join, in large ones block by block, where only pairs that pass the bounds leave
+the task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from ..runtime import null_safe, staged
 from .components import connected_components
 
 BITS = 1024
+#: Tiles of up to SMALL classes are compared by a join, larger ones in blocks of about BLOCK classes.
+SMALL, BLOCK = 32, 512
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -145,6 +150,28 @@ def _decide(n: int, num: int, den: int):
     return run
 
 
+def _across(num: int, den: int):
+    """Pairs of a block pair of one tile that are of different components and pass both bounds."""
+
+    def run(key, table):
+        node, n, comp = (np.asarray(table[c]) for c in ("node", "n", "comp"))
+        bits = np.asarray(table["bits"].combine_chunks().flatten()).reshape(len(node), -1).view(np.uint64)
+        other = np.asarray(table["other"])
+        left = np.flatnonzero(~other)
+        right = left if key[1] == key[2] else np.flatnonzero(other)
+        out = [np.empty((0, 2), np.int64)]
+        for i in left:
+            js = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num)]
+            less = np.bitwise_count(bits[i] & ~bits[js]).sum(1, dtype=np.int64), np.bitwise_count(bits[js] & ~bits[i]).sum(1, dtype=np.int64)
+            most = np.minimum(n[i] - less[0], n[js] - less[1])
+            js = js[most * (den + num) >= (n[i] + n[js]) * num]
+            out.append(np.column_stack((np.minimum(node[i], node[js]), np.maximum(node[i], node[js]))))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+
+    return run
+
+
 def _unshared(x: str, y: str) -> Column:
     return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)")
 
@@ -158,7 +185,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
     return both.where(most * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, keep_group: bool = False) -> DataFrame:
     """Group the documents whose shingle sets link, directly or through others.
 
     Words are runs of bytes other than the six ASCII blanks, A-Z lower-cased; a set holds the distinct
@@ -168,7 +195,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the least id of the component. Null, empty and blank texts have no set and stand
     alone. Repeated rows, rows with a null id and rows that share an id keep a row each; null ids count as
     greater than all others. An empty table gives an empty table; other columns are ignored.
-    Sets and shingles are known by 64-bit hashes.
+    Sets and shingles are known by 64-bit hashes. ``keep_group`` adds ``_group``, which names the component
+    whatever its ids (null where there is no set).
     """
     num, den = percent, 100
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
@@ -178,9 +206,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = staged(members.groupBy("node", "n").agg(F.min(F.struct("_id", "_h", "bits")).alias("m")).select("node", "n", "m._id", "m._h", "m.bits"), "classes")
 
     visits = members.select("node", "n", F.explode("tiles").alias("tile"))
-    shared = visits.groupBy("tile").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
-    shared = staged(shared.select("tile", "leader"), "tiles")
-    met = staged(visits.join(shared, "tile").groupBy("tile", "node", "n", "leader").agg(F.count(F.lit(1)).alias("c")).drop("c"), "met")
+    shared = visits.groupBy("tile").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    shared = staged(shared.select("tile"), "tiles")
+    met = staged(visits.join(shared, "tile").groupBy("tile", "node", "n").agg(F.count(F.lit(1)).alias("c")).drop("c"), "met")
+    widths = staged(met.groupBy("tile").agg(F.count(F.lit(1)).alias("width")), "widths")
+    met = staged(met.join(widths, "tile"), "met")
+    known = staged(met.groupBy("node").agg(F.sum("width").alias("known")), "known")
+    met = staged(met.join(known, "node"), "met")
 
     taking_part = staged(met.select("node").distinct(), "part").join(classes, "node")
     texts = key.join(taking_part, null_safe(key, taking_part, "_id", "_h")).select("node", key["_h"], F.col("_t").alias("t"))
@@ -195,29 +227,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = pairs.join(x, "a").join(y, "b").select("a", "ta", "b", "tb")
         return staged(rows.mapInArrow(_decide(shingle, num, den), "a long, b long"), "links")
 
-    first = met.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
-    first = first.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
-    first = staged(first, "pairs")
-    links = decided(_bounded(first, classes, num, den))
+    def led(rows: DataFrame) -> DataFrame:
+        """Pairs of a class and the leader of a tile, of different components, with the tiles they share."""
+        leader = rows.groupBy("tile").agg(F.max_by(F.struct("node", "comp"), F.struct("known", -F.col("node"))).alias("l"))
+        pairs = rows.join(staged(leader, "leaders"), "tile").where(F.col("comp") != F.col("l.comp"))
+        return pairs.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+
+    def unsettled(comp: DataFrame) -> DataFrame:
+        """Rows of the tiles that hold more than one component."""
+        here = met.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("_n")
+        here = staged(here, "here")
+        several = here.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tile")
+        return staged(here.join(staged(several, "several"), "tile"), "unsettled")
+
+    first = led(met.withColumn("comp", F.col("node"))).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    links = decided(staged(_bounded(staged(first, "pairs"), classes, num, den), "pairs"))
+    comp = staged(connected_components(links), "comp")
+
+    links = links.union(decided(staged(_bounded(led(unsettled(comp)).drop("c"), classes, num, den), "pairs")))
     comp = staged(connected_components(links), "comp")
 
-    here = met.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("tile", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    here = staged(here, "here")
-    open_tiles = here.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tile")
-    here = staged(here.join(staged(open_tiles, "open"), "tile"), "open")
-    x = here.select("tile", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = here.select("tile", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    here = unsettled(comp)
+    small = here.where(F.col("width") <= SMALL)
+    x = small.select("tile", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = small.select("tile", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = x.join(y, "tile").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    rest = rest.select("a", "b").distinct()
-    rest = staged(_bounded(rest, classes, num, den), "pairs")
-    links = links.union(decided(rest))
+    large = here.where(F.col("width") > SMALL).join(classes.select("node", "bits"), "node")
+    large = large.withColumn("blocks", F.ceil(F.col("width") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
+    large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", (F.col("mine") != F.col("pair.bi")).alias("other"))
+    rest = rest.select("a", "b").union(large.groupBy("tile", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")).distinct()
+    links = links.union(decided(staged(_bounded(rest, classes, num, den), "pairs")))
     comp = staged(connected_components(links), "comp")
 
     named = sig.select("_id", "_h", "n", "node").join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     named = staged(named.select("_id", "_h", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("comp")), "named")
     least = staged(named.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("component_id")), "least")
-    out = named.join(least, "comp", "left").select("_id", "_h", "n_shingles", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumnRenamed("_id", id_col)
+    out = named.join(least, "comp", "left").select("_id", "_h", "n_shingles", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), *(["comp"] if keep_group else []))
+    return out.withColumnsRenamed({"_id": id_col, "comp": "_group"})
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

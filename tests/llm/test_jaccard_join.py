@@ -84,3 +84,21 @@ def test_linked_sets_share_a_tile():
         if 100 * both >= 90 * (len(a) + len(b) - both) and drop:
             assert len(np.intersect1d(tiles(a, starts, 90, 100), tiles(b, starts, 90, 100)))
     assert len(shingles(b"a b", _Words())) == 1
+
+
+@pytest.mark.parametrize("small, block", [(2, 3), (0, 512)])
+def test_large_tiles_are_compared_in_blocks(spark, monkeypatch, small, block):
+    from quillspark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rnd = random.Random(8)
+    base = ["w%d" % rnd.randrange(900) for _ in range(80)]
+    rows = []
+    for i in range(60):  # a hub, copies linked through it, and copies just too far from all
+        d = list(base)
+        for _ in range(0 if i == 30 else rnd.choice([1, 2, 3, 4])):
+            d[rnd.randrange(80)] = "x%d" % rnd.randrange(10**6)
+        rows.append((i, " ".join(d)))
+    got = jaccard_components(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(4))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
