@@ -56,8 +56,8 @@ def may_run(times: DataFrame, windows: DataFrame) -> DataFrame:
     The windows of a schedule are a short list, read as one scalar.
     """
     listed = windows.agg(F.collect_list(F.struct("days", "start", "end")).alias("w")).scalar()
-    ok = F.exists(listed, lambda x: in_window(F.col("day"), F.col("time"), x["days"], x["start"], x["end"]))
-    return times.withColumn("allowed", (F.size(listed) == 0) | ok)
+    ok = F.exists("_w", lambda x: in_window(F.col("day"), F.col("time"), x["days"], x["start"], x["end"]))
+    return times.withColumn("_w", listed).withColumn("allowed", (F.size("_w") == 0) | ok).drop("_w")
 
 
 def stages_to_run(status: Column | str) -> Column:

@@ -1 +1,220 @@
-"""Queries."""
+"""Queries of job state, schedules, selections and progress."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import state as stt
+from .registry import query
+from .views import query as sql
+from .views import view
+
+STATUS = "json_extract_string(state, '$.status')"
+
+
+def jobs(spark, d):
+    rows = view(spark, d, "jobs")
+    part = lambda k: F.get_json_object("state", f"$.{k}")
+    return rows.withColumns({"status": part("status"), "total": part("total_chapters").cast("int"), "done": part("chapters_generated").cast("int")})
+
+
+@query("a9_upsert_jobs", "SELECT project_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE md5(state) END AS digest FROM {jobs} UNION ALL SELECT concat('extra', c_custkey), 'new' FROM {jobs} WHERE c_custkey % 3 = 0")
+def a9_upsert_jobs(spark, d):
+    old = view(spark, d, "jobs").select("project_id", "c_custkey", F.md5(F.col("state").cast("binary")).alias("digest"))
+    hit = old.where("c_custkey % 3 = 0")
+    new = hit.select("project_id", "c_custkey", F.lit("new").alias("digest")).union(hit.select(F.concat(F.lit("extra"), "c_custkey"), "c_custkey", F.lit("new")))
+    return stt.upsert(old, new, "project_id").select("project_id", "digest")
+
+
+@query("a10_append_quality", "SELECT project_id, count(*) AS n, max(id) AS last_id FROM (SELECT project_id, id FROM {quality_logs} UNION ALL SELECT project_id, id + 1000000 FROM {quality_logs} WHERE attempt = 1) GROUP BY 1")
+def a10_append_quality(spark, d):
+    logs = view(spark, d, "quality_logs").select("project_id", "id", "attempt")
+    more = logs.where("attempt = 1").withColumn("id", F.col("id") + 1_000_000)
+    return logs.unionByName(more).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+
+
+@query("a11_delete_cascade", "SELECT project_id, count(*) AS n FROM {quality_logs} WHERE project_id NOT IN ('p1', 'p3', 'unknown') GROUP BY 1")
+def a11_delete_cascade(spark, d):
+    gone = sql(spark, d, "SELECT DISTINCT project_id FROM {quality_logs} WHERE project_id IN ('p1', 'p3')")
+    return stt.delete(view(spark, d, "quality_logs"), gone, "project_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d7_job_lookup", f"SELECT project_id, {STATUS} AS status FROM {{jobs}} WHERE project_id = 'job42'")
+def d7_job_lookup(spark, d):
+    return jobs(spark, d).where("project_id = 'job42'").select("project_id", "status")
+
+
+@query("h1_jobs_by_update", "SELECT project_id, row_number() OVER (ORDER BY updated_at DESC, project_id) AS place FROM {jobs} QUALIFY place <= 50")
+def h1_jobs_by_update(spark, d):
+    """The fifty jobs updated last (a top-k report)."""
+    top = view(spark, d, "jobs").orderBy(F.desc("updated_at"), "project_id").limit(50)
+    return top.select("project_id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "project_id")).alias("place"))
+
+
+@query("h2_projects_by_creation", "SELECT project_id, row_number() OVER (ORDER BY created_at DESC, project_id) AS place FROM {jobs} QUALIFY place <= 50")
+def h2_projects_by_creation(spark, d):
+    top = view(spark, d, "jobs").orderBy(F.desc("created_at"), "project_id").limit(50)
+    return top.select("project_id", F.row_number().over(Window.orderBy(F.desc("created_at"), "project_id")).alias("place"))
+
+
+@query("i7_merge_state", "SELECT project_id, 'exporting' AS status, json_extract_string(state, '$.total_chapters') AS total_chapters, '7' AS chapters_mastered FROM {jobs}")
+def i7_merge_state(spark, d):
+    merged = stt.merged_json("state", F.lit('{"status": "exporting", "chapters_mastered": 7}'))
+    rows = view(spark, d, "jobs").select("project_id", merged.alias("m"))
+    return rows.select("project_id", *[F.col("m")[k].alias(k) for k in ("status", "total_chapters", "chapters_mastered")])
+
+
+@query("d14_coarse_status", f"SELECT project_id, CASE WHEN {STATUS} IN ('error', 'paused', 'complete') THEN {STATUS} ELSE 'running' END AS status FROM {{jobs}}")
+def d14_coarse_status(spark, d):
+    return jobs(spark, d).select("project_id", stt.coarse_status("status").alias("status"))
+
+
+@query("d13_stages_to_run", f"SELECT project_id, CASE {STATUS} WHEN 'complete' THEN '' WHEN 'generating' THEN 'generating,mastering,exporting' ELSE 'scripting,bootstrapping,generating,mastering,exporting' END AS stages FROM {{jobs}}")
+def d13_stages_to_run(spark, d):
+    return jobs(spark, d).select("project_id", F.array_join(stt.stages_to_run("status"), ",").alias("stages"))
+
+
+_DAY = "CASE event_id % 7 WHEN 0 THEN 'mon' WHEN 1 THEN 'tue' WHEN 2 THEN 'wed' WHEN 3 THEN 'thu' WHEN 4 THEN 'fri' WHEN 5 THEN 'sat' ELSE 'sun' END"
+_TIME = "concat(substr(concat('0', hour(ts)), -2), ':', substr(concat('0', minute(ts)), -2))"
+TIMES = f"SELECT event_id AS id, {_DAY} AS day, {_TIME} AS time FROM {{events}}"
+
+
+@query("d6_schedule_window", f"SELECT id, (day IN ('sat', 'sun') AND time BETWEEN '08:00' AND '12:30') OR time >= '22:00' OR time <= '06:00' AS allowed FROM ({TIMES.replace('substr(concat', 'right(concat').replace(', -2)', ', 2)')})")
+def d6_schedule_window(spark, d):
+    windows = spark.range(2).select(
+        F.when(F.col("id") == 0, F.array(F.lit("sat"), F.lit("sun"))).alias("days"), F.when(F.col("id") == 0, "08:00").otherwise("22:00").alias("start"), F.when(F.col("id") == 0, "12:30").otherwise("06:00").alias("end")
+    )
+    return stt.may_run(sql(spark, d, TIMES), windows).select("id", "allowed")
+
+
+PICK = "SELECT book_id, number FROM {chapter_durations} WHERE number % 3 = 0"
+
+
+@query("d3_selected_chapters", "SELECT book_id, number FROM {chapter_durations} WHERE number % 3 = 0")
+def d3_selected_chapters(spark, d):
+    rows = view(spark, d, "chapter_durations")
+    return stt.selected(rows, rows.where("number % 3 = 0").select("number")).select("book_id", "number")
+
+
+@query("d4_d11_remaining_chapters", "SELECT book_id, number FROM {chapter_durations} WHERE NOT (number % 3 = 0 AND book_id <> 'book1')")
+def d4_d11_remaining_chapters(spark, d):
+    rows = view(spark, d, "chapter_durations").select("book_id", "number")
+    return stt.remaining(rows, rows.where("number % 3 = 0 AND book_id <> 'book1'"), ["book_id", "number"])
+
+
+@query("d5_partial_export", "SELECT book_id, count(*) AS n, round(sum(seconds), 6) AS seconds FROM {chapter_durations} WHERE number % 2 = 1 GROUP BY 1")
+def d5_partial_export(spark, d):
+    rows = view(spark, d, "chapter_durations")
+    out = stt.selected(rows, rows.where("number % 2 = 1"))
+    return out.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 6).alias("seconds"))
+
+
+@query(
+    "e10_chapter_grid",
+    f"""WITH j AS (SELECT project_id, {STATUS} AS status, CAST(json_extract_string(state, '$.total_chapters') AS INT) AS total, CAST(json_extract_string(state, '$.chapters_generated') AS INT) AS done FROM {{jobs}}), e AS (SELECT *, CAST(unnest(range(1, total + 1)) AS INT) AS chapter FROM j)
+SELECT project_id, chapter, CASE WHEN chapter <= done - 1 AND status = 'complete' THEN 'Done' WHEN chapter <= done - 1 THEN 'Master' WHEN chapter <= done THEN 'Gen' WHEN chapter <= done + 2 THEN 'Scripted' ELSE 'Pending' END AS state FROM e""",
+)
+def e10_chapter_grid(spark, d):
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    rows = jobs(spark, d).withColumns({"mastered": upto(F.col("done") - 1), "generated": upto(F.col("done")), "scripted": upto(F.col("done") + 2)})
+    return stt.chapter_grid(rows)
+
+
+@query(
+    "f13_stage_percent",
+    f"SELECT project_id, round(least(100, CASE {STATUS} WHEN 'complete' THEN 100 WHEN 'generating' THEN (d + 0.5) / t * 100 ELSE d / t * 100 END), 6)::double AS pct FROM (SELECT *, CAST(json_extract_string(state, '$.total_chapters') AS DOUBLE) AS t, CAST(json_extract_string(state, '$.chapters_generated') AS DOUBLE) AS d FROM {{jobs}})",
+)
+def f13_stage_percent(spark, d):
+    return jobs(spark, d).select("project_id", F.round(stt.stage_percent(F.col("status"), F.col("done"), F.col("total")), 6).alias("pct"))
+
+
+@query("j15_percent", "SELECT project_id, round_even(d / t * 100, 1) AS pct FROM (SELECT project_id, CAST(json_extract_string(state, '$.total_chapters') AS DOUBLE) AS t, CAST(json_extract_string(state, '$.chapters_generated') AS DOUBLE) AS d FROM {jobs})")
+def j15_percent(spark, d):
+    return jobs(spark, d).select("project_id", stt.percent(F.col("done"), F.col("total")).alias("pct"))
+
+
+@query("i1_i2_i3_state_lists", "SELECT project_id, CASE WHEN c_custkey % 4 IN (1, 2) THEN '1,2' ELSE concat('1,2,', c_custkey % 4) END AS scripted FROM {jobs}")
+def i1_i2_i3_state_lists(spark, d):
+    rows = view(spark, d, "jobs").withColumn("k", (F.col("c_custkey") % 4).cast("int"))
+    return rows.select("project_id", F.array_join(stt.add_if_absent(F.array(F.lit(1), F.lit(2)), "k"), ",").alias("scripted"))
+
+
+@query("i6_all_selected", "SELECT project_id, CASE WHEN c_custkey % 3 = 2 THEN NULL WHEN c_custkey % 3 = 1 THEN '1,2' ELSE '1' END AS selection FROM {jobs}")
+def i6_all_selected(spark, d):
+    n = (F.col("c_custkey") % 3 + 1).cast("int")
+    return view(spark, d, "jobs").select("project_id", F.array_join(stt.all_or_list(F.concat(F.sequence(F.lit(1), n), F.array(F.lit(1))), F.lit(3)), ",").alias("selection"))
+
+
+@query("doc_p11_chapter_ranges", "SELECT project_id, concat(array_to_string(range(1, c_custkey % 4 + 2), ','), ',9') AS chapters FROM {jobs}")
+def doc_p11_chapter_ranges(spark, d):
+    spec = F.concat(F.lit("9, 1-"), F.col("c_custkey") % 4 + 1, F.lit(",x,3-2,1"))
+    return view(spark, d, "jobs").select("project_id", F.array_join(stt.chapter_ranges(spec), ",").alias("chapters"))
+
+
+@query("a22_newest_file", "SELECT project_id, arg_max(path, {{'m': m, 'p': path}}) AS path FROM (SELECT project_id, concat(line_id, '_', attempt, '.m4b') AS path, created_at AS m FROM {quality_logs}) GROUP BY 1")
+def a22_newest_file(spark, d):
+    files = view(spark, d, "quality_logs").select("project_id", F.concat("line_id", F.lit("_"), "attempt", F.lit(".m4b")).alias("path"), F.col("created_at").alias("modified"))
+    return stt.newest(files, ["project_id"])
+
+
+@query("g11_ring_buffer", "SELECT user_id % 5 AS project, event_id FROM {events} QUALIFY row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id DESC) <= 500")
+def g11_ring_buffer(spark, d):
+    """The last 500 lines of each project (the buffer's size is the feature)."""
+    rows = view(spark, d, "events").select((F.col("user_id") % 5).alias("project"), "event_id")
+    n = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("event_id")))
+    return rows.withColumn("_n", n).where("_n <= 500").drop("_n")
+
+
+LOG = "SELECT event_id, concat('12:00:00 | ', CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'WARNING' ELSE 'DEBUG' END, ' | ', CASE WHEN event_id % 5 = 0 THEN 'httpx' ELSE 'engine.run' END, ' | m') AS raw FROM {events}"
+
+
+@query("d8_j24_log_lines", f"SELECT event_id, CASE WHEN contains(raw, '| ERROR |') THEN 'error' WHEN contains(raw, '| WARNING |') THEN 'warn' ELSE 'info' END AS level FROM ({LOG}) WHERE NOT contains(raw, '| DEBUG |') AND NOT contains(raw, '| httpx |')")
+def d8_j24_log_lines(spark, d):
+    from ..streaming.events import classified_logs
+
+    return classified_logs(sql(spark, d, LOG)).select("event_id", "level")
+
+
+@query("j25_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN concat(CAST(n AS BIGINT), ' B') WHEN n < 1048576 THEN concat(format('{{:.1f}}', n / 1024), ' KB') ELSE concat(format('{{:.1f}}', n / 1048576), ' MB') END AS size FROM (SELECT doc_id, n_chars::double * 3 AS n FROM {documents})")
+def j25_bytes(spark, d):
+    return view(spark, d, "documents").select("doc_id", tx.human_bytes(F.col("n_chars") * 3).alias("size"))
+
+
+@query("j26_retry_wait", "SELECT id, CAST(least(30, power(2, attempt)) AS DOUBLE) AS wait FROM {quality_logs}")
+def j26_retry_wait(spark, d):
+    return view(spark, d, "quality_logs").select("id", F.least(F.lit(30.0), F.pow(F.lit(2.0), F.col("attempt"))).alias("wait"))
+
+
+@query("m5_bootstrap_skip", "SELECT DISTINCT book_id, lower(speaker) AS id FROM {script_lines} WHERE NOT (speaker = 'user' AND book_id = 'b1')")
+def m5_bootstrap_skip(spark, d):
+    """Voices still to design: speakers without one."""
+    speakers = view(spark, d, "script_lines").select("book_id", F.lower("speaker").alias("id")).distinct()
+    return stt.remaining(speakers, speakers.where("id = 'user' AND book_id = 'b1'"), ["book_id", "id"])
+
+
+@query("h8_top_traits", "SELECT doc_id, array_to_string(w[1:4], ',') AS traits FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda x: x <> '') AS w FROM {documents})")
+def h8_top_traits(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.array_join(F.slice(tx.word_list("text"), 1, 4), ",").alias("traits"))
+
+
+@query("h9_truncations", "SELECT doc_id, substr(text, 1, 80) AS head, length(substr(text, 1, 12000)) AS n FROM {documents}")
+def h9_truncations(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("head"), F.length(F.substring("text", 1, 12_000)).cast("long").alias("n"))
+
+
+@query("j23_image_chain", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE url END, ''), nullif('', ''), 'none') AS image FROM {pages}")
+def j23_image_chain(spark, d):
+    first = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("url"))
+    return view(spark, d, "pages").select("page_id", F.coalesce(F.nullif(first, F.lit("")), F.lit("none")).alias("image"))
+
+
+BOOKS = """SELECT page_id, concat('{{"items": [{{"volumeInfo": {{"title": "T', page_id, '", "industryIdentifiers": [{{"type": "ISBN_10", "identifier": "10-', page_id, '"}}', CASE WHEN page_id % 2 = 0 THEN concat(', {{"type": "ISBN_13", "identifier": "13-', page_id, '"}}') ELSE '' END, '], "imageLinks": {{"small": "http://x/', page_id, '"}}}}}}]}}') AS body FROM {pages}"""
+
+
+@query("a19_catalogue_lookup", "SELECT page_id, concat('T', page_id) AS title, concat(CASE WHEN page_id % 2 = 0 THEN '13-' ELSE '10-' END, page_id) AS isbn, concat('https://x/', page_id) AS image FROM {pages}")
+def a19_catalogue_lookup(spark, d):
+    from ..sources.catalogue import book_metadata
+
+    return book_metadata(sql(spark, d, BOOKS), "body").select("page_id", "title", "isbn", "image")
