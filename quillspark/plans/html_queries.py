@@ -1 +1,50 @@
-"""Queries."""
+"""Queries over pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import chapters as ch
+from ..operators import html as ht
+from .registry import query
+from .views import view
+
+
+@query("b1_page_titles", "SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS title FROM {pages}")
+def b1_page_titles(spark, d):
+    return ht.outlines(view(spark, d, "pages").select("page_id", "html"), ["page_id"]).select("page_id", "title")
+
+
+@query("b1_page_titles_native", "SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS title FROM {pages}")
+def b1_page_titles_native(spark, d):
+    return view(spark, d, "pages").select("page_id", ht.native_title().alias("title"))
+
+
+@query("b3_b6_page_sections")
+def b3_b6_page_sections(spark, d):
+    out = ht.sections(view(spark, d, "pages").select("page_id", "html"), ["page_id"])
+    return out.select("page_id", "section", "title", F.length("text").alias("n_chars"))
+
+
+@query("b7_b8_page_texts")
+def b7_b8_page_texts(spark, d):
+    out = ht.outlines(view(spark, d, "pages").select("page_id", "html"), ["page_id"])
+    return out.select("page_id", "skipped", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("a4_page_chapters")
+def a4_page_chapters(spark, d):
+    """Pages as the documents of books: sections, cleaned, numbered and counted."""
+    rows = ht.sections(view(spark, d, "pages").select("page_id", "html"), ["page_id"])
+    raw = rows.select(F.concat(F.lit("book"), F.col("page_id") % 7).alias("book_id"), (F.col("page_id") * 100 + F.col("section")).alias("ord"), "title", "text")
+    return ch.chapters(raw, min_words=50).select("book_id", "number", "title", "word_count")
+
+
+@query("e5_spine_join", "SELECT CAST(p.page_id % 7 AS INT) AS book, CAST(row_number() OVER (PARTITION BY p.page_id % 7 ORDER BY p.page_id) AS INT) AS ord, p.url FROM {pages} p JOIN (SELECT DISTINCT page_id FROM {pages} WHERE page_id % 5 <> 0) m ON m.page_id = p.page_id")
+def e5_spine_join(spark, d):
+    from pyspark.sql import Window
+
+    pages = view(spark, d, "pages").select("page_id", "url")
+    spine = pages.where("page_id % 5 <> 0").select("page_id").distinct()
+    book = (F.col("page_id") % 7).cast("int")
+    return pages.join(spine, "page_id").select(book.alias("book"), F.row_number().over(Window.partitionBy(F.col("page_id") % 7).orderBy("page_id")).alias("ord"), "url")

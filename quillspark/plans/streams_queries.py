@@ -1 +1,54 @@
-"""Queries."""
+"""Queries over events as they are, with the functions that streams use; streams themselves are in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import events as ev
+from .registry import query
+from .views import view
+
+
+def events(spark, d):
+    return view(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("l4_progress", "SELECT event_type, user_id % 5 AS project, count(*) AS n_events, max(ts) AS last_ts, round(sum(value), 6) AS total FROM {events} GROUP BY 1, 2")
+def l4_progress(spark, d):
+    rows = view(spark, d, "events").withColumn("project", F.col("user_id") % 5)
+    return ev.progress(rows, ["event_type", "project"])
+
+
+@query("l4_windows", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_events, round(avg(value), 9) AS mean_value FROM {events} GROUP BY 1, 2")
+def l4_windows(spark, d):
+    out = ev.windowed(events(spark, d), "1 day", "1 day", ["event_type"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "l10_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS starts FROM {events}), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k""",
+)
+def l10_sessions(spark, d):
+    out = ev.sessions(events(spark, d), "2 hours", "1 day", ["user_id"])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("l2_replay", "SELECT DISTINCT event_id, event_type FROM {events}")
+def l2_replay(spark, d):
+    rows = view(spark, d, "events").select("event_id", "event_type", "ts")
+    return ev.replayed(rows.where("event_id < 700"), rows.where("event_id >= 400"), "event_id").select("event_id", "event_type")
+
+
+@query("l6_messages", "SELECT event_type AS type, user_id, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1, 2")
+def l6_messages(spark, d):
+    body = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("chapter")))
+    out = ev.messages(view(spark, d, "events").select(body.alias("value")))
+    return out.groupBy("type", F.col("chapter").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l7_tokens", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM {conversations} GROUP BY 1")
+def l7_tokens(spark, d):
+    out = ev.tokens(view(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), "text"), ["conv_id"])
+    return out.select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_chars").cast("long").alias("n_chars"))
