@@ -16,7 +16,10 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_projection_forest": projection_forest.OP4_SQL,
+    "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }

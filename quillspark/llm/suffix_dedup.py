@@ -243,3 +243,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP1_SQL = """
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(len(x) // 2 - 199)) AS p FROM x WHERE len(x) >= 400),
+w AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 400)) AS h FROM p),
+d AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM d),
+r AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+s AS (SELECT doc_id, k, min(p) AS s, max(p) + 200 AS e FROM r GROUP BY doc_id, k),
+t AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM s GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1),
+lambda i: substr(x, 2 * CASE WHEN i = 0 THEN 0 ELSE es[i] END + 1, 2 * (CASE WHEN i = n_spans THEN len(x) // 2 ELSE ss[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE es[i] END))), '') END)) AS kept_sha256
+FROM x LEFT JOIN t USING (doc_id)
+"""
