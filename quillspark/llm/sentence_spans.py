@@ -21,9 +21,27 @@ from ..runtime import null_safe, release, staged
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?![\s.!?]|\Z))*(?:[.!?]+(?:\s+|\Z)|\n\s*|\Z)")
 
 
+#: A sentence of more words than LONG is cut after about one word in CUT, chosen by the word itself.
+LONG, CUT = 30, 6
+_WORD = re.compile(r"\s*\S+\s*")
+
+
+def _pieces(sentence: str) -> list[str]:
+    """Parts of an overlong sentence; equal runs of words are cut alike wherever they stand."""
+    words = _WORD.findall(sentence)
+    out, now = [], []
+    for w in words:
+        now.append(w)
+        if xxhash.xxh32_intdigest(w.strip().lower()) % CUT == 0:
+            out.append("".join(now))
+            now = []
+    return [*out, "".join(now)] if now else out
+
+
 def sentences(text: str) -> list[str]:
-    """Cut ``text`` into sentences; joined they are the text."""
-    return [m for m in _SENTENCE.findall(text) if m]
+    """Cut ``text`` into sentences, overlong ones into parts; joined they are the text."""
+    found = [m for m in _SENTENCE.findall(text) if m]
+    return [p for m in found for p in (_pieces(m) if m.count(" ") >= LONG and len(m.split()) > LONG else [m])]
 
 
 def _key(sentence: str) -> bytes:
@@ -74,7 +92,8 @@ def _drop(batches):
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 10) -> DataFrame:
     """Remove sentences covered by a span that occurred before.
 
-    Sentences are compared lower-cased with blanks folded; blank ones are no sentences of a span but go with
+    A sentence of more than 30 words is cut into parts by its own words, so that a passage without marks is
+    found inside another sentence. Sentences are compared lower-cased with blanks folded; blank ones are no sentences of a span but go with
     a span around them. A span is ``span`` consecutive sentences of together at least ``min_words`` words, or
     one sentence that has as many by itself. "Before" is by id (null first), then hash of the text, then
     place in the text. Returns ``(id, text, n_sentences, n_removed, n_spans)`` with a row for each input row.

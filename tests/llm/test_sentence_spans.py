@@ -47,6 +47,15 @@ def test_sentences_hold_the_whole_text():
     assert sentences("A b. C 3.14 d!? E\nF") == ["A b. ", "C 3.14 d!? ", "E\n", "F"]
 
 
+def test_passage_without_marks_is_found(spark):
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("w%d" % rnd.randrange(5000) for _ in range(n))
+    passage = prose(60)
+    docs = [(i, prose(40) + " " + passage + " " + prose(40)) for i in range(12)]
+    got = {r.doc_id: len(r.text.split()) for r in drop_repeated_spans(spark.createDataFrame([(d, t, 0) for d, t in docs], SCHEMA)).collect()}
+    assert got[0] == 140 and all(80 <= got[i] < 115 for i in range(1, 12))
+
+
 def test_odd_tables(spark):
     text = "one two three four five six seven eight nine ten eleven. "
     df = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0), (None, None, 0)], SCHEMA)
