@@ -99,3 +99,24 @@ def bands(value: Column | str, limits: list[tuple[float, str]], above: str) -> C
     for limit, name in reversed(limits):
         out = F.when(v < limit, name).otherwise(out)
     return F.when(v.isNotNull(), out)
+
+
+def retry_rounds(requested: DataFrame, attempts: DataFrame, most: int = 3) -> DataFrame:
+    """The attempts that a run makes: the first of every line, then further ones of what still fails.
+
+    ``attempts(line_id, attempt, status, ...)`` holds what each attempt would give, one row each. Every round
+    works on the lines that failed in the one before, and its result is written before the next.
+    """
+    from ..runtime import staged
+
+    todo, rounds = requested.select("line_id").distinct(), []
+    for n in range(1, most + 1):
+        done = staged(todo.join(attempts.where(F.col("attempt") == n), "line_id"), "round")
+        rounds.append(done)
+        todo = done.where("status = 'fail'").select("line_id")
+        if not todo.head(1):
+            break
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out

@@ -132,3 +132,12 @@ def context_window(lines: DataFrame, around: int = 5) -> DataFrame:
     """Each line with the texts of the lines around it."""
     w = Window.partitionBy("book_id", "chapter_number").orderBy("line_ord").rowsBetween(-around, around)
     return lines.select("book_id", "chapter_number", "line_ord", F.array_join(F.collect_list("text").over(w), "\n").alias("context"))
+
+
+def packed_segments(lines: DataFrame, keys: list[str], most: int = 4, least_words: int = 3) -> DataFrame:
+    """Segments of up to ``most`` fragments ``(keys, idx, fragment)``; one of too few words joins the one before."""
+    rows = lines.withColumn("segment", F.floor(F.col("idx") / most).cast("int")).withColumn("_w", tx.word_count("fragment"))
+    words = F.sum("_w").over(Window.partitionBy(*keys, "segment"))
+    rows = rows.withColumn("segment", F.when((words < least_words) & (F.col("segment") > 0), F.col("segment") - 1).otherwise(F.col("segment")))
+    out = rows.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct("idx", "fragment"))).alias("r"), F.sum("_w").cast("long").alias("n_words"))
+    return out.select(*keys, "segment", F.size("r").cast("long").alias("n_fragments"), "n_words", F.array_join(F.transform("r", lambda x: x["fragment"]), " ").alias("text"))

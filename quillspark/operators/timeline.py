@@ -39,3 +39,18 @@ def segment_timeline(lines: DataFrame, keys: list[str], lead_ms: int = 1000, fad
 
 def estimates(books: DataFrame, words_per_minute: float = 150.0) -> DataFrame:
     return books.withColumn("estimated_audio_hours", F.round(F.col("total_words") / words_per_minute / 60, 6))
+
+
+def export_lists(chapters: DataFrame, durations: DataFrame) -> DataFrame:
+    """What an encoder is told for each book: the files to join, and the chapter marks.
+
+    ``chapters(book_id, number, title, path)`` without a duration last 0.
+    """
+    rows = chapters.join(durations, ["book_id", "number"], "left")
+    marks = chapter_markers(rows.select("book_id", "number", "seconds"))
+    rows = rows.join(marks, ["book_id", "number"])
+    mark = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), "start_ms", F.lit("\nEND="), "end_ms", F.lit("\ntitle="), "title", F.lit("\n"))
+    listed = F.concat(F.lit("file '"), tx.escape_concat_path("path"), F.lit("'"))
+    out = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("number", listed.alias("file"), mark.alias("mark")))).alias("r"))
+    joined = lambda k, sep: F.array_join(F.transform("r", lambda x: x[k]), sep)
+    return out.select("book_id", joined("file", "\n").alias("files"), F.concat(F.lit(";FFMETADATA1\n\n"), joined("mark", "\n")).alias("metadata"))

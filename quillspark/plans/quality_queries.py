@@ -170,3 +170,26 @@ def g9_segment_timeline(spark, d):
 def doc_p10_estimates(spark, d):
     words = view(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(F.sum(tx.word_count("text")).alias("total_words"))
     return tl.estimates(words)
+
+
+@query(
+    "m8_retry_rounds",
+    """WITH a AS (SELECT concat(project_id, line_id) AS line_id, attempt, status FROM {quality_logs}), f AS (SELECT line_id, min(attempt) AS ok FROM a WHERE status <> 'fail' GROUP BY 1)
+SELECT a.line_id, a.attempt, a.status FROM a LEFT JOIN f ON f.line_id = a.line_id WHERE a.attempt <= 3 AND a.attempt <= coalesce(f.ok, 3)""",
+)
+def m8_retry_rounds(spark, d):
+    attempts = view(spark, d, "quality_logs").select(F.concat("project_id", "line_id").alias("line_id"), "attempt", "status")
+    return ql.retry_rounds(attempts, attempts)
+
+
+@query(
+    "a14_export_lists",
+    """WITH m AS (SELECT book_id, number, ms, CAST(sum(ms) OVER (PARTITION BY book_id ORDER BY number) AS BIGINT) AS e FROM (SELECT book_id, number, CAST(CASE WHEN number % 9 = 0 THEN 0 ELSE floor(seconds * 1000) END AS BIGINT) AS ms FROM {chapter_durations}))
+SELECT book_id, md5(string_agg(concat('file ''/a/it''\\''''s ', number, '.wav'''), chr(10) ORDER BY number)) AS files,
+md5(concat(';FFMETADATA1', chr(10), chr(10), string_agg(concat('[CHAPTER]', chr(10), 'TIMEBASE=1/1000', chr(10), 'START=', e - ms, chr(10), 'END=', e, chr(10), 'title=T', number, chr(10)), chr(10) ORDER BY number))) AS metadata FROM m GROUP BY book_id""",
+)
+def a14_export_lists(spark, d):
+    rows = view(spark, d, "chapter_durations")
+    chapters = rows.select("book_id", "number", F.concat(F.lit("T"), "number").alias("title"), F.concat(F.lit("\\a\\it's "), "number", F.lit(".wav")).alias("path"))
+    out = tl.export_lists(chapters, rows.where("number % 9 <> 0"))
+    return out.select("book_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("files", "metadata")])

@@ -239,3 +239,31 @@ def i4_dictionary_overlay(spark, d):
     b = view(spark, d, "benchmark")
     part = lambda c, p: b.where(c).groupBy(F.substring("text", 1, 4).alias("word")).agg(F.min(F.concat(F.lit(p), "item_id")).alias("replacement"))
     return stt.overlaid(part("item_id % 3 > 0", "g"), part("item_id % 3 < 2", "p"))
+
+
+@query(
+    "doc_p9_packed_segments",
+    f"""WITH {FRAGMENTS}, w AS (SELECT *, idx // 4 AS g, len(list_filter(regexp_split_to_array(fragment, '\\s+'), lambda x: x <> '')) AS n FROM frag), t AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn, g) AS s FROM w),
+mm AS (SELECT *, CASE WHEN s < 3 AND g > 0 THEN g - 1 ELSE g END AS segment FROM t)
+SELECT conv_id, turn, CAST(segment AS INT) AS segment, count(*) AS n_fragments, CAST(sum(n) AS BIGINT) AS n_words, md5(string_agg(fragment, ' ' ORDER BY idx)) AS digest FROM mm GROUP BY conv_id, turn, segment""",
+)
+def doc_p9_packed_segments(spark, d):
+    out = sc.packed_segments(sc.fragment_lines(sql(spark, d, DIALOGUE), ["conv_id", "turn"]), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "segment", "n_fragments", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_EXPAND = "regexp_replace(regexp_replace({0}, '(?i)\\bthe\\b', 'a thee', 'g'), '(?i)\\bx\\b', '', 'g')"
+
+
+@query(
+    "doc_p3_p4_expanded_wer",
+    f"""WITH e AS (SELECT conv_id, turn, {_EXPAND.format('ref')} AS ref, {_EXPAND.format('hyp')} AS hyp FROM {{ref_hyp}} WHERE length(ref) = strlen(ref)),
+w AS (SELECT conv_id, turn, list_filter(string_split({_NORM.format('ref')}, ' '), lambda x: x <> '') AS r, list_filter(string_split({_NORM.format('hyp')}, ' '), lambda x: x <> '') AS h FROM e),
+k AS (SELECT conv_id, turn, len(r) AS n, list_reduce(range(1, len(r) + 1), lambda prev, i: list_reduce(range(1, len(h) + 1), lambda cur, j: list_append(cur, least(prev[j + 1] + 1, cur[j] + 1, prev[j] + CASE WHEN h[j] = r[i] THEN 0 ELSE 1 END)), [prev[1] + 1]), range(0, len(h) + 1))[-1] AS k FROM w WHERE len(r) > 0)
+SELECT conv_id, turn, round(least(1.0, k / n), 9) AS wer FROM k UNION ALL SELECT conv_id, turn, 1.0 FROM w WHERE len(r) = 0""",
+)
+def doc_p3_p4_expanded_wer(spark, d):
+    """Dictionary rewriting of both sides before the error rate."""
+    rows = view(spark, d, "ref_hyp").where(F.length("ref") == F.octet_length("ref"))
+    side = lambda c: tx.word_list(tx.normalized_for_wer(tx.rewrite_words(c, [("the", "a thee"), ("x", "")])))
+    return rows.select("conv_id", "turn", side("ref").alias("r"), side("hyp").alias("h")).select("conv_id", "turn", F.round(tx.word_error_rate(F.col("r"), F.col("h")), 9).alias("wer"))
