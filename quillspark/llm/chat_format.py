@@ -74,7 +74,7 @@ def best_paths(messages: DataFrame) -> DataFrame:
     cur = staged(cur, "jump")
     rows, jumps = cur.count(), [cur]
     while 2 ** (len(jumps) - 1) <= rows and cur.where("up is not null").head(1):  # a row that never ends is on a cycle
-        a, b = cur.alias("a"), cur.alias("b")
+        a, b = cur.where("up is not null").alias("a"), cur.alias("b")  # the others have arrived
         far = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
         cur = far.select(
             "a.tree",
@@ -84,7 +84,7 @@ def best_paths(messages: DataFrame) -> DataFrame:
             (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
             (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
         )
-        cur = staged(cur, "jump")
+        cur = staged(cur.union(jumps[-1].where("up is null")), "jump")
         jumps.append(cur)
     done = cur.where("up is null").select("tree", "node", "depth", "score", "root")
     inner = staged(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct(), "inner")
