@@ -124,7 +124,7 @@ def _compare(dim: int, threshold: float):
 
 
 def near_vectors(
-    rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, trees: int = 6, leaf: int = 400, spill: float = 0.06, block: int = 1024, fit_rows: int = 4096
+    rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, trees: int = 5, leaf: int = 800, spill: float = 0.03, block: int = 1024, fit_rows: int = 4096
 ) -> DataFrame:
     """Link vectors of equal label whose cosine is at least ``threshold``, as far as they share a leaf.
 
@@ -132,7 +132,8 @@ def near_vectors(
     non-finite components or another number of components than the commonest, and rows with a null label or
     id, link with nothing; such a row has itself as component. Equal vectors always link; rows that repeat an
     id count as further copies. An empty table gives an empty table; other columns are ignored. ``leaf`` is
-    the number of classes per leaf aimed at and sets the depth; more ``trees`` and ``spill`` raise recall.
+    the number of classes aimed at in a leaf of the commonest label and sets the depth; more ``trees`` and
+    ``spill`` raise recall.
     """
     spark = rows.sparkSession
     t = rows.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
@@ -144,7 +145,7 @@ def near_vectors(
     t = t.withColumn("good", good & (F.size("v") == dim))
     classes = t.where("good").groupBy("label", "v").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes, "classes")
-    n = classes.count()
+    n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("v").toPandas()["v"]
     x = np.stack(sample.to_list()) if n else np.zeros((0, max(dim, 1)))
@@ -174,3 +175,14 @@ def near_vectors(
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, coalesce(k.n, 0)::bigint AS n_links, least(e.vec_id, coalesce(m.m, e.vec_id)) AS component_id, coalesce(m.m, e.vec_id) >= e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = e.vec_id
+"""
