@@ -10,6 +10,7 @@ from ..operators import registry as rg
 from ..operators import script as sc
 from ..operators import state as stt
 from .registry import query
+from .text_queries import whole_words
 from .views import query as sql
 from .views import view
 
@@ -252,18 +253,18 @@ def doc_p9_packed_segments(spark, d):
     return out.select("conv_id", "turn", "segment", "n_fragments", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_EXPAND = "regexp_replace(regexp_replace({0}, '(?i)\\bthe\\b', 'a thee', 'g'), '(?i)\\bx\\b', '', 'g')"
+_EXPAND = whole_words(whole_words("{0}", "the", "a thee"), "x", "")
 
 
 @query(
     "doc_p3_p4_expanded_wer",
-    f"""WITH e AS (SELECT conv_id, turn, {_EXPAND.format('ref')} AS ref, {_EXPAND.format('hyp')} AS hyp FROM {{ref_hyp}} WHERE length(ref) = strlen(ref)),
+    f"""WITH e AS (SELECT conv_id, turn, {_EXPAND.replace('{0}', 'ref')} AS ref, {_EXPAND.replace('{0}', 'hyp')} AS hyp FROM {{ref_hyp}}),
 w AS (SELECT conv_id, turn, list_filter(string_split({_NORM.format('ref')}, ' '), lambda x: x <> '') AS r, list_filter(string_split({_NORM.format('hyp')}, ' '), lambda x: x <> '') AS h FROM e),
 k AS (SELECT conv_id, turn, len(r) AS n, list_reduce(range(1, len(r) + 1), lambda prev, i: list_reduce(range(1, len(h) + 1), lambda cur, j: list_append(cur, least(prev[j + 1] + 1, cur[j] + 1, prev[j] + CASE WHEN h[j] = r[i] THEN 0 ELSE 1 END)), [prev[1] + 1]), range(0, len(h) + 1))[-1] AS k FROM w WHERE len(r) > 0)
 SELECT conv_id, turn, round(least(1.0, k / n), 9) AS wer FROM k UNION ALL SELECT conv_id, turn, 1.0 FROM w WHERE len(r) = 0""",
 )
 def doc_p3_p4_expanded_wer(spark, d):
     """Dictionary rewriting of both sides before the error rate."""
-    rows = view(spark, d, "ref_hyp").where(F.length("ref") == F.octet_length("ref"))
+    rows = view(spark, d, "ref_hyp")
     side = lambda c: tx.word_list(tx.normalized_for_wer(tx.rewrite_words(c, [("the", "a thee"), ("x", "")])))
     return rows.select("conv_id", "turn", side("ref").alias("r"), side("hyp").alias("h")).select("conv_id", "turn", F.round(tx.word_error_rate(F.col("r"), F.col("h")), 9).alias("wer"))
