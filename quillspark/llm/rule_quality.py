@@ -178,7 +178,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
     stats = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), text_statistics(F.col(text_col)).alias("_stats"))
     stats = staged(stats, "statistics")
-    sample = stats.join(known, "_id").select("_stats.*", "_y", F.xxhash64("_id").alias("_o")).orderBy("_o", "_y", *STATISTICS).limit(fit_rows).toPandas()
+    labelled = staged(stats.join(known, "_id").select("_stats.*", "_y", F.xxhash64("_id").alias("_o")), "labelled")
+    share = 1.2 * fit_rows / max(1, labelled.count())
+    if share < 1:  # so that tasks don't each send as many rows as the bound allows in all
+        labelled = labelled.where(F.pmod("_o", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = labelled.orderBy("_o", "_y", *STATISTICS).limit(fit_rows).toPandas()
     rules, weights, intercept = fit_rules(sample[STATISTICS].to_numpy(float), (sample["_y"] == 1).to_numpy(float))
     return compile_rules(rules, weights, intercept, "_stats")
 
