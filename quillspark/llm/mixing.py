@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from ..runtime import gapless_rank, staged
 
 
+#: The period of a mixture is planned as one row, and read by every task: so many sources at most.
+MOST_SOURCES = 4096
+
+
 def _period(sources: DataFrame) -> DataFrame:
     """``(key, share)`` -> ``(key, share, period, nth, at)``: the slot of each block of one period."""
     row = sources.agg(F.array_sort(F.collect_list(F.struct("key", "share"))).alias("s")).where(F.size("s") > 0)
@@ -43,14 +47,17 @@ def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "sourc
     their own); sources not named have ``default_share``. Null ids sort as the empty string. An empty table
     gives an empty table; all columns are kept.
     """
-    assert default_share > 0 and all(int(v) == v and v > 0 for v in shares.values())
+    if default_share < 1 or any(int(v) != v or v < 1 for v in shares.values()):
+        raise ValueError("shares are whole numbers above 0")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     share: Column = F.lit(default_share)
     for name, value in shares.items():
         share = F.when(F.col("key") == ("" if name is None else f"s{name}"), value).otherwise(share)
     md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = docs.withColumns({"_key": key, "_md5": md5, "_b1": F.substring(md5, 1, 2), "_b2": F.substring(md5, 3, 2)})
-    sources = keyed.select(F.col("_key").alias("key")).distinct().withColumn("share", share.cast("long"))
+    sources = staged(keyed.select(F.col("_key").alias("key")).distinct().withColumn("share", share.cast("long")), "sources")
+    if sources.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
     plan = staged(_period(sources), "period")
     ranked = gapless_rank(keyed, "_key", ["_b1", "_b2"], [F.col("_md5")], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
     some = plan.select(F.col("key").alias("_key"), F.col("share").alias("_share"), "period").distinct()

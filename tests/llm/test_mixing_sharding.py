@@ -65,3 +65,13 @@ def test_cells_join_level_by_level(spark):
     groups = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 97 + 1).alias("load"))
     got = assign_groups(groups, 4, cell_rows=100, fan_in=5).join(groups, "key").groupBy("shard").agg(F.sum("load").alias("n")).collect()
     assert len(got) == 4 and max(r.n for r in got) - min(r.n for r in got) <= 10
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    import pytest
+
+    from quillspark.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mix(spark.range(3).selectExpr("id as doc_id", "cast(id as string) as source"), {})
