@@ -3,9 +3,10 @@
 Sets are sorted arrays of 64-bit shingle hashes. Sizes fall into bands such that linked sets lie in the
 same or in neighbouring bands; a pair is judged in the band of the larger set, and a set visits its own
 band and the next. Within a band, linked sets differ in at most H elements, so when the hash range is cut
-into H + 2 parts at least two parts of both sets are equal. A tile is (band, part, content of the part):
-every linked pair shares a tile whose part isn't empty (a set with two or more empty parts also visits the
-tiles of those). Tiles are therefore exact, need no corpus-wide frequencies, and unrelated sets rarely meet.
+into H + 1 + E parts at least E + 1 parts of both sets are equal. A tile is (band, part, content of the
+part): every linked pair shares a tile whose part isn't empty (a set with more than E empty parts also visits
+the tiles of those; E follows from the sizes of the band, so that such sets are rare at any threshold). Tiles
+are therefore exact, need no corpus-wide frequencies, and unrelated sets rarely meet.
 
 Candidates from the tiles pass a size bound, then a bitmap bound: each set has a hashed bitmap, and every
 bit set in one bitmap but not in the other is an element that isn't shared, which bounds the overlap from
@@ -21,6 +22,8 @@ the task.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -74,6 +77,16 @@ def bands(num: int, den: int, top: int = 1 << 40) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _spare(least: int, most: int) -> int:
+    """E of a band whose sets hold ``least`` elements or more: above it by three deviations lies what chance leaves empty."""
+    for spare in range(1, most + 1):
+        empty = (most + 1 + spare) * np.exp(-least / (most + 1 + spare))
+        if empty + 3 * np.sqrt(empty) <= spare:
+            return spare
+    return most + 1
+
+
 def tiles(s: np.ndarray, starts: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the tiles that the set ``s`` visits."""
     k0 = int(np.searchsorted(starts, len(s), "right")) - 1
@@ -86,12 +99,13 @@ def tiles(s: np.ndarray, starts: np.ndarray, num: int, den: int) -> np.ndarray:
             most = 2 * (int(starts[k + 1]) - 1) * (den - num) // (den + num)
             if not most:
                 continue  # only equal sets link
-            m = most + 2
+            spare = _spare(int(starts[k]) * num // den, most)
+            m = most + 1 + spare
             part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             key = np.add.reduceat(mixed, first)
             part = part[first]
-            if m - len(part) > 1:
+            if m - len(part) > spare:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part, assume_unique=True)
                 part, key = np.concatenate((part, empty)), np.concatenate((key, np.zeros(len(empty), np.uint64)))
             out.append(_mix(_mix(key + np.uint64(k)) * _A + part))

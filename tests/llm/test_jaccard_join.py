@@ -102,3 +102,26 @@ def test_large_tiles_are_compared_in_blocks(spark, monkeypatch, small, block):
         rows.append((i, " ".join(d)))
     got = jaccard_components(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(4))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+
+
+def test_any_shingle_and_percent_match_brute_force(spark):
+    rows = corpus(6)
+    sets = {d: brute_set(t, 5) for d, t in rows}
+    link = {d: [e for e in sets if sets[d] and sets[e] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])] for d in sets}
+    want = {d: d for d in sets}
+    while (new := {d: min([want[d], *(want[e] for e in link[d])]) for d in sets}) != want:
+        want = new
+    got = jaccard_components(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(4), shingle=5, percent=80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {d: (len(sets[d]), want[d]) for d in sets}
+
+
+def test_few_sets_visit_the_tiles_of_empty_parts():
+    import numpy as np
+
+    for percent in (80, 90):
+        starts, rnd, own = np.array(bands(percent, 100)), np.random.default_rng(5), []
+        for n in range(20, 600, 3):
+            x = [np.unique(np.frombuffer(rnd.bytes(8 * n), np.uint64)) for _ in range(4)]
+            own += [tiles(s, starts, percent, 100) for s in x]
+        keys, times = np.unique(np.concatenate(own), return_counts=True)
+        assert (times > 1).sum() < len(keys) / 100

@@ -58,3 +58,36 @@ def test_odd_rows_pass_every_stage(spark, name, stage):
     assert len(rows) == (5 if name == "n-gram Jaccard join" else 6)
     assert name == "sharding" or out.columns == docs.columns
     assert stage(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(400)]
+    cases = []
+    for base, copy in [
+        (words[:100], [*words[:30], "x", *words[31:60], "y", *words[61:100]]),  # two words changed: 86 of 106
+        (words[100:200], [*words[100:200], *(f"f{i}" for i in range(20))]),  # a footer: 96 of 116
+        (words[200:300], [*words[200:220], "x", *words[221:240], "y", *words[241:260], "z", *words[261:300]]),  # three words changed: 81 of 111
+    ]:
+        cases += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(cases)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()) == [0, 2, 4, 5]
+
+
+def test_rows_match_brute_force_at_five_words(spark, monkeypatch):
+    from .test_jaccard_join import brute_set
+
+    seen = {}
+    monkeypatch.setattr(rule_quality, "fit_rules", lambda *a, f=rule_quality.fit_rules: seen.setdefault("model", f(*a)))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
+    rules, weights, b = seen["model"]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    stats = {d: rule_quality.statistics(t) for d, t in docs}
+    kept = [(d, t) for d, t in docs if b + sum(w for r, w in zip(rules, weights) if all((stats[d][j] <= c) == m for j, m, c in r)) >= 0]
+    sets = {d: brute_set(t, 5) for d, t in kept}
+    link = {d: [e for e in sets if sets[d] and sets[e] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])] for d in sets}
+    first = {d: d for d in sets}
+    while (new := {d: min([first[d], *(first[e] for e in link[d])]) for d in sets}) != first:
+        first = new
+    kept = [(d, t) for d, t in kept if first[d] == d]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    assert got == {d for (d, _), c in zip(kept, contaminated(kept, bench)) if not c[1]}
