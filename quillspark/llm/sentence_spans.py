@@ -1,6 +1,6 @@
 """Operator 7, substring dedup by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed and the hashes are joined globally; the first span of
+Every run of ``span`` consecutive sentences (extended until it holds enough words) is hashed and the hashes are joined globally; the first span of
 each hash, by (id, sentence), stays, and every sentence that lies in a later one goes. Only hashes that occur
 twice go through the join, as a staged table, so that a very frequent passage can be split between tasks.
 """
@@ -26,38 +26,57 @@ LONG, CUT = 30, 6
 _WORD = re.compile(r"\s*\S+\s*")
 
 
+class _Ends(dict):
+    """Whether a piece ends after a word; emptied when it gets large, which changes no answer."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        end = self[word] = xxhash.xxh32_intdigest(word) % CUT == 0
+        return end
+
+
+_ends = _Ends()
+
+
 def _pieces(sentence: str) -> list[str]:
     """Parts of an overlong sentence; equal runs of words are cut alike wherever they stand."""
     words = _WORD.findall(sentence)
     out, now = [], []
     for w in words:
         now.append(w)
-        if xxhash.xxh32_intdigest(w.strip().lower()) % CUT == 0:
+        if _ends[w.strip().lower()]:
             out.append("".join(now))
             now = []
     return [*out, "".join(now)] if now else out
 
 
-def sentences(text: str) -> list[str]:
-    """Cut ``text`` into sentences, overlong ones into parts; joined they are the text."""
+def sentences(text: str, long: int = LONG) -> list[str]:
+    """Cut ``text`` into sentences, those of more than ``long`` words into parts; joined they are the text."""
     found = [m for m in _SENTENCE.findall(text) if m]
-    return [p for m in found for p in (_pieces(m) if m.count(" ") >= LONG and len(m.split()) > LONG else [m])]
+    if not long:
+        return [p for m in found for p in (_pieces(m) or [m])]
+    return [p for m in found for p in (_pieces(m) if m.count(" ") >= long and len(m.split()) > long else [m])]
 
 
 def _key(sentence: str) -> bytes:
     return " ".join(sentence.lower().split()).encode()
 
 
-def _spans(span: int, min_words: int):
+def _spans(span: int, min_words: int, long: int, extend: bool):
     def run(batches):
         for batch in batches:
             rows, at, size, keys = [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                own = [(j, k, k.count(b" ") + 1) for j, k in enumerate(map(_key, sentences(text.as_py() or ""))) if k]
+                own = [(j, k, k.count(b" ") + 1) for j, k in enumerate(map(_key, sentences(text.as_py() or "", long))) if k]
+                upto = np.concatenate(([0], np.cumsum([w for _, _, w in own], dtype=np.int64)))
+                enough = np.searchsorted(upto, upto[:-1] + min_words).tolist()  # a run from n must end here or later
                 for n in range(len(own)):
-                    run_ = own[n : n + span]
-                    words = sum(w for _, _, w in run_)
-                    if len(run_) == span and words >= min_words:
+                    end = n + span
+                    if enough[n] > end and extend:
+                        end = enough[n]
+                    run_ = own[n:end]
+                    if end <= len(own) and enough[n] <= end:
                         rows.append(i)
                         at.append(own[n][0])
                         size.append(run_[-1][0] - own[n][0] + 1)
@@ -74,28 +93,33 @@ def _spans(span: int, min_words: int):
     return run
 
 
-def _drop(batches):
-    for batch in batches:
-        texts, total, gone, runs = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            own = sentences(text or "")
-            hit = np.zeros(len(own) + 1, bool)
-            for s in spans or ():
-                hit[s["at"] : s["at"] + s["n"]] = True
-            texts.append(None if text is None else "".join(t for t, x in zip(own, hit) if not x))
-            total.append(len(own))
-            gone.append(int(hit.sum()))
-            runs.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, gone, runs))], names=["_id", "text", "n_sentences", "n_removed", "n_spans"])
+def _drop(long: int):
+    def run(batches):
+        for batch in batches:
+            texts, total, gone, runs = [], [], [], []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = sentences(text or "", long)
+                hit = np.zeros(len(own) + 1, bool)
+                for s in spans or ():
+                    hit[s["at"] : s["at"] + s["n"]] = True
+                texts.append(None if text is None else "".join(t for t, x in zip(own, hit) if not x))
+                total.append(len(own))
+                gone.append(int(hit.sum()))
+                runs.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, gone, runs))], names=["_id", "text", "n_sentences", "n_removed", "n_spans"])
+
+    return run
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 10) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 10, long: int = LONG, extend: bool = False) -> DataFrame:
     """Remove sentences covered by a span that occurred before.
 
-    A sentence of more than 30 words is cut into parts by its own words, so that a passage without marks is
-    found inside another sentence. Sentences are compared lower-cased with blanks folded; blank ones are no sentences of a span but go with
+    A sentence of more than ``long`` words is cut into parts by its own words, so that a passage without marks is
+    found inside another sentence; with 0 every sentence is, so that the same words are cut alike wherever they
+    stand. Sentences are compared lower-cased with blanks folded; blank ones are no sentences of a span but go with
     a span around them. A span is ``span`` consecutive sentences of together at least ``min_words`` words, or
-    one sentence that has as many by itself. "Before" is by id (null first), then hash of the text, then
+    one sentence that has as many by itself; with ``extend`` a run of fewer words goes on until it has as many,
+    so that passages of short lines are found. "Before" is by id (null first), then hash of the text, then
     place in the text. Returns ``(id, text, n_sentences, n_removed, n_spans)`` with a row for each input row.
     Null text stays null and empty text empty, without sentences; a text of fewer sentences has no span.
     Rows that repeat both id and text count as one place, so that they keep or lose the same sentences. An
@@ -103,7 +127,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
-    spans = staged(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words), f"_id {kind}, _h long, at int, n int, k1 long, k2 long"), "spans")
+    spans = staged(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words, long, extend), f"_id {kind}, _h long, at int, n int, k1 long, k2 long"), "spans")
     place = F.struct(F.col("_id").isNotNull().alias("x"), "_id", "_h", "at")
     first = spans.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k1", "k2", "first")
     later = spans.join(staged(first, "first"), ["k1", "k2"]).where(place != F.col("first"))
@@ -111,8 +135,8 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     later = staged(later, "later")
     release(spans)
     out = key.join(later, null_safe(key, later, "_id", "_h"), "left").select(key["_id"], "_t", "spans")
-    return out.mapInArrow(_drop, f"_id {kind}, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("_id", id_col)
+    return out.mapInArrow(_drop(long), f"_id {kind}, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("_id", id_col)
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), long=0, extend=True)

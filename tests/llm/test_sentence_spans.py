@@ -61,3 +61,19 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0), (None, None, 0)], SCHEMA)
     assert sorted((r.doc_id or 0, r.n_removed) for r in drop_repeated_spans(df).collect()) == [(0, 0), (0, 0), (1, 1), (1, 1)]
     assert drop_repeated_spans(df.where("false")).count() == 0
+
+
+def test_short_lines_and_merged_sentences_are_found(spark, monkeypatch):
+    from quillspark.llm import sentence_spans
+
+    rnd = random.Random(7)
+    prose = lambda n: " ".join("w%d" % rnd.randrange(5000) for _ in range(n))
+    verse = "\n".join(prose(1) for _ in range(60)) + "\n"
+    first, second = prose(26), prose(26)
+    docs = [prose(20) + ".\n" + verse + prose(20) + "." for _ in range(3)]
+    docs += [f"{prose(a)} {first}. {second} {prose(a)}." for a in (3, 20)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(docs)], SCHEMA)
+    monkeypatch.setattr(sentence_spans, "drop_repeated_spans", lambda _, **how: drop_repeated_spans(df, **how))
+    got = {r.doc_id: r.text or "" for r in sentence_spans.op7_sentence_spans(spark, "/root/testdata/sf0.001").collect()}
+    assert got[0] == docs[0] and got[3] == docs[3]
+    assert all(len(got[i].split()) < 50 for i in (1, 2)) and len(got[4].split()) < 80
