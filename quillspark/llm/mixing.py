@@ -1,4 +1,4 @@
-"""Operator 2, mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
+"""Operator 2, mixing sources to target weights by Pfair scheduling, in DataFrame functions (many sources: one heap over the distinct shares).
 
 Each source is a task whose weight is its share; block ``b`` (from 0) of a source with share ``a`` out of
 ``H`` may be placed from slot floor(b * H / a) on and must be placed before slot ceil((b + 1) * H / a). Slots
@@ -6,20 +6,25 @@ take the released block with the earliest deadline. On one processor with total
 deadline, so after any number of slots every source is less than one block away from its target.
 
 The schedule repeats after ``H`` slots (the sum of the integer shares), so one period is computed, as a fold
-over its slots in one row, and every block finds its slot from its number. Sources and period are as many as
-the caller's shares say; rows never meet in one place: they are ranked within their source leaf by leaf.
+over its slots in one row, and every block finds its slot from its number. With more sources or slots than a
+row should hold, sources of equal share are one task that deals its blocks to them in turn. Rows never meet in one place: they are ranked within their source leaf by leaf.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import gapless_rank, staged
 
 
-#: The period of a mixture is planned as one row, and read by every task: so many sources at most.
-MOST_SOURCES = 4096
+#: A caller may refuse mixtures of more sources than this; None: any number.
+MOST_SOURCES: int | None = None
+#: Up to so many sources and slots a period is one fold in one row; beyond, sources of equal share are pooled.
+FOLD_SOURCES, FOLD_SLOTS = 4096, 16384
 
 
 def _period(sources: DataFrame) -> DataFrame:
@@ -36,6 +41,41 @@ def _period(sources: DataFrame) -> DataFrame:
     return per.select("key", "share", "period", F.posexplode("ats").alias("nth", "at"))
 
 
+def _slots(batches):
+    """Pools (share, sources) in one row -> (share, member, nth, period, at), in order of the slots."""
+    for batch in batches:
+        for pools in batch.column(0).to_pylist():
+            h = sum(p["share"] * p["n"] for p in pools)
+            due = lambda p, b: (-(-(b + 1) * h // (p["share"] * p["n"])), p["share"])
+            waiting, ready, rows = [(0, *due(p, 0), i, 0) for i, p in enumerate(pools)], [], []
+            for t in range(h):
+                while waiting and waiting[0][0] <= t:
+                    heapq.heappush(ready, heapq.heappop(waiting)[1:])
+                _, share, i, b = heapq.heappop(ready)
+                n = pools[i]["n"]
+                rows.append((share, b % n, b // n, h, t))
+                b += 1
+                if b < share * n:
+                    heapq.heappush(waiting, (b * h // (share * n), *due(pools[i], b), i, b))
+                if len(rows) == 65536 or t == h - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["share", "member", "nth", "period", "at"])
+                    rows = []
+
+
+def _pooled_period(sources: DataFrame) -> DataFrame:
+    """As ``_period`` for many sources: those of equal share are one task, whose blocks they take in turn.
+
+    Block ``b`` of the task goes to member ``b % n`` as its block ``b div n``, and lies in that block's window.
+    """
+    pools = sources.groupBy("share").agg(F.count(F.lit(1)).alias("n"))
+    row = pools.agg(F.array_sort(F.collect_list(F.struct("share", "n"))).alias("pools"))
+    slots = staged(row.mapInArrow(_slots, "share long, member long, nth long, period long, at long"), "slots")
+    md5 = F.md5(F.col("key").cast("binary"))
+    named = sources.withColumns({"_md5": md5, "_b1": F.substring(md5, 1, 2), "_b2": F.substring(md5, 3, 2)})
+    named = gapless_rank(named, "share", ["_b1", "_b2"], [F.col("_md5")], "member")
+    return slots.join(named.select("key", "share", "member"), ["share", "member"]).select("key", "share", "period", F.col("nth").cast("int").alias("nth"), "at")
+
+
 def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "source", id_col: str = "doc_id", default_share: int = 1, block_rows: int = 64) -> DataFrame:
     """Place every row of ``docs`` in one sequence that keeps the sources to their target shares.
 
@@ -56,13 +96,16 @@ def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "sourc
     md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = docs.withColumns({"_key": key, "_md5": md5, "_b1": F.substring(md5, 1, 2), "_b2": F.substring(md5, 3, 2)})
     sources = staged(keyed.select(F.col("_key").alias("key")).distinct().withColumn("share", share.cast("long")), "sources")
-    if sources.count() > MOST_SOURCES:
+    size = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("slots")).first()
+    if MOST_SOURCES is not None and size["n"] > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-    plan = staged(_period(sources), "period")
+    few = size["n"] <= FOLD_SOURCES and (size["slots"] or 0) <= FOLD_SLOTS
+    plan = staged(_period(sources) if few else _pooled_period(sources), "period")
+    small = F.broadcast if few else lambda table: table
     ranked = gapless_rank(keyed, "_key", ["_b1", "_b2"], [F.col("_md5")], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
     some = plan.select(F.col("key").alias("_key"), F.col("share").alias("_share"), "period").distinct()
-    rows = ranked.join(F.broadcast(some), "_key").withColumn("_nth", F.expr("cast(_block % _share as int)"))
-    rows = rows.join(F.broadcast(plan.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "at")), ["_key", "_nth"])
+    rows = ranked.join(small(some), "_key").withColumn("_nth", F.expr("cast(_block % _share as int)"))
+    rows = rows.join(small(plan.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "at")), ["_key", "_nth"])
     slot = F.expr("(_block div _share) * period + at")
     return rows.withColumns(
         {

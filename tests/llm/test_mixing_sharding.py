@@ -75,3 +75,17 @@ def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError):
         mix(spark.range(3).selectExpr("id as doc_id", "cast(id as string) as source"), {})
+
+
+def test_many_sources_keep_their_windows(spark):
+    n = 5000
+    docs = spark.range(2 * n + 60).selectExpr("id as doc_id", f"if(id < {2 * n}, cast(id % {n} as string), if(id < {2 * n} + 30, 'a', null)) as source")
+    out = mix(docs, {"a": 5, None: 3}, block_rows=1).orderBy("_position").collect()
+    assert len(out) == 2 * n + 60 and len({r._position for r in out}) == len(out)
+    assert all(r._release <= r._slot < r._deadline for r in out)
+    first = [r for r in out if r._slot < n + 8]
+    assert [r._slot for r in first] == list(range(n + 8))
+    done = Counter()
+    for t, r in enumerate(first):
+        done[r.source] += 1
+        assert all(abs(done[s] - (t + 1) * a / (n + 8)) < 1 for s, a in (("a", 5), (None, 3), (r.source, {"a": 5, None: 3}.get(r.source, 1))))
