@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (local tests) a temporary folder is made and set.
+    Only where the setting is absent and driver and executors are one process (local tests) a temporary folder
+    is made and set; on a cluster the executors would each write to a disk of their own, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -45,6 +49,34 @@ def release(*tables: DataFrame) -> None:
         t._staged_at.getFileSystem(conf).delete(t._staged_at, True)
 
 
+class Tables:
+    """The staged tables of one operator, so that those which its result doesn't read go when it returns."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.held.append(staged(df, label))
+        return self.held[-1]
+
+    def hold(self, table: DataFrame) -> DataFrame:
+        """Take over a staged table that a helper returned."""
+        self.held.append(table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        release(*tables)
+        self.held = [t for t in self.held if not any(t is d for d in tables)]
+
+    def close(self, *keep: DataFrame) -> None:
+        self.drop(*(t for t in self.held if not any(t is k for k in keep)))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """An equi-join condition on ``names`` in which null meets null."""
     cond = F.lit(True)
@@ -53,22 +85,41 @@ def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
-def gapless_rank(df: DataFrame, group: str, levels: list[str], order: list[Column], out: str) -> DataFrame:
+#: Leaves of more rows than this are split further, by the whole sort key and then by place.
+LEAF_ROWS = 1_000_000
+
+
+def gapless_rank(df: DataFrame, group: str, levels: list[str], order: str, out: str, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Add ``out``: the 0-based position of each row in its ``group``, with no task holding a whole group.
 
-    ``levels`` are columns of which each splits what the one before holds, consistently with ``order``
-    (e.g. the leading characters of the sort key); they and ``group`` hold no nulls. Rows are counted per
-    leaf, leaf counts are summed level by level over a few hundred rows at a time, and only the rows of one
-    leaf are sorted together. The rows are shuffled once: the join on the leaf reuses the window's layout.
+    ``levels`` are columns of which each splits what the one before holds, consistently with the column
+    ``order`` (e.g. the leading characters of the sort key); none of these columns holds nulls, and ``df`` has
+    no columns ``_n``, ``_r``, ``_hot``, ``_tie``, ``_salt``, ``_base`` and ``_o1`` on. Rows are counted per leaf,
+    leaf counts are summed level by level over a few hundred rows at a time, and only the rows of one leaf are
+    sorted together. Rows that tie take any of their positions; a leaf of more than ``leaf_rows`` rows, such as
+    one of very many equal keys, is split by the key and ties by the place of the row in a written table.
     """
-    keys = [group, *levels]
-    sizes = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "leaves")
+    stage, keys, columns = Tables(), [group, *levels], df.columns
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "leaves")
+
+    sizes = counted(df)
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most > leaf_rows:
+        hot = sizes.where(F.col("_n") > leaf_rows).select(*keys, F.lit(True).alias("_hot"))
+        tie = F.when(F.col("_hot"), F.col(order)).otherwise(F.lit(0).cast(df.schema[order].dataType))
+        salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(most // leaf_rows + 1))).otherwise(0)
+        df = stage(df.join(hot, keys, "left").select(*columns, tie.alias("_tie"), salt.alias("_salt")), "salted")
+        keys = [*keys, "_tie", "_salt"]
+        sizes = counted(df)
     base = sizes.select(*keys)
     for depth in range(1, len(keys)):
         at = sizes.groupBy(*keys[: depth + 1]).agg(F.sum("_n").alias("_n"))
         w = Window.partitionBy(*keys[:depth]).orderBy(keys[depth]).rowsBetween(Window.unboundedPreceding, -1)
         at = at.select(*keys[: depth + 1], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_o{depth}"))
         base = base.join(at, keys[: depth + 1])
-    base = staged(base.select(*keys, sum((F.col(f"_o{d}") for d in range(1, len(keys))), F.lit(0)).alias("_base")), "rank")
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.join(base, keys).select(*df.columns, (F.col("_base") + F.col("_r") - 1).cast("long").alias(out))
+    base = stage(base.select(*keys, sum((F.col(f"_o{d}") for d in range(1, len(keys))), F.lit(0)).alias("_base")), "rank")
+    stage.close(base, df)
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.join(base, keys).select(*columns, (F.col("_base") + F.col("_r") - 1).cast("long").alias(out))
