@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import Tables
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,15 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of longs -> ``(node, comp)``: comp is the smallest node reachable.
+    """``edges(a, b)`` of longs -> a staged table ``(node, comp)``: comp is the smallest node reachable.
 
     Nodes without edges do not appear. Each round is two aggregations and two joins over at most as many
     rows as there are edges; rounds grow with the logarithm of the longest chain. The least neighbour of
-    each node is staged before it is joined, so a node with very many edges can be split.
+    each node is staged before it is joined, so a node with very many edges can be split; a round's tables
+    are deleted when the next one is written.
     """
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    stage = Tables()
+    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     before = None
     while True:
         now = _state(e)
@@ -31,11 +33,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = staged(_least(both).select("u", F.least("u", "m").alias("m")), "cc")
+        m = stage(_least(both).select("u", F.least("u", "m").alias("m")), "cc")
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "cc")
-        m = staged(_least(large), "cc")
+        large = stage(large, "cc")
+        m = stage(_least(large), "cc")
         joined = large.join(m, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
-        e = staged(small.where("u <> v").distinct(), "cc")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        e = stage(small.where("u <> v").distinct(), "cc")
+        stage.close(e)
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    out = stage(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots), "comp")
+    stage.close(out)
+    return out
+
+
+def merged_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp(node, comp)`` of staged tables after the further ``links(a, b)``: only components are joined anew."""
+    if not links.head(1):
+        return comp
+    stage = Tables()
+    x, y = (comp.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
+    short = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    more = connected_components(short)
+    top = more.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    moved = comp.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    out = stage(moved.union(more.join(comp.select("node"), "node", "left_anti")), "comp")
+    Tables().drop(more)
+    return out

@@ -26,12 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import null_safe, staged
-from .components import connected_components
+from ..runtime import Tables, null_safe
+from .components import connected_components, merged_components
 
 BITS = 1024
 #: Tiles of up to SMALL classes are compared by a join, larger ones in blocks of about BLOCK classes.
@@ -112,27 +113,110 @@ def tiles(s: np.ndarray, starts: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _signatures(n: int, num: int, den: int):
+#: A task deals out its visits to tiles whenever it holds so many.
+VISITS = 1_000_000
+_ROW = ["part", "_id", "_h", "n", "node", "bits", "tile", "ones", "firsts"]
+
+
+def _signatures(n: int, num: int, den: int, parts: int):
+    """Rows of two or three kinds, each with the partition where it goes.
+
+    A signature (_id, _h, n, node, bits) for each text; visits (tile, node) to tiles that two sets of this
+    task share; and for each partition one row of the tiles that it is to judge, packed: ``ones`` holds tiles
+    and nodes of single visits, ``firsts`` the tiles already known to be shared. Packed visits take 16 bytes
+    each, and a tile goes out once from a task however many sets there visit it.
+    """
+
     def run(batches):
         cache, starts = _Words(), np.array(bands(num, den), np.int64)
+        held, nodes, keys = 0, [], []
+
+        def row(count: int, **columns):
+            kinds = {"part": pa.int32(), "n": pa.int64(), "node": pa.int64(), "_h": pa.int64(), "bits": pa.list_(pa.int64()), "tile": pa.int64(), "ones": pa.binary(), "firsts": pa.binary(), "_id": kind}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(count, kinds[c]) for c in _ROW], names=_ROW)
+
+        def dealt():
+            tile = np.concatenate(keys)
+            node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+            order = np.argsort(tile, kind="stable")
+            tile, node = tile[order], node[order]
+            new = np.concatenate(([True], tile[1:] != tile[:-1]))
+            alone = new & np.concatenate((new[1:], [True]))
+            some = np.flatnonzero(~alone)
+            to = (tile.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            if len(some):
+                yield row(len(some), part=pa.array((np.arange(len(some)) % parts).astype(np.int32)), node=pa.array(node[some]), tile=pa.array(tile[some]))
+            firsts, ones = np.flatnonzero(new & ~alone), np.flatnonzero(alone)
+            firsts, ones = firsts[np.argsort(to[firsts], kind="stable")], ones[np.argsort(to[ones], kind="stable")]
+            at = np.arange(parts + 1)
+            f, o = np.searchsorted(to[firsts], at), np.searchsorted(to[ones], at)
+            used = np.flatnonzero((f[1:] > f[:-1]) | (o[1:] > o[:-1]))
+            for lo in range(0, len(used), 256):
+                now = used[lo : lo + 256]
+                ones_ = [tile[ones[o[i] : o[i + 1]]].tobytes() + node[ones[o[i] : o[i + 1]]].tobytes() for i in now]
+                yield row(len(now), part=pa.array(now.astype(np.int32)), ones=pa.array(ones_, pa.binary()), firsts=pa.array([tile[firsts[f[i] : f[i + 1]]].tobytes() for i in now], pa.binary()))
+
+        seen: set[int] = set()
         for batch in batches:
-            sizes, sets, bits, keys = [], [], [], []
+            kind, sizes, sets, bits = batch.schema.field(0).type, [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), cache, n)
                 sizes.append(len(s))
-                sets.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None)
                 bits.append(_bitmap(s))
-                keys.append(tiles(s, starts, num, den) if len(s) else np.empty(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            node = pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in sets], pa.int64())
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), node, pa.array(bits, pa.list_(pa.int64())), listed], names=["_id", "_h", "n", "node", "bits", "tiles"]
-            )
+                x = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None
+                sets.append(None if x is None else x - (1 << 64) if x >> 63 else x)
+                if x is not None and sets[-1] not in seen:
+                    seen.add(sets[-1])
+                    nodes.append(sets[-1])
+                    keys.append(tiles(s, starts, num, den))
+                    held += len(keys[-1])
+                    if held > VISITS:
+                        yield from dealt()
+                        held, nodes, keys = 0, [], []
+                        seen.clear()
+            part = pa.array((np.arange(batch.num_rows) % parts).astype(np.int32))
+            yield row(batch.num_rows, part=part, _id=batch.column(0), _h=batch.column(1), n=pa.array(sizes, pa.int64()), node=pa.array(sets, pa.int64()), bits=pa.array(bits, pa.list_(pa.int64())))
+        if held:
+            yield from dealt()
 
     return run
 
 
+def _shared(batches):
+    """Pass signatures and visits on; of the packed visits of this partition keep those to shared tiles."""
+    names = [c for c in _ROW[1:] if c not in ("ones", "firsts")]
+    tile, node, known, last = [], [], [], None
+    for batch in batches:
+        last = batch
+        plain = batch.filter(batch.column(_ROW.index("node")).is_valid())
+        nothing = batch.filter(pa.compute.and_(batch.column(_ROW.index("n")).is_valid(), batch.column(_ROW.index("node")).is_null()))
+        for rows in (plain, nothing):
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([rows.column(_ROW.index(c)) for c in names], names=names)
+        for ones, firsts in zip(batch.column(_ROW.index("ones")), batch.column(_ROW.index("firsts"))):
+            if ones.is_valid:
+                own = np.frombuffer(ones.as_buffer(), np.int64)
+                tile.append(own[: len(own) // 2].copy())
+                node.append(own[len(own) // 2 :].copy())
+                known.append(np.frombuffer(firsts.as_buffer(), np.int64).copy())
+    if not tile:
+        return
+    t, x, k = np.concatenate(tile), np.concatenate(node), np.unique(np.concatenate(known))
+    order = np.lexsort((x, t))
+    t, x = t[order], x[order]
+    new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate((new, [len(t)])))
+    several = x[new] != x[new + size - 1]
+    if len(k):
+        at = np.minimum(np.searchsorted(k, t[new]), len(k) - 1)
+        several |= k[at] == t[new]
+    keep = np.flatnonzero(np.repeat(several, size))
+    for lo in range(0, len(keep), 100_000):
+        i = keep[lo : lo + 100_000]
+        columns = {"tile": pa.array(t[i]), "node": pa.array(x[i])}
+        yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(i), last.column(_ROW.index(c)).type) for c in names], names=names)
+
+
 def _bitmap(s: np.ndarray) -> np.ndarray:
     out = np.zeros(BITS, np.uint8)
     out[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
@@ -212,54 +296,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Sets and shingles are known by 64-bit hashes. ``keep_group`` adds ``_group``, which names the component
     whatever its ids (null where there is no set).
     """
-    num, den = percent, 100
+    num, den, stage = percent, 100, Tables()
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
-    sig = staged(key.mapInArrow(_signatures(shingle, num, den), f"_id {kind}, _h long, n long, node long, bits array<long>, tiles array<long>"), "signatures")
-    members = sig.where("node is not null")
-    classes = staged(members.groupBy("node", "n").agg(F.min(F.struct("_id", "_h", "bits")).alias("m")).select("node", "n", "m._id", "m._h", "m.bits"), "classes")
-
-    visits = members.select("node", "n", F.explode("tiles").alias("tile"))
-    shared = visits.groupBy("tile").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    shared = staged(shared.select("tile"), "tiles")
-    met = staged(visits.join(shared, "tile").groupBy("tile", "node", "n").agg(F.count(F.lit(1)).alias("c")).drop("c"), "met")
-    widths = staged(met.groupBy("tile").agg(F.count(F.lit(1)).alias("width")), "widths")
-    met = staged(met.join(widths, "tile"), "met")
-    known = staged(met.groupBy("node").agg(F.sum("width").alias("known")), "known")
-    met = staged(met.join(known, "node"), "met")
-
-    taking_part = staged(met.select("node").distinct(), "part").join(classes, "node")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = f"_id {kind}, _h long, n long, node long, bits array<long>, tile long"
+    dealt = key.mapInArrow(_signatures(shingle, num, den, parts), f"part int, {row}, ones binary, firsts binary").repartitionById(parts, "part")
+    found = stage(dealt.mapInArrow(_shared, row), "signatures")
+    sig = found.where("tile is null")
+    classes = sig.where("node is not null").groupBy("node", "n").agg(F.min(F.struct("_id", "_h", "bits")).alias("m"))
+    classes = stage(classes.select("node", "n", "m._id", "m._h", "m.bits"), "classes")
+
+    visits = stage(found.where("tile is not null").select("tile", "node").distinct(), "visits")
+    widths = stage(visits.groupBy("tile").agg(F.count(F.lit(1)).alias("width")), "widths")
+    known = stage(visits.join(widths, "tile").groupBy("node").agg(F.sum("width").alias("known")).join(classes.select("node", "n"), "node"), "known")
+    met = stage(visits.join(widths, "tile").join(known, "node"), "met")
+    stage.drop(visits, widths)
+
+    taking_part = known.select("node").join(classes, "node")
     texts = key.join(taking_part, null_safe(key, taking_part, "_id", "_h")).select("node", key["_h"], F.col("_t").alias("t"))
-    texts = staged(texts, "texts")
-    alone = staged(texts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "rows")
-    if alone.head(1):  # the same id and text in several rows
-        texts = staged(texts.dropDuplicates(["node"]), "texts")
+    texts = stage(texts, "texts")
+    if texts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1):  # the same id and text in several rows
+        texts = stage(texts.dropDuplicates(["node"]), "texts")
 
     def decided(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
         y = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-        rows = pairs.join(x, "a").join(y, "b").select("a", "ta", "b", "tb")
-        return staged(rows.mapInArrow(_decide(shingle, num, den), "a long, b long"), "links")
+        near = stage(_bounded(pairs, classes, num, den), "pairs")
+        links = stage(near.join(x, "a").join(y, "b").select("a", "ta", "b", "tb").mapInArrow(_decide(shingle, num, den), "a long, b long"), "links")
+        stage.drop(pairs, near)
+        return links
 
     def led(rows: DataFrame) -> DataFrame:
         """Pairs of a class and the leader of a tile, of different components, with the tiles they share."""
         leader = rows.groupBy("tile").agg(F.max_by(F.struct("node", "comp"), F.struct("known", -F.col("node"))).alias("l"))
-        pairs = rows.join(staged(leader, "leaders"), "tile").where(F.col("comp") != F.col("l.comp"))
+        pairs = rows.join(stage(leader, "leaders"), "tile").where(F.col("comp") != F.col("l.comp"))
         return pairs.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
 
     def unsettled(comp: DataFrame) -> DataFrame:
         """Rows of the tiles that hold more than one component."""
         here = met.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("_n")
-        here = staged(here, "here")
+        here = stage(here, "here")
         several = here.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tile")
-        return staged(here.join(staged(several, "several"), "tile"), "unsettled")
+        several = stage(several, "several")
+        out = stage(here.join(several, "tile"), "unsettled")
+        stage.drop(here, several)
+        return out
 
     first = led(met.withColumn("comp", F.col("node"))).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    links = decided(staged(_bounded(staged(first, "pairs"), classes, num, den), "pairs"))
-    comp = staged(connected_components(links), "comp")
+    comp = stage.hold(connected_components(decided(stage(first, "pairs"))))
 
-    links = links.union(decided(staged(_bounded(led(unsettled(comp)).drop("c"), classes, num, den), "pairs")))
-    comp = staged(connected_components(links), "comp")
+    here = unsettled(comp)
+    comp = stage.hold(merged_components(comp, decided(stage(led(here).select("a", "b"), "pairs"))))
 
     here = unsettled(comp)
     small = here.where(F.col("width") <= SMALL)
@@ -271,12 +359,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = large.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
     large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", (F.col("mine") != F.col("pair.bi")).alias("other"))
     rest = rest.select("a", "b").union(large.groupBy("tile", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")).distinct()
-    links = links.union(decided(staged(_bounded(rest, classes, num, den), "pairs")))
-    comp = staged(connected_components(links), "comp")
+    comp = stage.hold(merged_components(comp, decided(stage(rest, "pairs"))))
 
     named = sig.select("_id", "_h", "n", "node").join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    named = staged(named.select("_id", "_h", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("comp")), "named")
-    least = staged(named.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("component_id")), "least")
+    named = stage(named.select("_id", "_h", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("comp")), "named")
+    least = stage(named.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("component_id")), "least")
+    stage.close(named, least)
     out = named.join(least, "comp", "left").select("_id", "_h", "n_shingles", F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), *(["comp"] if keep_group else []))
     return out.withColumnsRenamed({"_id": id_col, "comp": "_group"})
 

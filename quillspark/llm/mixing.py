@@ -1,82 +1,61 @@
-"""Operator 2, mixing sources to target weights by Pfair scheduling, in DataFrame functions (many sources: one heap over the distinct shares).
+"""Operator 2, mixing sources to target weights by Pfair scheduling, in DataFrame functions.
 
 Each source is a task whose weight is its share; block ``b`` (from 0) of a source with share ``a`` out of
 ``H`` may be placed from slot floor(b * H / a) on and must be placed before slot ceil((b + 1) * H / a). Slots
-take the released block with the earliest deadline. On one processor with total weight 1 this meets every
-deadline, so after any number of slots every source is less than one block away from its target.
-
-The schedule repeats after ``H`` slots (the sum of the integer shares), so one period is computed, as a fold
-over its slots in one row, and every block finds its slot from its number. With more sources or slots than a
-row should hold, sources of equal share are one task that deals its blocks to them in turn. Rows never meet in one place: they are ranked within their source leaf by leaf.
+take the released block with the earliest deadline; of equal deadlines that of the larger share goes first,
+then that of the lesser name. On one processor with total weight 1 this meets every deadline, so after any
+number of slots every source is less than one block away from its target.
+
+The schedule repeats after ``H`` slots (the sum of the integer shares). Sources of equal share have equal
+windows and take turns in the order of their names, so a pool of them is one queue and the state of the
+schedule is one number for each share that occurs. A first fold over the period keeps that state alone, at
+every few slots; from there on the pieces are planned side by side, one row each. Blocks then find their slot
+by a join on share and place in the queue. Rows never meet in one place: they are ranked within their source
+leaf by leaf.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import gapless_rank, staged
-
+from ..runtime import Tables, columns_of, gapless_rank
 
 #: A caller may refuse mixtures of more sources than this; None: any number.
 MOST_SOURCES: int | None = None
-#: Up to so many sources and slots a period is one fold in one row; beyond, sources of equal share are pooled.
-FOLD_SOURCES, FOLD_SLOTS = 4096, 16384
-
-
-def _period(sources: DataFrame) -> DataFrame:
-    """``(key, share)`` -> ``(key, share, period, nth, at)``: the slot of each block of one period."""
-    row = sources.agg(F.array_sort(F.collect_list(F.struct("key", "share"))).alias("s")).where(F.size("s") > 0)
-    row = row.withColumn("h", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["share"]))
-    fold = """aggregate(sequence(0L, h - 1), named_struct('done', array_repeat(0L, size(s)), 'plan', cast(array() as array<int>)), (st, t) ->
-        transform(array(array_min(transform(sequence(0, size(s) - 1), i -> if(st.done[i] < s[i].share and (st.done[i] * h) div s[i].share <= t,
-            named_struct('deadline', ((st.done[i] + 1) * h + s[i].share - 1) div s[i].share, 'i', i), null)))), pick ->
-            named_struct('done', transform(st.done, (d, i) -> d + if(i = pick.i, 1L, 0L)), 'plan', concat(st.plan, array(pick.i))))[0], st -> st.plan)"""
-    slots = row.select("s", "h", F.posexplode(F.expr(fold)).alias("at", "i"))
-    slots = slots.select(F.expr("s[i].key").alias("key"), F.expr("s[i].share").alias("share"), F.col("h").alias("period"), F.col("at").cast("long").alias("at"), "i")
-    per = slots.groupBy("key", "share", "period").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    return per.select("key", "share", "period", F.posexplode("ats").alias("nth", "at"))
-
-
-def _slots(batches):
-    """Pools (share, sources) in one row -> (share, member, nth, period, at), in order of the slots."""
-    for batch in batches:
-        for pools in batch.column(0).to_pylist():
-            h = sum(p["share"] * p["n"] for p in pools)
-            due = lambda p, b: (-(-(b + 1) * h // (p["share"] * p["n"])), p["share"])
-            waiting, ready, rows = [(0, *due(p, 0), i, 0) for i, p in enumerate(pools)], [], []
-            for t in range(h):
-                while waiting and waiting[0][0] <= t:
-                    heapq.heappush(ready, heapq.heappop(waiting)[1:])
-                _, share, i, b = heapq.heappop(ready)
-                n = pools[i]["n"]
-                rows.append((share, b % n, b // n, h, t))
-                b += 1
-                if b < share * n:
-                    heapq.heappush(waiting, (b * h // (share * n), *due(pools[i], b), i, b))
-                if len(rows) == 65536 or t == h - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["share", "member", "nth", "period", "at"])
-                    rows = []
-
-
-def _pooled_period(sources: DataFrame) -> DataFrame:
-    """As ``_period`` for many sources: those of equal share are one task, whose blocks they take in turn.
-
-    Block ``b`` of the task goes to member ``b % n`` as its block ``b div n``, and lies in that block's window.
-    """
-    pools = sources.groupBy("share").agg(F.count(F.lit(1)).alias("n"))
-    row = pools.agg(F.array_sort(F.collect_list(F.struct("share", "n"))).alias("pools"))
-    slots = staged(row.mapInArrow(_slots, "share long, member long, nth long, period long, at long"), "slots")
-    md5 = F.md5(F.col("key").cast("binary"))
-    named = sources.withColumns({"_md5": md5, "_b1": F.substring(md5, 1, 2), "_b2": F.substring(md5, 3, 2)})
-    named = gapless_rank(named, "share", ["_b1", "_b2"], [F.col("_md5")], "member")
-    return slots.join(named.select("key", "share", "member"), ["share", "member"]).select("key", "share", "period", F.col("nth").cast("int").alias("nth"), "at")
+#: Plans and lists of sources of up to so many rows are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+ADDED = ["_block", "_release", "_deadline", "_slot", "_position"]
 
+#: The pool that takes slot t, given the blocks placed of each pool: that of the released block due first.
+_PICK = """array_min(transform(sequence(0, size(s) - 1), i -> if(done[i] < s[i].share * s[i].n and ((done[i] div s[i].n) * h) div s[i].share <= t,
+    named_struct('deadline', ((done[i] div s[i].n + 1) * h + s[i].share - 1) div s[i].share, 'i', i), null))).i"""
+_STEP = "transform(done, (d, i) -> d + if(i = pick, 1L, 0L))"
 
-def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "source", id_col: str = "doc_id", default_share: int = 1, block_rows: int = 64) -> DataFrame:
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _period(sources: DataFrame, stage: Tables, piece: int | None) -> DataFrame:
+    """``(share, n)`` -> ``(share, turn, period, at)``: the slot of each turn of each pool in one period."""
+    pools = sources.groupBy("share").agg(F.count(F.lit(1)).alias("n"))
+    row = pools.agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("o"), "share", "n"))).alias("s")).where(F.size("s") > 0)
+    row = row.withColumn("h", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["share"] * x["n"]))
+    row = row.withColumn("w", F.lit(piece).cast("long") if piece else F.greatest(F.lit(256), F.ceil(F.sqrt("h"))).cast("long"))
+    slots = "sequence(c * w, least((c + 1) * w, h) - 1)"
+    on = f"aggregate({slots}, st.done, (done, t) -> {_let('pick', _PICK, _STEP)})"
+    states = f"""aggregate(sequence(0L, (h - 1) div w), named_struct('done', array_repeat(0L, size(s)), 'at', cast(array() as array<struct<c:bigint,done:array<bigint>>>)),
+        (st, c) -> named_struct('done', {on}, 'at', concat(st.at, array(named_struct('c', c, 'done', st.done)))), st -> st.at)"""
+    states = stage(row.select("s", "h", "w", F.explode(F.expr(states)).alias("x")), "states")
+    states = states.select("s", "h", "w", "x.c", F.col("x.done").alias("start")).repartition("c")
+    taken = _let("done", "st.done", _let("pick", _PICK, f"named_struct('done', {_STEP}, 'plan', concat(st.plan, array(named_struct('i', pick, 'turn', done[pick]))))"))
+    plan = f"aggregate({slots}, named_struct('done', start, 'plan', cast(array() as array<struct<i:int,turn:bigint>>)), (st, t) -> {taken}, st -> st.plan)"
+    out = states.select("s", "h", (F.col("c") * F.col("w")).alias("first"), F.posexplode(F.expr(plan)).alias("k", "x"))
+    return stage(out.select(F.expr("s[x.i].share").alias("_share"), F.col("x.turn").alias("_turn"), F.col("h").alias("_period"), (F.col("first") + F.col("k")).alias("_at")), "period")
+
+
+def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "source", id_col: str = "doc_id", default_share: int = 1, block_rows: int = 64, piece: int | None = None) -> DataFrame:
     """Place every row of ``docs`` in one sequence that keeps the sources to their target shares.
 
     Adds ``_block`` (number in its source), ``_release``, ``_deadline``, ``_slot`` and ``_position`` (sorts
@@ -85,36 +64,41 @@ def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "sourc
     or repeated: when a source has run out its slots stay empty and the others keep their proportions.
     ``shares`` are whole numbers above 0 by source (None: rows with a null source, which are a source of
     their own); sources not named have ``default_share``. Null ids sort as the empty string. An empty table
-    gives an empty table; all columns are kept.
+    gives an empty table; all columns are kept, but for one with the name of an added one, which that
+    replaces. ``piece`` is the number of slots that one row plans (default: the root of the period).
     """
     if default_share < 1 or any(int(v) != v or v < 1 for v in shares.values()):
         raise ValueError("shares are whole numbers above 0")
+    stage = Tables()
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     share: Column = F.lit(default_share)
     for name, value in shares.items():
-        share = F.when(F.col("key") == ("" if name is None else f"s{name}"), value).otherwise(share)
+        share = F.when(F.col("_key") == ("" if name is None else f"s{name}"), value).otherwise(share)
     md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumns({"_key": key, "_md5": md5, "_b1": F.substring(md5, 1, 2), "_b2": F.substring(md5, 3, 2)})
-    sources = staged(keyed.select(F.col("_key").alias("key")).distinct().withColumn("share", share.cast("long")), "sources")
-    size = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("slots")).first()
-    if MOST_SOURCES is not None and size["n"] > MOST_SOURCES:
+    keyed = docs.select(F.struct(*columns_of(docs)).alias("_row"), key.alias("_key"), md5.alias("_md5"), F.substring(md5, 1, 2).alias("_b1"), F.substring(md5, 3, 2).alias("_b2"))
+    sources = stage(keyed.select("_key").distinct().withColumn("share", share.cast("long")), "sources")
+    count = sources.count()
+    if MOST_SOURCES is not None and count > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-    few = size["n"] <= FOLD_SOURCES and (size["slots"] or 0) <= FOLD_SLOTS
-    plan = staged(_period(sources) if few else _pooled_period(sources), "period")
-    small = F.broadcast if few else lambda table: table
-    ranked = gapless_rank(keyed, "_key", ["_b1", "_b2"], [F.col("_md5")], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    some = plan.select(F.col("key").alias("_key"), F.col("share").alias("_share"), "period").distinct()
-    rows = ranked.join(small(some), "_key").withColumn("_nth", F.expr("cast(_block % _share as int)"))
-    rows = rows.join(small(plan.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "at")), ["_key", "_nth"])
-    slot = F.expr("(_block div _share) * period + at")
-    return rows.withColumns(
-        {
-            "_release": F.expr("(_block * period) div _share"),
-            "_deadline": F.expr("((_block + 1) * period + _share - 1) div _share"),
-            "_slot": slot,
-            "_position": slot * block_rows + F.expr(f"_rank % {block_rows}"),
-        }
-    ).select(*docs.columns, "_block", "_release", "_deadline", "_slot", "_position")
+    plan = _period(sources, stage, piece)
+    named = sources.withColumns({"_b1": F.substring("_key", 1, 8), "_b2": F.substring("_key", 1, 16)})
+    named = gapless_rank(named, "share", ["_b1", "_b2"], "_key", "_member")
+    named = named.join(sources.groupBy("share").agg(F.count(F.lit(1)).alias("_n")), "share")
+    named = stage(named.select("_key", F.col("share").alias("_share"), "_member", "_n"), "named")
+    known = F.broadcast(named) if count <= BROADCAST_ROWS else named
+    slots = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    ranked = gapless_rank(keyed, "_key", ["_b1", "_b2"], "_md5", "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    rows = ranked.join(known, "_key").withColumn("_turn", F.expr("(_block % _share) * _n + _member")).join(slots, ["_share", "_turn"])
+    slot = F.expr("(_block div _share) * _period + _at")
+    stage.close(plan, named)
+    return rows.select(
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED],
+        "_block",
+        F.expr("(_block * _period) div _share").alias("_release"),
+        F.expr("((_block + 1) * _period + _share - 1) div _share").alias("_deadline"),
+        slot.alias("_slot"),
+        (slot * block_rows + F.expr(f"_rank % {block_rows}")).alias("_position"),
+    )
 
 
 #: Production shares: the large source counts five times each of the others.

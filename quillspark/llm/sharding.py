@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import gapless_rank, staged
+from ..runtime import Tables, gapless_rank
 
 
 def difference(loads: np.ndarray) -> np.ndarray:
@@ -74,32 +74,35 @@ def _join_cells(shards: int):
 
 def assign_groups(groups: DataFrame, shards: int, cell_rows: int = 2048, fan_in: int = 256) -> DataFrame:
     """``groups(key string, load long)`` with distinct keys -> ``(key, shard)`` with near-equal loads."""
+    stage = Tables()
     cells = max(1, math.ceil(groups.count() / cell_rows))
     dealt = groups.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("long"))
-    parts = staged(dealt.groupBy("cell").applyInArrow(_cell(shards), "key string, cell long, part int"), "parts")
-    loads = staged(parts.join(groups, "key").groupBy("cell", "part").agg(F.sum("load").alias("load")), "loads")
+    parts = stage(dealt.groupBy("cell").applyInArrow(_cell(shards), "key string, cell long, part int"), "parts")
+    loads = stage(parts.join(groups, "key").groupBy("cell", "part").agg(F.sum("load").alias("load")), "loads")
     while cells > 1:
         cells = math.ceil(cells / fan_in)
         step = loads.withColumn("up", F.floor(F.col("cell") / fan_in).cast("long")).groupBy("up").applyInArrow(_join_cells(shards), "cell long, part int, up long, to int")
-        step = staged(step, "step")
-        parts = staged(parts.join(step, ["cell", "part"]).select("key", F.col("up").alias("cell"), F.col("to").alias("part")), "parts")
-        loads = staged(loads.join(step, ["cell", "part"]).groupBy(F.col("up").alias("cell"), F.col("to").alias("part")).agg(F.sum("load").alias("load")), "loads")
+        step = stage(step, "step")
+        parts = stage(parts.join(step, ["cell", "part"]).select("key", F.col("up").alias("cell"), F.col("to").alias("part")), "parts")
+        loads = stage(loads.join(step, ["cell", "part"]).groupBy(F.col("up").alias("cell"), F.col("to").alias("part")).agg(F.sum("load").alias("load")), "loads")
+        stage.close(parts, loads)
     return parts.select("key", F.col("part").alias("shard"))
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, levels: list[Column] | None = None, order: list[Column] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, levels: list[Column] | None = None, order: Column | None = None) -> DataFrame:
     """Deal all rows to ``shards`` shards of near-equal bytes, rows of equal text together.
 
     Returns ``(id, size, text_crc32, shard, slot)`` with a row for each input row: size is the UTF-8 length
     plus ``overhead``, slot counts from 0 without gaps within a shard. Slots follow ``order`` (default: md5
-    of the id), of which ``levels`` are non-null leading parts; rows that tie take any of their slots. A null
+    of the id), of which ``levels`` are leading parts (neither holds nulls); rows that tie take any of their slots. A null
     text counts as empty and is grouped with empty texts. Repeated rows are rows of one group; ids may be
     null. A group larger than an even share fills a shard alone. An empty table gives an empty table; other
     columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    levels, order = levels or [F.substring(md5, 1, 2), F.substring(md5, 3, 2)], order or [md5]
+    stage, order = Tables(), md5 if order is None else order
+    levels = levels or [F.substring(md5, 1, 2), F.substring(md5, 3, 2)]
     names = [f"_l{i}" for i in range(len(levels))]
     rows = docs.select(
         F.col(id_col).alias("_id"),
@@ -107,12 +110,13 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("key"),
         *[c.alias(n) for c, n in zip(levels, names)],
-        *[c.alias(f"_s{i}") for i, c in enumerate(order)],
+        order.alias("_s"),
     )
-    rows = staged(rows, "rows")
-    groups = staged(rows.groupBy("key").agg(F.sum("size").alias("load")), "groups")
-    placed = rows.join(staged(assign_groups(groups, shards), "placed"), "key")
-    out = gapless_rank(staged(placed, "dealt"), "shard", names, [F.col(f"_s{i}") for i in range(len(order))], "slot")
+    rows = stage(rows, "rows")
+    groups = stage(rows.groupBy("key").agg(F.sum("size").alias("load")), "groups")
+    placed = stage(rows.join(stage(assign_groups(groups, shards), "placed"), "key").drop("key"), "dealt")
+    out = gapless_rank(placed, "shard", names, "_s", "slot")
+    stage.close(placed)
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
