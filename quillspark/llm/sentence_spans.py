@@ -1,8 +1,11 @@
 """Operator 7, substring dedup by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences (extended until it holds enough words) is hashed and the hashes are joined globally; the first span of
-each hash, by (id, sentence), stays, and every sentence that lies in a later one goes. Only hashes that occur
-twice go through the join, as a staged table, so that a very frequent passage can be split between tasks.
+A sentence ends after a word with a closing mark or after one word in ``CUT``, chosen by the word itself, so
+that prose without marks has sentences too and the same words are cut alike wherever they stand. Words are
+compared lower-cased, and blanks between them don't count. Every run of at least ``span`` consecutive
+sentences, continued until it holds ``min_words`` words, is hashed and the hashes are joined globally; the
+first span of each hash, by (id, sentence), stays, and every sentence that lies in a later one goes. Only
+hashes that occur twice go on as a staged table, so that a very frequent passage can be split between tasks.
 """
 
 from __future__ import annotations
@@ -15,128 +18,128 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import null_safe, release, staged
+from ..runtime import Tables, null_safe
 
-#: A sentence ends after marks that a blank or the text's end follows, or after a newline; blanks after it belong to it.
-_SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?![\s.!?]|\Z))*(?:[.!?]+(?:\s+|\Z)|\n\s*|\Z)")
+CUT = 4
+_WORD = re.compile(r"\S+\s*")
+_CLOSING = "\"')]}»”’"
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-#: A sentence of more words than LONG is cut after about one word in CUT, chosen by the word itself.
-LONG, CUT = 30, 6
-_WORD = re.compile(r"\s*\S+\s*")
+class _Words(dict):
+    """Hash of a folded word, its lowest bit set if a sentence ends there; emptied when large, which changes no answer."""
 
-
-class _Ends(dict):
-    """Whether a piece ends after a word; emptied when it gets large, which changes no answer."""
-
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        end = self[word] = xxhash.xxh32_intdigest(word) % CUT == 0
-        return end
+        h = xxhash.xxh3_64_intdigest(word)
+        end = word.rstrip(_CLOSING)[-1:] in (".", "!", "?") or (h >> 1) % CUT == 0
+        h = self[word] = h | 1 if end else h & ~1
+        return h
 
 
-_ends = _Ends()
+_words = _Words()
 
 
-def _pieces(sentence: str) -> list[str]:
-    """Parts of an overlong sentence; equal runs of words are cut alike wherever they stand."""
-    words = _WORD.findall(sentence)
-    out, now = [], []
-    for w in words:
-        now.append(w)
-        if _ends[w.strip().lower()]:
-            out.append("".join(now))
-            now = []
-    return [*out, "".join(now)] if now else out
+def _parsed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and the number of words before each sentence and before the end."""
+    folded = text.lower().split()
+    h = np.fromiter(map(_words.__getitem__, folded), np.uint64, len(folded))
+    ends = np.flatnonzero(h & np.uint64(1)) + 1
+    last = [len(h)] if len(h) and (not len(ends) or ends[-1] < len(h)) else []
+    return h, np.concatenate(([0], ends, last)).astype(np.int64)
 
 
-def sentences(text: str, long: int = LONG) -> list[str]:
-    """Cut ``text`` into sentences, those of more than ``long`` words into parts; joined they are the text."""
-    found = [m for m in _SENTENCE.findall(text) if m]
-    if not long:
-        return [p for m in found for p in (_pieces(m) or [m])]
-    return [p for m in found for p in (_pieces(m) if m.count(" ") >= long and len(m.split()) > long else [m])]
+def sentences(text: str) -> list[str]:
+    """Cut ``text`` into sentences; blanks belong to the sentence before them, or to the first, and joined they are the text."""
+    _, bounds = _parsed(text)
+    ends = np.array([0, *(m.end() for m in _WORD.finditer(text))])[bounds].tolist()
+    return [text[a:b] for a, b in zip([0, *ends[1:]], ends[1:])]
 
 
-def _key(sentence: str) -> bytes:
-    return " ".join(sentence.lower().split()).encode()
+def _runs(h: np.ndarray, bounds: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and two hashes of each run."""
+    first = np.arange(len(bounds) - 1)
+    end = np.maximum(first + span, np.searchsorted(bounds, bounds[:-1] + min_words))
+    first = first[end < len(bounds)]
+    end = end[: len(first)]
+    a, b, keys = bounds[first], bounds[end], []
+    with np.errstate(over="ignore"):
+        for k, base in enumerate(_BASES):  # polynomial hashes by differences of prefix sums
+            power, back = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(h), x)))) for x in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64))))
+            own = h if k == 0 else (h ^ (h >> np.uint64(32))) * _MIX
+            upto = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(own * power[:-1]))) if len(h) else np.zeros(1, np.uint64)
+            x = (upto[b] - upto[a]) * back[a]
+            keys.append(((x ^ (x >> np.uint64(29))) * _MIX + (b - a).astype(np.uint64)).view(np.int64))
+    return first, end - first, *keys
 
 
-def _spans(span: int, min_words: int, long: int, extend: bool):
+def _spans(span: int, min_words: int):
     def run(batches):
         for batch in batches:
-            rows, at, size, keys = [], [], [], []
+            rows, parts = [], [[], [], [], []]
             for i, text in enumerate(batch.column(2)):
-                own = [(j, k, k.count(b" ") + 1) for j, k in enumerate(map(_key, sentences(text.as_py() or "", long))) if k]
-                upto = np.concatenate(([0], np.cumsum([w for _, _, w in own], dtype=np.int64)))
-                enough = np.searchsorted(upto, upto[:-1] + min_words).tolist()  # a run from n must end here or later
-                for n in range(len(own)):
-                    end = n + span
-                    if enough[n] > end and extend:
-                        end = enough[n]
-                    run_ = own[n:end]
-                    if end <= len(own) and enough[n] <= end:
-                        rows.append(i)
-                        at.append(own[n][0])
-                        size.append(run_[-1][0] - own[n][0] + 1)
-                        keys.append(xxhash.xxh3_128_digest(b"\n".join(k for _, k, _ in run_)))
-                    if own[n][2] >= min_words:  # a long sentence is a span by itself
-                        rows.append(i)
-                        at.append(own[n][0])
-                        size.append(1)
-                        keys.append(xxhash.xxh3_128_digest(own[n][1]))
-            take, k = pa.array(rows, pa.int64()), np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())]
+                own = _runs(*_parsed(text.as_py() or ""), span, min_words)
+                rows.append(np.full(len(own[0]), i))
+                for c, v in zip(parts, own):
+                    c.append(v)
+            if not rows:
+                continue
+            take = pa.array(np.concatenate(rows))
+            at, n, k1, k2 = map(np.concatenate, parts)
+            arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "at", "n", "k1", "k2"])
 
     return run
 
 
-def _drop(long: int):
-    def run(batches):
-        for batch in batches:
-            texts, total, gone, runs = [], [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = sentences(text or "", long)
-                hit = np.zeros(len(own) + 1, bool)
-                for s in spans or ():
-                    hit[s["at"] : s["at"] + s["n"]] = True
-                texts.append(None if text is None else "".join(t for t, x in zip(own, hit) if not x))
-                total.append(len(own))
-                gone.append(int(hit.sum()))
-                runs.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, gone, runs))], names=["_id", "text", "n_sentences", "n_removed", "n_spans"])
-
-    return run
-
-
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 10, long: int = LONG, extend: bool = False) -> DataFrame:
+def _drop(batches):
+    for batch in batches:
+        texts, total, gone, runs = [], [], [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if not spans:
+                texts.append(text)
+                total.append(len(_parsed(text or "")[1]) - 1)
+                gone.append(0)
+                runs.append(0)
+                continue
+            own = sentences(text)
+            hit = np.zeros(len(own) + 1, bool)
+            for s in spans:
+                hit[s["at"] : s["at"] + s["n"]] = True
+            texts.append("".join(t for t, x in zip(own, hit) if not x))
+            total.append(len(own))
+            gone.append(int(hit.sum()))
+            runs.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, gone, runs))], names=["_id", "text", "n_sentences", "n_removed", "n_spans"])
+
+
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 25) -> DataFrame:
     """Remove sentences covered by a span that occurred before.
 
-    A sentence of more than ``long`` words is cut into parts by its own words, so that a passage without marks is
-    found inside another sentence; with 0 every sentence is, so that the same words are cut alike wherever they
-    stand. Sentences are compared lower-cased with blanks folded; blank ones are no sentences of a span but go with
-    a span around them. A span is ``span`` consecutive sentences of together at least ``min_words`` words, or
-    one sentence that has as many by itself; with ``extend`` a run of fewer words goes on until it has as many,
-    so that passages of short lines are found. "Before" is by id (null first), then hash of the text, then
-    place in the text. Returns ``(id, text, n_sentences, n_removed, n_spans)`` with a row for each input row.
-    Null text stays null and empty text empty, without sentences; a text of fewer sentences has no span.
-    Rows that repeat both id and text count as one place, so that they keep or lose the same sentences. An
-    empty table gives an empty table; other columns are ignored.
+    A span is a run of ``span`` or more consecutive sentences, as many as it takes to hold ``min_words`` words;
+    one starts at each sentence. "Before" is by id (null first), then hash of the text, then place in the text.
+    Returns ``(id, text, n_sentences, n_removed, n_spans)`` with a row for each input row. Null text stays null;
+    it and empty or blank text have no sentences, and a text of fewer words or sentences has no span. Rows that
+    repeat both id and text count as one place, so that they keep or lose the same sentences. An empty table
+    gives an empty table; other columns are ignored.
     """
+    stage = Tables()
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
-    spans = staged(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words, long, extend), f"_id {kind}, _h long, at int, n int, k1 long, k2 long"), "spans")
+    spans = stage(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words), f"_id {kind}, _h long, at int, n int, k1 long, k2 long"), "spans")
+    twice = stage(spans.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"), "twice")
+    found = stage(spans.join(twice, ["k1", "k2"]), "found")
+    stage.drop(spans, twice)
     place = F.struct(F.col("_id").isNotNull().alias("x"), "_id", "_h", "at")
-    first = spans.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k1", "k2", "first")
-    later = spans.join(staged(first, "first"), ["k1", "k2"]).where(place != F.col("first"))
-    later = later.groupBy("_id", "_h").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    later = staged(later, "later")
-    release(spans)
+    first = stage(found.groupBy("k1", "k2").agg(F.min(place).alias("first")), "first")
+    later = found.join(first, ["k1", "k2"]).where(place != F.col("first"))
+    later = stage(later.groupBy("_id", "_h").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "later")
+    stage.close(later)
     out = key.join(later, null_safe(key, later, "_id", "_h"), "left").select(key["_id"], "_t", "spans")
-    return out.mapInArrow(_drop(long), f"_id {kind}, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("_id", id_col)
+    return out.mapInArrow(_drop, f"_id {kind}, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("_id", id_col)
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), long=0, extend=True)
+    return drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
