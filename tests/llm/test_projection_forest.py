@@ -33,7 +33,7 @@ def table(n=600, dim=16, seed=1):
 
 def test_matches_brute_force(spark):
     rows = table()
-    got = near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), leaf=100, block=16, spill=0.25, trees=8).collect()
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), leaf=40, block=16, trees=8).collect()
     got, want = {r.vec_id: (r.n_links, r.component_id) for r in got}, brute(rows)
     assert len(got) == len(want)
     assert sum(g == want[k] for k, g in got.items()) >= 0.99 * len(want)
@@ -45,3 +45,43 @@ def test_odd_tables(spark):
     assert near_vectors(df.where("false")).count() == 0
     assert near_vectors(df.where("vec_id = 1").union(df.where("vec_id = 1"))).collect()[0].n_links == 1
     assert near_vectors(spark.createDataFrame([(1, None, 1, ""), (None, None, None, "")], SCHEMA)).count() == 2
+
+
+def links(rows, threshold=0.93):
+    x = np.array([np.asarray(r[1], np.float32).astype(float) for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    close = (x @ x.T >= threshold) & (label[:, None] == label[None, :])
+    return close.sum(1) - 1
+
+
+def test_default_settings_find_links_in_deep_trees(spark):
+    """Half of a label in one cluster at the threshold, the worst case, and pairs planted at it; depth 7."""
+    rng, dim = np.random.default_rng(3), 64
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    tight = [centre + rng.standard_normal(dim) * np.sqrt(0.07 / 0.93 / dim) for _ in range(1500)]
+    loose = []
+    for _ in range(750):
+        a, b = (v / np.linalg.norm(v) for v in rng.standard_normal((2, dim)))
+        b -= (a @ b) * a
+        loose += [a, 0.9305 * a + np.sqrt(1 - 0.9305**2) * b / np.linalg.norm(b)]
+    rows = [(i, [float(np.float32(e)) for e in v], 1, "x") for i, v in enumerate([*tight, *loose])]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    want = links(rows)
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= want).all()
+    assert found[:1500].sum() >= 0.98 * want[:1500].sum() > 100_000 and found[1500:].sum() >= 0.99 * want[1500:].sum()
+
+
+def test_every_length_is_compared(spark):
+    rows = [(i, [1.0, 0.1 * i], 1, "") for i in range(5)] + [(10, [1.0, 2.0, 3.0], 1, ""), (11, [1.0, 2.0, 3.01], 1, ""), (12, [1.0, 2.0, 3.0], 2, ""), (13, [], 1, "")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[10] == (1, 10) and got[11] == (1, 10) and got[12] == (0, 12) and got[13] == (0, 13)
+
+
+def test_cluster_too_tight_to_split(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(e)) for e in np.ones(16) + rng.standard_normal(16) * 1e-3], 1, "x") for i in range(300)]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA), block=64).collect()
+    assert all((r.n_links, r.component_id) == (299, 0) for r in got)
