@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import Tables
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|))*)<\|im_end\|>\n", re.S)
@@ -71,7 +71,8 @@ def best_paths(messages: DataFrame) -> DataFrame:
     cur = base.join(known, ["tree", "parent"], "left").select(
         "tree", "node", up.alias("up"), F.when(up.isNull(), F.col("node")).alias("root"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("score")
     )
-    cur = staged(cur, "jump")
+    stage = Tables()
+    cur = stage(cur, "jump")
     rows, jumps = cur.count(), [cur]
     while 2 ** (len(jumps) - 1) <= rows and cur.where("up is not null").head(1):  # a row that never ends is on a cycle
         a, b = cur.where("up is not null").alias("a"), cur.alias("b")  # the others have arrived
@@ -84,17 +85,19 @@ def best_paths(messages: DataFrame) -> DataFrame:
             (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
             (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
         )
-        cur = staged(cur.union(jumps[-1].where("up is null")), "jump")
+        cur = stage(cur.union(jumps[-1].where("up is null")), "jump")
         jumps.append(cur)
     done = cur.where("up is null").select("tree", "node", "depth", "score", "root")
-    inner = staged(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct(), "inner")
+    inner = stage(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct(), "inner")
     leaves = done.join(inner, ["tree", "node"], "left_anti")
     rank = F.struct(F.col("score") / F.col("depth"), F.col("node"))
     marked = leaves.groupBy("tree", "root").agg(F.max_by("node", rank).alias("node")).select("tree", "node", F.col("root").alias("path"))
-    marked = staged(marked, "marked")
+    marked = stage(marked, "marked")
     for jump in reversed(jumps):
         up = marked.join(jump.select("tree", "node", "up").where("up is not null"), ["tree", "node"]).select("tree", F.col("up").alias("node"), "path")
-        marked = staged(marked.union(up).distinct(), "marked")
+        before, marked = marked, stage(marked.union(up).distinct(), "marked")
+        stage.drop(before)
+    stage.close(cur, marked)
     return marked.join(done.select("tree", "node", "depth"), ["tree", "node"])
 
 
@@ -128,12 +131,12 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     else:
         w = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
         t = t.withColumn("node", F.row_number().over(w).cast("long")).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
-    t = staged(t, "messages")
-    paths = best_paths(t)
-    told = t.join(staged(paths, "paths"), ["tree", "node"])
+    stage = Tables()
+    t = stage(t, "messages")
+    told = t.join(stage(best_paths(t), "paths"), ["tree", "node"])
     if parent_col:  # several roots: the best leaf's path alone
         best = told.groupBy("tree", "path").agg(F.avg("score").alias("s")).groupBy("tree").agg(F.max_by("path", F.struct("s", "path")).alias("path"))
-        told = told.join(staged(best, "best"), ["tree", "path"])
+        told = told.join(stage(best, "best"), ["tree", "path"])
     own = told.groupBy("tree").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     kind = own.schema["_id"].dataType.simpleString()
     out = own.select("_id", "turns").mapInArrow(_format, f"_id {kind}, formatted string, loss_mask array<struct<start:long,end:long>>")

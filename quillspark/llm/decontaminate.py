@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import null_safe, staged
+from ..runtime import Tables, null_safe
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,17 +49,17 @@ def _exploded(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("_id", "_h", "w", F.posexplode_outer("w").alias("p", "_x")).withColumn("token", F.xxhash64("_x", *[F.expr(f"get(w, p + {i})") for i in range(1, n)]))
 
 
-def _hits(docs: DataFrame, wins: DataFrame, n: int, window: int, broadcast_rows: int) -> DataFrame:
+def _hits(docs: DataFrame, wins: DataFrame, n: int, window: int, broadcast_rows: int, stage: Tables) -> DataFrame:
     """Occurrences (_id, _h, s, e, wid) of windows of at least ``n`` words, found by shingles of ``n`` words."""
     places = wins.select("wid", "win", F.explode(F.sequence(F.lit(0), F.size("win") - n)).alias("off")).withColumn("token", _token("win", "off", n))
-    places = staged(places, "places")
+    places = stage(places, "places")
     tokens = places.select("token").distinct()
-    known = staged(tokens, "tokens")
+    known = stage(tokens, "tokens")
     small = known.count() <= broadcast_rows
     seen = _exploded(docs, n).select("token").join(F.broadcast(known) if small else known, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = places.join(staged(seen, "rarity"), "token", "left")
+    ranked = places.join(stage(seen, "rarity"), "token", "left")
     rarest = ranked.groupBy("wid", "win").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min_by(F.struct("token", "off"), F.struct(F.coalesce("df", F.lit(0)), "off")).alias("t"))
-    prefix = staged(rarest.where("least > 0").select("wid", "win", F.size("win").alias("len"), "t.token", "t.off"), "prefix")
+    prefix = stage(rarest.where("least > 0").select("wid", "win", F.size("win").alias("len"), "t.token", "t.off"), "prefix")
     rows = _exploded(docs, n)
     start = F.col("p") - F.col("off")
     if prefix.count() <= broadcast_rows:
@@ -84,13 +84,14 @@ def contaminated_words(
     keep a row each. Empty tables give no hits or an empty table; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), words(F.col(text_col)).alias("w"))
-    wins = staged(_windows(bench, item_col, item_text_col, window), "windows")
+    stage = Tables()
+    wins = stage(_windows(bench, item_col, item_text_col, window), "windows")
     texts = wins.select("wid", "win").distinct()
-    hits = _hits(base, texts.where(F.size("win") >= shingle), shingle, window, broadcast_rows)
+    hits = _hits(base, texts.where(F.size("win") >= shingle), shingle, window, broadcast_rows, stage)
     short = texts.where(F.size("win") < shingle)
     if short.head(1):
-        hits = hits.union(_hits(base, short, 1, window, broadcast_rows))
-    hits = staged(hits, "hits")
+        hits = hits.union(_hits(base, short, 1, window, broadcast_rows, stage))
+    hits = stage(hits, "hits")
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -101,7 +102,8 @@ def contaminated_words(
     named = hits.select("_id", "_h", "wid").distinct().join(wins.select("wid", "item"), "wid")
     named = named.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.join(named, null_safe(spans, named, "_id", "_h")).select(spans["_id"], spans["_h"], "n_hit", "items")
-    found = staged(found, "found")
+    found = stage(found, "found")
+    stage.close(found)
     base = base.select("_id", "_h", _count("w").alias("n_words"))
     out = base.join(found, null_safe(base, found, "_id", "_h"), "left")
     out = out.select(base["_id"], base["_h"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import staged
+from ..runtime import Tables, columns_of
 
 STATISTICS = [
     "log_words",
@@ -171,25 +171,34 @@ def held_out(id_col: str) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 20_000) -> Column:
     """Fit on labelled documents outside the held-out third; the score as a column over struct ``_stats``.
 
-    At most ``fit_rows`` labelled rows, by hash of the id, are taken. Null labels, null ids and labels of
+    At most ``fit_rows`` labelled rows, by hash of id and text, are taken, and only their statistics are computed. Null labels, null ids and labels of
     unknown documents are left out; an id labelled both ways counts once per label. Without usable labels the
     score is 0.5, with labels of one kind it is their smoothed share.
     """
+    stage, seed = Tables(), F.xxhash64("_id", "_h")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
-    stats = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), text_statistics(F.col(text_col)).alias("_stats"))
-    stats = staged(stats, "statistics")
-    labelled = staged(stats.join(known, "_id").select("_stats.*", "_y", F.xxhash64("_id").alias("_o")), "labelled")
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
+    labelled = stage(rows.select("_id", "_h").join(known, "_id").withColumn("_o", seed), "labelled")
     share = 1.2 * fit_rows / max(1, labelled.count())
+    some = labelled
     if share < 1:  # so that tasks don't each send as many rows as the bound allows in all
-        labelled = labelled.where(F.pmod("_o", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = labelled.orderBy("_o", "_y", *STATISTICS).limit(fit_rows).toPandas()
+        some = labelled.where(F.pmod("_o", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    some = stage(some.orderBy("_o", "_y").limit(fit_rows), "sample")
+    texts = rows.join(F.broadcast(some.select("_id", "_h").distinct()), ["_id", "_h"]).groupBy("_id", "_h").agg(F.first("_t").alias("_t"))
+    stats = stage(texts.select("_id", "_h", text_statistics(F.col("_t")).alias("_stats")), "statistics")
+    sample = some.join(stats, ["_id", "_h"]).select("_stats.*", "_y", "_o").orderBy("_o", "_y", *STATISTICS).toPandas()
+    stage.close()
     rules, weights, intercept = fit_rules(sample[STATISTICS].to_numpy(float), (sample["_y"] == 1).to_numpy(float))
     return compile_rules(rules, weights, intercept, "_stats")
 
 
 def score_quality(docs: DataFrame, score: Column, text_col: str = "text") -> DataFrame:
-    """Add ``_score`` (0 to 1) to every row of ``docs``; null, empty and blank texts are scored alike."""
-    return docs.withColumn("_stats", text_statistics(F.col(text_col))).withColumn("_score", score).drop("_stats")
+    """Add ``_score`` (0 to 1) to every row of ``docs``; null, empty and blank texts are scored alike.
+
+    All columns are kept, but for one named ``_score``, which the score replaces.
+    """
+    out = docs.select(F.struct(*columns_of(docs)).alias("_row"), text_statistics(F.col(text_col)).alias("_stats"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "_score"], score.alias("_score"))
 
 
 def op8_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

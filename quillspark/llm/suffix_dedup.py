@@ -215,18 +215,20 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     release(phrases)
     whole = found.join(entries.where("n > 1").select("k", "c"), ["k", "c"]).select("_id", "_h", F.col("lo").alias("start"), end)
 
-    lone = entries.where("mixed").select("at.*", "n").groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "a", "n")).alias("spans"))
+    lone = entries.where("mixed").select("at.*", "n").groupBy("_id", "_h").agg(F.collect_set(F.struct("lo", "hi", "a", "n")).alias("spans"))
     reach = key.join(lone, null_safe(key, lone, "_id", "_h")).select(key["_id"], key["_h"], key["_t"], lone["spans"])
+    if key.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1):  # rows that repeat id and text
+        reach = reach.groupBy("_id", "_h").agg(F.first("_t").alias("_t"), F.first("spans").alias("spans")).select("_id", "_h", "_t", "spans")
     reach = staged(reach.mapInArrow(_contexts(length), head + "lo long, hi long, a long, n long, ctx binary"), "contexts")
     cuts, entries = _repeated(reach.mapInArrow(_blocks(length, block), head + "at long, lo long, hi long, n long, k long, c long"))
     blocks = cuts.where("n = 1").join(entries.where("n > 1").select("k", "c"), ["k", "c"]).select("_id", "_h", F.col("lo").alias("start"), end)
 
-    left = cuts.where("mixed").groupBy("_id", "_h", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("at", "lo")
+    left = cuts.where("mixed").groupBy("_id", "_h", "at").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("at", "lo")
     left = reach.join(left, null_safe(reach, left, "_id", "_h", "lo")).select(reach["_id"], reach["_h"], reach["lo"], "n", "ctx", "spans")
     ranks = staged(left.mapInArrow(_suffixes(length), head + "p long, n long, s1 long, s2 long"), "suffixes")
     twice = staged(ranks.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"), "ranks")
     single = ranks.where("n = 1").join(twice, ["s1", "s2"]).select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
-    spans = whole.union(blocks).union(single).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = whole.union(blocks).union(single).groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = staged(spans, "spans")
     release(found, reach, cuts, ranks, twice)
     out = key.join(spans, null_safe(key, spans, "_id", "_h"), "left").select(key["_id"], key["_t"], spans["spans"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import release, staged
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.-_?=&%:#~+@"
 SIZE = len(ALPHABET) + 1
@@ -107,11 +107,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     t = t.withColumn("_r", matching_rule("host", "path", rules)).withColumn("_out", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(held_out)) == 0)
     decided = t.where("_r is not null")
     counts = decided.where(~F.col("_out")).select("_r.verdict", "url").mapInArrow(_count, "verdict string, cell long, n long")
-    counts = staged(counts.groupBy("verdict", "cell").agg(F.sum("n").alias("n")), "counts").toPandas()
+    counts = counts.groupBy((F.col("verdict") == "allow").alias("allow"), F.col("cell").cast("int").alias("cell")).agg(F.sum("n").alias("n"))
+    table = staged(counts, "counts")
+    counts = table.toPandas()
+    release(table)
     table, seen = {}, []
     for v in ("allow", "block"):
         c = np.zeros(SIZE ** (ORDER + 1))
-        own = counts[counts.verdict == v]
+        own = counts[counts["allow"] == (v == "allow")]
         c[own.cell.to_numpy()] = own.n.to_numpy()
         table[v] = log_probabilities(c)
         seen += [v] if len(own) else []

@@ -89,3 +89,78 @@ def test_many_sources_keep_their_windows(spark):
     for t, r in enumerate(first):
         done[r.source] += 1
         assert all(abs(done[s] - (t + 1) * a / (n + 8)) < 1 for s, a in (("a", 5), (None, 3), (r.source, {"a": 5, None: 3}.get(r.source, 1))))
+
+
+def plain_differencing(weights, shards):
+    """Karmarkar-Karp with lists: the two partial partitions of the largest spread are joined, oppositely ordered."""
+    parts = [sorted(([w, [i]] if k == 0 else [0, []] for k in range(shards)), key=lambda x: -x[0]) for i, w in enumerate(weights)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0][0] - p[-1][0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(([x[0] + y[0], x[1] + y[1]] for x, y in zip(a, reversed(b))), key=lambda x: -x[0]))
+    return {frozenset(own) for _, own in parts[0]}
+
+
+def test_differencing_matches_plain_lists():
+    rnd = np.random.default_rng(7)
+    for n, shards in ((1, 3), (5, 2), (40, 3), (200, 7)):
+        weights = rnd.uniform(1, 100, n)
+        loads = np.zeros((n, shards))
+        loads[:, 0] = weights
+        label = difference(loads)[:, 0]
+        assert {frozenset(np.flatnonzero(label == k).tolist()) for k in range(shards)} == plain_differencing(weights.tolist(), shards)
+
+
+def test_query_shards_match_plain_lists(spark):
+    """At sf0.001 all groups are in one cell, so that the query is one differencing over the distinct texts."""
+    from quillspark.llm.sharding import op10_sharding
+
+    path = "/root/testdata/sf0.001"
+    size = Counter()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    for t in docs.values():
+        size[t] += len(t.encode()) + 16
+    got = op10_sharding(spark, path).collect()
+    load, where = Counter(), defaultdict(set)
+    for r in got:
+        load[r.shard] += r["size"]
+        where[docs[r.doc_id]].add(r.shard)
+    parts = plain_differencing([n for _, n in sorted(size.items(), key=lambda x: -x[1])], 40)
+    order = [n for _, n in sorted(size.items(), key=lambda x: -x[1])]
+    assert all(len(s) == 1 for s in where.values()) and len(got) == len(docs)
+    assert abs((max(load.values()) - min(load.values())) - (max(sum(order[i] for i in p) for p in parts) - min(sum(order[i] for i in p) for p in parts))) <= 16
+
+
+def test_clashing_names_and_many_null_ids(spark):
+    rows = [(None if i < 3000 else i, "x" if i % 3 else "y", i, -i, "k", 5) for i in range(3200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _key int, _rank int, `_md5.a` string, _block int").repartition(3)
+    out = mix(df, {"x": 2}, block_rows=8)
+    assert out.columns == ["doc_id", "source", "_key", "_rank", "_md5.a", "_block", "_release", "_deadline", "_slot", "_position"]
+    got = out.collect()
+    assert sorted((r._key, r._rank) for r in got) == sorted((i, -i) for i in range(3200)) and len({r._position for r in got}) == 3200
+    assert all(r._release <= r._slot < r._deadline and r._block >= 0 for r in got)
+    texts = spark.createDataFrame([(None, f"t{i % 7}", i) for i in range(900)], "doc_id long, text string, slot int")
+    slots = defaultdict(list)
+    for r in shard(texts, 3).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 900
+
+
+def test_period_in_pieces_is_the_same(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "cast(id % 23 as string) as source")
+    shares = {"1": 7, "2": 7, "3": 3, "9": 12}
+    whole, cut = ({(r.doc_id, r._position) for r in mix(docs, shares, block_rows=2, piece=n).collect()} for n in (1000, 5))
+    assert whole == cut
+
+
+def test_large_shares_take_no_quadratic_time(spark):
+    import time
+
+    docs = spark.range(1000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a', 'b') as source")
+    began = time.time()
+    out = mix(docs, {"a": 70_000, "b": 30_001}, block_rows=1).collect()
+    assert time.time() - began < 60 and all(r._release <= r._slot < r._deadline for r in out)
+    done = Counter()
+    for t, r in enumerate(sorted(out, key=lambda r: r._position)[:600]):
+        done[r.source] += 1
+        assert r._slot == t and abs(done["a"] - (t + 1) * 70_000 / 100_001) < 1

@@ -8,34 +8,10 @@ import corpus_pipeline
 from quillspark.llm import rule_quality
 
 from .test_decontaminate import brute as contaminated
-from .test_jaccard_join import brute as components
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_rows_match_brute_force(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(rule_quality, "fit_rules", lambda *a, f=rule_quality.fit_rules: seen.setdefault("model", f(*a)))
-    got = corpus_pipeline.run(spark, DATA).collect()
-    rules, weights, b = seen["model"]
-    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-
-    def good(text):
-        x = rule_quality.statistics(text)
-        return b + sum(w for r, w in zip(rules, weights) if all((x[j] <= c) == m for j, m, c in r)) >= 0
-
-    kept = [d for d in docs if good(d[1])]
-    groups = components([(d, t) for d, t, _ in kept])
-    kept = [d for d in kept if groups[d[0]][1] == d[0]]
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    kept = [d for d, c in zip(kept, contaminated([(d, t) for d, t, _ in kept], bench)) if not c[1]]
-    assert len(kept) < len(docs) and {r.doc_id: r["size"] for r in got} == {d: len(t.encode()) + 16 for d, t, _ in kept} and len(got) == len(kept)
-    slots = defaultdict(list)
-    for r in got:
-        slots[r.shard].append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-
-
 def test_mixing_order_reaches_the_slots(spark):
     from quillspark.runtime import staged
 
@@ -78,7 +54,12 @@ def test_rows_match_brute_force_at_five_words(spark, monkeypatch):
 
     seen = {}
     monkeypatch.setattr(rule_quality, "fit_rules", lambda *a, f=rule_quality.fit_rules: seen.setdefault("model", f(*a)))
-    got = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    got = {r.doc_id for r in rows}
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == len(got) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     rules, weights, b = seen["model"]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     stats = {d: rule_quality.statistics(t) for d, t in docs}
@@ -91,3 +72,17 @@ def test_rows_match_brute_force_at_five_words(spark, monkeypatch):
     kept = [(d, t) for d, t in kept if first[d] == d]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert got == {d for (d, _), c in zip(kept, contaminated(kept, bench)) if not c[1]}
+    size = dict(docs)
+    assert all(r["size"] == len(size[r.doc_id].encode()) + 16 for r in rows)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_long_texts_and_clashing_names(spark, name, stage):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", "k"), (2, "a b c", "en", "s", "k"), (3, long + " end", "en", "src0", "k")], "doc_id long, text string, lang string, source string, n_chars string")
+    docs = docs.selectExpr("*", "doc_id as _h", "doc_id as _stats", "doc_id as _key", "doc_id as _rank", "doc_id as _row")
+    out = stage(spark, docs, DATA)
+    rows = out.collect()
+    assert {r.doc_id for r in rows} <= {1, 2, 3} and (name == "quality classifier" or len(rows) == (2 if name == "n-gram Jaccard join" else 3))
+    if name != "sharding":
+        assert out.columns == docs.columns and all(r._h == r._stats == r._key == r._rank == r._row == r.doc_id for r in rows)

@@ -58,3 +58,50 @@ def test_odd_tables(spark):
     assert [r.verdict for r in judge_urls(df).collect()] == ["allow"] * 5
     assert judge_urls(df.where("false")).count() == 0
     assert {r.verdict for r in judge_urls(df.select(F.col("page_id"), F.lit("http://q.net/es/").alias("url"))).collect()} == {"block"}
+
+
+def test_learnt_scores_match_plain_counts(spark):
+    """Interpolated models of orders 0 to 3 by dictionaries, over the URLs that a rule decides and that train."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    from quillspark.llm.url_filter import judge_urls
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r for r in judge_urls(pages).collect()}
+    urls = {r.page_id: r.url for r in pages.collect() if r.url}
+    known = "abcdefghijklmnopqrstuvwxyz0/.-_?=&%:#~+@"
+
+    def symbols(url):
+        out = []
+        for b in url.encode():
+            c = chr(b).lower() if b < 128 else "*"
+            c = "0" if c.isdigit() else c
+            out.append(c if c in known else "*")
+        return out
+
+    models = {}
+    for verdict in ("allow", "block"):
+        seen = defaultdict(Counter)
+        for page, url in urls.items():
+            if got[page].rule and got[page].verdict == verdict and zlib.crc32(url.encode()) % 5:
+                s = ["*"] * 3 + symbols(url)
+                for i in range(3, len(s)):
+                    for order in range(4):
+                        seen[tuple(s[i - order : i])][s[i]] += 1
+        models[verdict] = seen
+
+    def likelihood(verdict, url):
+        s, total = ["*"] * 3 + symbols(url), 0.0
+        for i in range(3, len(s)):
+            p = 1 / (len(known) + 1)
+            for order in range(4):
+                c = models[verdict][tuple(s[i - order : i])]
+                kinds = max(1, len(c))
+                p = (c[s[i]] + kinds * p) / (sum(c.values()) + kinds)
+            total += math.log(p)
+        return total / (len(s) - 3)
+
+    some = list(urls.items())[:60]
+    assert some and all(abs(got[p].score - (likelihood("allow", u) - likelihood("block", u))) < 1e-4 for p, u in some)
