@@ -17,7 +17,7 @@ judged in rounds. The leader of a tile is the class that meets most others over
 original of many near copies. First each class is compared with the leader it shares most tiles with, then
 with all its leaders of other components. At last all pairs of different components are compared that share
 a tile: in small tiles by a join, in large ones block by block, where only pairs that pass the bounds leave
-the task.
+the task, each from one of its tiles.
 """
 
 from __future__ import annotations
@@ -249,9 +249,22 @@ def _decide(n: int, num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Pairs of a block pair of one tile that are of different components and pass both bounds."""
+    """Pairs of a block pair of one tile that are of different components and pass both bounds.
+
+    A pair that shares several tiles comes from the least of them alone.
+    """
 
     def run(key, table):
+        tile, own = key[0].as_py(), table["tiles"].combine_chunks()
+        starts, listed = np.asarray(own.offsets), np.asarray(own.values)
+        before: dict[int, set[int]] = {}
+
+        def earlier(i: int) -> set[int]:
+            if i not in before:
+                mine = listed[starts[i] : starts[i + 1]]
+                before[i] = set(mine[mine < tile].tolist())
+            return before[i]
+
         node, n, comp = (np.asarray(table[c]) for c in ("node", "n", "comp"))
         bits = np.asarray(table["bits"].combine_chunks().flatten()).reshape(len(node), -1).view(np.uint64)
         other = np.asarray(table["other"])
@@ -263,6 +276,7 @@ def _across(num: int, den: int):
             less = np.bitwise_count(bits[i] & ~bits[js]).sum(1, dtype=np.int64), np.bitwise_count(bits[js] & ~bits[i]).sum(1, dtype=np.int64)
             most = np.minimum(n[i] - less[0], n[js] - less[1])
             js = js[most * (den + num) >= (n[i] + n[js]) * num]
+            js = js[[earlier(i).isdisjoint(earlier(j)) for j in js.tolist()]] if len(js) else js
             out.append(np.column_stack((np.minimum(node[i], node[js]), np.maximum(node[i], node[js]))))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
@@ -354,10 +368,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     x = small.select("tile", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = small.select("tile", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = x.join(y, "tile").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    large = here.where(F.col("width") > SMALL).join(classes.select("node", "bits"), "node")
+    large = here.where(F.col("width") > SMALL)
+    listed = stage(large.groupBy("node").agg(F.collect_set("tile").alias("tiles")).join(classes.select("node", "bits"), "node"), "listed")
+    large = large.join(listed, "node")
     large = large.withColumn("blocks", F.ceil(F.col("width") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = large.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
-    large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", (F.col("mine") != F.col("pair.bi")).alias("other"))
+    large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", "tiles", (F.col("mine") != F.col("pair.bi")).alias("other"))
     rest = rest.select("a", "b").union(large.groupBy("tile", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")).distinct()
     comp = stage.hold(merged_components(comp, decided(stage(rest, "pairs"))))
 
