@@ -50,6 +50,23 @@ def filtered(segments: DataFrame, what: str, *args) -> DataFrame:
     return segments.withColumn("pcm", au.mapped(f, *args)("pcm", "sample_rate"))
 
 
+def with_effects(segments: DataFrame, pitch: str = "pitch_semitones", speed: str = "speed", tone: str = "tone", stretched: str | None = None, mix: Column | None = None) -> DataFrame:
+    """The effect chain over ``segments(sample_rate, pcm)``: tone, a share of the original, and samples within -1 and 1.
+
+    Changing speed and pitch is an external tool's work: ``stretched`` names the column with its samples (null:
+    as they were). ``mix`` replaces the share that pitch, speed and tone give. Null effects count as none.
+    """
+    effect = [F.coalesce(F.col(c).cast("double"), F.lit(x)) for c, x in ((pitch, 0.0), (speed, 1.0))]
+    kind = F.coalesce(F.col(tone), F.lit("neutral"))
+    made = F.coalesce(F.col(stretched), F.col("pcm")) if stretched else F.col("pcm")
+    none = F.col(pitch).isNull() & F.col(speed).isNull() & F.col(tone).isNull()
+    shaped = F.when(kind == "warm", au.mapped(au.tone, "warm")(made, "sample_rate")).when(kind == "bright", au.mapped(au.tone, "bright")(made, "sample_rate")).otherwise(made.cast("array<double>"))
+    out = segments.withColumn("_shaped", shaped)
+    share = au.blend_share(*effect, kind) if mix is None else mix
+    clipped = F.transform(au.blended("pcm", F.col("_shaped"), share), lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+    return out.withColumn("pcm", F.when(none, F.col("pcm").cast("array<double>")).otherwise(clipped)).drop("_shaped")
+
+
 def assembled(segments: DataFrame, keys: list[str], fade_ms: float = 30.0) -> DataFrame:
     """One row per chapter: its segments in order with pauses and crossfades. A chapter is one array in one task."""
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema}

@@ -78,7 +78,7 @@ def parse(html: str | None) -> Node:
 def element_text(node: Node, keep_lines: bool = True) -> str:
     """Text of an element: verse keeps its lines, all else is joined by blanks."""
     if keep_lines and node.name in ("pre", "blockquote"):
-        return "\n".join(s.strip() for s in node.strings() if s.strip())
+        return "\n".join(node.strings()).strip()
     return " ".join(s.strip() for s in node.strings() if s.strip())
 
 
@@ -86,7 +86,7 @@ def full_text(root: Node) -> str:
     """Texts of all blocks in document order (a block within a block is told twice), else all text."""
     _without(root, {"script", "style", "nav"})
     parts = [t for t in (element_text(n) for n in root.walk() if n.name in BLOCKS) if t]
-    return "\n\n".join(parts) if parts else "\n".join(s.strip() for s in root.strings() if s.strip())
+    return "\n\n".join(parts or [s.strip() for s in root.strings() if s.strip()])
 
 
 def _without(node: Node, names: set[str]) -> None:

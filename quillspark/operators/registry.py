@@ -28,11 +28,27 @@ def first_tone(raw: DataFrame) -> DataFrame:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Registry rows of ``raw(book_id, chapter, raw_id, gender, ...)``; of equal ids the last wins."""
-    rows = raw.withColumn("id", tx.speaker_id("raw_id", hyphens=True))
-    last = rows.groupBy("book_id", "id").agg(F.min("chapter").alias("ord"), F.max_by(F.struct("gender", "voice_description"), "chapter").alias("m"))
+    """Registry rows of ``raw(book_id, chapter, raw_id, gender, voice_description)``; of equal ids the last wins.
+
+    ``raw`` may also have name, age_range, personality_traits (an array) and speaking_style. What is absent or
+    null is: the id as a name, ``unknown``, no traits, empty.
+    """
+    kinds = {"gender": "string", "voice_description": "string", "name": "string", "age_range": "string", "personality_traits": "array<string>", "speaking_style": "string"}
+    given = [(F.col(k) if k in raw.columns else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+    rows = raw.select("book_id", "chapter", tx.speaker_id("raw_id", hyphens=True).alias("id"), F.struct(*given).alias("m"))
+    last = rows.groupBy("book_id", "id").agg(F.min("chapter").alias("ord"), F.max_by("m", "chapter").alias("m"))
     gender = F.lower(F.coalesce("m.gender", F.lit("other")))
-    return last.select("book_id", "id", "ord", tx.display_name("id").alias("name"), F.when(gender.isin(GENDERS), gender).otherwise("other").alias("gender"), F.col("m.voice_description").alias("voice_description"))
+    return last.select(
+        "book_id",
+        "id",
+        "ord",
+        F.coalesce("m.name", tx.display_name("id")).alias("name"),
+        F.when(gender.isin(GENDERS), gender).otherwise("other").alias("gender"),
+        F.coalesce("m.voice_description", F.lit("")).alias("voice_description"),
+        F.coalesce("m.age_range", F.lit("unknown")).alias("age_range"),
+        F.coalesce("m.personality_traits", F.array().cast("array<string>")).alias("personality_traits"),
+        F.coalesce("m.speaking_style", F.lit("")).alias("speaking_style"),
+    )
 
 
 def with_narrator(registry: DataFrame) -> DataFrame:
@@ -49,6 +65,6 @@ def capped(registry: DataFrame, most: int = 20) -> DataFrame:
 
 def formatted(registry: DataFrame) -> DataFrame:
     """The registry of each book as a list for a prompt."""
-    line = F.concat(F.lit("- **"), "name", F.lit("** (id: `"), "id", F.lit("`, "), "gender", F.lit(")"))
+    line = F.concat(F.lit("- **"), "name", F.lit("** (id: `"), "id", F.lit("`, "), "gender", F.lit(", "), "age_range", F.lit("): "), "speaking_style")
     rows = registry.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", line.alias("line")))).alias("rows"))
     return rows.select("book_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("listing"))

@@ -102,10 +102,10 @@ def voice_batches(lines: DataFrame, keys: list[str], size: int = 5) -> DataFrame
 
 
 def instruction(emotion: Column | str, speed: Column | str) -> Column:
-    """What the speech model is told: emotion and pace."""
+    """What the speech model is told: any emotion that is named, and the pace (fixed phrases and bands)."""
     e, s = tx.c(emotion), tx.c(speed)
-    pace = F.when(s < 0.85, "Speak slowly and deliberately").when(s < 0.95, "Speak at a slightly slower pace").when(s > 1.15, "Speak quickly with energy").when(s > 1.05, "Speak at a slightly faster pace")
-    feeling = F.when(F.coalesce(e, F.lit("")).isin("", "neutral"), None).otherwise(F.concat(F.lit("Speak with "), e))
+    pace = F.when(s < 0.9, "at a slow, measured pace").when(s < 1.0, "at a slightly slower pace").when(s > 1.1, "at a quick, energetic pace").when(s > 1.0, "at a slightly faster pace")
+    feeling = F.when(e != "", F.concat(F.lit("Speak with "), e))
     out = F.concat_ws(". ", feeling, pace)
     return F.when(out == "", "").otherwise(F.concat(out, F.lit(".")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Where a run resumes, and the stages that follow each status.
-RESUMES = {"paused": "created", "error": "created"}
+RESUMES = {"paused": "created", "error": "created", "paused_scheduled": "created", "deploy_paused": "created", "extracting": "created"}
 STAGES = ["scripting", "bootstrapping", "generating", "mastering", "exporting"]
 NEXT = {"created": "scripting", "scripting": "scripting", "bootstrapping": "bootstrapping", "generating": "generating", "mastering": "mastering", "exporting": "exporting"}
 
@@ -29,6 +29,14 @@ def merged_json(old: Column | str, new: Column | str) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
+def merged_state(old: Column | str, new: Column | str) -> Column:
+    """Shallow merge of JSON objects as JSON text: keys of ``new`` win, values of any kind stay as they are."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    read = lambda c: F.coalesce(F.try_parse_json(col(c)).cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    a, b = read(old), read(new)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
+
+
 def add_if_absent(items: Column | str, item: Column | str) -> Column:
     item = F.col(item) if isinstance(item, str) else item
     return F.array_union(items, F.array(item))
@@ -60,14 +68,16 @@ def may_run(times: DataFrame, windows: DataFrame) -> DataFrame:
     return times.withColumn("_w", listed).withColumn("allowed", (F.size("_w") == 0) | ok).drop("_w")
 
 
-def stages_to_run(status: Column | str) -> Column:
-    """Stages that a job in this status still runs, in order."""
+def stages_to_run(status: Column | str, selective: Column | None = None) -> Column:
+    """Stages that a job in this status still runs, in order; a run of selected chapters always ends in an export."""
     s = F.col(status) if isinstance(status, str) else status
     table = {**NEXT, **{k: NEXT[v] for k, v in RESUMES.items()}}
     out = F.array().cast("array<string>")
     for name, first in table.items():
         out = F.when(s == name, F.array(*[F.lit(x) for x in STAGES[STAGES.index(first) :]])).otherwise(out)
-    return out
+    if selective is None:
+        return out
+    return F.when(selective & ~F.array_contains(out, "exporting"), F.array(F.lit("exporting"))).otherwise(out)
 
 
 def coarse_status(status: Column | str) -> Column:
@@ -76,19 +86,29 @@ def coarse_status(status: Column | str) -> Column:
 
 
 def chapter_grid(jobs: DataFrame) -> DataFrame:
-    """One row per chapter of ``jobs(project_id, total, scripted, generated, mastered, status)`` with its state."""
+    """One row per chapter of ``jobs`` with its state, the furthest that holds.
+
+    ``jobs`` has project_id, total, the arrays scripted, generated and mastered, and the chapters at work (null:
+    none) generating and scripting.
+    """
     rows = jobs.select("*", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("chapter"))
     has = lambda c: F.array_contains(c, F.col("chapter"))
-    state = F.when((F.col("status") == "complete") & has("mastered"), "Done").when(has("mastered"), "Master").when(has("generated"), "Gen").when(has("scripted"), "Scripted").when(F.col("status") == "scripting", "Script").otherwise("Pending")
+    at = lambda c: F.col(c) == F.col("chapter")
+    state = F.when(has("mastered"), "Done").when(has("generated"), "Master").when(at("generating"), "Gen").when(has("scripted"), "Scripted").when(at("scripting"), "Script").otherwise("Pending")
     return rows.select("project_id", "chapter", state.alias("state"))
 
 
-def stage_percent(stage: Column, done: Column, total: Column) -> Column:
-    """Progress of a stage in percent: in-flight generation counts half, export half, at most 100."""
+def stage_percent(stage: Column, done: Column, total: Column, bootstrapped: Column | None = None) -> Column:
+    """Progress of a stage in whole percent, halves up, at most 100.
+
+    A chapter being generated or validated counts half; voices count a quarter until they are all made, an
+    export half.
+    """
     share = F.when(total > 0, done / total * 100).otherwise(0.0)
-    busy = F.when(total > 0, (done + 0.5) / total * 100).otherwise(0.0)
-    pct = F.when(stage == "complete", 100.0).when(stage == "generating", busy).when(stage == "bootstrapping", 25.0).when(stage == "exporting", 50.0).otherwise(share)
-    return F.least(F.lit(100.0), pct)
+    busy = F.when(total > 0, (done + F.when(done < total, 0.5).otherwise(0.0)) / total * 100).otherwise(0.0)
+    voices = F.lit(25.0) if bootstrapped is None else F.when(bootstrapped, 100.0).otherwise(25.0)
+    pct = F.when(stage == "complete", 100.0).when(stage.isin("generating", "validating"), busy).when(stage == "bootstrapping", voices).when(stage == "exporting", 50.0).otherwise(share)
+    return F.least(F.lit(100.0), F.floor(pct + 0.5).cast("double"))
 
 
 def percent(done: Column, total: Column) -> Column:

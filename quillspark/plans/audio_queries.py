@@ -129,21 +129,36 @@ def k11_mono(spark, d):
     return rows.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-_SEV = "least(1.0::double, least(1.0::double, abs(p) / 3) + CASE WHEN abs(s - 1) > 0.001 THEN 0.15::double ELSE 0 END + 0.1::double)"
-_FX = "SELECT vec_id, pcm, CAST(vec_id % 9 - 4 AS DOUBLE) / 2 AS p, CASE WHEN vec_id % 2 = 0 THEN 1.0::double ELSE 0.8::double END AS s FROM " + _S
+_SEV = "least(1.0::double, least(1.0::double, abs(p) / 3) + CASE WHEN abs(s - 1) > 0.1::double THEN 0.1::double ELSE 0 END + CASE WHEN tone <> 'neutral' THEN 0.15::double ELSE 0 END)"
+_FX = "SELECT vec_id, pcm, CAST(vec_id % 9 - 4 AS DOUBLE) / 2 AS p, CASE WHEN vec_id % 4 = 0 THEN 1.0::double WHEN vec_id % 4 = 2 THEN 0.95::double ELSE 0.8::double END AS s, CASE WHEN vec_id % 3 = 0 THEN 'neutral' ELSE 'warm' END AS tone FROM " + _S
+
+
+def effects(rows):
+    """Pitch, speed and tone of an effect by vec_id."""
+    n = F.col("vec_id")
+    speed = F.when(n % 4 == 0, 1.0).when(n % 4 == 2, 0.95).otherwise(0.8)
+    return rows.select("vec_id", "sample_rate", "pcm", ((n % 9 - 4).cast("double") / 2).alias("p"), speed.alias("s"), F.when(n % 3 == 0, "neutral").otherwise("warm").alias("tone"))
 
 
 @query("j16_k14_blend", f"SELECT vec_id, round(0.2 * (1 - {_SEV}), 9) AS share, round(list_sum(list_transform(pcm, lambda x: x * least(0.4, greatest(0, 0.2 * (1 - {_SEV}))) + x * 3 * (1 - least(0.4, greatest(0, 0.2 * (1 - {_SEV})))))), 6) AS total FROM ({_FX})")
 def j16_k14_blend(spark, d):
-    rows = segments(spark, d).select("vec_id", "pcm", ((F.col("vec_id") % 9 - 4).cast("double") / 2).alias("p"), F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.8).alias("s"))
-    mixed = au.blended("pcm", au.gained("pcm", F.lit(3.0)), au.blend_share("p", "s"))
-    return rows.select("vec_id", F.round(au.blend_share("p", "s"), 9).alias("share"), F.round(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    rows = effects(segments(spark, d))
+    mixed = au.blended("pcm", au.gained("pcm", F.lit(3.0)), au.blend_share("p", "s", "tone"))
+    return rows.select("vec_id", F.round(au.blend_share("p", "s", "tone"), 9).alias("share"), F.round(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("k12_effects", f"SELECT vec_id, round(list_sum(list_transform(pcm, lambda x: least(1, greatest(-1, x * m + greatest(-1000, x * 3) * (1 - m))))), 6) AS total FROM (SELECT vec_id, pcm, 0.2 * (1 - {_SEV}) AS m FROM ({_FX}) WHERE tone = 'neutral')")
+def k12_effects(spark, d):
+    """The chain over segments of neutral tone, for which the stretched samples are thrice as loud."""
+    rows = effects(segments(spark, d)).where("tone = 'neutral'").withColumn("loud", au.gained("pcm", F.lit(3.0)))
+    out = op.with_effects(rows, "p", "s", "tone", stretched="loud")
+    return out.select("vec_id", F.round(F.aggregate("pcm", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("d9_d10_effect_predicates", f"SELECT vec_id, abs(p) < 0.001 AND abs(s - 1) < 0.001 AS is_identity, NOT (abs(p) < 0.001 AND abs(s - 1) < 0.001) AS needs_tool FROM ({_FX})")
+@query("d9_d10_effect_predicates", f"SELECT vec_id, abs(p) < 0.001 AND abs(s - 1) < 0.001 AND tone = 'neutral' AS is_identity, NOT (abs(p) < 0.001 AND abs(s - 1) < 0.001) AS needs_tool FROM ({_FX})")
 def d9_d10_effect_predicates(spark, d):
-    rows = view(spark, d, "segments").where("pcm is not null").select("vec_id", ((F.col("vec_id") % 9 - 4).cast("double") / 2).alias("p"), F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.8).alias("s"))
-    return rows.select("vec_id", op.is_identity("p", "s").alias("is_identity"), op.needs_tool("p", "s").alias("needs_tool"))
+    rows = effects(view(spark, d, "segments").where("pcm is not null"))
+    return rows.select("vec_id", op.is_identity("p", "s", F.col("tone")).alias("is_identity"), op.needs_tool("p", "s").alias("needs_tool"))
 
 
 @query("m4_fallback_silence", "SELECT vec_id, CASE WHEN pcm IS NULL OR vec_id % 50 = 0 THEN 80 ELSE len(pcm) END AS n FROM {segments}")

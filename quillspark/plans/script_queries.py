@@ -151,26 +151,33 @@ def f6_accumulate_registry(spark, d):
     return rg.accumulate(view(spark, d, "registry_raw")).withColumn("gender", F.coalesce("gender", F.lit("-")))
 
 
-PARSED = f"""p AS (SELECT book_id, id, ord, list_reduce(list_transform(string_split(replace(id, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda a, b: a || ' ' || b) AS name, CASE WHEN g IN ('male', 'female', 'other') THEN g ELSE 'other' END AS gender FROM (
-SELECT book_id, {_ID} AS id, min(chapter) AS ord, lower(arg_max(coalesce(gender, 'other'), chapter)) AS g FROM {{registry_raw}} GROUP BY 1, 2))"""
+PARSED = f"""p AS (SELECT book_id, id, ord, coalesce(nm, list_reduce(list_transform(string_split(replace(id, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda a, b: a || ' ' || b)) AS name, CASE WHEN g IN ('male', 'female', 'other') THEN g ELSE 'other' END AS gender, coalesce(age, 'unknown') AS age_range, coalesce(style, '') AS speaking_style FROM (
+SELECT book_id, {_ID} AS id, min(chapter) AS ord, lower(arg_max(coalesce(gender, 'other'), chapter)) AS g, nullif(arg_max(CASE WHEN chapter % 7 < 3 THEN concat('Name ', chapter) ELSE '' END, chapter), '') AS nm,
+nullif(arg_max(CASE WHEN chapter % 2 = 0 THEN 'adult' ELSE '' END, chapter), '') AS age, arg_max(coalesce(tone, ''), chapter) AS style FROM {{registry_raw}} GROUP BY 1, 2))"""
+
+
+def given(spark, d):
+    """Raw registry rows, of which some give a name or an age."""
+    n = F.col("chapter")
+    return view(spark, d, "registry_raw").withColumns({"name": F.when(n % 7 < 3, F.concat(F.lit("Name "), n)), "age_range": F.when(n % 2 == 0, "adult"), "speaking_style": F.col("tone")})
 
 
 @query("f7_parse_registry", f"WITH {PARSED} SELECT * FROM p")
 def f7_parse_registry(spark, d):
-    return rg.parsed(view(spark, d, "registry_raw")).drop("voice_description")
+    return rg.parsed(given(spark, d)).drop("voice_description", "personality_traits")
 
 
-NARRATED = PARSED + ", w AS (SELECT * FROM p UNION ALL SELECT book_id, 'narrator', max(ord) + 1, 'Narrator', 'male' FROM p GROUP BY 1 HAVING count(*) FILTER (id = 'narrator') = 0)"
+NARRATED = PARSED + ", w AS (SELECT book_id, id, ord, name, gender FROM p UNION ALL SELECT book_id, 'narrator', max(ord) + 1, 'Narrator', 'male' FROM p GROUP BY 1 HAVING count(*) FILTER (id = 'narrator') = 0)"
 
 
 @query("f8_cap_voices", f"WITH {NARRATED}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, id = 'narrator' ORDER BY ord, id) AS n FROM w) SELECT book_id, id, ord, name, gender FROM r WHERE id = 'narrator' OR n <= 5")
 def f8_cap_voices(spark, d):
-    return rg.capped(rg.with_narrator(rg.parsed(view(spark, d, "registry_raw"))), most=6)
+    return rg.capped(rg.with_narrator(rg.parsed(given(spark, d))), most=6)
 
 
-@query("j20_format_registry", f"WITH {PARSED} SELECT book_id, md5(string_agg(concat('- **', name, '** (id: `', id, '`, ', gender, ')'), chr(10) ORDER BY ord, id)) AS digest FROM p GROUP BY 1")
+@query("j20_format_registry", f"WITH {PARSED} SELECT book_id, md5(string_agg(concat('- **', name, '** (id: `', id, '`, ', gender, ', ', age_range, '): ', speaking_style), chr(10) ORDER BY ord, id)) AS digest FROM p GROUP BY 1")
 def j20_format_registry(spark, d):
-    return rg.formatted(rg.parsed(view(spark, d, "registry_raw"))).select("book_id", F.md5(F.col("listing").cast("binary")).alias("digest"))
+    return rg.formatted(rg.parsed(given(spark, d))).select("book_id", F.md5(F.col("listing").cast("binary")).alias("digest"))
 
 
 @query("f6_first_tone", "SELECT book_id, arg_min(tone, chapter) AS tone FROM {registry_raw} WHERE tone <> '' GROUP BY 1")
@@ -186,7 +193,7 @@ def j3_speaker_ids(spark, d):
 @query(
     "j14_instructions",
     """WITH l AS (SELECT line_id, speed, CASE WHEN line_ord % 3 = 0 THEN 'neutral' WHEN line_ord % 3 = 1 THEN 'joy' ELSE '' END AS e FROM {script_lines}),
-p AS (SELECT line_id, CASE WHEN e NOT IN ('', 'neutral') THEN 'Speak with ' || e END AS f, CASE WHEN speed < 0.85::double THEN 'Speak slowly and deliberately' WHEN speed < 0.95::double THEN 'Speak at a slightly slower pace' WHEN speed > 1.15::double THEN 'Speak quickly with energy' WHEN speed > 1.05::double THEN 'Speak at a slightly faster pace' END AS s FROM l)
+p AS (SELECT line_id, CASE WHEN e <> '' THEN 'Speak with ' || e END AS f, CASE WHEN speed = 1 THEN NULL WHEN speed < 0.9::double THEN 'at a slow, measured pace' WHEN speed < 1 THEN 'at a slightly slower pace' WHEN speed > 1.1::double THEN 'at a quick, energetic pace' ELSE 'at a slightly faster pace' END AS s FROM l)
 SELECT line_id, CASE WHEN f IS NULL AND s IS NULL THEN '' ELSE concat_ws('. ', f, s) || '.' END AS instruction FROM p""",
 )
 def j14_instructions(spark, d):

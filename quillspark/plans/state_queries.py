@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import state as stt
+from ..runtime import gapless_rank
 from .registry import query
 from .views import query as sql
 from .views import view
@@ -46,24 +47,29 @@ def d7_job_lookup(spark, d):
     return jobs(spark, d).where("project_id = 'job42'").select("project_id", "status")
 
 
-@query("h1_jobs_by_update", "SELECT project_id, row_number() OVER (ORDER BY updated_at DESC, project_id) AS place FROM {jobs} QUALIFY place <= 50")
+def placed(rows, time):
+    """Places from 1 by falling time, then by project, with no task that holds all rows."""
+    late = F.format_string("%012d", F.lit(10**11) - F.unix_seconds(F.col(time).cast("timestamp")))
+    keyed = rows.select("project_id", F.lit(0).alias("all"), late.alias("day"), F.concat(late, "project_id").alias("key"))
+    return gapless_rank(keyed, "all", ["day"], "key", "place").select("project_id", (F.col("place") + 1).cast("int").alias("place"))
+
+
+@query("h1_jobs_by_update", "SELECT project_id, row_number() OVER (ORDER BY updated_at DESC, project_id) AS place FROM {jobs}")
 def h1_jobs_by_update(spark, d):
-    """The fifty jobs updated last (a top-k report)."""
-    top = view(spark, d, "jobs").orderBy(F.desc("updated_at"), "project_id").limit(50)
-    return top.select("project_id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "project_id")).alias("place"))
+    """Places of all jobs, those updated last first."""
+    return placed(view(spark, d, "jobs"), "updated_at")
 
 
-@query("h2_projects_by_creation", "SELECT project_id, row_number() OVER (ORDER BY created_at DESC, project_id) AS place FROM {jobs} QUALIFY place <= 50")
+@query("h2_projects_by_creation", "SELECT project_id, row_number() OVER (ORDER BY created_at DESC, project_id) AS place FROM {jobs}")
 def h2_projects_by_creation(spark, d):
-    top = view(spark, d, "jobs").orderBy(F.desc("created_at"), "project_id").limit(50)
-    return top.select("project_id", F.row_number().over(Window.orderBy(F.desc("created_at"), "project_id")).alias("place"))
+    return placed(view(spark, d, "jobs"), "created_at")
 
 
-@query("i7_merge_state", "SELECT project_id, 'exporting' AS status, json_extract_string(state, '$.total_chapters') AS total_chapters, '7' AS chapters_mastered FROM {jobs}")
+@query("i7_merge_state", "SELECT project_id, 'exporting' AS status, CAST(json_extract_string(state, '$.total_chapters') AS INT) AS total_chapters, 7 AS chapters_mastered, '[1,2]' AS done FROM {jobs}")
 def i7_merge_state(spark, d):
-    merged = stt.merged_json("state", F.lit('{"status": "exporting", "chapters_mastered": 7}'))
-    rows = view(spark, d, "jobs").select("project_id", merged.alias("m"))
-    return rows.select("project_id", *[F.col("m")[k].alias(k) for k in ("status", "total_chapters", "chapters_mastered")])
+    merged = stt.merged_state("state", F.lit('{"status": "exporting", "chapters_mastered": 7, "done": [1, 2]}'))
+    rows = view(spark, d, "jobs").select("project_id", F.from_json(merged, "status string, total_chapters int, chapters_mastered int, done array<int>").alias("m"))
+    return rows.select("project_id", "m.status", "m.total_chapters", "m.chapters_mastered", F.to_json("m.done").alias("done"))
 
 
 @query("d14_coarse_status", f"SELECT project_id, CASE WHEN {STATUS} IN ('error', 'paused', 'complete') THEN {STATUS} ELSE 'running' END AS status FROM {{jobs}}")
@@ -114,20 +120,20 @@ def d5_partial_export(spark, d):
 @query(
     "e10_chapter_grid",
     f"""WITH j AS (SELECT project_id, {STATUS} AS status, CAST(json_extract_string(state, '$.total_chapters') AS INT) AS total, CAST(json_extract_string(state, '$.chapters_generated') AS INT) AS done FROM {{jobs}}), e AS (SELECT *, CAST(unnest(range(1, total + 1)) AS INT) AS chapter FROM j)
-SELECT project_id, chapter, CASE WHEN chapter <= done - 1 AND status = 'complete' THEN 'Done' WHEN chapter <= done - 1 THEN 'Master' WHEN chapter <= done THEN 'Gen' WHEN chapter <= done + 2 THEN 'Scripted' ELSE 'Pending' END AS state FROM e""",
+SELECT project_id, chapter, CASE WHEN chapter <= done - 1 THEN 'Done' WHEN chapter <= done THEN 'Master' WHEN chapter = done + 1 THEN 'Gen' WHEN chapter <= done + 2 THEN 'Scripted' WHEN chapter = done + 3 AND status = 'created' THEN 'Script' ELSE 'Pending' END AS state FROM e""",
 )
 def e10_chapter_grid(spark, d):
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    rows = jobs(spark, d).withColumns({"mastered": upto(F.col("done") - 1), "generated": upto(F.col("done")), "scripted": upto(F.col("done") + 2)})
+    rows = jobs(spark, d).withColumns({"mastered": upto(F.col("done") - 1), "generated": upto(F.col("done")), "scripted": upto(F.col("done") + 2), "generating": F.col("done") + 1, "scripting": F.when(F.col("status") == "created", F.col("done") + 3)})
     return stt.chapter_grid(rows)
 
 
 @query(
     "f13_stage_percent",
-    f"SELECT project_id, round(least(100, CASE {STATUS} WHEN 'complete' THEN 100 WHEN 'generating' THEN (d + 0.5) / t * 100 ELSE d / t * 100 END), 6)::double AS pct FROM (SELECT *, CAST(json_extract_string(state, '$.total_chapters') AS DOUBLE) AS t, CAST(json_extract_string(state, '$.chapters_generated') AS DOUBLE) AS d FROM {{jobs}})",
+    f"SELECT project_id, least(100, floor(0.5 + CASE {STATUS} WHEN 'complete' THEN 100 WHEN 'generating' THEN (d + CASE WHEN d < t THEN 0.5 ELSE 0 END) / t * 100 ELSE d / t * 100 END))::double AS pct FROM (SELECT *, CAST(json_extract_string(state, '$.total_chapters') AS DOUBLE) AS t, CAST(json_extract_string(state, '$.chapters_generated') AS DOUBLE) AS d FROM {{jobs}})",
 )
 def f13_stage_percent(spark, d):
-    return jobs(spark, d).select("project_id", F.round(stt.stage_percent(F.col("status"), F.col("done"), F.col("total")), 6).alias("pct"))
+    return jobs(spark, d).select("project_id", stt.stage_percent(F.col("status"), F.col("done"), F.col("total")).alias("pct"))
 
 
 @query("j15_percent", "SELECT project_id, round_even(d / t * 100, 1) AS pct FROM (SELECT project_id, CAST(json_extract_string(state, '$.total_chapters') AS DOUBLE) AS t, CAST(json_extract_string(state, '$.chapters_generated') AS DOUBLE) AS d FROM {jobs})")
@@ -167,10 +173,10 @@ def g11_ring_buffer(spark, d):
     return rows.withColumn("_n", n).where("_n <= 500").drop("_n")
 
 
-LOG = "SELECT event_id, concat('12:00:00 | ', CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'WARNING' ELSE 'DEBUG' END, ' | ', CASE WHEN event_id % 5 = 0 THEN 'httpx' ELSE 'engine.run' END, ' | m') AS raw FROM {events}"
+LOG = "SELECT event_id, concat('12:00:00 | ', CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'WARNING' ELSE 'DEBUG' END, ' | ', CASE WHEN event_id % 5 = 0 THEN 'uvicorn.access' WHEN event_id % 5 = 1 THEN 'uvicorn.error' WHEN event_id % 5 = 2 THEN 'httpx' ELSE 'engine.run' END, ' | m') AS raw FROM {events}"
 
 
-@query("d8_j24_log_lines", f"SELECT event_id, CASE WHEN contains(raw, '| ERROR |') THEN 'error' WHEN contains(raw, '| WARNING |') THEN 'warn' ELSE 'info' END AS level FROM ({LOG}) WHERE NOT contains(raw, '| DEBUG |') AND NOT contains(raw, '| httpx |')")
+@query("d8_j24_log_lines", f"SELECT event_id, CASE WHEN contains(raw, '| ERROR |') THEN 'error' WHEN contains(raw, '| WARNING |') THEN 'warn' ELSE 'info' END AS level FROM ({LOG}) WHERE NOT contains(raw, '| DEBUG |') AND NOT contains(raw, '| uvicorn.')")
 def d8_j24_log_lines(spark, d):
     from ..streaming.events import classified_logs
 

@@ -154,7 +154,7 @@ def b5_heading_lines(spark, d):
 
 @query(
     "b4_heading_sections",
-    """WITH t AS (SELECT doc_id, concat('front', chr(10), 'Chapter 1', chr(10), substr(text, 1, 50), chr(10), 'Epilogue', chr(10), substr(text, 51)) AS t FROM {documents} WHERE length(text) > 60),
+    """WITH t AS (SELECT doc_id, concat('front', chr(10), 'Chapter 1', chr(10), substr(text, 1, 50), chr(10), 'Epilogue', chr(10), substr(text, 51)) AS t FROM {documents}),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS p FROM t),
 h AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(chapter|part)\\s+(\\d+|[ivxlcdm]+)|(?i)^(prologue|epilogue|interlude)\\b|^\\d+\\.\\s') THEN 1 ELSE 0 END AS hd FROM l),
 s AS (SELECT *, sum(hd) OVER (PARTITION BY doc_id ORDER BY p) AS section FROM h),
@@ -163,7 +163,7 @@ SELECT doc_id, CAST(section AS INT) AS section, md5(body) AS digest FROM b WHERE
 )
 def b4_heading_sections(spark, d):
     t = F.concat(F.lit("front\nChapter 1\n"), F.substring("text", 1, 50), F.lit("\nEpilogue\n"), F.substring("text", 51, 1 << 30))
-    out = ch.split_by_heading_lines(view(spark, d, "documents").where(F.length("text") > 60).select("doc_id", t.alias("text")), ["doc_id"])
+    out = ch.split_by_heading_lines(view(spark, d, "documents").select("doc_id", t.alias("text")), ["doc_id"])
     return out.select("doc_id", "section", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 

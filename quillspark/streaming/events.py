@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Loggers that are left out.
-NOISY = ["httpx", "httpcore", "uvicorn.access"]
+# Loggers that are left out, besides the dashboard's own.
+NOISY = ["brain.dashboard.api.main", "uvicorn.access", "uvicorn.error"]
 LEVELS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
 MESSAGE = "type string, project_id string, chapter int, line_id string, progress int, total int, percent double, message string, ts timestamp"
 
@@ -52,8 +52,32 @@ def replayed(history: DataFrame, live: DataFrame, ident: str, late: str = "1 hou
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([ident]) if rows.isStreaming else rows.dropDuplicates([ident])
 
 
-def restarts(health: DataFrame, key: str, failures: int = 3, most: int = 5) -> DataFrame:
-    """Watchdog over ``(key, ts, ok)``: when to restart, counting consecutive failures per key.
+def fan_out(logs: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """Each line of ``logs(project_id, ...)`` for every one of ``subscribers(project_id, subscriber)`` of its project."""
+    return logs.join(subscribers, "project_id")
+
+
+def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, end: DataFrame | None = None) -> int:
+    """Give all that a stream holds to ``sink(batch, number)``, then ``end`` as one last batch; the number of batches.
+
+    A batch may come again after a failure, with the same number, by which a sink can tell.
+    """
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    number = (last["batchId"] if last else -1) + 1
+    if end is not None:
+        sink(end, number)
+        number += 1
+    return number
+
+
+#: What tells that a run has ended, as a log line and as a message.
+ENDED = "[PIPELINE ENDED]"
+
+
+def restarts(health: DataFrame, key: str, failures: int = 1, most: int = 5) -> DataFrame:
+    """Watchdog over ``(key, ts, ok)``: when to restart, counting failures since the last success per key.
 
     Every ``failures`` failures in a row call for a restart, at most ``most`` without a success in between.
     Emits ``(key, ts, restart)``; state is two numbers a key.

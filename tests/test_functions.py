@@ -1,7 +1,7 @@
 """Column functions against plain Python on hand-written rows."""
 
+import json
 import re
-import unicodedata
 
 import numpy as np
 import pytest
@@ -12,33 +12,21 @@ from quillspark.functions import text as tx
 from quillspark.operators import script as sc
 from quillspark.operators import state as stt
 
-TEXTS = [
-    "ﬁne ﬄy x​y﻿ z",
-    "“Quote” ‘it’s‚ «g»",
-    "a – b -- c ---- d ‒―",
-    "one\n\n 12 \n\ntwo\n12345\n7\n",
-    "TITLE PAGE\nKeep this.\n* * *\n\"LOUD\"\nA B C D E F\n   \nend",
-    "a\r\nb\rc  \t d\n\n\n\n\ne \n",
-    "été ñ",
-    "line sep para",
-    "   ",
-    "",
-    "3.14 is pi. Yes!? No... éè café",
-]
-
-
-def py_clean(text):
-    if not text.strip():
-        return ""
-    text = unicodedata.normalize("NFC", text)
-    for a, b in {**tx.LIGATURES, **tx.SPACES, **tx.QUOTES}.items():
-        text = text.replace(a, b)
-    text = re.sub("--", "—", re.sub("---+", "—", text.replace("–", "—"))).replace("‒", "—").replace("―", "—")
-    text = re.sub(r"(?m)^\s*\d{1,4}\s*$", "", text)
-    header = lambda s: s and s == s.upper() and len(s) < 60 and len(s.split()) <= 5 and s[0] != '"'
-    text = "\n".join(x for x in text.split("\n") if not header(x.strip())).replace("\r\n", "\n").replace("\r", "\n")
-    text = re.sub(r"(?m)^[ \t]+|[ \t]+$", "", text)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", text)).strip()
+#: Texts and what is left of them, worked out by hand.
+CLEANED = {
+    "\ufb01ne \ufb04y\u00a0x\u200by\ufeff z": "fine ffly xy z",
+    "\u201cQuote\u201d \u2018it\u2019s\u201a \u00abg\u00bb": "\"Quote\" 'it's' \"g\"",
+    "a \u2013 b -- c ---- d \u2012\u2015": "a \u2014 b \u2014 c \u2014 d \u2014\u2014",
+    "one\n\n 12 \n\ntwo\n12345\n7\n": "one\n\ntwo",
+    'TITLE PAGE\nKeep this.\n* * *\n"LOUD"\nA B C D E F\n   \nend': 'Keep this.\n"LOUD"\nA B C D E F\n\nend',
+    "a\r\nb\rc  \t d\n\n\n\n\ne \n": "a\nb\nc d\n\ne",
+    "e\u0301te\u0301 n\u0303": "\u00e9t\u00e9 \u00f1",
+    "line\u2028sep\u2029para": "line\nsep\n\npara",
+    "   ": "",
+    "": "",
+    "3.14 is pi. Yes!? No... \u00e9\u00e8 caf\u00e9": "3.14 is pi. Yes!? No... \u00e9\u00e8 caf\u00e9",
+}
+TEXTS = list(CLEANED)
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +39,7 @@ def column(df, c):
 
 
 def test_clean(texts):
-    assert column(texts, tx.cleaned("t")) == [py_clean(t) for t in TEXTS]
+    assert column(texts, tx.cleaned("t")) == list(CLEANED.values())
     assert column(texts, tx.word_count("t")) == [len(t.split()) for t in TEXTS]
     assert column(texts.limit(1), tx.cleaned(F.lit(None).cast("string"))) == [""]
 
@@ -85,6 +73,40 @@ def test_word_error_rate(spark):
     assert column(df, tx.word_error_rate(words("r"), words("h"))) == pytest.approx([wer(norm(r), norm(h)) for r, h in cases])
 
 
+def test_word_error_rate_of_many_words(spark):
+    """More distinct words than a character set has characters."""
+    n = 70_000
+    df = spark.range(1).select(F.lit(0).alias("i"), F.expr(f"transform(sequence(1, {n}), x -> concat('w', x))").alias("r"))
+    other = F.transform("r", lambda w: F.when(w.isin("w5", "w40000", "w69999"), "x").otherwise(w))
+    assert column(df, tx.word_error_rate(F.col("r"), other))[0] == pytest.approx(3 / n)
+
+
+def test_chapter_grid(spark):
+    jobs = spark.createDataFrame([("p", 6, [1, 2, 3, 4], [1, 2], [1], 3, 5)], "project_id string, total int, scripted array<int>, generated array<int>, mastered array<int>, generating int, scripting int")
+    assert [r.state for r in stt.chapter_grid(jobs).orderBy("chapter").collect()] == ["Done", "Master", "Gen", "Scripted", "Script", "Pending"]
+
+
+def test_effect_chain(spark):
+    from quillspark.operators import audio as op
+
+    rows = [(0, 100, [0.5, -0.5], 0.0, 1.0, "neutral", [0.9, -3.0]), (1, 100, [0.5, -0.5], None, None, None, [9.0, 9.0]), (2, 100, [0.5, -0.5], -4.0, 0.8, "neutral", None)]
+    df = spark.createDataFrame(rows, "i int, sample_rate int, pcm array<double>, pitch_semitones double, speed double, tone string, other array<double>")
+    got = column(op.with_effects(df, stretched="other"), "pcm")
+    assert got[0] == pytest.approx([0.2 * 0.5 + 0.8 * 0.9, -1.0]) and got[1] == [0.5, -0.5] and got[2] == pytest.approx([0.5, -0.5])
+
+
+def test_ranks_of_equal_keys_and_hot_leaves(spark):
+    from quillspark.runtime import gapless_rank
+
+    rows = [("g", "aa", "aa" + ("x" if i < 500 else str(i % 7)), i) for i in range(700)] + [("h", "b", "b", 1)]
+    df = spark.createDataFrame(rows, "g string, b string, k string, i int").repartition(3)
+    for limit in (10, 10_000):
+        got = [r for r in gapless_rank(df, "g", ["b"], "k", "n", leaf_rows=limit).collect()]
+        own = sorted((r.n, r.k) for r in got if r.g == "g")
+        assert [n for n, _ in own] == list(range(700)) and [k for _, k in own] == sorted(k for _, k in own)
+        assert sorted(r.i for r in got if r.g == "g") == list(range(700)) and [r.n for r in got if r.g == "h"] == [0]
+
+
 def test_small_text_functions(spark):
     one = spark.range(1).withColumn("i", F.lit(0))
     get = lambda c: column(one, c)[0]
@@ -95,28 +117,34 @@ def test_small_text_functions(spark):
     assert get(tx.hms(F.lit(3725.9))) == "1:02:05" and get(tx.human_bytes(F.lit(1536))) == "1.5 KB"
     assert get(tx.json_object(F.lit('<think>{"x"}</think> ok {"a": {"b": 1}} bye'))) == '{"a": {"b": 1}}'
     assert get(tx.json_object(F.lit("no"))) is None and get(tx.json_object(F.lit("{broken"))) is None
-    assert get(sc.instruction(F.lit("joy"), F.lit(0.8))) == "Speak with joy. Speak slowly and deliberately."
+    said = {("joy", 0.8): "Speak with joy. at a slow, measured pace.", ("neutral", 0.95): "Speak with neutral. at a slightly slower pace.", ("", 1.05): "at a slightly faster pace.", ("", 1.2): "at a quick, energetic pace.", ("", 1.0): "", ("calm", 1.0): "Speak with calm."}
+    assert {k: get(sc.instruction(F.lit(k[0]), F.lit(k[1]))) for k in said} == said
+    shares = {(0.0, 1.0, "neutral"): 0.2, (-4.0, 0.8, "neutral"): 0.0, (1.5, 1.0, "warm"): 0.2 * 0.35, (0.0, 1.05, "neutral"): 0.2, (0.3, 0.8, "bright"): 0.2 * 0.65}
+    for (p, s, tone), share in shares.items():
+        assert get(au.blend_share(F.lit(p), F.lit(s), F.lit(tone))) == pytest.approx(share, abs=1e-12)
+    names = {"old_tom": "Old Tom", "o'neil": "O'Neil", "agent7x": "Agent7X", "VOICE_2": "Voice 2"}
+    assert {k: get(tx.display_name(F.lit(k))) for k in names} == names
+    for status in ("paused_scheduled", "deploy_paused", "extracting", "created"):
+        assert get(stt.stages_to_run(F.lit(status))) == stt.STAGES
+    assert get(stt.stages_to_run(F.lit("complete"), F.lit(True))) == ["exporting"] and get(stt.stages_to_run(F.lit("mastering"), F.lit(True))) == ["mastering", "exporting"]
+    percents = {("validating", 1, 4): 38.0, ("generating", 4, 4): 100.0, ("bootstrapping", 0, 4): 25.0, ("exporting", 0, 0): 50.0, ("mastering", 1, 3): 33.0}
+    assert {k: get(stt.stage_percent(F.lit(k[0]), F.lit(k[1]), F.lit(k[2]))) for k in percents} == percents
+    assert get(stt.stage_percent(F.lit("bootstrapping"), F.lit(0), F.lit(4), F.lit(True))) == 100
+    assert get(stt.merged_state(F.lit('{"a": 1, "b": {"c": [1]}, "s": "x"}'), F.lit('{"a": {"d": null}, "n": 2.5}'))) is not None
+    merged = json.loads(get(stt.merged_state(F.lit('{"a": 1, "b": {"c": [1]}, "s": "x"}'), F.lit('{"a": {"d": "y"}, "n": 2.5}'))))
+    assert merged == {"a": {"d": "y"}, "b": {"c": [1]}, "s": "x", "n": 2.5}
     assert get(stt.stages_to_run(F.lit("paused"))) == stt.STAGES and get(stt.stages_to_run(F.lit("complete"))) == []
     assert get(stt.percent(F.lit(73), F.lit(400))) == 18.2 and get(stt.percent(F.lit(1), F.lit(0))) == 0
 
 
-def naive_gate(x, rate, threshold_db=-50.0, attack_ms=5.0, release_ms=50.0):
-    size = max(1, int(rate * 0.01))
-    level = np.zeros(len(x))
-    for i in range(0, len(x) - size, size):
-        level[i : i + size] = np.sqrt((x[i : i + size] ** 2).mean())
-    now, out = 0.0, []
-    for loud in level > 10 ** (threshold_db / 20):
-        now = min(1.0, now + 1 / max(1, int(rate * attack_ms / 1000))) if loud > now else max(0.0, now - 1 / max(1, int(rate * release_ms / 1000)))
-        out.append(now)
-    return x * np.array(out)
-
-
-@pytest.mark.parametrize("n, rate", [(0, 1000), (5, 1000), (10, 1000), (11, 1000), (997, 1000), (2000, 8000)])
-def test_gate(n, rate):
-    rng = np.random.default_rng(n)
-    x = rng.standard_normal(n) * np.repeat(rng.choice([0, 1e-4, 0.3, 1.0], 50), n // 50 + 1)[:n]
-    assert np.allclose(au.gate(x, rate), naive_gate(x, rate))
+def test_gate():
+    """At 1 kHz an envelope is 10 samples, the gate opens by 0.2 and closes by 0.02 a sample; at 1 it falls once, then rises."""
+    x = np.array([1.0] * 10 + [0.5] * 2 + [0.0] * 19)
+    opened = [0.2, 0.4, 0.6, 0.8, 1.0, 0.98, 1.0, 0.98, 1.0, 0.98]
+    loud = [1.0 * 0.5, 0.98 * 0.5]  # the second envelope holds 0.5 twice: still above the threshold
+    assert np.allclose(au.gate(x, 1000)[:12], [*opened, *loud]) and not au.gate(x, 1000)[12:].any()
+    for n in (0, 5, 10):  # shorter than an envelope and a sample: never opened
+        assert au.gate(np.ones(n), 1000).tolist() == [0.0] * n
 
 
 def test_assembly_and_resampling():

@@ -99,3 +99,15 @@ def test_ranges_set_rows_aside(spark):
     df = spark.createDataFrame([(1.0, 100), (3.0, 100), (None, 6000), (0.5, None)], "speed double, pause_before_ms int")
     good, bad = split_by_ranges(df)
     assert good.count() == 2 and bad.count() == 2
+
+
+def test_page_texts_by_hand():
+    from quillspark.operators.html import full_text, parse
+
+    pages = {
+        "<body>  one <b>two</b>\n<i> three </i></body>": "one\n\ntwo\n\nthree",
+        "<p>a <b>b</b></p><pre>  first\n    second\n\nthird  </pre>": "a b\n\nfirst\n    second\n\nthird",
+        "<div><p>x</p></div><script>no</script><nav><p>no</p></nav>": "x\n\nx",
+        "": "",
+    }
+    assert {p: full_text(parse(p)) for p in pages} == pages

@@ -61,12 +61,29 @@ def test_watchdog_counts_failures_in_a_row(spark, tmp_path):
     path = str(tmp_path / "health")
     spark.createDataFrame(rows, "service string, ts timestamp, ok boolean").coalesce(1).write.parquet(path)
     df = spark.readStream.schema("service string, ts timestamp, ok boolean").parquet(path)
-    got = run(ev.restarts(df, "service"), "watchdog_t", "append", tmp_path).orderBy("ts").collect()
+    got = run(ev.restarts(df, "service", failures=3), "watchdog_t", "append", tmp_path).orderBy("ts").collect()
     assert [((r.ts - t0).seconds // 60, r.restart) for r in got] == [(5, 1), (8, 2), (12, 1)] and {r.service for r in got} == {"a"}
+    each = run(ev.restarts(spark.readStream.schema("service string, ts timestamp, ok boolean").parquet(path), "service"), "watchdog_e", "append", tmp_path)
+    each = each.where("service = 'a'").orderBy("ts").collect()  # at each failure, five at most, anew after a success
+    assert [((r.ts - t0).seconds // 60, r.restart) for r in each] == [(0, 1), (1, 2), (3, 1), (4, 2), (5, 3), (6, 4), (7, 5), (10, 1), (11, 2), (12, 3)]
 
 
 def test_logs_and_messages(spark):
-    logs = spark.createDataFrame([("t | INFO | engine | a | b",), ("t | ERROR | engine | x",), ("t | DEBUG | engine | x",), ("t | INFO | httpx | x",), ("junk",)], "raw string")
-    assert [(r.level, r.message) for r in ev.classified_logs(logs).collect()] == [("info", "a | b"), ("error", "x")]
+    logs = spark.createDataFrame([("t | INFO | engine | a | b",), ("t | ERROR | engine | x",), ("t | DEBUG | engine | x",), ("t | INFO | uvicorn.access | x",), ("t | INFO | uvicorn.error | x",), ("t | WARNING | httpx | x",), ("junk",)], "raw string")
+    assert [(r.level, r.message) for r in ev.classified_logs(logs).collect()] == [("info", "a | b"), ("error", "x"), ("warn", "x")]
     texts = spark.createDataFrame([('{"type": "progress", "progress": 3}',), ('{"type": "other"}',), ("broken",)], "value string")
     assert [r.progress for r in ev.messages(texts).collect()] == [3]
+
+
+def test_sink_gets_all_batches_then_the_end(spark, folder, tmp_path):
+    seen = []
+    end = spark.createDataFrame([(ev.ENDED,)], "message string")
+    n = ev.run_to_end(stream(spark, folder), lambda batch, k: seen.append((k, batch.count(), batch.columns)), str(tmp_path / "sink"), end)
+    assert [k for k, _, _ in seen] == list(range(n)) and sum(c for _, c, _ in seen[:-1]) == spark.read.parquet(folder).count()
+    assert seen[-1] == (n - 1, 1, ["message"])
+
+
+def test_lines_go_to_the_subscribers_of_their_project(spark):
+    logs = spark.createDataFrame([("p", "a"), ("q", "b"), ("r", "c")], "project_id string, message string")
+    subscribers = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "project_id string, subscriber int")
+    assert sorted((r.subscriber, r.message) for r in ev.fan_out(logs, subscribers).collect()) == [(1, "a"), (1, "b"), (2, "a")]
