@@ -78,41 +78,43 @@ def _runs(h: np.ndarray, bounds: np.ndarray, span: int, min_words: int) -> tuple
 def _spans(span: int, min_words: int):
     def run(batches):
         for batch in batches:
-            rows, parts = [], [[], [], [], []]
+            rows, parts = [], [[], [], []]
             for i, text in enumerate(batch.column(2)):
-                own = _runs(*_parsed(text.as_py() or ""), span, min_words)
-                rows.append(np.full(len(own[0]), i))
-                for c, v in zip(parts, own):
+                at, _, k1, k2 = _runs(*_parsed(text.as_py() or ""), span, min_words)
+                rows.append(np.full(len(at), i))
+                for c, v in zip(parts, (at, k1, k2)):
                     c.append(v)
             if not rows:
                 continue
             take = pa.array(np.concatenate(rows))
-            at, n, k1, k2 = map(np.concatenate, parts)
-            arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "at", "n", "k1", "k2"])
+            at, k1, k2 = map(np.concatenate, parts)
+            arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(k1), pa.array(k2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "at", "k1", "k2"])
 
     return run
 
 
-def _drop(batches):
-    for batch in batches:
-        texts, total, gone, runs = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if not spans:
+def _drop(span: int, min_words: int):
+    """Rows (_id, text, first sentences of the spans to go) -> the text without them, and counts."""
+
+    def run(batches):
+        for batch in batches:
+            texts, total, gone, runs = [], [], [], []
+            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                h, bounds = _parsed(text or "")
+                hit = np.zeros(len(bounds), bool)
+                if starts:
+                    first, sizes, _, _ = _runs(h, bounds, span, min_words)
+                    for i in np.searchsorted(first, sorted(starts)).tolist():
+                        hit[first[i] : first[i] + sizes[i]] = True
+                    text = "".join(t for t, x in zip(sentences(text), hit) if not x)
                 texts.append(text)
-                total.append(len(_parsed(text or "")[1]) - 1)
-                gone.append(0)
-                runs.append(0)
-                continue
-            own = sentences(text)
-            hit = np.zeros(len(own) + 1, bool)
-            for s in spans:
-                hit[s["at"] : s["at"] + s["n"]] = True
-            texts.append("".join(t for t, x in zip(own, hit) if not x))
-            total.append(len(own))
-            gone.append(int(hit.sum()))
-            runs.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, gone, runs))], names=["_id", "text", "n_sentences", "n_removed", "n_spans"])
+                total.append(len(bounds) - 1)
+                gone.append(int(hit.sum()))
+                runs.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, gone, runs))], names=["_id", "text", "n_sentences", "n_removed", "n_spans"])
+
+    return run
 
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 25) -> DataFrame:
@@ -128,17 +130,17 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stage = Tables()
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
-    spans = stage(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words), f"_id {kind}, _h long, at int, n int, k1 long, k2 long"), "spans")
-    twice = stage(spans.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"), "twice")
-    found = stage(spans.join(twice, ["k1", "k2"]), "found")
+    spans = stage(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words), f"_id {kind}, _h long, at int, k1 long, k2 long"), "spans")
+    twice = stage(spans.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1"), "twice")  # half the key tells most
+    found = stage(spans.join(twice, "k1"), "found")
     stage.drop(spans, twice)
     place = F.struct(F.col("_id").isNotNull().alias("x"), "_id", "_h", "at")
     first = stage(found.groupBy("k1", "k2").agg(F.min(place).alias("first")), "first")
     later = found.join(first, ["k1", "k2"]).where(place != F.col("first"))
-    later = stage(later.groupBy("_id", "_h").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "later")
+    later = stage(later.groupBy("_id", "_h").agg(F.collect_set("at").alias("starts")), "later")
     stage.close(later)
-    out = key.join(later, null_safe(key, later, "_id", "_h"), "left").select(key["_id"], "_t", "spans")
-    return out.mapInArrow(_drop, f"_id {kind}, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("_id", id_col)
+    out = key.join(later, null_safe(key, later, "_id", "_h"), "left").select(key["_id"], "_t", "starts")
+    return out.mapInArrow(_drop(span, min_words), f"_id {kind}, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("_id", id_col)
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
