@@ -130,6 +130,9 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stage = Tables()
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
+    shared = key.groupBy("_id").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).where("a <> b")
+    if not shared.head(1):  # ids tell texts apart by themselves, so that spans needn't carry the hash
+        key = key.withColumn("_h", F.lit(0).cast("long"))
     spans = stage(key.select("_id", "_h", "_t").mapInArrow(_spans(span, min_words), f"_id {kind}, _h long, at int, k1 long, k2 long"), "spans")
     twice = stage(spans.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1"), "twice")  # half the key tells most
     found = stage(spans.join(twice, "k1"), "found")
