@@ -59,11 +59,13 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def best_paths(messages: DataFrame) -> DataFrame:
-    """``(tree, node, parent, score)`` -> ``(tree, node, path, depth)``: the messages on the best path of each root.
+def best_paths(messages: DataFrame, choose: str | int = "best") -> DataFrame:
+    """``(tree, node, parent, score, tie)`` -> ``(tree, node, path, root, mean, depth)``: the messages of each chosen path.
 
-    ``tree`` and ``node`` are not null and name a message together. A parent that doesn't exist counts as
-    none. Paths rank by mean score, then by the larger leaf; rows on a cycle are on no path.
+    ``tree`` and ``node`` are not null and name a message together; ``path`` is the leaf. ``choose`` is "best"
+    (one path of each tree), "all" (every path from a root to a leaf) or a number (so many paths of each root).
+    Paths rank by mean score, then by the larger tie of their leaves, then by the larger leaf. A parent that
+    doesn't exist counts as none; rows on a cycle, or below one, are on no path.
     """
     base = messages.select("tree", "node", "parent", "score")
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
@@ -90,15 +92,20 @@ def best_paths(messages: DataFrame) -> DataFrame:
     done = cur.where("up is null").select("tree", "node", "depth", "score", "root")
     inner = stage(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct(), "inner")
     leaves = done.join(inner, ["tree", "node"], "left_anti")
-    rank = F.struct(F.col("score") / F.col("depth"), F.col("node"))
-    marked = leaves.groupBy("tree", "root").agg(F.max_by("node", rank).alias("node")).select("tree", "node", F.col("root").alias("path"))
-    marked = stage(marked, "marked")
+    leaves = leaves.join(messages.select("tree", "node", "tie"), ["tree", "node"]).withColumn("mean", F.col("score") / F.col("depth"))
+    rank, leaf = F.struct("mean", "tie", "node"), F.struct("node", "root", "mean")
+    if choose == "best":
+        leaves = leaves.groupBy("tree").agg(F.max_by(leaf, rank).alias("l")).select("tree", "l.*")
+    elif choose != "all":  # the limit of a rank is applied before the shuffle too
+        leaves = leaves.withColumn("_place", F.row_number().over(Window.partitionBy("tree", "root").orderBy(rank.desc()))).where(F.col("_place") <= int(choose))
+    ends = stage(leaves.select("tree", F.col("node").alias("path"), "root", "mean"), "ends")
+    marked = stage(ends.select("tree", F.col("path").alias("node"), "path"), "marked")
     for jump in reversed(jumps):
         up = marked.join(jump.select("tree", "node", "up").where("up is not null"), ["tree", "node"]).select("tree", F.col("up").alias("node"), "path")
         before, marked = marked, stage(marked.union(up).distinct(), "marked")
         stage.drop(before)
-    stage.close(cur, marked)
-    return marked.join(done.select("tree", "node", "depth"), ["tree", "node"])
+    stage.close(cur, marked, ends)
+    return marked.join(done.select("tree", "node", "depth"), ["tree", "node"]).join(ends, ["tree", "path"])
 
 
 def _format(batches):
@@ -109,37 +116,54 @@ def _format(batches):
             text, spans = format_turns([(t["role"] or "", t["text"] or "") for t in turns])
             texts.append(text)
             masks.append([{"start": a, "end": b} for a, b in spans])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(masks, span)], names=["_id", "formatted", "loss_mask"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(masks, span), *batch.columns[2:]], names=["_id", "formatted", "loss_mask", *batch.schema.names[2:]])
 
 
-def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", score_col: str | None = None, parent_col: str | None = None) -> DataFrame:
-    """One formatted text per conversation: ``(id, formatted, loss_mask array<struct<start,end>>)``.
+def format_conversations(
+    rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", score_col: str | None = None, parent_col: str | None = None, choose: str | int = "best"
+) -> DataFrame:
+    """One formatted text per chosen path: ``(id, formatted, loss_mask array<struct<start,end>>)``.
 
     Without ``parent_col`` each row answers the row before it by turn (null first; ties by role, then text),
-    so repeated rows are further turns. With it, ``turn_col`` names messages (not null, distinct within the
-    conversation), ``parent_col`` the message answered; the best path of each conversation is formatted, by
-    mean ``score_col`` (null: 0). Null roles and texts count as empty; rows with a null id are a conversation
-    of their own. An empty table gives an empty table; other columns are ignored.
+    so repeated rows are further turns. With it, ``turn_col`` names messages and ``parent_col`` the message
+    answered; both are compared as strings. ``choose`` says which paths from a root to a leaf are formatted:
+    "best" (default) one of each conversation, a number so many of each root, "all" every one; unless "best",
+    the columns ``root`` and ``leaf`` (names, as strings) and ``score`` (the mean along the path) follow. Paths
+    rank by mean ``score_col`` (null: 0), ties by the larger name of the leaf (null least). A message without a
+    name can't be answered; of several with one name the least by role, then text is the one answered, and the
+    others are branches of their own. A message whose parent doesn't exist is a root; messages on a cycle are
+    on no path. Null roles and texts count as empty; rows with a null id are a conversation of their own. An
+    empty table gives an empty table; other columns are ignored.
     """
+    stage = Tables()
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
     t = rows.select(
         F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("")).alias("tree"), F.col(turn_col).alias("turn"),
-        F.col(role_col).alias("role"), F.col(text_col).alias("text"), score.alias("score"), *([F.col(parent_col).cast("long").alias("parent")] if parent_col else []),
+        F.col(role_col).alias("role"), F.col(text_col).alias("text"), score.alias("score"), *([F.col(parent_col).cast("string").alias("answers")] if parent_col else []),
     )
+    t = t.withColumn("tie", F.struct("turn", F.xxhash64("role", "text")))
     if parent_col:
-        t = t.withColumn("node", F.col("turn").cast("long"))
+        t = stage(t.withColumn("node", F.monotonically_increasing_id()), "named")
+        holder = t.where("turn is not null").groupBy("tree", F.col("turn").cast("string").alias("answers"))
+        holder = stage(holder.agg(F.min_by("node", F.struct("role", "text", "score", "node")).alias("parent")), "holders")
+        t = t.join(holder, ["tree", "answers"], "left")
     else:
         w = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
         t = t.withColumn("node", F.row_number().over(w).cast("long")).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
-    stage = Tables()
     t = stage(t, "messages")
-    told = t.join(stage(best_paths(t), "paths"), ["tree", "node"])
-    if parent_col:  # several roots: the best leaf's path alone
-        best = told.groupBy("tree", "path").agg(F.avg("score").alias("s")).groupBy("tree").agg(F.max_by("path", F.struct("s", "path")).alias("path"))
-        told = told.join(stage(best, "best"), ["tree", "path"])
-    own = told.groupBy("tree").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    told = t.join(stage(best_paths(t, choose), "paths"), ["tree", "node"])
+    turns = F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns")
+    own = told.groupBy("tree", "path").agg(F.first("_id").alias("_id"), F.first("root").alias("root"), F.first("mean").alias("score"), turns)
+    if choose != "best":
+        name = t.select("tree", F.col("node").alias("_node"), F.col("turn").cast("string").alias("_name"))
+        for place, end in (("root", "root"), ("leaf", "path")):
+            named = name.withColumnsRenamed({"_node": end, "_name": f"{place}_name"})
+            own = own.join(named, ["tree", end])
+    more = [] if choose == "best" else [F.col("root_name").alias("root"), F.col("leaf_name").alias("leaf"), "score"]
+    own = own.select("_id", "turns", *more)
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in own.schema.fields[2:])
     kind = own.schema["_id"].dataType.simpleString()
-    out = own.select("_id", "turns").mapInArrow(_format, f"_id {kind}, formatted string, loss_mask array<struct<start:long,end:long>>")
+    out = own.mapInArrow(_format, f"_id {kind}, formatted string, loss_mask array<struct<start:long,end:long>>{kept}")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -49,3 +49,45 @@ def test_best_branch(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, parent long, role string, text string, score double")
     got = {r.conv_id: [t for _, t in parse_turns(r.formatted)] for r in format_conversations(df, parent_col="parent", score_col="score").collect()}
     assert got == {1: ["root", "good", "best"], 2: ["alone"]}
+
+
+def test_every_path_and_the_best_of_each_root(spark):
+    rnd = random.Random(7)
+    rows = [(c, n, None if n % 9 == 0 else rnd.randrange(n), "user", f"{c}/{n}", float(rnd.randint(0, 4))) for c in (1, 2, None) for n in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, parent long, role string, text string, score double").repartition(3)
+    want = {}
+    for c, n, *_ in rows:
+        own = {r[1]: r for r in rows if r[0] == c}
+        if any(r[2] == n for r in own.values()):
+            continue
+        path = [own[n]]
+        while path[0][2] is not None:
+            path.insert(0, own[path[0][2]])
+        want[c, str(path[0][1]), str(n)] = [r[4] for r in path], sum(r[5] for r in path) / len(path)
+
+    def got(choose):
+        out = format_conversations(df, parent_col="parent", score_col="score", choose=choose).collect()
+        found = {(r.conv_id, r.root, r.leaf): ([t for _, t in parse_turns(r.formatted)], r.score) for r in out}
+        assert len(found) == len(out)
+        return found
+
+    assert got("all") == want
+    for k in (1, 2):
+        ranked = sorted(want, key=lambda p: (want[p][1], int(p[2])), reverse=True)
+        assert got(k) == {p: want[p] for i, p in enumerate(ranked) if sum(q[:2] == p[:2] for q in ranked[:i]) < k}
+
+
+def test_messages_without_a_name_or_with_one_name(spark):
+    rows = [
+        (1, "a", None, "user", "hello"),
+        (1, "b", "a", "assistant", "twice"),
+        (1, "b", "a", "assistant", "twice"),
+        (1, None, "b", "user", "nameless"),
+        (1, None, None, "user", "nameless root"),
+        (1, "c", "c", "user", "answers itself"),
+        (1, "d", "c", "user", "below a cycle"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn string, parent string, role string, text string")
+    out = format_conversations(df, parent_col="parent", choose="all").collect()
+    assert sorted((r.root or "", r.leaf or "", [t for _, t in parse_turns(r.formatted)]) for r in out) == [("", "", ["nameless root"]), ("a", "", ["hello", "twice", "nameless"]), ("a", "b", ["hello", "twice"])]
+    assert format_conversations(df.where("false"), parent_col="parent", choose="all").count() == 0
