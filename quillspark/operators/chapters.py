@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..runtime import staged, totals_before
 
 # Titles of sections that aren't read, and lines that open a chapter.
 SKIPPED_TITLES = [
@@ -54,34 +55,52 @@ def split_by_heading_lines(docs: DataFrame, keys: list[str], text: str = "text")
     return out.select(*keys, F.col("section").cast("int").alias("section"), "title", body.alias("body")).where("body <> ''")
 
 
+def cleaned_sections(raw: DataFrame) -> DataFrame:
+    """``raw(book_id, ord, title, text)`` with the text cleaned and its words counted, written once; ``_row`` names a row."""
+    clean = raw.select("book_id", "ord", "title", F.when(F.col("text").isNotNull(), tx.cleaned("text")).alias("text"))
+    return staged(clean.select("*", tx.word_count("text").alias("n_words"), F.monotonically_increasing_id().alias("_row")), "sections")
+
+
 def chapters(raw: DataFrame, min_words: int = 100, max_words: int = 20_000) -> DataFrame:
     """Clean, filter, split and number ``raw(book_id, ord, title, text)``.
 
     Chapters below ``min_words`` go, longer ones than ``max_words`` become parts of that many words, and
     numbers run over all parts of a book. A book of which nothing survives is one chapter "Full Text".
+    Numbers come from counts of parts alone; texts are cleaned once and meet them by row.
     """
-    clean = raw.select("book_id", "ord", "title", tx.cleaned("text").alias("text"))
-    words = clean.withColumn("_w", tx.word_list("text"))
-    kept = words.where(F.size("_w") >= min_words)
-    parts = F.when(F.size("_w") > max_words, F.ceil(F.size("_w") / max_words)).otherwise(1).cast("int")
-    kept = kept.withColumn("parts", parts)
-    before = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("_before", F.coalesce(F.sum("parts").over(before), F.lit(0)))
-    rows = kept.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    clean = cleaned_sections(raw)
+    parts = F.when(F.col("n_words") > max_words, F.ceil(F.col("n_words") / max_words)).otherwise(1).cast("int")
+    kept = clean.where(F.col("n_words") >= min_words)
+    numbers = totals_before(kept.select("book_id", "ord", "_row", parts.alias("parts")), "book_id", ["ord", "_row"], {"_before": "parts"})
+    rows = kept.join(numbers.select("_row", "parts", "_before"), "_row").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     number = (F.col("_before") + F.col("part")).cast("int")
-    own = F.slice("_w", (F.col("part") - 1) * max_words + 1, F.lit(max_words))
+    own = F.slice(tx.word_list("text"), (F.col("part") - 1) * max_words + 1, F.lit(max_words))
     title = F.when(F.col("title") == "", F.concat(F.lit("Chapter "), number)).otherwise(F.when(F.col("parts") > 1, F.concat("title", F.lit(" (Part "), "part", F.lit(")"))).otherwise(F.col("title")))
-    out = rows.select("book_id", number.alias("number"), title.alias("title"), F.when(F.col("parts") > 1, F.array_join(own, " ")).otherwise(F.col("text")).alias("text"), F.when(F.col("parts") > 1, F.size(own)).otherwise(F.size("_w")).alias("word_count"))
+    out = rows.select("book_id", number.alias("number"), title.alias("title"), F.when(F.col("parts") > 1, F.array_join(own, " ")).otherwise(F.col("text")).alias("text"), F.when(F.col("parts") > 1, F.size(own)).otherwise(F.col("n_words")).alias("word_count"))
     return out.union(full_text(clean.join(kept.select("book_id").distinct(), "book_id", "left_anti")))
 
 
 def full_text(clean: DataFrame) -> DataFrame:
-    """Each book of ``clean(book_id, ord, text)`` as one chapter."""
+    """Each book of ``clean(book_id, ord, text)`` as one chapter, for books that fit one value; others: ``full_text_parts``."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n")
     whole = clean.where("text is not null").groupBy("book_id").agg(joined.alias("text")).where(tx.strip("text") != "")
     return whole.select("book_id", F.lit(1).alias("number"), F.lit("Full Text").alias("title"), "text", tx.word_count("text").alias("word_count"))
 
 
+def full_text_parts(clean: DataFrame) -> DataFrame:
+    """``(book_id, part, start_char, text, n_words)``: the full text of books of any size, as parts in order.
+
+    ``clean`` is what ``cleaned_sections`` returns. ``start_char`` is where a part begins when the parts of a book are
+    joined by an empty line. Null texts are no parts; a book of blanks alone has none.
+    """
+    some = clean.where("text is not null")
+    sizes = some.select("book_id", "ord", "_row", F.lit(1).alias("_one"), (F.length("text") + 2).alias("_chars"), (F.col("n_words") > 0).cast("int").alias("_words"))
+    at = totals_before(sizes, "book_id", ["ord", "_row"], {"part": "_one", "start_char": "_chars"})
+    rows = some.join(at.select("_row", "part", "start_char"), "_row")
+    blank = sizes.groupBy("book_id").agg(F.max("_words").alias("_any")).where("_any = 0")
+    return rows.join(blank, rows["book_id"].eqNullSafe(blank["book_id"]), "left_anti").select("book_id", "part", "start_char", "text", "n_words")
+
+
 def book_totals(chapter_rows: DataFrame) -> DataFrame:
     return chapter_rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("total_chapters"), F.sum("word_count").cast("long").alias("total_words"))
 

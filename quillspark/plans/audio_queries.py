@@ -183,13 +183,17 @@ def k13_tone(spark, d):
     return op.filtered(segments(spark, d), "warm").select("vec_id", F.round(au.peak("pcm"), 6).alias("peak"), F.size("pcm").alias("n"))
 
 
+#: 300 segments in a row make a chapter, whatever the number of rows.
+CHAPTER = "CAST(floor(vec_id / 300) AS INT) AS chapter"
+
+
 @query("k3_k4_assemble_chapters")
 def k3_k4_assemble_chapters(spark, d):
-    rows = segments(spark, d).select(F.col("item").alias("chapter"), F.col("vec_id").alias("line_ord"), "sample_rate", "pcm", F.lit(100).alias("pause_before_ms"), F.lit(300).alias("pause_after_ms"))
+    rows = segments(spark, d).select(F.expr(CHAPTER), F.col("vec_id").alias("line_ord"), "sample_rate", "pcm", F.lit(100).alias("pause_before_ms"), F.lit(300).alias("pause_after_ms"))
     return op.assembled(rows, ["chapter"]).select("chapter", F.size("pcm").alias("n"), F.round(au.peak("pcm"), 6).alias("peak"))
 
 
 @query("k5_mastering_chain")
 def k5_mastering_chain(spark, d):
-    rows = segments(spark, d).select(F.col("item").alias("chapter"), F.col("vec_id").alias("line_ord"), "sample_rate", "pcm", F.lit(0).alias("pause_before_ms"), F.lit(300).alias("pause_after_ms"))
+    rows = segments(spark, d).select(F.expr(CHAPTER), F.col("vec_id").alias("line_ord"), "sample_rate", "pcm", F.lit(0).alias("pause_before_ms"), F.lit(300).alias("pause_after_ms"))
     return op.mastered(op.assembled(rows, ["chapter"]), to_rate=320).select("chapter", "n", F.round("lufs", 6).alias("lufs"), F.round("peak_dbfs", 6).alias("peak_dbfs"))

@@ -67,7 +67,7 @@ def c9_word_count(spark, d):
     return view(spark, d, "dirty").select("doc_id", tx.word_count("text").cast("long").alias("n_words"))
 
 
-RAW = f"""WITH {CLEAN}, k AS (SELECT c.book_id, r.ord, r.title, c.text, {_WORDS.format('c.text')} AS w FROM clean c JOIN (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', doc_id) END AS title FROM {{documents}}) r USING (book_id, doc_id))"""
+RAW = f"""WITH {CLEAN}, k AS (SELECT c.book_id, r.ord, r.title, c.text, {_WORDS.format('c.text')} AS w FROM clean c JOIN (SELECT source AS book_id, doc_id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', doc_id) END AS title FROM {{documents}}) r USING (book_id, doc_id))"""
 
 
 @query("d1_min_words", RAW + " SELECT book_id, ord, len(w) AS n_words FROM k WHERE len(w) >= 100")
@@ -97,11 +97,15 @@ def f1_book_totals(spark, d):
     return ch.book_totals(ch.chapters(view(spark, d, "raw_chapters"), max_words=400))
 
 
-@query("d2_full_text", RAW + " SELECT book_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord)) AS digest, 'Full Text' AS title FROM k GROUP BY 1")
+@query(
+    "d2_full_text",
+    RAW + " SELECT book_id, CAST(row_number() OVER w - 1 AS BIGINT) AS part, CAST(coalesce(sum(length(text) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, "
+    "md5(text) AS digest, CAST(len(w) AS INT) AS n_words FROM k WHERE text IS NOT NULL WINDOW w AS (PARTITION BY book_id ORDER BY ord)",
+)
 def d2_full_text(spark, d):
-    """No chapter has a million words, so every book falls back to its full text."""
-    out = ch.chapters(view(spark, d, "raw_chapters"), min_words=1_000_000)
-    return out.select("book_id", F.md5(F.col("text").cast("binary")).alias("digest"), "title")
+    """The full text of every book as ordered parts."""
+    out = ch.full_text_parts(ch.cleaned_sections(view(spark, d, "raw_chapters")))
+    return out.select("book_id", "part", "start_char", F.md5(F.col("text").cast("binary")).alias("digest"), "n_words")
 
 
 @query(

@@ -18,7 +18,7 @@ VIEWS = {
         WHEN doc_id % 4 = 2 THEN concat(replace(text, ' the ', ' –the-- '), '\n\n\n\n', 'ﬁn \u00a0 x\u200b --- y’s', '\n* * *\nend')
         WHEN doc_id % 4 = 3 THEN concat('"KEEP THIS"\n', replace(text, '. ', '.\r\n'), ' z')
         ELSE text END AS text FROM {documents}""",
-    "raw_chapters": """SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', doc_id) END AS title, text FROM {dirty}""",
+    "raw_chapters": """SELECT source AS book_id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', doc_id) END AS title, text FROM {dirty}""",
     "script_lines": """SELECT concat('b', conv_id % 7) AS book_id, conv_id AS chapter_number, turn AS line_ord, concat('c', conv_id, '_', turn) AS line_id, role AS speaker, text,
         CAST(0.8 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (turn % 5) AS speed, CAST(turn % 3 * 100 AS INT) AS pause_before_ms, CAST(CASE WHEN turn % 4 = 0 THEN 0 ELSE 300 + turn END AS INT) AS pause_after_ms FROM {conversations}""",
     "quality_logs": """SELECT event_id AS id, concat('p', user_id % 5) AS project_id, concat('u', user_id, '_', day(ts)) AS line_id, CAST(day(ts) AS INT) AS chapter_number,

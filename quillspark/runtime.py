@@ -123,3 +123,20 @@ def gapless_rank(df: DataFrame, group: str, levels: list[str], order: str, out:
     stage.close(base, df)
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     return ranked.join(base, keys).select(*columns, (F.col("_base") + F.col("_r") - 1).cast("long").alias(out))
+
+
+def totals_before(df: DataFrame, group: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Add for each ``name: column`` of ``sums`` the total of ``column`` over the rows before, within ``group``.
+
+    Rows are cut into ranges of (group, order), so that no task holds a large group; totals of ranges are summed
+    over as many rows a group as there are ranges, and only the rows of one range are sorted together. Nulls
+    count as 0; rows that tie in ``order`` come in any order. ``df`` should be narrow and has no columns ``_at``, ``_base``.
+    """
+    cut = staged(df.repartitionByRange(group, *order).withColumn("_at", F.spark_partition_id()), "ranges")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    totals = cut.groupBy(group, "_at").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    base = totals.select(group, "_at", F.struct(*(before(n, Window.partitionBy(group).orderBy("_at")).alias(n) for n in sums)).alias("_base"))
+    inner = Window.partitionBy(group, "_at").orderBy(*order)
+    rows = cut.select("*", *(before(c, inner).alias(n) for n, c in sums.items()))
+    out = rows.join(base, null_safe(rows, base, group, "_at"))
+    return out.select(*(rows[c] for c in df.columns), *((rows[n] + base["_base"][n]).alias(n) for n in sums))

@@ -9,6 +9,7 @@ from quillspark.operators import registry as rg
 from quillspark.operators import script as sc
 from quillspark.operators import state as stt
 from quillspark.operators import timeline as tl
+from quillspark.runtime import totals_before
 
 
 @pytest.mark.parametrize("n, starts", [(1, [0]), (600, [0]), (601, [0, 450]), (1500, [0, 450, 900]), (0, [])])
@@ -30,6 +31,23 @@ def test_chapters(spark):
     ]
 
 
+def test_full_text_parts(spark):
+    rows = [("a", 2, "", "two  words"), ("a", 1, "", "one"), ("a", 3, "", None), ("b", 1, "", " "), (None, 5, "", "x"), (None, 5, "", "y")]
+    got = ch.full_text_parts(ch.cleaned_sections(spark.createDataFrame(rows, "book_id string, ord int, title string, text string"))).collect()
+    assert sorted((r.book_id or "", r.part, r.start_char) for r in got) == [("", 0, 0), ("", 1, 3), ("a", 0, 0), ("a", 1, 5)]
+    assert [r.text for r in sorted(got, key=lambda r: (r.book_id or "", r.part))][2:] == ["one", "two words"]
+
+
+def test_totals_before(spark):
+    rows = [("hot" if i % 3 else None, i * 7 % 1000, i % 5) for i in range(1000)] + [("z", 1, None), ("z", 2, 4), ("z", 3, 1)]
+    got = totals_before(spark.createDataFrame(rows, "g string, o int, v int"), "g", ["o"], {"s": "v", "n": "o"}).collect()
+    expected, total = {}, {}
+    for g, o, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        expected[g, o] = total.get(g, (0, 0))
+        total[g] = expected[g, o][0] + (v or 0), expected[g, o][1] + o
+    assert {(r.g, r.o): (r.s, r.n) for r in got} == expected and len(got) == len(rows)
+
+
 def test_alignment(spark):
     lines = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "ch int, idx int, fragment string")
     meta = spark.createDataFrame([(1, 0, "0", "Tom", "joy", "normal", None, "0"), (1, 1, "0", "Ann", None, "0.9", "7", "20"), (1, 2, "x", "no", "", "", "", ""), (1, 3, "2", None, "sad", None, "x", None)], "ch int, pos int, id string, speaker string, emotion string, speed string, pause_before_ms string, pause_after_ms string")
