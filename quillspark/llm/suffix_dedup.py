@@ -7,18 +7,19 @@ bytes that start in a phrase hold the ``length - window + 1`` bytes from its tri
 parse is the key ``k``, and ``c`` identifies the phrase with all bytes that its strings reach (dictionary
 entry plus bounded parse suffix).
 
-The corpus order of suffixes is needed only to depth ``length``: two suffixes are neighbours with a common
-prefix of ``length`` bytes exactly if they have the same rank at that depth. Ranks are therefore
-fingerprints, and order falls out of grouping in three steps:
+The corpus order of suffixes is needed only to depth ``length``: a string of ``length`` bytes is repeated
+exactly if its suffix shares that many bytes with a neighbour in corpus order. Most suffixes are decided by
+their phrase and don't enter the order:
 
 1. phrases whose key occurs once in the corpus hold no repeated string (most of ordinary text ends here);
 2. phrases whose dictionary entry occurs twice or more are repeated as a whole;
-3. of the remaining entries one copy each is cut into blocks of a few suffixes, aligned to the trigger, to
-   which 1 and 2 apply again with the bytes that all or any of the block's strings hold; the suffixes of
-   blocks still undecided are ranked one by one to depth ``length`` by a 128-bit fingerprint, and equal
-   ranks are repeated strings.
+3. of the remaining entries, the dictionary to be sorted, one copy each is cut into blocks of a few suffixes,
+   aligned to the trigger, to which 1 and 2 apply again with the bytes that all or any of the block's strings hold;
+4. the suffixes of blocks still undecided are extended along the parse to depth ``length`` and put into
+   corpus order by a range sort, and neighbours are compared byte by byte.
 
-Nothing is collected; hot entries are counted with map-side combine and joined as staged tables.
+Nothing is collected; hot entries are counted with map-side combine and joined as staged tables, and equal
+suffixes spread over many ranges of the order.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import null_safe, release, staged
@@ -139,27 +141,88 @@ def _blocks(length: int, block: int):
     return run
 
 
-def _suffixes(length: int):
-    """Rows (_id, _h, p, n, s1, s2): fingerprints of all strings that start in the given blocks."""
+def _suffixes(length: int, held: int = 50_000):
+    """Rows (_id, _h, p, n, s): the suffixes of the given blocks, extended along the parse to depth ``length``."""
 
     def run(batches):
         for batch in batches:
             ids, hashes, los, ns, texts, spans = (batch.column(i) for i in range(6))
-            rows, starts, copies, prints = [], [], [], []
+            rows, cols = [], [[], [], []]
+
+            def out():
+                take = pa.array(rows, pa.int64())
+                arrays = [ids.take(take), hashes.take(take), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))]
+                return pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "p", "n", "s"])
+
             for i, (lo, n, ctx, own) in enumerate(zip(los.to_pylist(), ns.to_pylist(), texts.to_pylist(), spans.to_pylist())):
                 for s in own:
                     for p in range(s["lo"], s["hi"] + 1):
                         rows.append(i)
-                        starts.append(p)
-                        copies.append(n)
-                        prints.append(xxhash.xxh3_128_digest(ctx[p - lo : p - lo + length]))
-            take, s = pa.array(rows, pa.int64()), np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            arrays = [ids.take(take), hashes.take(take), pa.array(starts, pa.int64()), pa.array(copies, pa.int64()), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "p", "n", "s1", "s2"])
+                        for c, v in zip(cols, (p, n, ctx[p - lo : p - lo + length])):
+                            c.append(v)
+                if len(rows) >= held:
+                    yield out()
+                    rows, cols = [], [[], [], []]
+            if rows:
+                yield out()
 
     return run
 
 
+def _neighbours(length: int):
+    """Of suffixes in order, rows (_id, _h, p, n, at, same, s): whether a neighbour in the same task is equal.
+
+    The first and the last row of a task keep their string ``s``, since their neighbour is in another task.
+    """
+
+    def run(batches):
+        at = TaskContext.get().partitionId()
+        last = None  # the row before, which has yet to see its next one
+
+        def out(rows, same, edge):
+            s = [rows.column(4)[i].as_py() if e else None for i, e in enumerate(edge)] if any(edge) else [None] * len(edge)
+            arrays = [*rows.columns[:4], pa.array([at] * len(edge), pa.int32()), pa.array(same), pa.array(s, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["_id", "_h", "p", "n", "at", "same", "s"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            start = last is None
+            rows = batch if start else pa.Table.from_batches([last[0], batch]).combine_chunks().to_batches()[0]
+            text = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, length)
+            equal = (text[1:] == text[:-1]).all(axis=1)
+            same = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
+            same[0] |= not start and last[1]
+            done = len(rows) - 1
+            first = start or last[2]
+            if done:
+                yield out(rows.slice(0, done), same[:done], [first] + [False] * (done - 1))
+            last = rows.slice(done), bool(same[done]), first and not done
+        if last:
+            yield out(last[0], np.array([last[1]]), [True])
+
+    return run
+
+
+def _in_order(suffixes: DataFrame, length: int) -> DataFrame:
+    """Corpus order of ``suffixes(_id, _h, p, n, s)``: those that share ``length`` bytes with a neighbour, as (_id, _h, p, n).
+
+    Ranges of the order are sorted in tasks of their own; equal strings are told apart by place, so that many of
+    them fill many ranges. What meets across ranges is the first and last row of each.
+    """
+    ranges = suffixes.repartitionByRange("s", "_id", "_h", "p").sortWithinPartitions("s", "_id", "_h", "p")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema.fields[:4])
+    ranges = staged(ranges.mapInArrow(_neighbours(length), schema + ", at int, same boolean, s binary"), "order")
+    edges = ranges.where("s is not null").groupBy("at").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    w = Window.orderBy("at")  # a row for each range
+    edges = edges.select("at", "low", "high", F.lag("high").over(w).alias("before"), F.lead("low").over(w).alias("after"))
+    met = edges.where("low = before").select("at", F.col("low").alias("s")).union(edges.where("high = after").select("at", F.col("high").alias("s"))).distinct()
+    across = ranges.where("s is not null and not same").join(met, ["at", "s"]).select("_id", "_h", "p", "n")
+    out = staged(ranges.where("same").select("_id", "_h", "p", "n").union(across), "shared")
+    release(ranges)
+    return out
+
+
 def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose key ``k`` occurs at two or more places, with ``mixed``; and how often each (k, c) occurs."""
     keys = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
@@ -225,12 +288,12 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     left = cuts.where("mixed").groupBy("_id", "_h", "at").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("at", "lo")
     left = reach.join(left, null_safe(reach, left, "_id", "_h", "lo")).select(reach["_id"], reach["_h"], reach["lo"], "n", "ctx", "spans")
-    ranks = staged(left.mapInArrow(_suffixes(length), head + "p long, n long, s1 long, s2 long"), "suffixes")
-    twice = staged(ranks.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"), "ranks")
-    single = ranks.where("n = 1").join(twice, ["s1", "s2"]).select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
+    suffixes = staged(left.mapInArrow(_suffixes(length), head + "p long, n long, s binary"), "suffixes")
+    shared = _in_order(suffixes, length)
+    single = shared.where("n = 1").select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
     spans = whole.union(blocks).union(single).groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = staged(spans, "spans")
-    release(found, reach, cuts, ranks, twice)
+    release(found, reach, cuts, suffixes, shared)
     out = key.join(spans, null_safe(key, spans, "_id", "_h"), "left").select(key["_id"], key["_t"], spans["spans"])
     out = out.mapInArrow(_cut, f"_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("_id", id_col)

@@ -68,3 +68,24 @@ def test_blocks_cut_phrases_without_loss(spark, monkeypatch):
     cut = [p for part in suffix_dedup.parse(text, 200, 120) for p in zip(*part)]
     assert sum(hi - lo + 1 for lo, hi, *_ in one) == sum(hi - lo + 1 for lo, hi, *_ in cut) == len(text) - 199
     assert {k for *_, k, _ in one} == {k for *_, k, _ in cut}
+
+
+def test_corpus_order_meets_across_ranges(spark):
+    from quillspark.llm.suffix_dedup import _in_order
+
+    rnd = random.Random(2)
+    strings = [bytes(rnd.choices(b"ab\x00\xff", k=5)) for _ in range(700)] + [b"aaaaa"] * 900 + [b"zzzzz"]
+    rows = [(i if i % 3 else None, i % 2, i, 1, bytearray(x)) for i, x in enumerate(strings)]
+    df = spark.createDataFrame(rows, "_id int, _h long, p long, n long, s binary")
+    count = Counter(strings)
+    expected = [i for i, x in enumerate(strings) if count[x] > 1]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", parts, "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert sorted(r.p for r in _in_order(df, 5).collect()) == expected
+            assert _in_order(df.where("p = 1600"), 5).count() == 0 == _in_order(df.where("false"), 5).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
