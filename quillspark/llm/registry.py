@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, jaccard_join, mixing, projection_forest, rule_quality, sentence_spans, sharding, suffix_dedup, url_filter
+from . import chat_format, decontaminate, hard_negatives, html_text, jaccard_join, mixing, projection_forest, rule_quality, sentence_spans, sharding, suffix_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_rule_quality": rule_quality.op8_rule_quality,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_sharding": sharding.op10_sharding,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_html_text": html_text.op12_html_text,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +25,5 @@ SQL: dict[str, str] = {
     "op4_projection_forest": projection_forest.OP4_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
