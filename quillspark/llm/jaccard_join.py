@@ -17,7 +17,7 @@ judged in rounds. The leader of a tile is the class that meets most others over
 original of many near copies. First each class is compared with the leader it shares most tiles with, then
 with all its leaders of other components. At last all pairs of different components are compared that share
 a tile: in small tiles by a join, in large ones block by block, where only pairs that pass the bounds leave
-the task, each from one of its tiles.
+the task, nearly always from one tile that both name.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ from .components import connected_components, merged_components
 BITS = 1024
 #: Tiles of up to SMALL classes are compared by a join, larger ones in blocks of about BLOCK classes.
 SMALL, BLOCK = 32, 512
+#: Tiles that a class names to each of its tiles, so that a pair comes out of one tile only.
+NAMED = 16
+#: Text bytes whose visits one task sorts. A word and a blank take two bytes and a set visits two bands, of a fifth of
+#: its size in tiles each at 80 percent, so that visits of 16 bytes take at most three times as much; a seventh is usual.
+TASK_BYTES = 64 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -251,19 +256,19 @@ def _decide(n: int, num: int, den: int):
 def _across(num: int, den: int):
     """Pairs of a block pair of one tile that are of different components and pass both bounds.
 
-    A pair that shares several tiles comes from the least of them alone.
+    Each class comes with the least NAMED of its large tiles. A pair that has some of these in common comes from the
+    least of those alone, where it meets too; other pairs, whose sets of tiles differ much, from each tile they share.
     """
 
     def run(key, table):
-        tile, own = key[0].as_py(), table["tiles"].combine_chunks()
+        tile, own = key[0].as_py(), table["least"].combine_chunks()
         starts, listed = np.asarray(own.offsets), np.asarray(own.values)
-        before: dict[int, set[int]] = {}
+        sets: dict[int, set[int]] = {}
 
-        def earlier(i: int) -> set[int]:
-            if i not in before:
-                mine = listed[starts[i] : starts[i + 1]]
-                before[i] = set(mine[mine < tile].tolist())
-            return before[i]
+        def least(i: int) -> set[int]:
+            if i not in sets:
+                sets[i] = set(listed[starts[i] : starts[i + 1]].tolist())
+            return sets[i]
 
         node, n, comp = (np.asarray(table[c]) for c in ("node", "n", "comp"))
         bits = np.asarray(table["bits"].combine_chunks().flatten()).reshape(len(node), -1).view(np.uint64)
@@ -276,7 +281,7 @@ def _across(num: int, den: int):
             less = np.bitwise_count(bits[i] & ~bits[js]).sum(1, dtype=np.int64), np.bitwise_count(bits[js] & ~bits[i]).sum(1, dtype=np.int64)
             most = np.minimum(n[i] - less[0], n[js] - less[1])
             js = js[most * (den + num) >= (n[i] + n[js]) * num]
-            js = js[[earlier(i).isdisjoint(earlier(j)) for j in js.tolist()]] if len(js) else js
+            js = js[[min(least(i) & least(j), default=tile) == tile for j in js.tolist()]] if len(js) else js
             out.append(np.column_stack((np.minimum(node[i], node[js]), np.maximum(node[i], node[js]))))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
@@ -307,13 +312,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the least id of the component. Null, empty and blank texts have no set and stand
     alone. Repeated rows, rows with a null id and rows that share an id keep a row each; null ids count as
     greater than all others. An empty table gives an empty table; other columns are ignored.
-    Sets and shingles are known by 64-bit hashes. ``keep_group`` adds ``_group``, which names the component
+    Texts of any length are read whole. Sets and shingles are known by 64-bit hashes. ``keep_group`` adds ``_group``, which names the component
     whatever its ids (null where there is no set).
     """
     num, den, stage = percent, 100, Tables()
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     row = f"_id {kind}, _h long, n long, node long, bits array<long>, tile long"
     dealt = key.mapInArrow(_signatures(shingle, num, den, parts), f"part int, {row}, ones binary, firsts binary").repartitionById(parts, "part")
     found = stage(dealt.mapInArrow(_shared, row), "signatures")
@@ -369,11 +375,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     y = small.select("tile", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = x.join(y, "tile").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     large = here.where(F.col("width") > SMALL)
-    listed = stage(large.groupBy("node").agg(F.collect_set("tile").alias("tiles")).join(classes.select("node", "bits"), "node"), "listed")
-    large = large.join(listed, "node")
+    named = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, NAMED).alias("least"))
+    named = stage(named.join(classes.select("node", "bits"), "node"), "named")
+    large = large.join(named, "node")
     large = large.withColumn("blocks", F.ceil(F.col("width") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = large.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
-    large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", "tiles", (F.col("mine") != F.col("pair.bi")).alias("other"))
+    large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", "least", (F.col("mine") != F.col("pair.bi")).alias("other"))
     rest = rest.select("a", "b").union(large.groupBy("tile", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")).distinct()
     comp = stage.hold(merged_components(comp, decided(stage(rest, "pairs"))))
 

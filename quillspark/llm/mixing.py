@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import Tables, columns_of, gapless_rank
 
-#: A caller may refuse mixtures of more sources than this; None: any number.
-MOST_SOURCES: int | None = None
 #: Plans and lists of sources of up to so many rows are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 ADDED = ["_block", "_release", "_deadline", "_slot", "_position"]
@@ -78,8 +76,6 @@ def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "sourc
     keyed = docs.select(F.struct(*columns_of(docs)).alias("_row"), key.alias("_key"), md5.alias("_md5"), F.substring(md5, 1, 2).alias("_b1"), F.substring(md5, 3, 2).alias("_b2"))
     sources = stage(keyed.select("_key").distinct().withColumn("share", share.cast("long")), "sources")
     count = sources.count()
-    if MOST_SOURCES is not None and count > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
     plan = _period(sources, stage, piece)
     named = sources.withColumns({"_b1": F.substring("_key", 1, 8), "_b2": F.substring("_key", 1, 16)})
     named = gapless_rank(named, "share", ["_b1", "_b2"], "_key", "_member")

@@ -120,8 +120,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
-def with_law(out: DataFrame) -> DataFrame:
-    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+def with_law(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The columns of a shard table in the order that its readers expect; under the law of bytes no shard is grown."""
+    return out.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

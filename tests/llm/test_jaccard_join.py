@@ -86,10 +86,12 @@ def test_linked_sets_share_a_tile():
     assert len(shingles(b"a b", _Words())) == 1
 
 
-@pytest.mark.parametrize("small, block", [(2, 3), (0, 512)])
-def test_large_tiles_are_compared_in_blocks(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small, block, named", [(2, 3, 16), (0, 512, 1), (0, 7, 2)])
+def test_large_tiles_are_compared_in_blocks(spark, monkeypatch, small, block, named):
     from quillspark.llm import jaccard_join
 
+    monkeypatch.setattr(jaccard_join, "NAMED", named)
+    monkeypatch.setattr(jaccard_join, "TASK_BYTES", 500)
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rnd = random.Random(8)

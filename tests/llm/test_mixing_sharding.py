@@ -67,16 +67,6 @@ def test_cells_join_level_by_level(spark):
     assert len(got) == 4 and max(r.n for r in got) - min(r.n for r in got) <= 10
 
 
-def test_too_many_sources_are_refused(spark, monkeypatch):
-    import pytest
-
-    from quillspark.llm import mixing
-
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
-    with pytest.raises(ValueError):
-        mix(spark.range(3).selectExpr("id as doc_id", "cast(id as string) as source"), {})
-
-
 def test_many_sources_keep_their_windows(spark):
     n = 5000
     docs = spark.range(2 * n + 60).selectExpr("id as doc_id", f"if(id < {2 * n}, cast(id % {n} as string), if(id < {2 * n} + 30, 'a', null)) as source")
