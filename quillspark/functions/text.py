@@ -13,12 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from .json_repair import repair
+
 # What each character becomes.
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
 SPACES = {"\u00a0": " ", "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": "", "\u2028": "\n", "\u2029": "\n\n"}
 QUOTES = {**dict.fromkeys("\u201c\u201d\u201e\u201f\u00ab\u00bb", '"'), **dict.fromkeys("\u2018\u2019\u201a\u201b", "'")}
 DASHES = "\u2013\u2012\u2015"
 EM_DASH = "\u2014"
+UNITS = ["Bytes", "KB", "MB", "GB", "TB"]
 
 BLANK = r"(?U)\s+"
 
@@ -142,9 +145,12 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def fragments(text: Column | str) -> Column:
-    """Sentences and quoted spans in order: paragraphs by newline, quotes whole, the rest cut after ``.!?``."""
+    """Sentences and quoted spans in order: paragraphs by newline, quotes whole, the rest cut after ``.!?``.
+
+    A quote may hold any character but a newline, carriage returns and other line separators included.
+    """
     mark = '["\u201c\u201d]'
-    parts = lambda p: F.regexp_extract_all(p, F.lit(f"{mark}.*?{mark}|(?:(?!{mark}.*?{mark}).)+"), F.lit(0))
+    parts = lambda p: F.regexp_extract_all(p, F.lit(f"(?s){mark}.*?{mark}|(?:(?!{mark}.*?{mark}).)+"), F.lit(0))
     sentence = r"(?s).*?(?:[.!?]+(?=(?U:\s)|\z)|\z)"
 
     def cut(part: Column) -> Column:
@@ -178,10 +184,13 @@ def to_last_stop(text: Column | str, chars: int = 500) -> Column:
 
 
 def json_object(text: Column | str) -> Column:
-    """The JSON object in a model's answer: without thinking, else from the first brace to the last; else null."""
+    """The JSON object in a model's answer, without thinking: the answer or what is from the first brace to the last.
+
+    What is no valid JSON by the letter is repaired; null if there is no object.
+    """
     t = strip(F.regexp_replace(c(text), r"(?s)<think>.*?</think>", ""))
-    whole = F.when(F.regexp_like(t, F.lit(r"(?s)^\{.*\}$")), t).otherwise(F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit("")))
-    return F.when(F.json_object_keys(whole).isNotNull(), whole)
+    whole = F.when(F.regexp_like(t, F.lit(r"(?s)^\{.*\}$")), t).otherwise(F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit("")), t))
+    return repair(whole)  # Spark's own parser takes what is no JSON, such as more closing brackets than open ones
 
 
 def rewrite_words(text: Column | str, rules: list[tuple[str, str]]) -> Column:
@@ -192,7 +201,8 @@ def rewrite_words(text: Column | str, rules: list[tuple[str, str]]) -> Column:
 
 
 def escape_html(text: Column | str) -> Column:
-    return replaced(c(text), {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"})
+    """Text for HTML; null becomes empty."""
+    return replaced(F.coalesce(c(text), F.lit("")), {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#039;"})
 
 
 def escape_concat_path(path: Column | str) -> Column:
@@ -200,11 +210,13 @@ def escape_concat_path(path: Column | str) -> Column:
 
 
 def human_bytes(n: Column | str) -> Column:
+    """A size with up to two decimals in the largest unit that it reaches; nothing and null are ``0 Bytes``."""
     n = c(n).cast("double")
-    out = F.concat(F.format_string("%.1f", n / 1024**3), F.lit(" GB"))
-    for power, unit in ((2, "MB"), (1, "KB")):
-        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024**power), F.lit(f" {unit}"))).otherwise(out)
-    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+    digits = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.00$|(?<=\.\d)0$", "")
+    out = F.concat(digits(n / 1024.0 ** (len(UNITS) - 1)), F.lit(f" {UNITS[-1]}"))
+    for power in range(len(UNITS) - 2, -1, -1):
+        out = F.when(n < 1024.0 ** (power + 1), F.concat(digits(n / 1024.0**power), F.lit(f" {UNITS[power]}"))).otherwise(out)
+    return F.when(F.coalesce(n, F.lit(0.0)) == 0, f"0 {UNITS[0]}").otherwise(out)
 
 
 def hms(seconds: Column | str) -> Column:

@@ -57,7 +57,7 @@ def split_by_heading_lines(docs: DataFrame, keys: list[str], text: str = "text")
 
 def cleaned_sections(raw: DataFrame) -> DataFrame:
     """``raw(book_id, ord, title, text)`` with the text cleaned and its words counted, written once; ``_row`` names a row."""
-    clean = raw.select("book_id", "ord", "title", F.when(F.col("text").isNotNull(), tx.cleaned("text")).alias("text"))
+    clean = raw.select("book_id", "ord", "title", F.length("text").alias("raw_chars"), F.when(F.col("text").isNotNull(), tx.cleaned("text")).alias("text"))
     return staged(clean.select("*", tx.word_count("text").alias("n_words"), F.monotonically_increasing_id().alias("_row")), "sections")
 
 
@@ -81,9 +81,12 @@ def chapters(raw: DataFrame, min_words: int = 100, max_words: int = 20_000) -> D
 
 
 def full_text(clean: DataFrame) -> DataFrame:
-    """Each book of ``clean(book_id, ord, text)`` as one chapter, for books that fit one value; others: ``full_text_parts``."""
+    """Each book of ``clean(book_id, ord, raw_chars, text)`` as one chapter, for books that fit one value; others: ``full_text_parts``.
+
+    Sections whose raw text is null or empty are no parts; those that are empty once cleaned are.
+    """
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n")
-    whole = clean.where("text is not null").groupBy("book_id").agg(joined.alias("text")).where(tx.strip("text") != "")
+    whole = clean.where("raw_chars > 0").groupBy("book_id").agg(joined.alias("text")).where(tx.strip("text") != "")
     return whole.select("book_id", F.lit(1).alias("number"), F.lit("Full Text").alias("title"), "text", tx.word_count("text").alias("word_count"))
 
 
@@ -91,9 +94,9 @@ def full_text_parts(clean: DataFrame) -> DataFrame:
     """``(book_id, part, start_char, text, n_words)``: the full text of books of any size, as parts in order.
 
     ``clean`` is what ``cleaned_sections`` returns. ``start_char`` is where a part begins when the parts of a book are
-    joined by an empty line. Null texts are no parts; a book of blanks alone has none.
+    joined by an empty line. Null and empty raw texts are no parts; a book of blanks alone has none.
     """
-    some = clean.where("text is not null")
+    some = clean.where("raw_chars > 0")
     sizes = some.select("book_id", "ord", "_row", F.lit(1).alias("_one"), (F.length("text") + 2).alias("_chars"), (F.col("n_words") > 0).cast("int").alias("_words"))
     at = totals_before(sizes, "book_id", ["ord", "_row"], {"part": "_one", "start_char": "_chars"})
     rows = some.join(at.select("_row", "part", "start_char"), "_row")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Tables, columns_of, totals_before
+
 # Where a run resumes, and the stages that follow each status.
 RESUMES = {"paused": "created", "error": "created", "paused_scheduled": "created", "deploy_paused": "created", "extracting": "created"}
 STAGES = ["scripting", "bootstrapping", "generating", "mastering", "exporting"]
@@ -52,8 +54,12 @@ def remaining(chapters: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
 
 
 def in_window(day: Column, time: Column, days: Column, start: Column, end: Column) -> Column:
-    """Whether a weekday name and an "HH:mm" lie in a window; a null list of days means all, windows may pass midnight."""
-    of_day = days.isNull() | F.array_contains(days, day)
+    """Whether a weekday name and an "HH:mm" lie in a window, both ends included; windows may pass midnight.
+
+    A null or empty list of days means all days; a missing start is 00:00, a missing end 23:59.
+    """
+    start, end = F.coalesce(start, F.lit("00:00")), F.coalesce(end, F.lit("23:59"))
+    of_day = F.coalesce((F.size(days) == 0) | F.array_contains(days, day), days.isNull())
     inside = F.when(start <= end, (time >= start) & (time <= end)).otherwise((time >= start) | (time <= end))
     return F.coalesce(of_day & inside, F.lit(False))
 
@@ -89,9 +95,9 @@ def chapter_grid(jobs: DataFrame) -> DataFrame:
     """One row per chapter of ``jobs`` with its state, the furthest that holds.
 
     ``jobs`` has project_id, total, the arrays scripted, generated and mastered, and the chapters at work (null:
-    none) generating and scripting.
+    none) generating and scripting. A job of no chapters has no rows.
     """
-    rows = jobs.select("*", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("chapter"))
+    rows = jobs.where("total > 0").select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "total"))).alias("chapter"))
     has = lambda c: F.array_contains(c, F.col("chapter"))
     at = lambda c: F.col(c) == F.col("chapter")
     state = F.when(has("mastered"), "Done").when(has("generated"), "Master").when(at("generating"), "Gen").when(has("scripted"), "Scripted").when(at("scripting"), "Script").otherwise("Pending")
@@ -140,13 +146,29 @@ def all_or_list(chosen: Column, total: Column) -> Column:
 
 
 def free_slugs(rows: DataFrame, taken: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows(key, slug)`` with ``-1``, ``-2`` ... appended where a slug repeats or is ``taken(slug)``."""
-    from pyspark.sql import Window
+    """Names for many requests at once: ``rows(key, slug, ...)`` with ``project_id``, all distinct and none of ``taken(slug)``.
 
-    used = taken.select("slug").distinct().withColumn("_t", F.lit(1))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(order)) - 1
-    out = rows.withColumn("_n", n).join(used, "slug", "left").withColumn("_n", F.col("_n") + F.coalesce("_t", F.lit(0)))
-    return out.withColumn("project_id", F.when(F.col("_n") == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("_n").cast("string")))).drop("_n", "_t")
+    The first request of a slug, by ``order``, gets the slug itself if it isn't taken. The others get ``slug-1``, ``slug-2``
+    and so on, the k-th of them the k-th number whose name is neither taken nor a slug that is asked for. Numbers are
+    found without trying: the numbers that can't be had are sorted, and one of them lies before the k-th free
+    one if fewer than k free ones lie before it; both counts are sums over ranges, so that a slug may be asked for by any
+    number of rows. Keys are distinct; a null slug has a null name. ``rows`` should be narrow.
+    """
+    stage, one = Tables(), F.lit(1).alias("_one")
+    held = taken.where("slug is not null").select("slug").distinct().withColumn("_taken", F.lit(1))
+    asked = stage(rows.where("slug is not null").select("slug").distinct(), "slugs")
+    name, number = F.regexp_extract("slug", r"(?s)^(.*)-[1-9][0-9]{0,17}$", 1), F.regexp_extract("slug", r"-([1-9][0-9]{0,17})$", 1)
+    gone = held.select("slug").union(asked).distinct().where(number != "").select(name.alias("slug"), number.cast("long").alias("_k"), one)
+    gone = totals_before(gone.join(asked, "slug", "left_semi"), "slug", ["_k"], {"_before": "_one"})
+    gone = gone.select("slug", (F.col("_k") - 1 - F.col("_before")).alias("_free"), one, F.lit(None).alias("_row"))  # free numbers before it
+    turns = stage(totals_before(rows.select("slug", F.col(order).alias("_o"), F.struct(*columns_of(rows)).alias("_row"), F.col(key).alias("_key"), one), "slug", ["_o", "_key"], {"_turn": "_one"}), "turns")
+    turns = stage(turns.join(held, "slug", "left").select("slug", "_row", (F.col("_turn") - F.when(F.col("_taken").isNull(), 1).otherwise(0)).alias("_free")), "turns")
+    bare = turns.where("_free < 0").select("_row.*", F.col("slug").alias("project_id"))
+    events = turns.where("_free >= 0").select("slug", "_free", F.lit(0).alias("_one"), "_row").unionByName(gone.withColumn("_row", F.col("_row").cast(turns.schema["_row"].dataType)))
+    events = events.withColumn("_kind", 1 - F.col("_one"))
+    found = totals_before(events, "slug", ["_free", "_kind"], {"_skipped": "_one"}).where("_kind = 1")
+    made = F.concat("slug", F.lit("-"), (F.col("_free") + 1 + F.col("_skipped")).cast("string"))
+    return bare.union(found.select("_row.*", made.alias("project_id")))
 
 
 def newest(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import state as stt
-from ..runtime import gapless_rank
+from ..runtime import gapless_rank, shared_dir
+from ..streaming.sinks import OnceTable
+from ..streaming.stateful import last_lines
 from .registry import query
 from .views import query as sql
 from .views import view
@@ -29,11 +32,16 @@ def a9_upsert_jobs(spark, d):
     return stt.upsert(old, new, "project_id").select("project_id", "digest")
 
 
-@query("a10_append_quality", "SELECT project_id, count(*) AS n, max(id) AS last_id FROM (SELECT project_id, id FROM {quality_logs} UNION ALL SELECT project_id, id + 1000000 FROM {quality_logs} WHERE attempt = 1) GROUP BY 1")
-def a10_append_quality(spark, d):
+@query("a10_append_once", "SELECT project_id, count(*) AS n, max(id) AS last_id FROM (SELECT project_id, id FROM {quality_logs} UNION ALL SELECT project_id, id + 1000000 FROM {quality_logs} WHERE attempt = 1) GROUP BY 1")
+def a10_append_once(spark, d):
+    """Two batches are appended, each of them twice."""
+    table = OnceTable(spark, f"{shared_dir(spark)}/once-{uuid.uuid4().hex}", "project_id string, id long, attempt int")
     logs = view(spark, d, "quality_logs").select("project_id", "id", "attempt")
     more = logs.where("attempt = 1").withColumn("id", F.col("id") + 1_000_000)
-    return logs.unionByName(more).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+    for _ in range(2):
+        table.append(logs, "logs", 0)
+        table.append(more, "logs", 1)
+    return table.rows().groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
 
 
 @query("a11_delete_cascade", "SELECT project_id, count(*) AS n FROM {quality_logs} WHERE project_id NOT IN ('p1', 'p3', 'unknown') GROUP BY 1")
@@ -87,11 +95,10 @@ _TIME = "concat(substr(concat('0', hour(ts)), -2), ':', substr(concat('0', minut
 TIMES = f"SELECT event_id AS id, {_DAY} AS day, {_TIME} AS time FROM {{events}}"
 
 
-@query("d6_schedule_window", f"SELECT id, (day IN ('sat', 'sun') AND time BETWEEN '08:00' AND '12:30') OR time >= '22:00' OR time <= '06:00' AS allowed FROM ({TIMES.replace('substr(concat', 'right(concat').replace(', -2)', ', 2)')})")
+@query("d6_schedule_window", f"SELECT id, (day IN ('sat', 'sun') AND time BETWEEN '08:00' AND '12:30') OR time >= '22:00' OR time <= '06:00' OR (day = 'wed' AND time >= '18:15') OR (day = 'mon' AND time <= '09:30') AS allowed FROM ({TIMES.replace('substr(concat', 'right(concat').replace(', -2)', ', 2)')})")
 def d6_schedule_window(spark, d):
-    windows = spark.range(2).select(
-        F.when(F.col("id") == 0, F.array(F.lit("sat"), F.lit("sun"))).alias("days"), F.when(F.col("id") == 0, "08:00").otherwise("22:00").alias("start"), F.when(F.col("id") == 0, "12:30").otherwise("06:00").alias("end")
-    )
+    schedule = [(["sat", "sun"], "08:00", "12:30"), ([], "22:00", "06:00"), (["wed"], "18:15", None), (["mon"], None, "09:30")]
+    windows = spark.createDataFrame(schedule, "days array<string>, start string, end string")
     return stt.may_run(sql(spark, d, TIMES), windows).select("id", "allowed")
 
 
@@ -119,12 +126,12 @@ def d5_partial_export(spark, d):
 
 @query(
     "e10_chapter_grid",
-    f"""WITH j AS (SELECT project_id, {STATUS} AS status, CAST(json_extract_string(state, '$.total_chapters') AS INT) AS total, CAST(json_extract_string(state, '$.chapters_generated') AS INT) AS done FROM {{jobs}}), e AS (SELECT *, CAST(unnest(range(1, total + 1)) AS INT) AS chapter FROM j)
+    f"""WITH j AS (SELECT project_id, {STATUS} AS status, CAST(json_extract_string(state, '$.total_chapters') AS INT) - 2 AS total, CAST(json_extract_string(state, '$.chapters_generated') AS INT) AS done FROM {{jobs}}), e AS (SELECT *, CAST(unnest(range(1, total + 1)) AS INT) AS chapter FROM j)
 SELECT project_id, chapter, CASE WHEN chapter <= done - 1 THEN 'Done' WHEN chapter <= done THEN 'Master' WHEN chapter = done + 1 THEN 'Gen' WHEN chapter <= done + 2 THEN 'Scripted' WHEN chapter = done + 3 AND status = 'created' THEN 'Script' ELSE 'Pending' END AS state FROM e""",
 )
 def e10_chapter_grid(spark, d):
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    rows = jobs(spark, d).withColumns({"mastered": upto(F.col("done") - 1), "generated": upto(F.col("done")), "scripted": upto(F.col("done") + 2), "generating": F.col("done") + 1, "scripting": F.when(F.col("status") == "created", F.col("done") + 3)})
+    rows = jobs(spark, d).withColumns({"total": F.col("total") - 2, "mastered": upto(F.col("done") - 1), "generated": upto(F.col("done")), "scripted": upto(F.col("done") + 2), "generating": F.col("done") + 1, "scripting": F.when(F.col("status") == "created", F.col("done") + 3)})
     return stt.chapter_grid(rows)
 
 
@@ -168,24 +175,45 @@ def a22_newest_file(spark, d):
 @query("g11_ring_buffer", "SELECT user_id % 5 AS project, event_id FROM {events} QUALIFY row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id DESC) <= 500")
 def g11_ring_buffer(spark, d):
     """The last 500 lines of each project (the buffer's size is the feature)."""
-    rows = view(spark, d, "events").select((F.col("user_id") % 5).alias("project"), "event_id")
-    n = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("event_id")))
-    return rows.withColumn("_n", n).where("_n <= 500").drop("_n")
+    rows = view(spark, d, "events").select((F.col("user_id") % 5).alias("project_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("line"))
+    return last_lines(rows).select(F.col("project_id").alias("project"), F.col("seq").alias("event_id"))
 
 
-LOG = "SELECT event_id, concat('12:00:00 | ', CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'WARNING' ELSE 'DEBUG' END, ' | ', CASE WHEN event_id % 5 = 0 THEN 'uvicorn.access' WHEN event_id % 5 = 1 THEN 'uvicorn.error' WHEN event_id % 5 = 2 THEN 'httpx' ELSE 'engine.run' END, ' | m') AS raw FROM {events}"
+LOG = "SELECT event_id, concat('12:00:00 | ', CASE WHEN event_id % 11 = 3 THEN 'CRITICAL' WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'click' THEN 'INFO' WHEN event_type = 'view' THEN 'WARNING' ELSE 'DEBUG' END, ' | ', CASE WHEN event_id % 5 = 0 THEN 'uvicorn.access' WHEN event_id % 5 = 1 THEN 'uvicorn.error' WHEN event_id % 5 = 2 THEN 'httpx' ELSE 'engine.run' END, ' | m') AS raw FROM {events}"
 
 
-@query("d8_j24_log_lines", f"SELECT event_id, CASE WHEN contains(raw, '| ERROR |') THEN 'error' WHEN contains(raw, '| WARNING |') THEN 'warn' ELSE 'info' END AS level FROM ({LOG}) WHERE NOT contains(raw, '| DEBUG |') AND NOT contains(raw, '| uvicorn.')")
+@query("d8_j24_log_lines", f"SELECT event_id, CASE WHEN contains(raw, '| CRITICAL |') THEN 'other' WHEN contains(raw, '| ERROR |') THEN 'error' WHEN contains(raw, '| WARNING |') THEN 'warn' ELSE 'info' END AS level FROM ({LOG}) WHERE NOT contains(raw, '| DEBUG |') AND NOT contains(raw, '| uvicorn.')")
 def d8_j24_log_lines(spark, d):
     from ..streaming.events import classified_logs
 
     return classified_logs(sql(spark, d, LOG)).select("event_id", "level")
 
 
-@query("j25_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN concat(CAST(n AS BIGINT), ' B') WHEN n < 1048576 THEN concat(format('{{:.1f}}', n / 1024), ' KB') ELSE concat(format('{{:.1f}}', n / 1048576), ' MB') END AS size FROM (SELECT doc_id, n_chars::double * 3 AS n FROM {documents})")
+_LINES = "SELECT event_id, CASE WHEN event_id % 13 = 5 THEN '[PIPELINE ENDED]' WHEN event_id % 13 = 6 THEN concat('plain | ', event_id) WHEN event_id % 13 = 7 THEN concat('a |INFO | b | ERROR | ', event_id) ELSE raw END AS raw FROM (" + LOG + ")"
+
+
+@query(
+    "j24_line_classes",
+    f"""SELECT event_id, CASE WHEN regexp_matches(raw, '\\|\\s*ERROR\\s*\\|') THEN 'error' WHEN regexp_matches(raw, '\\|\\s*WARNING\\s*\\|') THEN 'warn' WHEN regexp_matches(raw, '\\|\\s*INFO\\s*\\|') THEN 'info'
+WHEN regexp_matches(raw, '\\|\\s*DEBUG\\s*\\|') THEN 'debug' WHEN starts_with(raw, '[PIPELINE ENDED]') THEN 'sentinel' ELSE 'other' END AS shown FROM ({_LINES})""",
+)
+def j24_line_classes(spark, d):
+    from ..streaming.events import line_class
+
+    return sql(spark, d, _LINES).select("event_id", line_class("raw").alias("shown"))
+
+
+# Sizes of all units: the powers of 1024 and what lies about them.
+_SIZE = "CASE WHEN doc_id % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(n_chars AS DOUBLE) * power(CAST(32 AS DOUBLE), doc_id % 8) END"
+
+
+@query(
+    "j25_bytes",
+    f"""WITH n AS (SELECT doc_id, {_SIZE} AS n FROM {{documents}}), i AS (SELECT doc_id, n, CASE WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS i FROM n)
+SELECT doc_id, CASE WHEN n = 0 THEN '0 Bytes' ELSE concat(rtrim(rtrim(CAST(CAST(floor(n / power(1024, i) * 100 + 0.5) / 100 AS DECIMAL(18, 2)) AS VARCHAR), '0'), '.'), ' ', ['Bytes', 'KB', 'MB', 'GB', 'TB'][i + 1]) END AS size FROM i""",
+)
 def j25_bytes(spark, d):
-    return view(spark, d, "documents").select("doc_id", tx.human_bytes(F.col("n_chars") * 3).alias("size"))
+    return sql(spark, d, f"SELECT doc_id, {_SIZE} AS n FROM {{documents}}").select("doc_id", tx.human_bytes("n").alias("size"))
 
 
 @query("j26_retry_wait", "SELECT id, CAST(least(30, power(2, attempt)) AS DOUBLE) AS wait FROM {quality_logs}")
@@ -210,17 +238,39 @@ def h9_truncations(spark, d):
     return view(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("head"), F.length(F.substring("text", 1, 12_000)).cast("long").alias("n"))
 
 
-@query("j23_image_chain", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE url END, ''), nullif('', ''), 'none') AS image FROM {pages}")
+def _link(size: str, every: int) -> str:
+    return f"CASE WHEN page_id % {every} = 0 THEN concat('http://{size}/', page_id, '?zoom=1&u=http://y') ELSE '' END"
+
+
+IMAGE_SIZES = {"extraLarge": 7, "large": 5, "medium": 4, "small": 1, "thumbnail": 3, "smallThumbnail": 2}
+_IMAGE = "CASE " + " ".join(f"WHEN page_id % {n} = 0 THEN concat('https://{s}/', page_id, '?zoom=3&u=https://y')" for s, n in IMAGE_SIZES.items() if s != "small") + " END"
+
+
+@query("j23_image_chain", f"SELECT page_id, {_IMAGE} AS image FROM {{pages}}")
 def j23_image_chain(spark, d):
-    first = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("url"))
-    return view(spark, d, "pages").select("page_id", F.coalesce(F.nullif(first, F.lit("")), F.lit("none")).alias("image"))
+    """All five sizes, of which a page has some; ``small`` isn't one of them."""
+    from ..sources.catalogue import best_image
+
+    links = ", ".join(f"'{s}', {_link(s, n)}" for s, n in IMAGE_SIZES.items())
+    return sql(spark, d, f"SELECT page_id, map({links}) AS links FROM {{pages}}").select("page_id", best_image(F.col("links")).alias("image"))
 
 
-BOOKS = """SELECT page_id, concat('{{"items": [{{"volumeInfo": {{"title": "T', page_id, '", "industryIdentifiers": [{{"type": "ISBN_10", "identifier": "10-', page_id, '"}}', CASE WHEN page_id % 2 = 0 THEN concat(', {{"type": "ISBN_13", "identifier": "13-', page_id, '"}}') ELSE '' END, '], "imageLinks": {{"small": "http://x/', page_id, '"}}}}}}]}}') AS body FROM {pages}"""
+def _books() -> str:
+    """Answers with other numbers listed before or between the ISBNs, sizes that don't count, and some without items."""
+    o, c = "{{", "}}"
+    number = lambda kind, start: f"concat('{o}\"type\": \"{kind}\", \"identifier\": \"{start}', page_id, '\"{c}')"
+    numbers = f"CASE WHEN page_id % 4 = 0 THEN concat({number('OTHER', 'o-')}, ',') ELSE '' END, CASE WHEN page_id % 3 < 2 THEN concat({number('ISBN_10', '10-')}, ',') ELSE '' END, {number('ISBN_13', '13-')}"
+    links = f"'{o}\"small\": \"http://no\", \"large\": \"', {_link('large', 2)}, '\", \"thumbnail\": \"', {_link('thumbnail', 1)}, '\"{c}'"
+    item = f"'{o}\"items\": [{o}\"volumeInfo\": {o}\"title\": \"T', page_id, '\", \"industryIdentifiers\": [', {numbers}, '], \"imageLinks\": ', {links}, '{c}{c}]{c}'"
+    return f"SELECT page_id, CASE WHEN page_id % 10 = 9 THEN '{o}\"items\": []{c}' ELSE concat({item}) END AS body FROM {{pages}}"
 
 
-@query("a19_catalogue_lookup", "SELECT page_id, concat('T', page_id) AS title, concat(CASE WHEN page_id % 2 = 0 THEN '13-' ELSE '10-' END, page_id) AS isbn, concat('https://x/', page_id) AS image FROM {pages}")
+@query(
+    "a19_catalogue_lookup",
+    """SELECT page_id, CASE WHEN page_id % 10 < 9 THEN concat('T', page_id) END AS title, CASE WHEN page_id % 10 < 9 THEN concat(CASE WHEN page_id % 3 < 2 THEN '10-' ELSE '13-' END, page_id) END AS isbn, CASE WHEN page_id % 10 < 9 THEN '' END AS description,
+CASE WHEN page_id % 10 < 9 THEN concat('https://', CASE WHEN page_id % 2 = 0 THEN 'large' ELSE 'thumbnail' END, '/', page_id, '?zoom=3&u=https://y') END AS image FROM {pages}""",
+)
 def a19_catalogue_lookup(spark, d):
     from ..sources.catalogue import book_metadata
 
-    return book_metadata(sql(spark, d, BOOKS), "body").select("page_id", "title", "isbn", "image")
+    return book_metadata(sql(spark, d, _books()), "body").select("page_id", "title", "isbn", "description", "image")

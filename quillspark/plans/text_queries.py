@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chapters as ch
 from .registry import query
+from .views import query as sql
 from .views import view
 
 # The cleaning rules as the oracle states them.
@@ -176,16 +177,23 @@ def j1_slug(spark, d):
     return view(spark, d, "documents").select("doc_id", tx.slug("text").alias("slug"))
 
 
+SLUGS = "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN concat(lang, '-', doc_id % 9) WHEN doc_id % 50 = 8 THEN concat(lang, '-', doc_id % 9, '-1') ELSE lang END AS slug FROM {documents}"
+
+
 @query(
     "j2_slug_collisions",
-    "WITH s AS (SELECT doc_id, lang AS slug FROM {documents}) SELECT doc_id, CASE WHEN n = 0 THEN slug ELSE concat(slug, '-', n) END AS project_id FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) - 1 + CASE WHEN slug = 'en' THEN 1 ELSE 0 END AS n FROM s)",
+    f"""WITH s AS ({SLUGS}), t AS (SELECT unnest(['en', 'en-1', 'en-3', 'fr-2']) AS slug), n AS (SELECT slug FROM s UNION SELECT slug FROM t),
+r AS (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) - 1 + CASE WHEN slug IN (SELECT slug FROM t) THEN 1 ELSE 0 END AS k FROM s),
+c AS (SELECT slug, unnest(range(1, 2 * max(k) + 20)) AS number FROM r GROUP BY slug),
+f AS (SELECT slug, number, row_number() OVER (PARTITION BY slug ORDER BY number) AS k FROM c WHERE concat(slug, '-', number) NOT IN (SELECT slug FROM n))
+SELECT r.doc_id, CASE WHEN r.k = 0 THEN r.slug ELSE concat(r.slug, '-', f.number) END AS project_id FROM r LEFT JOIN f ON f.slug = r.slug AND f.k = r.k""",
 )
 def j2_slug_collisions(spark, d):
+    """The SQL finds names by trial: of all numbers those whose name is free, in order."""
     from ..operators import state as stt
 
-    rows = view(spark, d, "documents").select("doc_id", F.col("lang").alias("slug"))
-    taken = rows.where("slug = 'en'").select("slug").distinct()
-    return stt.free_slugs(rows, taken, "doc_id", "doc_id").select("doc_id", "project_id")
+    taken = spark.createDataFrame([("en",), ("en-1",), ("en-3",), ("fr-2",)], "slug string")
+    return stt.free_slugs(sql(spark, d, SLUGS), taken, "doc_id", "doc_id").select("doc_id", "project_id")
 
 
 _PART = "[^\\p{{L}}\\p{{M}}\\p{{N}}_]"
@@ -208,7 +216,7 @@ def j21_summary(spark, d):
     return view(spark, d, "documents").select("doc_id", F.md5(tx.to_last_stop("text").cast("binary")).alias("digest"))
 
 
-@query("j22_j25_escapes", "SELECT doc_id, md5(concat(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), replace(replace(t, '\\', '/'), '''', '''\\'''''))) AS digest FROM (SELECT doc_id, concat('a&<b>\"''\\', text) AS t FROM {documents})")
+@query("j22_j25_escapes", "SELECT doc_id, md5(concat(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;'), replace(replace(t, '\\', '/'), '''', '''\\'''''))) AS digest FROM (SELECT doc_id, concat('a&<b>\"''\\', text) AS t FROM {documents})")
 def j22_j25_escapes(spark, d):
     t = F.concat(F.lit("a&<b>\"'\\"), F.col("text"))
     return view(spark, d, "documents").select("doc_id", F.md5(F.concat(tx.escape_html(t), tx.escape_concat_path(t)).cast("binary")).alias("digest"))
@@ -220,12 +228,23 @@ def f10_total_chars(spark, d):
     return view(spark, d, "documents").groupBy("source").agg(F.sum(n).alias("total_chars"), F.max(n).cast("long").alias("longest"), F.sum(F.when(n / 1024 > 80, 1).otherwise(0)).alias("over_80_kb"))
 
 
-@query(
-    "j18_json_answers",
-    """WITH t AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN concat('<think>{{x}}', chr(10), '</think>{{"a": ', item_id, '}}') WHEN item_id % 4 = 1 THEN concat('Sure: {{"a": ', item_id, ', "b": {{}}}} done') WHEN item_id % 4 = 2 THEN 'no object' ELSE '{{broken' END AS t FROM {benchmark})
-SELECT item_id, CASE WHEN item_id % 4 < 2 THEN CAST(item_id AS VARCHAR) END AS a FROM t""",
-)
+_BROKEN = [
+    "concat('<think>{{x}}', chr(10), '</think>{{\"a\": ', item_id, '}}')",
+    "concat('Sure: {{\"a\": ', item_id, ', \"b\": {{}}}} done')",
+    "'no object'",
+    "concat('{{\"b\": [1, 2, {{\"c\": 3}}], \"a\": ', item_id)",
+    "concat('```json', chr(10), '{{\"b\": [1, 2,], \"a\": ', item_id, ',}}', chr(10), '```')",
+    "concat('{{a: ', item_id, ', b: it is, c: True}}')",
+    "concat('{{\"b\": \"say \"hi\" to him\" \"a\": ', item_id, ' // end', chr(10), '}} and more')",
+    "concat('{{ok: None, ''a'': ', item_id, ', \"b\": ]}}')",
+]
+ANSWERS = "SELECT item_id, CASE " + " ".join(f"WHEN item_id % {len(_BROKEN)} = {i} THEN {t}" for i, t in enumerate(_BROKEN)) + " END AS t FROM {benchmark}"
+
+
+@query("j18_json_answers", "SELECT item_id, CASE WHEN item_id % 8 NOT IN (2, 3) THEN CAST(item_id AS VARCHAR) END AS a, CASE item_id % 8 WHEN 3 THEN '3' WHEN 5 THEN 'true' END AS c, CASE item_id % 8 WHEN 5 THEN 'it is' WHEN 6 THEN 'say \"hi\" to him' WHEN 7 THEN '' END AS b FROM {benchmark}")
 def j18_json_answers(spark, d):
-    n, i = F.col("item_id") % 4, F.col("item_id")
-    t = F.when(n == 0, F.concat(F.lit("<think>{x}\n</think>{\"a\": "), i, F.lit("}"))).when(n == 1, F.concat(F.lit('Sure: {"a": '), i, F.lit(', "b": {}} done'))).when(n == 2, "no object").otherwise("{broken")
-    return view(spark, d, "benchmark").select("item_id", F.get_json_object(tx.json_object(t), "$.a").alias("a"))
+    """Answers whole and broken, with a number under ``a``; what comes after the last brace is no part of an object."""
+    rows = sql(spark, d, ANSWERS.replace("chr(10)", "char(10)")).withColumn("j", tx.json_object("t"))
+    own = lambda k: F.get_json_object("j", k)
+    b = F.when(F.col("item_id") % 8 >= 5, own("$.b"))
+    return rows.select("item_id", own("$.a").alias("a"), F.coalesce(own("$.b[2].c"), own("$.c")).alias("c"), b.alias("b"))

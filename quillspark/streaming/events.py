@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Loggers that are left out, besides the dashboard's own.
 NOISY = ["brain.dashboard.api.main", "uvicorn.access", "uvicorn.error"]
 LEVELS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
+#: What tells that a run has ended, as a log line and as a message.
+ENDED = "[PIPELINE ENDED]"
 MESSAGE = "type string, project_id string, chapter int, line_id string, progress int, total int, percent double, message string, ts timestamp"
 
 
@@ -20,7 +22,16 @@ def classified_logs(logs: DataFrame, raw: str = "raw", least: str = "INFO") -> D
     part = lambda i: F.trim(F.try_element_at(F.split(raw, r"\|", 4), F.lit(i)))
     rows = logs.withColumns({"severity": part(2), "logger": part(3), "message": part(4)})
     rows = rows.where(F.col("severity").isin(LEVELS[LEVELS.index(least) :]) & ~F.col("logger").isin(NOISY))
-    return rows.withColumn("level", F.when(F.col("severity").isin("ERROR", "CRITICAL"), "error").when(F.col("severity") == "WARNING", "warn").otherwise("info"))
+    return rows.withColumn("level", line_class(raw))
+
+
+def line_class(raw: Column | str) -> Column:
+    """How a console shows a line: error, warn, info or debug by the first of these levels that stands between bars, sentinel, other."""
+    line = F.col(raw) if isinstance(raw, str) else raw
+    out = F.when(F.startswith(line, F.lit(ENDED)), "sentinel").otherwise("other")
+    for level, shown in (("DEBUG", "debug"), ("INFO", "info"), ("WARNING", "warn"), ("ERROR", "error")):
+        out = F.when(F.regexp_like(line, F.lit(rf"(?U)\|\s*{level}\s*\|")), shown).otherwise(out)
+    return out
 
 
 def messages(texts: DataFrame, body: str = "value") -> DataFrame:
@@ -47,7 +58,10 @@ def sessions(events: DataFrame, gap: str, late: str, keys: list[str]) -> DataFra
 
 
 def replayed(history: DataFrame, live: DataFrame, ident: str, late: str = "1 hour") -> DataFrame:
-    """History, then what follows, each message once though both may hold it."""
+    """History and what follows, each message once though both may hold it, as far as the watermark remembers.
+
+    Where messages are numbered ``stateful.handed_over`` remembers all of them by one number.
+    """
     rows = history.unionByName(live)
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([ident]) if rows.isStreaming else rows.dropDuplicates([ident])
 
@@ -72,10 +86,6 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return number
 
 
-#: What tells that a run has ended, as a log line and as a message.
-ENDED = "[PIPELINE ENDED]"
-
-
 def restarts(health: DataFrame, key: str, failures: int = 1, most: int = 5) -> DataFrame:
     """Watchdog over ``(key, ts, ok)``: when to restart, counting failures since the last success per key.
 

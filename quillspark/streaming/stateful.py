@@ -8,6 +8,7 @@ without input. Busy keys are cut down before the shuffle, or dealt over several.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,9 +26,16 @@ RING, HEARTBEAT_MS, REPORT = 500, 15_000, 200
 PARTS = 32
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State store that these processors need; to be called before a stream starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def use_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Within it streams start with the state store that these processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class _Ring(StatefulProcessor):

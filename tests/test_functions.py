@@ -115,8 +115,12 @@ def test_small_text_functions(spark):
     assert get(tx.to_last_stop(F.lit("One. Two. thr"))) == "One. Two." and get(tx.to_last_stop(F.lit("none"))) == "none."
     assert get(tx.rewrite_words(F.lit("Tom's tom-cat atom TOM"), [("tom", "T$1\\x")])) == "T$1\\x's T$1\\x-cat atom T$1\\x"
     assert get(tx.hms(F.lit(3725.9))) == "1:02:05" and get(tx.human_bytes(F.lit(1536))) == "1.5 KB"
+    sizes = {0: "0 Bytes", None: "0 Bytes", 1: "1 Bytes", 1023: "1023 Bytes", 1024: "1 KB", 2048: "2 KB", 1152: "1.13 KB", 1034: "1.01 KB", 1048576: "1 MB", 10 * 1024**3: "10 GB", 1024**4 * 100: "100 TB", 1024**5: "1024 TB"}
+    assert {k: get(tx.human_bytes(F.lit(k).cast("long"))) for k in sizes} == sizes
+    assert get(tx.escape_html(F.lit("<'&\">"))) == "&lt;&#039;&amp;&quot;&gt;" and get(tx.escape_html(F.lit(None).cast("string"))) == ""
+    assert get(tx.fragments(F.lit('He said "one\rtwo\u2028three" and left. Then'))) == ["He said", '"one\rtwo\u2028three"', "and left.", "Then"]
     assert get(tx.json_object(F.lit('<think>{"x"}</think> ok {"a": {"b": 1}} bye'))) == '{"a": {"b": 1}}'
-    assert get(tx.json_object(F.lit("no"))) is None and get(tx.json_object(F.lit("{broken"))) is None
+    assert get(tx.json_object(F.lit("no"))) is None and get(tx.json_object(F.lit("{broken"))) == '{"broken": ""}'
     said = {("joy", 0.8): "Speak with joy. at a slow, measured pace.", ("neutral", 0.95): "Speak with neutral. at a slightly slower pace.", ("", 1.05): "at a slightly faster pace.", ("", 1.2): "at a quick, energetic pace.", ("", 1.0): "", ("calm", 1.0): "Speak with calm."}
     assert {k: get(sc.instruction(F.lit(k[0]), F.lit(k[1]))) for k in said} == said
     shares = {(0.0, 1.0, "neutral"): 0.2, (-4.0, 0.8, "neutral"): 0.0, (1.5, 1.0, "warm"): 0.2 * 0.35, (0.0, 1.05, "neutral"): 0.2, (0.3, 0.8, "bright"): 0.2 * 0.65}

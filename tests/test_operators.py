@@ -110,3 +110,55 @@ def test_state(spark):
     slugs = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "n int, slug string")
     got = stt.free_slugs(slugs, spark.createDataFrame([("s",)], "slug string"), "n", "n").orderBy("n").collect()
     assert [r.project_id for r in got] == ["s-1", "s-2", "t"]
+
+
+def brute_names(rows, taken):
+    """The slug itself for its first request if it isn't taken, else number after number until one is free."""
+    asked, used, out = {s for _, s in rows}, set(taken), {}
+    for n, s in sorted(rows):
+        if s not in used:
+            out[n] = s
+            used.add(s)
+            continue
+        k = 1
+        while f"{s}-{k}" in used or f"{s}-{k}" in asked:
+            k += 1
+        out[n] = f"{s}-{k}"
+        used.add(out[n])
+    return out
+
+
+def test_free_names(spark):
+    import random
+
+    def named(rows, taken):
+        t = spark.createDataFrame(rows, "n int, slug string").repartition(3)
+        return {r.n: r.project_id for r in stt.free_slugs(t, spark.createDataFrame([(x,) for x in taken], "slug string"), "n", "n").collect()}
+
+    assert named([(1, "en"), (2, "en"), (3, "en")], ["en", "en-1"]) == {1: "en-2", 2: "en-3", 3: "en-4"}
+    rnd = random.Random(5)
+    slugs = ["en", "en-1", "en-2", "en-1-1", "fr", "fr-07", "fr-", "", "-1", "x y"]
+    rows = [(i, "hot" if i % 3 == 0 else rnd.choice(slugs)) for i in range(300)]
+    taken = ["en", "en-3", "en-4", "hot", "hot-1", "hot-50", "hot-51", "fr-2", "fr-0", "-3", "hot-99999999999999999999"]
+    got = named(rows, taken)
+    assert got == brute_names(rows, taken) and len(set(got.values())) == 300 and not set(got.values()) & set(taken)
+    assert named([(1, None), (2, "a")], ["b"]) == {1: None, 2: "a"}
+
+
+def test_schedule_ends_and_empty_jobs(spark):
+    times = spark.createDataFrame([(1, "Monday", "00:00"), (2, "Monday", "23:59"), (3, "Sunday", "12:00")], "id int, day string, time string")
+    allowed = lambda *w: [r.allowed for r in stt.may_run(times, spark.createDataFrame(list(w), "days array<string>, start string, end string")).orderBy("id").collect()]
+    assert allowed(([], "00:00", "01:00")) == [True, False, False] and allowed((None, None, None)) == [True] * 3
+    assert allowed((["Monday"], None, "01:00"), (["Sunday"], "12:00", None)) == [True, False, True]
+    jobs = spark.createDataFrame([("p", 0), ("q", None), ("r", 1)], "project_id string, total int")
+    for c in ("scripted", "generated", "mastered"):
+        jobs = jobs.withColumn(c, F.array().cast("array<int>"))
+    grid = stt.chapter_grid(jobs.withColumns({"generating": F.lit(None).cast("int"), "scripting": F.lit(None).cast("int")})).collect()
+    assert [(r.project_id, r.chapter, r.state) for r in grid] == [("r", 1, "Pending")]
+
+
+def test_empty_raw_sections_are_no_parts(spark):
+    rows = [("a", 1, "", "one"), ("a", 2, "", ""), ("a", 3, "", "  "), ("a", 4, "", "two")]
+    clean = ch.cleaned_sections(spark.createDataFrame(rows, "book_id string, ord int, title string, text string"))
+    assert [r.text for r in ch.full_text_parts(clean).orderBy("part").collect()] == ["one", "", "two"]
+    assert ch.full_text(clean).first().text == "one\n\n\n\ntwo"

@@ -111,3 +111,15 @@ def test_page_texts_by_hand():
         "": "",
     }
     assert {p: full_text(parse(p)) for p in pages} == pages
+
+
+def test_catalogue_answers(spark):
+    import json
+
+    from quillspark.sources.catalogue import book_metadata
+
+    info = {"title": "T", "authors": ["A", "B"], "industryIdentifiers": [{"type": "OTHER", "identifier": "x"}, {"type": "ISBN_10", "identifier": "10"}, {"type": "ISBN_13", "identifier": "13"}], "imageLinks": {"small": "http://s", "medium": "", "thumbnail": "http://t?zoom=1&u=http://v&zoom=10"}}
+    rows = [(1, json.dumps({"items": [{"volumeInfo": info}, {"volumeInfo": {"title": "no"}}]})), (2, '{"items": []}'), (3, "{}"), (4, "broken"), (5, None), (6, '{"items": [{"volumeInfo": {}}]}')]
+    got = {r.i: tuple(r)[2:] for r in book_metadata(spark.createDataFrame(rows, "i int, body string"), "body").collect()}
+    assert got[1] == ("T", "A, B", "", "10", "https://t?zoom=3&u=https://v&zoom=30")
+    assert all(got[i][2:] == (None, None, None) for i in (2, 3, 4, 5)) and got[6][2:] == ("", "", None)

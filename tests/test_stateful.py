@@ -15,9 +15,8 @@ from quillspark.streaming import stateful as st
 
 @pytest.fixture(autouse=True)
 def rocksdb(spark):
-    st.use_rocksdb(spark)
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with st.use_rocksdb(spark):
+        yield
 
 
 def files(spark, path, parts, schema):

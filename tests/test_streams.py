@@ -71,6 +71,9 @@ def test_watchdog_counts_failures_in_a_row(spark, tmp_path):
 def test_logs_and_messages(spark):
     logs = spark.createDataFrame([("t | INFO | engine | a | b",), ("t | ERROR | engine | x",), ("t | DEBUG | engine | x",), ("t | INFO | uvicorn.access | x",), ("t | INFO | uvicorn.error | x",), ("t | WARNING | httpx | x",), ("junk",)], "raw string")
     assert [(r.level, r.message) for r in ev.classified_logs(logs).collect()] == [("info", "a | b"), ("error", "x"), ("warn", "x")]
+    shown = {"t | ERROR | x | INFO | y": "error", "a |WARNING| b": "warn", "|\tDEBUG |": "debug", "t | CRITICAL | e | x": "other", "[PIPELINE ENDED]": "sentinel", "x [PIPELINE ENDED]": "other", "": "other", "| INFO | [PIPELINE ENDED]": "info"}
+    lines = spark.createDataFrame([(k,) for k in shown], "raw string")
+    assert {r.raw: r.c for r in lines.select("raw", ev.line_class("raw").alias("c")).collect()} == shown
     texts = spark.createDataFrame([('{"type": "progress", "progress": 3}',), ('{"type": "other"}',), ("broken",)], "value string")
     assert [r.progress for r in ev.messages(texts).collect()] == [3]
 
