@@ -41,9 +41,10 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def composed(text: Column | str) -> Column:
-    """NFC; only texts with characters beyond ASCII go through Python."""
+    """NFC; only texts with characters beyond ASCII go through Python, others are not even sent there."""
     t = c(text)
-    return F.when(F.octet_length(t) == F.length(t), t).otherwise(nfc(t))
+    plain = F.octet_length(t) == F.length(t)
+    return F.when(plain, t).otherwise(nfc(F.when(~plain, t)))
 
 
 def ligatures(text: Column | str) -> Column:
@@ -70,7 +71,10 @@ def without_page_numbers(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(c(text), r"(?U)^\s+|\s+\z", "")
+    """Without blanks at both ends; the pattern reads only texts that begin or end with one."""
+    t = c(text)
+    ends = F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return F.when(F.regexp_like(ends, F.lit(r"(?U)\s")), F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")).otherwise(t)
 
 
 def word_list(text: Column | str) -> Column:
@@ -82,20 +86,36 @@ def word_count(text: Column | str) -> Column:
 
 
 def without_headers(text: Column | str) -> Column:
-    """Drop short lines in capitals (or without letters) of at most five words that don't open with a quote."""
+    """Drop short lines in capitals (or without letters) of at most five words that don't open with a quote.
+
+    Nearly all lines have a small letter, which is tested first; blanks have no case, so they needn't be stripped for it.
+    """
 
     def stays(line: Column) -> Column:
         s = strip(line)
-        header = (s != "") & (s == F.upper(s)) & (F.length(s) < 60) & (F.size(F.split(s, BLANK)) <= 5) & ~F.startswith(s, F.lit('"'))
-        return ~header
+        return (line != F.upper(line)) | (s == "") | (F.length(s) >= 60) | F.startswith(s, F.lit('"')) | (F.size(F.split(s, BLANK)) > 5)
 
     return F.array_join(F.filter(F.split(c(text), "\n", -1), stays), "\n")
 
 
 def tidy_blanks(text: Column | str) -> Column:
+    """One kind of line break, lines without blanks at their ends, single blanks, at most one empty line in a row.
+
+    A pass is made only over texts that hold what it looks for.
+    """
     t = F.replace(F.replace(c(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"(?dm)^[ \t]+|[ \t]+$", "")
-    return F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    ends = lambda x: F.concat(F.lit("\n"), F.substring(x, 1, 1), F.lit("."), F.substring(x, -1, 1), F.lit("\n"))
+    has = lambda x, *parts: reduce(lambda a, b: a | b, (F.contains(x, F.lit(p)) for p in parts))
+    beside = "\n ", "\n\t", " \n", "\t\n"
+    trimmed = lambda x: F.when(has(x, *beside) | has(ends(x), *beside), F.regexp_replace(x, r"(?dm)^[ \t]+|[ \t]+$", "")).otherwise(x)
+    single = lambda x: F.when(has(x, "  ", "\t\t", " \t", "\t "), F.regexp_replace(x, r"[ \t]{2,}", " ")).otherwise(x)
+    short = lambda x: F.when(has(x, "\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x)
+    return _let(_let(_let(t, trimmed), single), short)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is found once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def cleaned(text: Column | str, normalize: bool = True) -> Column:
@@ -103,7 +123,7 @@ def cleaned(text: Column | str, normalize: bool = True) -> Column:
     t = F.coalesce(c(text), F.lit(""))
     t = composed(t) if normalize else t
     t = em_dashes(plain_quotes(plain_spaces(ligatures(t))))
-    return strip(tidy_blanks(without_headers(without_page_numbers(t))))
+    return _let(tidy_blanks(without_headers(without_page_numbers(t))), strip)
 
 
 def normalized_for_wer(text: Column | str) -> Column:

@@ -72,11 +72,13 @@ def chapters(raw: DataFrame, min_words: int = 100, max_words: int = 20_000) -> D
     parts = F.when(F.col("n_words") > max_words, F.ceil(F.col("n_words") / max_words)).otherwise(1).cast("int")
     kept = clean.where(F.col("n_words") >= min_words)
     numbers = totals_before(kept.select("book_id", "ord", "_row", parts.alias("parts")), "book_id", ["ord", "_row"], {"_before": "parts"})
-    rows = kept.join(numbers.select("_row", "parts", "_before"), "_row").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.array_join(F.slice(w, i * max_words + 1, F.lit(max_words)), " "))
+    texts = F.when(F.col("parts") > 1, F.get(F.transform(F.array(tx.word_list("text")), cut), F.lit(0))).otherwise(F.array("text"))  # split once a section
+    rows = kept.join(numbers.select("_row", "parts", "_before"), "_row").select("book_id", "title", "parts", "_before", "n_words", F.posexplode(texts).alias("_at", "text")).withColumn("part", F.col("_at") + 1)
     number = (F.col("_before") + F.col("part")).cast("int")
-    own = F.slice(tx.word_list("text"), (F.col("part") - 1) * max_words + 1, F.lit(max_words))
     title = F.when(F.col("title") == "", F.concat(F.lit("Chapter "), number)).otherwise(F.when(F.col("parts") > 1, F.concat("title", F.lit(" (Part "), "part", F.lit(")"))).otherwise(F.col("title")))
-    out = rows.select("book_id", number.alias("number"), title.alias("title"), F.when(F.col("parts") > 1, F.array_join(own, " ")).otherwise(F.col("text")).alias("text"), F.when(F.col("parts") > 1, F.size(own)).otherwise(F.col("n_words")).alias("word_count"))
+    words = F.when(F.col("parts") > 1, F.least(F.lit(max_words), F.col("n_words") - F.col("_at") * max_words)).otherwise(F.col("n_words"))
+    out = rows.select("book_id", number.alias("number"), title.alias("title"), "text", words.alias("word_count"))
     return out.union(full_text(clean.join(kept.select("book_id").distinct(), "book_id", "left_anti")))
 
 

@@ -51,7 +51,7 @@ def _read(spark, d):
 def _finished(spark, stream, mode="append"):
     """All that a stream gives from what is there, written batch by batch, each once."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    table = OnceTable(spark, path, stream.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    table = OnceTable(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema))
     with use_rocksdb(spark):
         query = stream.writeStream.outputMode(mode).foreachBatch(table.sink("out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
