@@ -93,7 +93,7 @@ def without_headers(text: Column | str) -> Column:
 
     def stays(line: Column) -> Column:
         s = strip(line)
-        return (line != F.upper(line)) | (s == "") | (F.length(s) >= 60) | F.startswith(s, F.lit('"')) | (F.size(F.split(s, BLANK)) > 5)
+        return F.regexp_like(line, F.lit("[a-z]")) | (line != F.upper(line)) | (s == "") | (F.length(s) >= 60) | F.startswith(s, F.lit('"')) | (F.size(F.split(s, BLANK)) > 5)
 
     return F.array_join(F.filter(F.split(c(text), "\n", -1), stays), "\n")
 

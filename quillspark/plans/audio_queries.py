@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import audio as au
 from ..functions import text as tx
 from ..operators import audio as op
+from ..operators.loudness import integrated_loudness
 from .registry import query
 from .views import view
 
@@ -197,3 +198,26 @@ def k3_k4_assemble_chapters(spark, d):
 def k5_mastering_chain(spark, d):
     rows = segments(spark, d).select(F.expr(CHAPTER), F.col("vec_id").alias("line_ord"), "sample_rate", "pcm", F.lit(0).alias("pause_before_ms"), F.lit(300).alias("pause_after_ms"))
     return op.mastered(op.assembled(rows, ["chapter"]), to_rate=320).select("chapter", "n", F.round("lufs", 6).alias("lufs"), F.round("peak_dbfs", 6).alias("peak_dbfs"))
+
+
+_LOUD = """WITH RECURSIVE k AS (SELECT 4000.0::double AS rate, 2 * pi() * 1500 / 4000 AS w, 2 * pi() * 38 / 4000 AS v, power(10, 0.1)::double AS a),
+f AS (SELECT rate, cos(v) AS q, sin(v) AS p, a, cos(w) AS c, sqrt(2.0) * sqrt(a) * sin(w) AS r FROM k),
+g AS (SELECT rate, (a + 1) - (a - 1) * c + r AS n, a * ((a + 1) + (a - 1) * c + r) AS b0, -2 * a * ((a - 1) + (a + 1) * c) AS b1, a * ((a + 1) + (a - 1) * c - r) AS b2, 2 * ((a - 1) - (a + 1) * c) AS a1, (a + 1) - (a - 1) * c - r AS a2, q, p FROM f),
+x AS (SELECT label, flatten(list(embedding::double[] ORDER BY vec_id)) AS x FROM {embeddings} WHERE embedding IS NOT NULL GROUP BY label),
+y AS (SELECT label, 0::bigint AS i, 0.0::double AS x1, 0.0::double AS x2, 0.0::double AS u1, 0.0::double AS u2, 0.0::double AS y1, 0.0::double AS y2 FROM x
+  UNION ALL SELECT label, i + 1, now, x1, u, u1, ((1 + q) / 2 * u - (1 + q) * u1 + (1 + q) / 2 * u2 + 2 * q * y1 - (1 - p) * y2) / (1 + p), y1 FROM (
+    SELECT y.*, x.x[i + 1] AS now, (b0 * x.x[i + 1] + b1 * x1 + b2 * x2 - a1 * u1 - a2 * u2) / n AS u, q, p FROM y JOIN x ON x.label IS NOT DISTINCT FROM y.label, g WHERE i < len(x.x))),
+b AS (SELECT label, len(x) AS n, unnest(range(CASE WHEN len(x) >= 1600 THEN CAST(round((len(x) / 4000.0 - 0.4) / 0.1) AS BIGINT) + 1 ELSE 0 END)) AS j FROM x),
+z AS (SELECT b.label, j, sum(y1 * y1) / 1600 AS z FROM b JOIN y ON y.label IS NOT DISTINCT FROM b.label AND i > j * 400 AND i <= least(j * 400 + 1600, n) GROUP BY 1, 2),
+l AS (SELECT label, z, CASE WHEN z > 0 THEN -0.691 + 10 * log10(z) END AS l FROM z),
+h AS (SELECT label, -10.691 + 10 * log10(avg(z)) AS gate FROM l WHERE l >= -70 GROUP BY label),
+o AS (SELECT l.label, -0.691 + 10 * log10(avg(z)) AS lufs FROM l JOIN h ON h.label IS NOT DISTINCT FROM l.label WHERE l > gate AND l > -70 GROUP BY l.label)
+SELECT x.label, round(coalesce(lufs, -70), 6) AS lufs FROM x LEFT JOIN o ON o.label IS NOT DISTINCT FROM x.label"""
+
+
+@query("k6_integrated_loudness", _LOUD)
+def k6_integrated_loudness(spark, d):
+    """The vectors of a label in a row as one recording; the SQL filters sample by sample."""
+    rows = view(spark, d, "embeddings").where("embedding is not null")
+    pieces = rows.select(F.col("label").alias("audio"), F.col("vec_id").alias("piece"), F.lit(4000).alias("sample_rate"), F.col("embedding").alias("pcm"))
+    return integrated_loudness(pieces).select(F.col("audio").alias("label"), F.round("lufs", 6).alias("lufs"))
