@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import totals_before
+
 
 def latest_attempts(logs: DataFrame) -> DataFrame:
     """The row of the highest attempt of each line, the first written of equal ones."""
@@ -77,8 +79,35 @@ def book_report(logs: DataFrame, worst: int = 3) -> DataFrame:
     w = Window.partitionBy("project_id").orderBy(F.desc("wer"), "line_id")
     top = last.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= worst).groupBy("project_id")
     top = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line_id"))), lambda r: r["line_id"]), ",").alias("worst_lines"))
-    mid = last.groupBy("project_id").agg(F.round(F.avg("wer"), 9).alias("average_wer"), F.round(F.median("wer"), 9).alias("median_wer"), F.max("wer").alias("worst_wer"))
-    return mid.join(top, "project_id")
+    all_lines = last.groupBy("project_id").agg(F.round(F.avg("wer"), 9).alias("average_wer"), F.max("wer").alias("worst_wer"))
+    mid = medians(last, "project_id", "wer").select("project_id", F.round("median", 9).alias("median_wer"))
+    return all_lines.join(mid, "project_id").join(top, "project_id").select("project_id", "average_wer", "median_wer", "worst_wer", "worst_lines")
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, median)``: the exact median of each key's values that aren't null, however many a key has.
+
+    Equal values are counted before they are moved; what comes before a value in its key is a sum over ranges, so that no
+    task holds a key. The middle lies in the value, or in the two, that half of the values reach.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = totals_before(counts, key, ["_v"], {"_before": "_n"})
+    size = placed.groupBy(F.col(key).alias("_k")).agg(F.sum("_n").alias("_all"))
+    placed = placed.join(size, placed[key].eqNullSafe(size["_k"]))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
+    middle = placed.where(holds(low) | holds(high)).groupBy(key)
+    return middle.agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+
+
+def generation_ratio(spent: DataFrame, audio: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, generation_seconds, audio_seconds, ratio)``: time spent on making sound over the sound made.
+
+    ``spent(keys, seconds)`` and ``audio(keys, seconds)`` may have any number of rows a key; null where there is no sound.
+    """
+    total = lambda t, name: t.groupBy(*keys).agg(F.sum("seconds").alias(name))
+    both = total(spent, "generation_seconds").join(total(audio, "audio_seconds"), keys, "full")
+    return both.withColumn("ratio", F.when(F.col("audio_seconds") > 0, F.coalesce("generation_seconds", F.lit(0.0)) / F.col("audio_seconds")))
 
 
 def best_attempts(logs: DataFrame) -> DataFrame:

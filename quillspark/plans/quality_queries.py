@@ -193,3 +193,14 @@ def a14_export_lists(spark, d):
     chapters = rows.select("book_id", "number", F.concat(F.lit("T"), "number").alias("title"), F.concat(F.lit("\\a\\it's "), "number", F.lit(".wav")).alias("path"))
     out = tl.export_lists(chapters, rows.where("number % 9 <> 0"))
     return out.select("book_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("files", "metadata")])
+
+
+@query(
+    "doc_p1_generation_ratio",
+    """WITH s AS (SELECT concat('book', user_id % 6) AS book_id, sum(value)::double AS g FROM {events} WHERE value IS NOT NULL GROUP BY 1), a AS (SELECT book_id, sum(seconds) AS t FROM {chapter_durations} GROUP BY 1)
+SELECT coalesce(s.book_id, a.book_id) AS book_id, round(g, 4) AS generation_seconds, round(t, 4) AS audio_seconds, round(CASE WHEN t > 0 THEN coalesce(g, 0) / t END, 9) AS ratio FROM s FULL JOIN a ON s.book_id = a.book_id""",
+)
+def doc_p1_generation_ratio(spark, d):
+    spent = view(spark, d, "events").select(F.concat(F.lit("book"), F.col("user_id") % 6).alias("book_id"), F.col("value").alias("seconds"))
+    out = ql.generation_ratio(spent, view(spark, d, "chapter_durations"), ["book_id"])
+    return out.select("book_id", F.round("generation_seconds", 4).alias("generation_seconds"), F.round("audio_seconds", 4).alias("audio_seconds"), F.round("ratio", 9).alias("ratio"))

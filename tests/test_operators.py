@@ -162,3 +162,19 @@ def test_empty_raw_sections_are_no_parts(spark):
     clean = ch.cleaned_sections(spark.createDataFrame(rows, "book_id string, ord int, title string, text string"))
     assert [r.text for r in ch.full_text_parts(clean).orderBy("part").collect()] == ["one", "", "two"]
     assert ch.full_text(clean).first().text == "one\n\n\n\ntwo"
+
+
+def test_medians_of_even_and_odd_counts(spark):
+    import random
+    import statistics
+
+    rnd, rows = random.Random(2), []
+    for key, n in (("hot", 401), ("even", 10), ("one", 1), ("two", 2), ("equal", 7), (None, 4)):
+        rows += [(key, 0.5 if key == "equal" else rnd.choice([rnd.random(), 0.25])) for _ in range(n)]
+    rows += [("hot", None), ("nothing", None)]
+    got = {r.k: r.median for r in ql.medians(spark.createDataFrame(rows, "k string, v double").repartition(4), "k", "v").collect()}
+    want = {k: statistics.median([v for q, v in rows if q == k and v is not None]) for k in ("hot", "even", "one", "two", "equal", None)}
+    assert got == want
+    spent = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("b", 1.0), ("c", 1.0)], "book_id string, seconds double")
+    audio = spark.createDataFrame([("a", 3.0), ("b", 0.0), ("d", 2.0)], "book_id string, seconds double")
+    assert {r.book_id: r.ratio for r in ql.generation_ratio(spent, audio, ["book_id"]).collect()} == {"a": 2.0, "b": None, "c": None, "d": 0.0}

@@ -34,3 +34,29 @@ def test_store(spark):
     store.delete_job("a")
     store.delete_job("unknown")
     assert store.jobs().count() == 1 and store.quality_logs().count() == 1
+
+
+def test_a_change_rewrites_its_bucket_alone(spark):
+    store = Store(spark, "quill_buckets", buckets=4)
+    rows = spark.range(40).selectExpr("concat('p', id) as project_id", "'{}' as state", "'t' as created_at", "concat('t', id) as updated_at")
+    store.upsert_jobs(rows)
+    store.log_quality(spark.createDataFrame([(i, f"p{i}", "l", 1, 1) for i in range(40)], "id long, project_id string, line_id string, chapter_number int, attempt int"))
+
+    def files(name):
+        found = {}
+        for r in spark.table(f"quill_buckets.{name}").selectExpr("bucket", "_metadata.file_name as f").distinct().collect():
+            found.setdefault(r.bucket, set()).add(r.f)
+        return found
+
+    before = files("jobs"), files("quality_logs")
+    assert len(before[0]) == 4
+    store.update_state("p7", status="paused")
+    after = files("jobs")
+    assert sum(after[b] != before[0][b] for b in after) == 1 and store.job("p7") == {"status": "paused"} and store.jobs().count() == 40
+    store.delete_jobs(spark.createDataFrame([("p7",), ("unknown",)], "project_id string"))
+    assert store.jobs().count() == store.quality_logs().count() == 39 and store.quality_logs("p7").count() == 0
+    gone = [r.project_id for r in spark.table("quill_buckets.jobs").where("bucket = 1").collect()]
+    store.delete_jobs(spark.createDataFrame([(p,) for p in gone], "project_id string"))
+    assert 1 not in files("jobs") and store.jobs().count() == 39 - len(gone)
+    store.delete_jobs(spark.createDataFrame([], "project_id string"))
+    assert store.jobs().count() == 39 - len(gone)
