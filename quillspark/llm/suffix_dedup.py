@@ -233,6 +233,20 @@ def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, staged(found.groupBy("k", "c", "mixed").agg(F.sum("n").alias("n"), at), "entries")
 
 
+def _runs(places: DataFrame, length: int) -> DataFrame:
+    """Places of suffixes ``(_id, _h, p)`` as spans ``(_id, _h, start, end)``, neighbours within 32 places as one.
+
+    A document's places are bits of whole numbers, set by tasks before the shuffle, so that a text of repeats from end to end
+    has a span for each 32 bytes at least, not one for each byte.
+    """
+    words = places.groupBy("_id", "_h", F.floor(F.col("p") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m"))
+    # Lengths of runs of bits, from the lowest: the places where a run begins and those after which it ends.
+    begins = F.expr("filter(sequence(0, 31), i -> (m & shiftleft(1L, i)) <> 0 and (i = 0 or (m & shiftleft(1L, i - 1)) = 0))")
+    ends = F.expr("filter(sequence(0, 31), i -> (m & shiftleft(1L, i)) <> 0 and (i = 31 or (m & shiftleft(1L, i + 1)) = 0))")
+    runs = words.select("_id", "_h", "w", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("r"))
+    return runs.select("_id", "_h", (F.col("w") * 32 + F.col("r.a")).alias("start"), (F.col("w") * 32 + F.col("r.b") + length).alias("end"))
+
+
 def _cut(batches):
     """Union the spans of each text and cut them out."""
     for batch in batches:
@@ -265,7 +279,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Returns ``(id, n_bytes, spans array<struct<start,end>>, kept binary)``, a row for each input row.
     Texts are their UTF-8 bytes and strings never cross rows. Null text counts as empty; a text shorter
-    than ``length`` is kept whole. Rows are told apart by (id, hash of text): repeated rows and rows with
+    than ``length`` is kept whole, and one of any length is read whole, in blocks of 1 MB. Rows are told apart by (id, hash of text): repeated rows and rows with
     null or shared ids are judged as separate places and each gets its result. An empty table gives an
     empty table; columns other than the two named are ignored.
     """
@@ -290,7 +304,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left = reach.join(left, null_safe(reach, left, "_id", "_h", "lo")).select(reach["_id"], reach["_h"], reach["lo"], "n", "ctx", "spans")
     suffixes = staged(left.mapInArrow(_suffixes(length), head + "p long, n long, s binary"), "suffixes")
     shared = _in_order(suffixes, length)
-    single = shared.where("n = 1").select("_id", "_h", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
+    single = _runs(shared.where("n = 1").select("_id", "_h", "p"), length)
     spans = whole.union(blocks).union(single).groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = staged(spans, "spans")
     release(found, reach, cuts, suffixes, shared)
