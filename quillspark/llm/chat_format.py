@@ -133,7 +133,7 @@ def format_conversations(
     name can't be answered; of several with one name the least by role, then text is the one answered, and the
     others are branches of their own. A message whose parent doesn't exist is a root; messages on a cycle are
     on no path. Null roles and texts count as empty; rows with a null id are a conversation of their own. An
-    empty table gives an empty table; other columns are ignored.
+    empty table gives an empty table; texts and conversations of any length are whole; other columns are ignored.
     """
     stage = Tables()
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)

@@ -81,7 +81,7 @@ def contaminated_words(
     ids, as strings, of the items of which a window occurs. ``_h`` is xxhash64 of the text, with which the id
     tells rows apart. Null and empty texts have no words; items without words have no window; an item with a
     null id hits words but isn't named. Rows that repeat (in either table), share an id or have a null id
-    keep a row each. Empty tables give no hits or an empty table; other columns are ignored.
+    keep a row each; texts of any length are read whole. Empty tables give no hits or an empty table; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), words(F.col(text_col)).alias("w"))
     stage = Tables()

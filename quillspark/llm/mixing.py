@@ -63,7 +63,7 @@ def mix(docs: DataFrame, shares: dict[str | None, int], source_col: str = "sourc
     ``shares`` are whole numbers above 0 by source (None: rows with a null source, which are a source of
     their own); sources not named have ``default_share``. Null ids sort as the empty string. An empty table
     gives an empty table; all columns are kept, but for one with the name of an added one, which that
-    replaces. ``piece`` is the number of slots that one row plans (default: the root of the period).
+    replaces; texts, however long, play no part. ``piece`` is the number of slots that one row plans (default: the root of the period).
     """
     if default_share < 1 or any(int(v) != v or v < 1 for v in shares.values()):
         raise ValueError("shares are whole numbers above 0")

@@ -96,7 +96,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     plus ``overhead``, slot counts from 0 without gaps within a shard. Slots follow ``order`` (default: md5
     of the id), of which ``levels`` are leading parts (neither holds nulls); rows that tie take any of their slots. A null
     text counts as empty and is grouped with empty texts. Repeated rows are rows of one group; ids may be
-    null. A group larger than an even share fills a shard alone. An empty table gives an empty table; other
+    null. Texts of any length count whole. A group larger than an even share fills a shard alone. An empty table gives an empty table; other
     columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

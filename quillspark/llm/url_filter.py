@@ -99,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     compared with a threshold, which maximises balanced accuracy over the ``1 / held_out`` of the decided
     URLs (by crc32) that don't train. Where only one verdict or none was learnt, all URLs without a rule get
     that verdict, or allow. Null URLs and URLs without ``://`` have empty host and path, and an empty or null
-    URL has score 0. Repeated rows and null ids keep a row each; an empty table gives an empty table; other
+    URL has score 0. URLs of any length are read whole. Repeated rows and null ids keep a row each; an empty table gives an empty table; other
     columns are ignored.
     """
     spark = pages.sparkSession

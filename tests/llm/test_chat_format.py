@@ -91,3 +91,10 @@ def test_messages_without_a_name_or_with_one_name(spark):
     out = format_conversations(df, parent_col="parent", choose="all").collect()
     assert sorted((r.root or "", r.leaf or "", [t for _, t in parse_turns(r.formatted)]) for r in out) == [("", "", ["nameless root"]), ("a", "", ["hello", "twice", "nameless"]), ("a", "b", ["hello", "twice"])]
     assert format_conversations(df.where("false"), parent_col="parent", choose="all").count() == 0
+
+
+def test_very_long_texts_and_conversations(spark):
+    long = "x<|im_end|>" * 100_000
+    rows = [(1, 1, "user", long), (1, 2, "assistant", long)] + [(2, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(20_000)]
+    got = {r.conv_id: parse_turns(r.formatted) for r in format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert got[1] == [("user", long), ("assistant", long)] and got[2] == [(r, t) for _, _, r, t in rows[2:]]

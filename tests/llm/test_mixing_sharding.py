@@ -154,3 +154,12 @@ def test_large_shares_take_no_quadratic_time(spark):
     for t, r in enumerate(sorted(out, key=lambda r: r._position)[:600]):
         done[r.source] += 1
         assert r._slot == t and abs(done["a"] - (t + 1) * 70_000 / 100_001) < 1
+
+
+def test_slots_of_rows_that_tie(spark):
+    """One id for all rows: the order says nothing, and slots have no gaps all the same."""
+    rows = [(1, f"t{i % 50}") for i in range(2000)]
+    slots = defaultdict(list)
+    for r in shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 2000

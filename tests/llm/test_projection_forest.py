@@ -85,3 +85,9 @@ def test_cluster_too_tight_to_split(spark):
     rows = [(i, [float(np.float32(e)) for e in np.ones(16) + rng.standard_normal(16) * 1e-3], 1, "x") for i in range(300)]
     got = near_vectors(spark.createDataFrame(rows, SCHEMA), block=64).collect()
     assert all((r.n_links, r.component_id) == (299, 0) for r in got)
+
+
+def test_null_id_with_a_good_vector(spark):
+    v = [1.0, 2.0, 3.0]
+    got = near_vectors(spark.createDataFrame([(None, v, 1, ""), (5, v, 1, ""), (7, v, 1, ""), (None, v, None, "")], SCHEMA)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 0, 0), (5, 1, 5), (7, 1, 5)]

@@ -89,3 +89,13 @@ def test_corpus_order_meets_across_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_texts_above_a_block(spark):
+    """Texts of more than 1 MB: a passage at their ends, and a text of one byte over and over."""
+    rnd = random.Random(9)
+    prose = lambda n: "".join(rnd.choice("abcdefghij klmnop") for _ in range(n))
+    passage = prose(400)
+    rows = [(1, prose(1_300_000) + "<" + passage + ">", ""), (2, "(" + passage + ")", ""), (3, "z" * 1_200_000, ""), (4, prose(300_000), "")]
+    got = {r.doc_id: ([(s["start"], s["end"]) for s in r.spans], r.n_bytes) for r in remove_repeated_bytes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: ([(1_300_001, 1_300_401)], 1_300_402), 2: ([(1, 401)], 402), 3: ([(0, 1_200_000)], 1_200_000), 4: ([], 300_000)}

@@ -105,3 +105,30 @@ def test_learnt_scores_match_plain_counts(spark):
 
     some = list(urls.items())[:60]
     assert some and all(abs(got[p].score - (likelihood("allow", u) - likelihood("block", u))) < 1e-4 for p, u in some)
+
+
+def test_learnt_verdicts_match_a_threshold_by_plain_counts(spark):
+    """Of the URLs that a rule decides and that don't train: the share that every threshold judges rightly, by loops."""
+    import zlib
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    url = {r.page_id: r.url for r in pages.collect()}
+    got = judge_urls(pages).collect()
+    held = [(r.score, r.verdict) for r in got if r.rule and zlib.crc32(url[r.page_id].encode()) % 5 == 0]
+    allow, block = ([s for s, v in held if v == k] for k in ("allow", "block"))
+    assert allow and block
+    best = None
+    for k in range(-200, 201):
+        t = k / 40
+        right = sum(s >= t for s in allow) / len(allow) + sum(s < t for s in block) / len(block)
+        key = (round(right, 9), -abs(k), -k)
+        best = max(best, (key, t)) if best else (key, t)
+    threshold = best[1]
+    free = [r for r in got if r.rule is None]
+    assert free and all(r.verdict == ("allow" if r.score >= threshold else "block") for r in free)
+
+
+def test_very_long_url(spark):
+    long = "http://a.com/" + "x" * 2_000_000 + "?q"
+    got = judge_urls(spark.createDataFrame([(1, long, 0), (2, "y" * 2_000_000, 0)], SCHEMA)).orderBy("page_id").collect()
+    assert (got[0].host, len(got[0].path), got[0].rule) == ("a.com", 2_000_001, "com/") and (got[1].host, got[1].path) == ("", "")
