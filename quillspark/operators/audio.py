@@ -59,8 +59,9 @@ def with_effects(segments: DataFrame, pitch: str = "pitch_semitones", speed: str
     effect = [F.coalesce(F.col(c).cast("double"), F.lit(x)) for c, x in ((pitch, 0.0), (speed, 1.0))]
     kind = F.coalesce(F.col(tone), F.lit("neutral"))
     made = F.coalesce(F.col(stretched), F.col("pcm")) if stretched else F.col("pcm")
+    toned = lambda name: au.mapped(lambda x, _: au.tone(x, name))(made, "sample_rate")
     none = F.col(pitch).isNull() & F.col(speed).isNull() & F.col(tone).isNull()
-    shaped = F.when(kind == "warm", au.mapped(au.tone, "warm")(made, "sample_rate")).when(kind == "bright", au.mapped(au.tone, "bright")(made, "sample_rate")).otherwise(made.cast("array<double>"))
+    shaped = F.when(kind == "warm", toned("warm")).when(kind == "bright", toned("bright")).otherwise(made.cast("array<double>"))
     out = segments.withColumn("_shaped", shaped)
     share = au.blend_share(*effect, kind) if mix is None else mix
     clipped = F.transform(au.blended("pcm", F.col("_shaped"), share), lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))

@@ -121,6 +121,10 @@ def character_quality(lines: DataFrame, results: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "speaker").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.avg("wer"), 9).alias("average_wer"), F.max("wer").alias("worst_wer"))
 
 
+# Noise floors in decibel up to which a segment is excellent, good, acceptable.
+NOISE_BANDS = [(-60.0, "excellent"), (-50.0, "good"), (-40.0, "acceptable")]
+
+
 def bands(value: Column | str, limits: list[tuple[float, str]], above: str) -> Column:
     """The name of the first limit that the value doesn't reach."""
     v = F.col(value) if isinstance(value, str) else value

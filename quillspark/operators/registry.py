@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 GENDERS = ["male", "female", "other"]
 
+# The narrator of a book that names none, and what new voices say.
+NARRATOR = {
+    "name": "Narrator",
+    "gender": "male",
+    "age_range": "40s",
+    "personality_traits": ["measured", "warm", "authoritative"],
+    "voice_description": "A warm, mature male baritone, early 40s, with a measured storytelling cadence. Rich and clear with natural gravitas. Thoughtful pauses between phrases.",
+    "speaking_style": "Flowing descriptive prose, unhurried",
+}
+SENTENCES = {
+    "male": "The ancient tower stood against the darkening sky, its stones weathered by centuries of wind and rain.",
+    "female": "She walked through the moonlit garden, her footsteps barely disturbing the fallen leaves.",
+    "other": "The library was vast and silent, filled with the scent of old paper and forgotten memories.",
+}
+
 
 def accumulate(raw: DataFrame) -> DataFrame:
-    """One row per normalised id of ``raw(book_id, chapter, raw_id, ...)``.
+    """One record per normalised id of ``raw(book_id, chapter, raw_id, voice_description, ...)``.
 
-    The longest description wins, the earlier of equal ones; the position is that of the first mention.
+    The whole record with the longest description wins, the earlier of equal ones; a null description counts as empty. The
+    position, ``first_chapter`` and ``first_place``, is that of the first mention. ``raw`` may have ``place``, the order within
+    a chapter, and any further columns of a record, which are kept; without ``place`` ids of one chapter tie.
     """
-    rows = raw.withColumn("id", tx.speaker_id("raw_id", hyphens=True))
-    rank = F.struct(F.length(F.coalesce("voice_description", F.lit(""))), -F.col("chapter"))
-    return rows.groupBy("book_id", "id").agg(
-        F.min("chapter").alias("first_chapter"), F.max_by("voice_description", rank).alias("voice_description"), F.max_by("gender", rank).alias("gender"), F.count(F.lit(1)).alias("mentions")
-    )
+    place = F.col("place") if "place" in raw.columns else F.lit(0)
+    own = [c for c in raw.columns if c not in ("book_id", "chapter", "raw_id", "place", "id")]
+    rows = raw.select("book_id", "chapter", place.cast("int").alias("place"), tx.speaker_id("raw_id", hyphens=True).alias("id"), F.struct(*own).alias("record"))
+    rank = F.struct(F.length(F.coalesce("record.voice_description", F.lit(""))), -F.col("chapter"), -F.col("place"))
+    first = F.min(F.struct("chapter", "place"))
+    out = rows.groupBy("book_id", "id").agg(first.alias("f"), F.max_by("record", rank).alias("record"), F.count(F.lit(1)).alias("mentions"))
+    return out.select("book_id", "id", F.col("f.chapter").alias("first_chapter"), F.col("f.place").alias("first_place"), "record.*", "mentions")
 
 
 def first_tone(raw: DataFrame) -> DataFrame:
@@ -52,9 +71,20 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 
 def with_narrator(registry: DataFrame) -> DataFrame:
-    """A default narrator for the books that lack one, after all others."""
+    """A default narrator, a whole record, for the books that lack one, after all others.
+
+    Columns of ``registry`` that a record hasn't are null for it.
+    """
     last = registry.groupBy("book_id").agg(F.max("ord").alias("ord"), F.max((F.col("id") == "narrator").cast("int")).alias("has")).where("has = 0")
-    return registry.select("book_id", "id", "ord", "name", "gender").union(last.select("book_id", F.lit("narrator"), F.col("ord") + 1, F.lit("Narrator"), F.lit("male")))
+    given = {"id": F.lit("narrator"), "ord": F.col("ord") + 1, **{k: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for k, v in NARRATOR.items()}}
+    row = last.select(*(F.col(f.name) if f.name == "book_id" else given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in registry.schema))
+    return registry.unionByName(row)
+
+
+def test_sentence(gender: Column | str) -> Column:
+    """What a new voice says first, by its gender; any other value is ``other``."""
+    table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.coalesce(tx.c(gender), F.lit("other"))), F.lit(SENTENCES["other"]))
 
 
 def capped(registry: DataFrame, most: int = 20) -> DataFrame:

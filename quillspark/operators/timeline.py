@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -41,6 +41,11 @@ def estimates(books: DataFrame, words_per_minute: float = 150.0) -> DataFrame:
     return books.withColumn("estimated_audio_hours", F.round(F.col("total_words") / words_per_minute / 60, 6))
 
 
+def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
+    """Time still to go at the pace so far; null before anything is done, 0 when all is."""
+    return F.when(done > 0, F.greatest(F.lit(0.0), elapsed / done * (total - done)))
+
+
 def export_lists(chapters: DataFrame, durations: DataFrame) -> DataFrame:
     """What an encoder is told for each book: the files to join, and the chapter marks.
 

@@ -131,14 +131,14 @@ def k11_mono(spark, d):
 
 
 _SEV = "least(1.0::double, least(1.0::double, abs(p) / 3) + CASE WHEN abs(s - 1) > 0.1::double THEN 0.1::double ELSE 0 END + CASE WHEN tone <> 'neutral' THEN 0.15::double ELSE 0 END)"
-_FX = "SELECT vec_id, pcm, CAST(vec_id % 9 - 4 AS DOUBLE) / 2 AS p, CASE WHEN vec_id % 4 = 0 THEN 1.0::double WHEN vec_id % 4 = 2 THEN 0.95::double ELSE 0.8::double END AS s, CASE WHEN vec_id % 3 = 0 THEN 'neutral' ELSE 'warm' END AS tone FROM " + _S
+_FX = "SELECT vec_id, pcm, CAST(vec_id % 9 - 4 AS DOUBLE) / 2 AS p, CASE WHEN vec_id % 4 = 0 THEN 1.0::double WHEN vec_id % 4 = 2 THEN 0.95::double ELSE 0.8::double END AS s, CASE WHEN vec_id % 3 = 0 THEN 'neutral' WHEN vec_id % 3 = 1 THEN 'warm' ELSE 'bright' END AS tone FROM " + _S
 
 
 def effects(rows):
     """Pitch, speed and tone of an effect by vec_id."""
     n = F.col("vec_id")
     speed = F.when(n % 4 == 0, 1.0).when(n % 4 == 2, 0.95).otherwise(0.8)
-    return rows.select("vec_id", "sample_rate", "pcm", ((n % 9 - 4).cast("double") / 2).alias("p"), speed.alias("s"), F.when(n % 3 == 0, "neutral").otherwise("warm").alias("tone"))
+    return rows.select("vec_id", "sample_rate", "pcm", ((n % 9 - 4).cast("double") / 2).alias("p"), speed.alias("s"), F.when(n % 3 == 0, "neutral").when(n % 3 == 1, "warm").otherwise("bright").alias("tone"))
 
 
 @query("j16_k14_blend", f"SELECT vec_id, round(0.2 * (1 - {_SEV}), 9) AS share, round(list_sum(list_transform(pcm, lambda x: x * least(0.4, greatest(0, 0.2 * (1 - {_SEV}))) + x * 3 * (1 - least(0.4, greatest(0, 0.2 * (1 - {_SEV})))))), 6) AS total FROM ({_FX})")
@@ -148,10 +148,18 @@ def j16_k14_blend(spark, d):
     return rows.select("vec_id", F.round(au.blend_share("p", "s", "tone"), 9).alias("share"), F.round(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("k12_effects", f"SELECT vec_id, round(list_sum(list_transform(pcm, lambda x: least(1, greatest(-1, x * m + greatest(-1000, x * 3) * (1 - m))))), 6) AS total FROM (SELECT vec_id, pcm, 0.2 * (1 - {_SEV}) AS m FROM ({_FX}) WHERE tone = 'neutral')")
+# The tilt of a spectrum of 64 samples as a circular convolution, by the sum of its cosines.
+_TILT = "(SELECT list_transform(range(64), lambda d: list_sum(list_transform(range(33), lambda k: CASE WHEN k = 0 OR k = 32 THEN 1 ELSE 2 END * (k / 32.0::double) * cos(2 * pi() * k * d / 64))) / 64) AS h)"
+
+
+@query(
+    "k12_effects",
+    f"""WITH e AS (SELECT vec_id, pcm, 0.2 * (1 - {_SEV}) AS m, CASE tone WHEN 'warm' THEN -0.18 WHEN 'bright' THEN 0.18 ELSE 0 END::double AS a FROM ({_FX}))
+SELECT vec_id, round(list_sum(list_transform(range(64), lambda n: least(1, greatest(-1, pcm[n + 1] * m + (1 - m) * 3 * (pcm[n + 1] + a * list_sum(list_transform(range(64), lambda j: pcm[j + 1] * h[(n - j + 64) % 64 + 1]))))))), 6) AS total FROM e, {_TILT}""",
+)
 def k12_effects(spark, d):
-    """The chain over segments of neutral tone, for which the stretched samples are thrice as loud."""
-    rows = effects(segments(spark, d)).where("tone = 'neutral'").withColumn("loud", au.gained("pcm", F.lit(3.0)))
+    """The chain over all segments and tones; the stretched samples are thrice as loud."""
+    rows = effects(segments(spark, d)).withColumn("loud", au.gained("pcm", F.lit(3.0)))
     out = op.with_effects(rows, "p", "s", "tone", stretched="loud")
     return out.select("vec_id", F.round(F.aggregate("pcm", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 

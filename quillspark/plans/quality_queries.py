@@ -204,3 +204,19 @@ def doc_p1_generation_ratio(spark, d):
     spent = view(spark, d, "events").select(F.concat(F.lit("book"), F.col("user_id") % 6).alias("book_id"), F.col("value").alias("seconds"))
     out = ql.generation_ratio(spent, view(spark, d, "chapter_durations"), ["book_id"])
     return out.select("book_id", F.round("generation_seconds", 4).alias("generation_seconds"), F.round("audio_seconds", 4).alias("audio_seconds"), F.round("ratio", 9).alias("ratio"))
+
+
+@query(
+    "doc_p10_remaining",
+    """SELECT project_id, CASE WHEN d > 0 THEN round(greatest(0, c_custkey * 10.0 / d * (t - d)), 6) END::double AS eta_seconds FROM (SELECT project_id, c_custkey, CAST(json_extract_string(state, '$.total_chapters') AS DOUBLE) AS t, CAST(json_extract_string(state, '$.chapters_generated') AS DOUBLE) AS d FROM {jobs})""",
+)
+def doc_p10_remaining(spark, d):
+    part = lambda k: F.get_json_object("state", f"$.{k}").cast("double")
+    eta = tl.remaining_seconds(F.col("c_custkey") * 10.0, part("chapters_generated"), part("total_chapters"))
+    return view(spark, d, "jobs").select("project_id", F.round(eta, 6).alias("eta_seconds"))
+
+
+@query("doc_p5_noise_bands", "SELECT id, CASE WHEN v IS NULL THEN NULL WHEN v < -60 THEN 'excellent' WHEN v < -50 THEN 'good' WHEN v < -40 THEN 'acceptable' ELSE 'poor' END AS band FROM (SELECT id, wer * -90 AS v FROM {quality_logs})")
+def doc_p5_noise_bands(spark, d):
+    """Noise floors in decibel, here made from the rates."""
+    return view(spark, d, "quality_logs").select("id", ql.bands(F.col("wer") * -90, ql.NOISE_BANDS, "poor").alias("band"))

@@ -119,10 +119,14 @@ def e6_results_by_line(spark, d):
     return view(spark, d, "script_lines").join(results, "line_id").select("line_id", "speaker", "attempt")
 
 
-@query("e12_test_sentences", "SELECT book_id, chapter, CASE lower(coalesce(gender, '')) WHEN 'male' THEN 'A' WHEN 'female' THEN 'B' ELSE 'C' END AS sentence FROM {registry_raw}")
+@query(
+    "e12_test_sentences",
+    """SELECT book_id, chapter, CASE g WHEN 'male' THEN 'The ancient tower stood against the darkening sky, its stones weathered by centuries of wind and rain.'
+WHEN 'female' THEN 'She walked through the moonlit garden, her footsteps barely disturbing the fallen leaves.' ELSE 'The library was vast and silent, filled with the scent of old paper and forgotten memories.' END AS sentence
+FROM (SELECT book_id, chapter, lower(gender) AS g FROM {registry_raw})""",
+)
 def e12_test_sentences(spark, d):
-    table = F.create_map(F.lit("male"), F.lit("A"), F.lit("female"), F.lit("B"), F.lit("other"), F.lit("C"))
-    return view(spark, d, "registry_raw").select("book_id", "chapter", F.coalesce(F.try_element_at(table, F.lower(F.coalesce("gender", F.lit("other")))), table["other"]).alias("sentence"))
+    return view(spark, d, "registry_raw").select("book_id", "chapter", rg.test_sentence(F.lower("gender")).alias("sentence"))
 
 
 @query("e11_speaker_colours", "SELECT book_id, id, CASE WHEN id = 'narrator' THEN 'narrator' ELSE CAST((n - 1) % 10 + 1 AS VARCHAR) END AS colour FROM (SELECT book_id, id, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS n FROM (SELECT book_id, lower(speaker) AS id, min(chapter_number * 1000 + line_ord) AS ord FROM {script_lines} GROUP BY 1, 2))")
@@ -146,9 +150,18 @@ def g10_batches(spark, d):
 _ID = "replace(replace(lower(raw_id), ' ', '_'), '-', '_')"
 
 
-@query("f6_accumulate_registry", f"SELECT book_id, {_ID} AS id, min(chapter) AS first_chapter, arg_max(voice_description, {{{{'a': length(voice_description), 'b': -chapter}}}}) AS voice_description, arg_max(coalesce(gender, '-'), {{{{'a': length(voice_description), 'b': -chapter}}}}) AS gender, count(*) AS mentions FROM {{registry_raw}} GROUP BY 1, 2")
+# Two records a chapter, of which the second is placed first where the chapter is odd.
+RECORDS = "SELECT book_id, chapter, raw_id, CASE WHEN chapter % 2 = 1 THEN 9 ELSE 1 END AS place, voice_description, gender, concat('Name ', chapter) AS name, tone AS speaking_style FROM {registry_raw} UNION ALL SELECT book_id, chapter, raw_id, 5 AS place, concat('other', substr(voice_description, 6)) AS voice_description, 'male' AS gender, concat('Second ', chapter) AS name, 'x' AS speaking_style FROM {registry_raw} WHERE length(voice_description) > 5"
+
+
+@query(
+    "f6_accumulate_registry",
+    f"""WITH r AS (SELECT *, {_ID} AS id FROM ({RECORDS})), n AS (SELECT *, row_number() OVER (PARTITION BY book_id, id ORDER BY length(coalesce(voice_description, '')) DESC, chapter, place) AS best,
+row_number() OVER (PARTITION BY book_id, id ORDER BY chapter, place) AS nth, count(*) OVER (PARTITION BY book_id, id) AS mentions FROM r)
+SELECT b.book_id, b.id, f.chapter AS first_chapter, f.place AS first_place, b.voice_description, b.gender, b.name, b.speaking_style, b.mentions FROM n b JOIN n f ON f.book_id = b.book_id AND f.id = b.id WHERE b.best = 1 AND f.nth = 1""",
+)
 def f6_accumulate_registry(spark, d):
-    return rg.accumulate(view(spark, d, "registry_raw")).withColumn("gender", F.coalesce("gender", F.lit("-")))
+    return rg.accumulate(sql(spark, d, RECORDS))
 
 
 PARSED = f"""p AS (SELECT book_id, id, ord, coalesce(nm, list_reduce(list_transform(string_split(replace(id, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda a, b: a || ' ' || b)) AS name, CASE WHEN g IN ('male', 'female', 'other') THEN g ELSE 'other' END AS gender, coalesce(age, 'unknown') AS age_range, coalesce(style, '') AS speaking_style FROM (
@@ -167,12 +180,21 @@ def f7_parse_registry(spark, d):
     return rg.parsed(given(spark, d)).drop("voice_description", "personality_traits")
 
 
-NARRATED = PARSED + ", w AS (SELECT book_id, id, ord, name, gender FROM p UNION ALL SELECT book_id, 'narrator', max(ord) + 1, 'Narrator', 'male' FROM p GROUP BY 1 HAVING count(*) FILTER (id = 'narrator') = 0)"
+NARRATED = (
+    PARSED.replace("coalesce(style, '') AS speaking_style FROM", "coalesce(style, '') AS speaking_style, vd AS voice_description FROM").replace("arg_max(coalesce(tone, ''), chapter) AS style FROM", "arg_max(coalesce(tone, ''), chapter) AS style, arg_max(coalesce(voice_description, ''), chapter) AS vd FROM")
+    + """, w AS (SELECT book_id, id, ord, name, gender, age_range, speaking_style, voice_description, '' AS traits FROM p UNION ALL SELECT book_id, 'narrator', max(ord) + 1, 'Narrator', 'male', '40s', 'Flowing descriptive prose, unhurried',
+'A warm, mature male baritone, early 40s, with a measured storytelling cadence. Rich and clear with natural gravitas. Thoughtful pauses between phrases.', 'measured,warm,authoritative' FROM p GROUP BY 1 HAVING count(*) FILTER (id = 'narrator') = 0)"""
+)
+# Books whose narrator has another name, so that half of them lack one.
+RENAMED = "SELECT * REPLACE (CASE WHEN raw_id = 'narrator' AND book_id IN ('src1', 'src3', 'src5', 'src7') THEN 'teller' ELSE raw_id END AS raw_id) FROM {registry_raw}"
 
 
-@query("f8_cap_voices", f"WITH {NARRATED}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, id = 'narrator' ORDER BY ord, id) AS n FROM w) SELECT book_id, id, ord, name, gender FROM r WHERE id = 'narrator' OR n <= 5")
+@query("f8_cap_voices", f"WITH {NARRATED.replace('FROM {registry_raw} GROUP', f'FROM ({RENAMED}) GROUP')}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, id = 'narrator' ORDER BY ord, id) AS n FROM w) SELECT * EXCLUDE (n) FROM r WHERE id = 'narrator' OR n <= 5")
 def f8_cap_voices(spark, d):
-    return rg.capped(rg.with_narrator(rg.parsed(given(spark, d))), most=6)
+    other = (F.col("raw_id") == "narrator") & F.col("book_id").isin("src1", "src3", "src5", "src7")
+    raw = given(spark, d).withColumn("raw_id", F.when(other, "teller").otherwise(F.col("raw_id")))
+    out = rg.capped(rg.with_narrator(rg.parsed(raw)), most=6)
+    return out.withColumn("traits", F.array_join("personality_traits", ",")).drop("personality_traits")
 
 
 @query("j20_format_registry", f"WITH {PARSED} SELECT book_id, md5(string_agg(concat('- **', name, '** (id: `', id, '`, ', gender, ', ', age_range, '): ', speaking_style), chr(10) ORDER BY ord, id)) AS digest FROM p GROUP BY 1")

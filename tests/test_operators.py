@@ -70,6 +70,22 @@ def test_registry(spark):
     full = rg.with_narrator(rg.parsed(raw))
     assert {(r.id, r.gender) for r in full.collect()} == {("old_man", "other"), ("narr", "female"), ("narrator", "male")}
     assert {r.id for r in rg.capped(full, most=2).collect()} == {"old_man", "narrator"}
+    narrator = full.where("id = 'narrator'").first()
+    assert (narrator.name, narrator.age_range, narrator.personality_traits, narrator.ord) == ("Narrator", "40s", ["measured", "warm", "authoritative"], 5) and narrator.voice_description.startswith("A warm, mature male")
+    said = spark.createDataFrame([("male",), ("female",), ("other",), ("robot",), (None,)], "g string").select(F.substring(rg.test_sentence("g"), 1, 11).alias("s"))
+    assert [r.s for r in said.collect()] == ["The ancient", "She walked ", "The library", "The library", "The library"]
+
+
+def test_whole_records_by_place(spark):
+    """The record with the strictly longest description, and where its id was first named."""
+    rows = [("b", 2, 1, "A B", "long one", "male", "n1"), ("b", 1, 3, "a-b", "long two", "female", "n2"), ("b", 1, 2, "a_b", "short", "other", "n3"), ("b", 2, 0, "x", None, None, "n4"), ("b", 3, 0, "X", "", "male", "n5")]
+    got = rg.accumulate(spark.createDataFrame(rows, "book_id string, chapter int, place int, raw_id string, voice_description string, gender string, name string")).collect()
+    assert {r.id: (r.first_chapter, r.first_place, r.name, r.gender, r.mentions) for r in got} == {"a_b": (1, 2, "n2", "female", 3), "x": (2, 0, "n4", None, 2)}
+
+
+def test_time_still_to_go(spark):
+    rows = spark.createDataFrame([(10.0, 2, 6), (10.0, 0, 6), (10.0, 6, 6), (10.0, 7, 6)], "e double, d int, t int")
+    assert [r.s for r in rows.select(tl.remaining_seconds(F.col("e"), F.col("d"), F.col("t")).alias("s")).collect()] == [20.0, None, 0.0, 0.0]
 
 
 def test_quality(spark):
