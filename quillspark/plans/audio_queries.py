@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import audio as au
@@ -196,10 +197,39 @@ def k13_tone(spark, d):
 CHAPTER = "CAST(floor(vec_id / 300) AS INT) AS chapter"
 
 
-@query("k3_k4_assemble_chapters")
+# 16 samples of pause before, 64 of sound and 48 of pause after each line; four of them fade in.
+@query(
+    "k3_k4_assemble_chapters",
+    f"""WITH s AS (SELECT CAST(floor(vec_id / 300) AS INT) AS chapter, len(pcm) AS l, list_max(list_transform(range(len(pcm)), lambda k: abs(pcm[k + 1]) * CASE WHEN k < 4 THEN sin(k * pi() / 6) ELSE 1 END)) AS p FROM {_S})
+SELECT chapter, CAST(160 + 320 + sum(16 + l + 48 - least(4, l)) AS BIGINT) AS n, round(max(p), 6) AS peak FROM s GROUP BY 1""",
+)
 def k3_k4_assemble_chapters(spark, d):
     rows = segments(spark, d).select(F.expr(CHAPTER), F.col("vec_id").alias("line_ord"), "sample_rate", "pcm", F.lit(100).alias("pause_before_ms"), F.lit(300).alias("pause_after_ms"))
-    return op.assembled(rows, ["chapter"]).select("chapter", F.size("pcm").alias("n"), F.round(au.peak("pcm"), 6).alias("peak"))
+    parts = op.assembled_parts(rows, ["chapter"], 160)
+    return parts.groupBy("chapter").agg(F.sum(F.size("pcm")).cast("long").alias("n"), F.round(F.max(au.peak("pcm")), 6).alias("peak"))
+
+
+# Lines of which some have no pause on either side, so that sound fades into sound; part by part, by one sum over samples.
+_LINES = f"(SELECT vec_id, CAST(floor(vec_id / 300) AS INT) AS chapter, pcm, vec_id % 3 * 25 AS pb, CASE WHEN vec_id % 4 < 2 THEN 0 ELSE 40 END AS pa FROM {_S})"
+
+
+@query(
+    "k4_crossfaded_parts",
+    f"""WITH a AS (SELECT *, pb * 160 // 1000 AS b, pa * 160 // 1000 AS e, len(pcm) AS l, row_number() OVER w AS part, lag(pa * 160 // 1000) OVER w AS pe FROM {_LINES} WINDOW w AS (PARTITION BY chapter ORDER BY vec_id)),
+n AS (SELECT *, least(8, CASE WHEN b > 0 THEN b WHEN part = 1 THEN 160 WHEN pe > 0 THEN pe ELSE 8 END) AS f FROM a),
+o AS (SELECT *, b + l - f + e AS own, CASE WHEN lead(b) OVER w = 0 THEN lead(f) OVER w ELSE 0 END AS m, lead(pcm) OVER w AS nx FROM n WINDOW w AS (PARTITION BY chapter ORDER BY vec_id)),
+p AS (SELECT chapter, part, 160 + coalesce(sum(own) OVER (PARTITION BY chapter ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_sample, own AS n,
+  list_sum(list_transform(range(CASE WHEN b > 0 THEN 0 ELSE f END, l), lambda k: pcm[k + 1] * CASE WHEN k < f THEN sin(k * pi() / 2 / (f - 1)) ELSE 1 END * CASE WHEN e = 0 AND k >= l - m THEN cos((k - l + m) * pi() / 2 / (m - 1)) ELSE 1 END))
+  + coalesce(list_sum(list_transform(range(m), lambda k: nx[k + 1] * sin(k * pi() / 2 / (m - 1)))), 0) AS total FROM o)
+SELECT chapter, CAST(part AS BIGINT) AS part, CAST(start_sample AS BIGINT) AS start_sample, CAST(n AS BIGINT) AS n, round(total, 6) AS total FROM p""",
+)
+def k4_crossfaded_parts(spark, d):
+    v = F.col("vec_id")
+    rows = segments(spark, d).select(F.expr(CHAPTER), v.alias("line_ord"), "pcm", (v % 3 * 25).alias("pause_before_ms"), F.when(v % 4 < 2, 0).otherwise(40).alias("pause_after_ms"))
+    parts = op.assembled_parts(rows, ["chapter"], 160, fade_ms=50)
+    size, last = F.size("pcm").cast("long"), F.max("part").over(Window.partitionBy("chapter"))
+    out = parts.select("chapter", "part", "start_sample", size.alias("n"), F.round(F.aggregate("pcm", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return out.withColumn("_last", last).where("part > 0 and part < _last").drop("_last")
 
 
 @query("k5_mastering_chain")
