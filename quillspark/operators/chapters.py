@@ -123,11 +123,19 @@ def word_chunks(docs: DataFrame, keys: list[str], size: int, overlap: int, text:
 
 
 def context_budget(chapter_rows: DataFrame, limit: int = 25_000, whole_below: int = 15_000, summary: int = 500) -> DataFrame:
-    """Leading chapters of each book that fit a budget of characters: the first whole, others summarised."""
-    w = Window.partitionBy("book_id").orderBy("number")
-    first = (F.row_number().over(w) == 1) & (F.length("text") < whole_below)
-    rows = chapter_rows.withColumn("_whole", first)
-    entry = F.concat(F.lit("## "), "title", F.when(F.col("_whole"), F.concat(F.lit(" [FULL TEXT]\n\n"), "text")).otherwise(F.concat(F.lit(" [SUMMARY]\n\n"), tx.to_last_stop("text", summary))))
-    rows = rows.withColumn("entry", entry).withColumn("used", F.sum(F.length("entry")).over(w))
-    rows = rows.withColumn("_over", F.max((F.col("used") > limit).cast("int")).over(w)).where("_over = 0")
-    return rows.select("book_id", "number", F.when(F.col("_whole"), "FULL TEXT").otherwise("SUMMARY").alias("strategy"), "entry", "used")
+    """Leading chapters of each book that fit a budget of characters: the first whole, others summarised.
+
+    Lengths alone are summed, over ranges; the texts of a book don't meet in one task. A chapter without a title or
+    text has a null entry of no length.
+    """
+    label = lambda name: F.concat(F.lit("## "), "title", F.lit(f" [{name}]\n\n"))
+    full, short = F.concat(label("FULL TEXT"), "text"), F.concat(label("SUMMARY"), tx.to_last_stop("text", summary))
+    rows = staged(chapter_rows.select("book_id", "number", "title", "text", F.monotonically_increasing_id().alias("_row")), "budget")
+    sizes = rows.select("book_id", "number", "_row", F.length(short).alias("_short"), F.when(F.length("text") < whole_below, F.length(full)).alias("_full"), F.lit(1).alias("_one"))
+    at = staged(totals_before(sizes, "book_id", ["number", "_row"], {"_i": "_one", "_sum": "_short"}), "budget")
+    whole = (F.col("_i") == 0) & F.col("_full").isNotNull()
+    more = at.where(whole).select(F.col("book_id").alias("_book"), (F.col("_full") - F.coalesce("_short", F.lit(0))).alias("_more"))
+    used = F.col("_sum") + F.coalesce("_short", F.lit(0)) + F.coalesce("_more", F.lit(0))
+    kept = at.join(more, at["book_id"].eqNullSafe(F.col("_book")), "left").select("_row", whole.alias("_whole"), used.alias("used")).where(F.col("used") <= limit)
+    strategy, entry = F.when(F.col("_whole"), "FULL TEXT").otherwise("SUMMARY"), F.when(F.col("_whole"), full).otherwise(short)
+    return rows.join(kept, "_row").select("book_id", "number", strategy.alias("strategy"), entry.alias("entry"), "used")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..runtime import columns_of, staged, totals_before
 
 
 def fragment_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -40,27 +41,56 @@ def align(lines: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _skips(last: int):
+    """For chunks in order, as ``first`` heads with places, ``n`` lines and ``final`` heads: how many lines at the start of each go."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk", kind="stable")
+        kept = next((list(t) for t in pdf["_tail"] if t is not None), [])
+        skips = []
+        for first, n, final in zip(pdf["_first"], pdf["_n"], pdf["_final"]):
+            seen = set(kept[-last:])
+            skip = next((h["_pos"] for h in first if h["_head"] not in seen), n)
+            kept = kept[-last:] + [h["_head"] for h in final if h["_pos"] >= skip]
+            skips.append(skip)
+        return pd.DataFrame({"_g": pdf["_g"], "chunk": pdf["chunk"], "_skip": skips})
+
+    return run
+
+
 def drop_overlap(lines: DataFrame, keys: list[str], last: int = 20, prefix: int = 80) -> DataFrame:
     """Of ``(keys, chunk, idx, text)`` drop the lines at the start of a chunk that repeat kept lines.
 
     A line repeats if its first ``prefix`` characters, trimmed and lower-cased, are among the last ``last``
-    lines kept so far. What is kept depends on what was kept before, so chapters run one per group.
+    lines kept so far. What is kept depends on what was kept before, but not without end: the ``last + 1`` first different
+    heads of a chunk hold one that isn't among ``last`` lines, and a chunk that keeps ``last`` lines from there on ends alike
+    whatever came before. Such chunks cut a chapter into stretches, which are worked out side by side from at most
+    ``2 * last + 1`` heads a chunk; a stretch is one group, long only where chunk after chunk is shorter than that. Null texts are
+    empty, null keys are a chapter, lines of equal ``idx`` come in any order.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        rows = []
-        for _, chunk in pdf.sort_values(["chunk", "idx"], kind="stable").groupby("chunk", sort=True):
-            heads = [t.strip().lower()[:prefix] for t in chunk["text"]]
-            tail, skip = set(kept[-last:]), 0
-            while skip < len(heads) and heads[skip] in tail:
-                skip += 1
-            kept += heads[skip:]
-            rows.append(chunk.iloc[skip:])
-        return pd.concat(rows)
-
-    return lines.groupBy(*keys).applyInPandas(run, schema)
+    if last < 1:
+        return lines
+    head = F.substring(F.lower(tx.strip(F.coalesce("text", F.lit("")))), 1, prefix)
+    rows = lines.select(*columns_of(lines), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_g"), head.alias("_head"))
+    chunk = Window.partitionBy("_g", "chunk")
+    rows = rows.withColumns({"_pos": F.row_number().over(chunk.orderBy("idx")) - 1, "_n": F.count(F.lit(1)).over(chunk).cast("int")})
+    rows = staged(rows, "lines").withColumn("_new", F.row_number().over(Window.partitionBy("_g", "chunk", "_head").orderBy("_pos")) == 1)
+    rank = F.sum(F.col("_new").cast("int")).over(chunk.orderBy("_pos"))
+    few = rows.select("_g", "chunk", "_n", "_pos", "_head", (F.col("_new") & (rank <= last + 1)).alias("_first"), (F.col("_pos") >= F.col("_n") - last).alias("_final")).where("_first or _final")
+    heads = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.struct("_pos", "_head")))).alias(c)
+    chunks = few.groupBy("_g", "chunk").agg(F.max("_n").alias("_n"), heads("_first"), heads("_final"))
+    settled = (F.size("_first") > last) & (F.col("_n") - F.get("_first", F.lit(last))["_pos"] >= last)
+    chunks = staged(chunks.withColumn("_settled", F.coalesce(settled, F.lit(False)).cast("int")), "chunks")
+    at = chunks.select("_g", "chunk", "_settled")
+    at = totals_before(at, "_g", ["chunk"], {"_stretch": "_settled"}).drop("_settled").withColumnsRenamed({"_g": "_h", "chunk": "_c"})
+    chunks = staged(chunks.join(at, chunks["_g"].eqNullSafe(at["_h"]) & chunks["chunk"].eqNullSafe(at["_c"])).drop("_h", "_c"), "stretches")
+    tails = chunks.where("_settled = 1").select(F.col("_g").alias("_h"), "chunk", (F.col("_stretch") + 1).alias("_s"), F.transform("_final", lambda x: x["_head"]).alias("_tail"))
+    tails = tails.drop("chunk")
+    known = chunks.join(tails, chunks["_g"].eqNullSafe(tails["_h"]) & (chunks["_stretch"] == tails["_s"]), "left").select("_g", "_stretch", "chunk", "_first", "_n", "_final", "_tail")
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    skips = known.groupBy("_g", "_stretch").applyInPandas(_skips(last), f"_g {kinds['_g']}, chunk {kinds['chunk']}, _skip int").withColumnsRenamed({"_g": "_h", "chunk": "_c"})
+    rows = rows.join(skips, rows["_g"].eqNullSafe(skips["_h"]) & rows["chunk"].eqNullSafe(skips["_c"]))
+    return rows.where("_pos >= _skip").select(*columns_of(lines))
 
 
 def line_ids(lines: DataFrame, chapter: str, keys: list[str], order: list[str], first: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chapters as ch
 from ..operators import html as ht
+from ..runtime import totals_before
 from .registry import query
 from .views import view
 
@@ -42,9 +43,8 @@ def a4_page_chapters(spark, d):
 
 @query("e5_spine_join", "SELECT CAST(p.page_id % 7 AS INT) AS book, CAST(row_number() OVER (PARTITION BY p.page_id % 7 ORDER BY p.page_id) AS INT) AS ord, p.url FROM {pages} p JOIN (SELECT DISTINCT page_id FROM {pages} WHERE page_id % 5 <> 0) m ON m.page_id = p.page_id")
 def e5_spine_join(spark, d):
-    from pyspark.sql import Window
-
     pages = view(spark, d, "pages").select("page_id", "url")
     spine = pages.where("page_id % 5 <> 0").select("page_id").distinct()
     book = (F.col("page_id") % 7).cast("int")
-    return pages.join(spine, "page_id").select(book.alias("book"), F.row_number().over(Window.partitionBy(F.col("page_id") % 7).orderBy("page_id")).alias("ord"), "url")
+    rows = totals_before(pages.join(spine, "page_id").select(book.alias("book"), "page_id", "url", F.lit(1).alias("_one")), "book", ["page_id"], {"_before": "_one"})
+    return rows.select("book", (F.col("_before") + 1).cast("int").alias("ord"), "url")

@@ -8,6 +8,7 @@ from ..functions import audio as au
 from ..functions import text as tx
 from ..operators import quality as ql
 from ..operators import timeline as tl
+from ..runtime import totals_before
 from .registry import query
 from .views import query as sql
 from .views import view
@@ -121,10 +122,9 @@ def j11_score_status(spark, d):
 @query("h3_quality_log_order", "SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY chapter_number, line_id, attempt, id) AS place FROM {quality_logs}")
 def h3_quality_log_order(spark, d):
     """The order by chapter, line and attempt, as a place that comparison can see."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("project_id").orderBy("chapter_number", "line_id", "attempt", "id")
-    return view(spark, d, "quality_logs").select("project_id", "id", F.row_number().over(w).alias("place"))
+    rows = view(spark, d, "quality_logs").select("project_id", "chapter_number", "line_id", "attempt", "id", F.lit(1).alias("_one"))
+    rows = totals_before(rows, "project_id", ["chapter_number", "line_id", "attempt", "id"], {"_before": "_one"})
+    return rows.select("project_id", "id", (F.col("_before") + 1).alias("place"))
 
 
 @query("g8_chapter_markers", "SELECT book_id, number, CAST(sum(ms) OVER w - ms AS BIGINT) AS start_ms, CAST(sum(ms) OVER w AS BIGINT) AS end_ms FROM (SELECT book_id, number, CAST(floor(seconds * 1000) AS BIGINT) AS ms FROM {chapter_durations}) WINDOW w AS (PARTITION BY book_id ORDER BY number)")

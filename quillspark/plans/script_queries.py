@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import registry as rg
 from ..operators import script as sc
 from ..operators import state as stt
+from ..runtime import totals_before
 from .registry import query
 from .text_queries import whole_words
 from .views import query as sql
@@ -82,6 +83,21 @@ def g5_drop_overlap(spark, d):
     return out.select("book_id", "chapter_number", "chunk", "idx")
 
 
+@query(
+    "g5_e13_repeated_starts",
+    """WITH RECURSIVE l AS (SELECT book_id, chapter_number, line_ord, substr(lower(trim(text)), 1, 1) AS head FROM {script_lines}),
+c AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_number) AS i, chapter_number AS chunk, list(head ORDER BY line_ord) AS h, list(line_ord ORDER BY line_ord) AS o FROM l GROUP BY book_id, chapter_number),
+s AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS tail, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS chunk FROM c
+  UNION ALL SELECT book_id, i, list_concat(tail, h[k + 1:])[-3:], CAST(o[k + 1:] AS BIGINT[]), chunk FROM (
+    SELECT c.*, s.tail, coalesce(list_position(list_transform(h, lambda x: list_contains(s.tail, x)), false) - 1, len(h)) AS k FROM s JOIN c ON c.book_id = s.book_id AND c.i = s.i + 1))
+SELECT book_id, CAST(chunk AS BIGINT) AS chunk, unnest(kept) AS idx FROM s""",
+)
+def g5_e13_repeated_starts(spark, d):
+    """A conversation as a chunk of its book: lines at its start go whose first character starts one of the last three kept."""
+    rows = view(spark, d, "script_lines").select("book_id", F.col("chapter_number").cast("long").alias("chunk"), F.col("line_ord").cast("long").alias("idx"), "text")
+    return sc.drop_overlap(rows, ["book_id"], last=3, prefix=1).select("book_id", "chunk", "idx")
+
+
 KNOWN = "SELECT DISTINCT book_id, 'user' AS id FROM {script_lines}"
 ORDERED = "SELECT book_id, speaker, chapter_number * 1000 + line_ord AS ord FROM {script_lines}"
 
@@ -138,8 +154,9 @@ def e11_speaker_colours(spark, d):
 
 @query("h4_speaker_order", "SELECT book_id, line_id, row_number() OVER (PARTITION BY book_id ORDER BY speaker, chapter_number, line_ord) AS place FROM {script_lines}")
 def h4_speaker_order(spark, d):
-    w = Window.partitionBy("book_id").orderBy("speaker", "chapter_number", "line_ord")
-    return view(spark, d, "script_lines").select("book_id", "line_id", F.row_number().over(w).alias("place"))
+    rows = view(spark, d, "script_lines").select("book_id", "line_id", "speaker", "chapter_number", "line_ord", F.lit(1).alias("_one"))
+    rows = totals_before(rows, "book_id", ["speaker", "chapter_number", "line_ord"], {"_before": "_one"})
+    return rows.select("book_id", "line_id", (F.col("_before") + 1).alias("place"))
 
 
 @query("g10_batches", "SELECT line_id, CAST((row_number() OVER (PARTITION BY book_id, chapter_number ORDER BY speaker, line_ord) - 1) // 5 AS INT) AS batch FROM {script_lines}")
