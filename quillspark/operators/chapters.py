@@ -22,6 +22,9 @@ SKIPPED_TITLES = [
 ]
 HEADING_LINES = [r"(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)", r"(?:prologue|epilogue|interlude)\b"]
 
+#: What a join may send to every task: rows of a few numbers and an id.
+BROADCAST_ROWS = 100_000
+
 
 def is_skipped_title(title: Column | str) -> Column:
     return F.regexp_like(tx.c(title), F.lit(r"(?iU)\b(?:" + "|".join(SKIPPED_TITLES) + r")\b"))
@@ -125,17 +128,21 @@ def word_chunks(docs: DataFrame, keys: list[str], size: int, overlap: int, text:
 def context_budget(chapter_rows: DataFrame, limit: int = 25_000, whole_below: int = 15_000, summary: int = 500) -> DataFrame:
     """Leading chapters of each book that fit a budget of characters: the first whole, others summarised.
 
-    Lengths alone are summed, over ranges; the texts of a book don't meet in one task. A chapter without a title or
-    text has a null entry of no length.
+    Lengths alone are summed, over ranges, and texts meet what fits by a broadcast while that has at most
+    ``BROADCAST_ROWS`` rows, else by a shuffle. The numbers of a book are distinct. A chapter without a title or text has a null
+    entry of no length.
     """
     label = lambda name: F.concat(F.lit("## "), "title", F.lit(f" [{name}]\n\n"))
     full, short = F.concat(label("FULL TEXT"), "text"), F.concat(label("SUMMARY"), tx.to_last_stop("text", summary))
-    rows = staged(chapter_rows.select("book_id", "number", "title", "text", F.monotonically_increasing_id().alias("_row")), "budget")
-    sizes = rows.select("book_id", "number", "_row", F.length(short).alias("_short"), F.when(F.length("text") < whole_below, F.length(full)).alias("_full"), F.lit(1).alias("_one"))
-    at = staged(totals_before(sizes, "book_id", ["number", "_row"], {"_i": "_one", "_sum": "_short"}), "budget")
+    sizes = chapter_rows.select("book_id", "number", F.length(short).alias("_short"), F.when(F.length("text") < whole_below, F.length(full)).alias("_full"), F.lit(1).alias("_one"))
+    at = staged(totals_before(sizes, "book_id", ["number"], {"_i": "_one", "_sum": "_short"}), "budget")
     whole = (F.col("_i") == 0) & F.col("_full").isNotNull()
     more = at.where(whole).select(F.col("book_id").alias("_book"), (F.col("_full") - F.coalesce("_short", F.lit(0))).alias("_more"))
     used = F.col("_sum") + F.coalesce("_short", F.lit(0)) + F.coalesce("_more", F.lit(0))
-    kept = at.join(more, at["book_id"].eqNullSafe(F.col("_book")), "left").select("_row", whole.alias("_whole"), used.alias("used")).where(F.col("used") <= limit)
+    kept = at.join(more, at["book_id"].eqNullSafe(F.col("_book")), "left").select(F.col("book_id").alias("_b"), F.col("number").alias("_k"), whole.alias("_whole"), used.alias("used"))
+    kept = staged(kept.where(F.col("used") <= limit), "kept")
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    rows = chapter_rows.join(kept, chapter_rows["book_id"].eqNullSafe(F.col("_b")) & chapter_rows["number"].eqNullSafe(F.col("_k")))
     strategy, entry = F.when(F.col("_whole"), "FULL TEXT").otherwise("SUMMARY"), F.when(F.col("_whole"), full).otherwise(short)
-    return rows.join(kept, "_row").select("book_id", "number", strategy.alias("strategy"), entry.alias("entry"), "used")
+    return rows.select("book_id", "number", strategy.alias("strategy"), entry.alias("entry"), "used")

@@ -132,9 +132,10 @@ def g15_context_budget(spark, d):
     from pyspark.sql import Window
 
     docs = view(spark, d, "documents")
-    rows = docs.select(F.col("source").alias("book_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("number"), F.concat(F.lit("T"), "doc_id").alias("title"), "text")
+    rows = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("number"), F.concat(F.lit("T"), "doc_id").alias("title"), "text")
     out = ch.context_budget(rows, limit=6000)
-    return out.select("book_id", "number", "strategy", F.md5(F.col("entry").cast("binary")).alias("digest"), F.col("used").cast("long").alias("used"))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("number"))  # of the few that fit, which come first
+    return out.withColumn("number", place).select("book_id", "number", "strategy", F.md5(F.col("entry").cast("binary")).alias("digest"), F.col("used").cast("long").alias("used"))
 
 
 _TITLES = "(SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'Table of  Contents' WHEN doc_id % 8 = 1 THEN 'MAPS' WHEN doc_id % 8 = 2 THEN 'roadmap' WHEN doc_id % 8 = 3 THEN 'About the Author' WHEN doc_id % 8 = 4 THEN '' ELSE substr(text, 1, 30) END AS title, text FROM {documents})"
