@@ -146,6 +146,28 @@ def character_tiers(lines: DataFrame) -> DataFrame:
     return n.withColumn("tier", F.when(F.col("n_lines") > 10, "major").when(F.col("n_lines") >= 2, "supporting").otherwise("minor"))
 
 
+def voice_groups(lines: DataFrame, characters: DataFrame, threshold: int = 3) -> DataFrame:
+    """``(book_id, speaker, n_lines, voice)``: who has at most ``threshold`` lines shares a generic voice of their gender.
+
+    The narrator keeps a voice; a speaker that ``characters(book_id, id, gender)`` lacks, or whose gender is null, is ``other``.
+    """
+    n = lines.groupBy("book_id", "speaker").agg(F.count(F.lit(1)).alias("n_lines"))
+    known = characters.groupBy("book_id", F.col("id").alias("speaker")).agg(F.min("gender").alias("_gender"))
+    generic = F.concat(F.lit("generic_"), F.coalesce("_gender", F.lit("other")))
+    few = (F.col("n_lines") <= threshold) & (F.col("speaker") != "narrator")
+    return n.join(known, ["book_id", "speaker"], "left").select("book_id", "speaker", "n_lines", F.when(few, generic).otherwise(F.col("speaker")).alias("voice"))
+
+
+def pauses_by_breaks(lines: DataFrame, scene: str, paragraph: str) -> DataFrame:
+    """``positional_pauses`` with breaks: ``scene`` and ``paragraph`` name columns that say whether a line ends one.
+
+    A scene's end outweighs speech and paragraphs, a chapter's end all; paragraphs count in narration only. Null is no break.
+    """
+    breaks = lines.select("book_id", "chapter_number", "line_ord", F.when(F.col(scene), 1500).when(F.col(paragraph) & (F.col("speaker") == "narrator"), 600).alias("_break"))
+    rows = positional_pauses(lines).join(breaks, ["book_id", "chapter_number", "line_ord"])
+    return rows.select("book_id", "chapter_number", "line_ord", "pause_before", F.when(F.col("pause_after") == 2000, 2000).otherwise(F.coalesce("_break", "pause_after")).alias("pause_after"))
+
+
 def positional_pauses(lines: DataFrame) -> DataFrame:
     """Pauses by place: before a chapter's first line, after its last, after dialogue, after narration."""
     w = Window.partitionBy("book_id", "chapter_number").orderBy("line_ord")

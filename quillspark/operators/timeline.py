@@ -46,6 +46,16 @@ def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
     return F.when(done > 0, F.greatest(F.lit(0.0), elapsed / done * (total - done)))
 
 
+def export_results(durations: DataFrame, files: DataFrame) -> DataFrame:
+    """``(book_id, total_chapters, total_duration, file_size_mb)`` of exports: chapters with their lengths, files with their bytes.
+
+    ``durations(book_id, number, seconds)``: unknown lasts 0. ``files(book_id, bytes)``: a book without files has size 0.
+    """
+    length = durations.groupBy("book_id").agg(F.count(F.lit(1)).alias("total_chapters"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("_s"))
+    size = files.groupBy("book_id").agg((F.sum("bytes") / (1024 * 1024)).alias("_mb"))
+    return length.join(size, "book_id", "left").select("book_id", "total_chapters", tx.hms("_s").alias("total_duration"), F.coalesce("_mb", F.lit(0.0)).alias("file_size_mb"))
+
+
 def export_lists(chapters: DataFrame, durations: DataFrame) -> DataFrame:
     """What an encoder is told for each book: the files to join, and the chapter marks.
 

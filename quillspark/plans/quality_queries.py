@@ -195,6 +195,19 @@ def a14_export_lists(spark, d):
     return out.select("book_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("files", "metadata")])
 
 
+@query(
+    "a14_export_results",
+    """WITH l AS (SELECT book_id, count(*) AS total_chapters, CAST(floor(sum(CASE WHEN number % 9 = 0 THEN 0 ELSE seconds END)) AS BIGINT) AS s FROM {chapter_durations} GROUP BY 1),
+f AS (SELECT concat('book', l_orderkey % 3) AS book_id, CAST(sum(l_orderkey) AS DOUBLE) / 1048576 AS mb FROM {lineitem} GROUP BY 1)
+SELECT l.book_id, total_chapters, concat(s // 3600, ':', lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(s % 60 AS VARCHAR), 2, '0')) AS total_duration, round(coalesce(mb, 0), 6) AS file_size_mb FROM l LEFT JOIN f ON f.book_id = l.book_id""",
+)
+def a14_export_results(spark, d):
+    """Every ninth chapter has no length, and one book in four no files."""
+    rows = view(spark, d, "chapter_durations").select("book_id", "number", F.when(F.col("number") % 9 != 0, F.col("seconds")).alias("seconds"))
+    files = view(spark, d, "lineitem").select(F.concat(F.lit("book"), F.col("l_orderkey") % 3).alias("book_id"), F.col("l_orderkey").alias("bytes"))
+    return tl.export_results(rows, files).withColumn("file_size_mb", F.round("file_size_mb", 6))
+
+
 @query(
     "doc_p1_generation_ratio",
     """WITH s AS (SELECT concat('book', user_id % 6) AS book_id, sum(value)::double AS g FROM {events} WHERE value IS NOT NULL GROUP BY 1), a AS (SELECT book_id, sum(seconds) AS t FROM {chapter_durations} GROUP BY 1)

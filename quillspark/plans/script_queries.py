@@ -251,6 +251,29 @@ def doc_p6_character_tiers(spark, d):
     return sc.character_tiers(view(spark, d, "script_lines"))
 
 
+@query(
+    "doc_p6_voice_groups",
+    "SELECT book_id, concat(speaker, chapter_number % 29) AS speaker, count(*) AS n_lines, CASE WHEN count(*) <= 5 THEN CASE WHEN chapter_number % 29 < 9 THEN 'generic_female' ELSE 'generic_other' END ELSE concat(speaker, chapter_number % 29) END AS voice FROM {script_lines} GROUP BY book_id, speaker, chapter_number % 29",
+)
+def doc_p6_voice_groups(spark, d):
+    """Speakers by role and conversation; those of the first nine have a gender."""
+    who = F.concat("speaker", F.col("chapter_number") % 29)
+    lines = view(spark, d, "script_lines").select("book_id", who.alias("speaker"), (F.col("chapter_number") % 29).alias("n"))
+    characters = lines.where("n < 9").select("book_id", F.col("speaker").alias("id"), F.lit("female").alias("gender")).distinct()
+    return sc.voice_groups(lines, characters, threshold=5)
+
+
+@query(
+    "doc_p7_pauses_by_breaks",
+    "SELECT book_id, chapter_number, line_ord, CASE WHEN lag(line_ord) OVER w IS NULL THEN 1000 ELSE 0 END AS pause_before, CASE WHEN lead(line_ord) OVER w IS NULL THEN 2000 WHEN length(text) % 5 = 0 THEN 1500 WHEN speaker <> 'user' AND length(text) % 2 = 0 THEN 600 WHEN speaker <> 'user' THEN 500 ELSE 300 END AS pause_after FROM {script_lines} WINDOW w AS (PARTITION BY book_id, chapter_number ORDER BY line_ord)",
+)
+def doc_p7_pauses_by_breaks(spark, d):
+    """The assistant narrates; lengths of texts say where paragraphs and scenes end."""
+    lines = view(spark, d, "script_lines").withColumn("speaker", F.when(F.col("speaker") == "user", "user").otherwise("narrator"))
+    n = F.length("text")
+    return sc.pauses_by_breaks(lines.withColumns({"scene": n % 5 == 0, "para": n % 2 == 0}), "scene", "para")
+
+
 @query("doc_p7_positional_pauses", "SELECT book_id, chapter_number, line_ord, CASE WHEN lag(line_ord) OVER w IS NULL THEN 1000 ELSE 0 END AS pause_before, CASE WHEN lead(line_ord) OVER w IS NULL THEN 2000 WHEN speaker = 'narrator' THEN 500 ELSE 300 END AS pause_after FROM {script_lines} WINDOW w AS (PARTITION BY book_id, chapter_number ORDER BY line_ord)")
 def doc_p7_positional_pauses(spark, d):
     return sc.positional_pauses(view(spark, d, "script_lines"))

@@ -37,3 +37,32 @@ def write_scripts(lines: DataFrame, folder: str) -> None:
     rows = lines.groupBy("chapter_number", "chapter_title", "chapter_summary").agg(F.array_sort(F.collect_list(F.struct("line_ord", F.struct(*fields).alias("l")))).alias("ls"))
     docs = rows.select("chapter_number", F.col("chapter_number").alias("_dir"), "chapter_title", "chapter_summary", F.transform("ls", lambda x: x["l"]).alias("lines"))
     docs.write.partitionBy("_dir").json(folder)
+
+
+def write_books(chapters: DataFrame, books: DataFrame, folder: str) -> None:
+    """One JSON document per book, in folders by ``_dir``: its metadata with totals, and its chapters by number.
+
+    ``chapters(book_id, number, title, text, word_count)``; ``books(book_id, title, author, language, cover_image_path)``, one row
+    a book. A book without chapters has an empty list. A document is one value, so a book must fit one.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("number", "title", "text", "word_count")))
+    rows = chapters.groupBy(F.col("book_id").alias("_dir")).agg(parts.alias("chapters"), F.sum("word_count").alias("_words"))
+    docs = books.join(rows, books["book_id"].eqNullSafe(rows["_dir"]), "left")
+    listed = F.coalesce("chapters", F.array().cast(rows.schema["chapters"].dataType))
+    meta = F.struct("title", "author", "language", F.size(listed).alias("total_chapters"), F.coalesce("_words", F.lit(0)).cast("long").alias("total_words"), "cover_image_path")
+    docs.select(F.col("book_id").alias("_dir"), meta.alias("metadata"), listed.alias("chapters")).write.partitionBy("_dir").json(folder)
+
+
+def write_characters(characters: DataFrame, folder: str, key: str = "book_id") -> None:
+    """One registry per ``key``, in folders by ``_dir``: characters by id, in the order of ``ord``; ids are distinct within one."""
+    fields = [c for c in characters.columns if c not in (key, "ord")]
+    rows = characters.groupBy(F.col(key).alias("_dir")).agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("c")))).alias("r"))
+    by_id = F.map_from_entries(F.transform("r", lambda x: F.struct(x["c"]["id"], x["c"])))
+    rows.select("_dir", by_id.alias("characters")).write.partitionBy("_dir").json(folder)
+
+
+def write_voices(voices: DataFrame, folder: str, key: str = "project_id") -> None:
+    """One voice library per ``key``, in folders by ``_dir``: voices by character, which are distinct within one."""
+    fields = [c for c in voices.columns if c not in (key, "character_id")]
+    rows = voices.groupBy(F.col(key).alias("_dir")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("character_id", F.struct(*fields).alias("v"))))).alias("voices"))
+    rows.select("_dir", F.col("_dir").alias("project_id"), "voices").write.partitionBy("_dir").json(folder)
