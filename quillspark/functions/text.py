@@ -9,6 +9,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -34,10 +35,21 @@ def replaced(text: Column, table: dict[str, str]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), table.items(), text)
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC, for which Spark has no function."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+@F.arrow_udf(StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    """Unicode NFC, for which Spark has no function.
+
+    Few texts at a time are Python strings, and a batch without changes is given back, so that memory is that of Arrow.
+    """
+
+    def normal(part: pa.Array) -> pa.Array:
+        given = part.to_pylist()
+        out = [None if s is None else unicodedata.normalize("NFC", s) for s in given]
+        return part if out == given else pa.array(out, part.type)
+
+    given = [text.slice(i, 64) for i in range(0, len(text), 64)]
+    out = [normal(part) for part in given]
+    return text if all(a is b for a, b in zip(given, out)) else pa.concat_arrays(out)
 
 
 def composed(text: Column | str) -> Column:

@@ -4,6 +4,7 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,13 @@ def test_audio_columns(spark):
     assert column(df, au.noise_floor_db("pcm", F.lit(200)))[2] == pytest.approx(-60)
     assert column(df.where("i < 3"), au.peak(au.to_loudness("pcm", F.lit(100)))) == pytest.approx([0, 10 ** ((-19 + 0.691) / 20), 10 ** (-1 / 20) * 0 + column(df.where("i = 2"), au.peak(au.to_loudness("pcm", F.lit(100))))[0]])
     assert column(df, au.peak(au.limited("pcm"))) == pytest.approx([0, 10 ** (-1 / 20), 0.5, 0])
+
+
+def test_nfc_gives_back_what_is_normal():
+    """A batch without changes is the same Arrow array, not a second one; changes stay with their rows."""
+    nfc, plain = tx.nfc.func, pa.array(["\u201cx\u201d", None, "\u00e9"] * 50)
+    assert nfc(plain) is plain
+    mixed = plain.to_pylist()
+    mixed[70] = "e\u0301"
+    assert nfc(pa.array(mixed)).to_pylist() == [*mixed[:70], "\u00e9", *mixed[71:]]
+    assert len(nfc(pa.array([], pa.string()))) == 0
