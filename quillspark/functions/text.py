@@ -52,6 +52,9 @@ def nfc(text: pa.Array) -> pa.Array:
     return text if all(a is b for a, b in zip(given, out)) else pa.concat_arrays(out)
 
 
+nfc = nfc.asNondeterministic()  # else a filter on what comes of it runs it a second time, in a worker of its own
+
+
 def composed(text: Column | str) -> Column:
     """NFC; only texts with characters beyond ASCII go through Python, others are not even sent there."""
     t = c(text)

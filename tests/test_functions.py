@@ -181,3 +181,10 @@ def test_nfc_gives_back_what_is_normal():
     mixed[70] = "e\u0301"
     assert nfc(pa.array(mixed)).to_pylist() == [*mixed[:70], "\u00e9", *mixed[71:]]
     assert len(nfc(pa.array([], pa.string()))) == 0
+
+
+def test_a_filter_on_cleaned_texts_runs_python_once(texts, capsys):
+    few = texts.select("i", tx.word_count(tx.cleaned("t")).alias("n")).where("n >= 2")
+    few.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert {r.i: r.n for r in few.collect()} == {i: len(t.split()) for i, t in enumerate(CLEANED.values()) if len(t.split()) >= 2}
