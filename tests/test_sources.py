@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,14 @@ def test_catalogue_answers(spark):
     got = {r.i: tuple(r)[2:] for r in book_metadata(spark.createDataFrame(rows, "i int, body string"), "body").collect()}
     assert got[1] == ("T", "A, B", "", "10", "https://t?zoom=3&u=https://v&zoom=30")
     assert all(got[i][2:] == (None, None, None) for i in (2, 3, 4, 5)) and got[6][2:] == ("", "", None)
+
+
+def test_results_of_a_batch_leave_in_parts():
+    """What a task holds doesn't grow with the rows of an Arrow batch; a page without rows takes nothing from its neighbours."""
+    fields = [pa.field("n", pa.int32()), pa.field("text", pa.string())]
+    pages = [None if i % 10 == 3 else f"<p>{i} " + "x" * 200_000 + "</p>" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(pages)], names=["k", "html"])
+    out = list(ht.told([batch], lambda h: [(len(h), ht.full_text(ht.parse(h)))] * 2 if h else [], fields))
+    assert max(sum(map(len, b["text"].to_pylist())) for b in out) <= ht.OUT_CHARS + 2 * 200_100
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows == [{"k": i, "n": len(h), "text": h[3:-4]} for i, h in enumerate(pages) if h for _ in range(2)]
