@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from quillspark.functions import audio as au
 from quillspark.functions import text as tx
 from quillspark.operators import script as sc
 from quillspark.operators import state as stt
+from quillspark.runtime import CLEANUP, staged
 
 #: Texts and what is left of them, worked out by hand.
 CLEANED = {
@@ -188,3 +190,20 @@ def test_a_filter_on_cleaned_texts_runs_python_once(texts, capsys):
     few.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
     assert {r.i: r.n for r in few.collect()} == {i: len(t.split()) for i, t in enumerate(CLEANED.values()) if len(t.split()) >= 2}
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    """Else an operator of many steps holds the shuffles of all of them until the driver collects its garbage."""
+
+    def blocks() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().endswith(".data")}
+
+    before, kept = blocks(), spark.conf.get(CLEANUP, None)
+    out = staged(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count(), "shuffled")
+    until = time.time() + 20
+    while blocks() - before and time.time() < until:  # executors are told some time later
+        time.sleep(0.2)
+    assert not blocks() - before
+    assert out.count() == 100 and out.agg(F.sum("count")).first()[0] == 10_000
+    assert spark.conf.get(CLEANUP, None) == kept
