@@ -149,14 +149,15 @@ def _grown(visits: DataFrame, stage: Tables, threshold: float, reach: float, lea
         cells = more.count()
         if not cells:
             return reduce(DataFrame.union, [d.select(*columns) for d in [*done, visits]])
-        done.append(visits.join(more, CELL, "left_anti"))
+        done.append(stage(visits.join(more, CELL, "left_anti").select(*columns), "done"))
         chance = F.pmod(F.xxhash64("node", "tree", "path"), F.lit(1 << 30)) / float(1 << 30)
         sample = visits.join(more, CELL).where(chance < F.lit(float(fit_rows)) / F.col("size")).select(*CELL, "size", "v")
         model = sample.groupBy(*CELL).applyInArrow(_fit(threshold, reach, leaf, levels), f"label {kind}, dim int, tree int, path long, chosen binary, cuts binary")
         model = stage(model, "model")
         routed = visits.drop("ended").join(model.hint("merge") if cells > FEW_CELLS else model, CELL).withColumn("cell", F.xxhash64(*CELL))
         routed = routed.mapInArrow(_route(threshold, reach), f"label {kind}, dim int, tree int, path long, node long, copies long, v {v}, last int, ended boolean")
-        visits = stage(routed, "visits")
+        before, visits = visits, stage(routed, "visits")
+        stage.drop(model, more, *(t for t in stage.held if t is before))  # the visits of one round are held, not of all
 
 
 def _earlier(leaf: int, offsets: np.ndarray, leaves: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from quillspark.llm.projection_forest import near_vectors
+from quillspark.llm.projection_forest import _grown, near_vectors
+from quillspark.runtime import Tables
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string"
 
@@ -91,3 +92,15 @@ def test_null_id_with_a_good_vector(spark):
     v = [1.0, 2.0, 3.0]
     got = near_vectors(spark.createDataFrame([(None, v, 1, ""), (5, v, 1, ""), (7, v, 1, ""), (None, v, None, "")], SCHEMA)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 0, 0), (5, 1, 5), (7, 1, 5)]
+
+
+def test_growth_holds_the_visits_of_one_round(spark):
+    """Finished leaves are kept once; the visits of earlier rounds and their models go."""
+    x = np.random.default_rng(5).standard_normal((300, 8)).tolist()
+    start = spark.createDataFrame([(1, 8, 0, 1, i, 1, v, 6, False) for i, v in enumerate(x)], "label int, dim int, tree int, path long, node long, copies long, v array<double>, last int, ended boolean")
+    stage = Tables()
+    out = _grown(start, stage, 0.93, 0.64, 8, 1024, 2)
+    names = [t._staged_at.getName().split("-")[0] for t in stage.held]
+    assert names.count("done") > 1 and names.count("visits") == 1 and "model" not in names
+    assert out.select("node").distinct().count() == 300
+    stage.close()
