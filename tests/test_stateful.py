@@ -116,6 +116,51 @@ def test_tokens_equal_batch(spark, tmp_path):
     assert {(r.n_chunks, round(r.rate, 6)) for r in got if r.conv == 1 and r.kind == "report"} == {(10, round(10 / 9, 6)), (20, round(20 / 19, 6)), (30, round(30 / 29, 6)), (40, round(40 / 39, 6))}
 
 
+def answers(rows, every):
+    """Reports and whole answers by plain Python, for ``rows`` in order of their numbers."""
+    out, held = [], {}
+    for conv, _, text, ts, done in rows:
+        n, texts, began = held.get(conv, (0, "", ts))
+        n, texts = n + 1, texts + (text or "")
+        spent = None if ts is None or began is None else (ts - began) // dt.timedelta(microseconds=1) / 1e6
+        if done or n % every == 0:
+            out.append((conv, "complete" if done else "report", n, len(texts), spent, n / spent if spent and spent > 0 else 0.0, texts if done else None))
+        held[conv] = (n, texts, began)
+        if done:
+            del held[conv]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("span, ends", [(1, 7), (8, 3), (8, 29), (65_536, 29)])
+def test_tokens_by_spans_equal_plain_python(spark, tmp_path, span, ends):
+    """Answers that end within a span and that cross some, batches that cut spans, null keys, texts and times, any order."""
+    rnd, t0, big = random.Random(ends), dt.datetime(2024, 1, 1), 2**53 + 1
+    rows = [(rnd.choice([None, 1, 2, big]), i - 40, rnd.choice(["", None, "é", "ab ", "x\ny"]), None if rnd.random() < 0.02 else t0 + dt.timedelta(microseconds=rnd.randrange(10**9) + i), rnd.random() < 1 / ends) for i in range(240)]
+    parts = [random.Random(i).sample(p, len(p)) for i, p in enumerate([rows[:90], rows[90:101], rows[101:]])]
+    stream = st.token_stream(files(spark, str(tmp_path), parts, CHUNKS), ["conv"], every=5, span=span)
+    got = run(stream, f"spans{span}_{ends}", "append", tmp_path).collect()
+    assert sorted((tuple(r) for r in got), key=str) == answers(rows, 5)
+
+
+def test_a_busy_key_is_few_rows_to_its_state(spark, tmp_path, monkeypatch):
+    """Two rows a span at most reach the task that holds a key, however many chunks a batch has of it."""
+    seen = tmp_path / "seen"
+
+    class Counted(st._Tokens):
+        def handleInputRows(self, key, rows, timerValues):
+            parts = list(rows)
+            with open(seen, "a") as f:
+                f.write(f"{sum(map(len, parts))}\n")
+            yield from super().handleInputRows(key, iter(parts), timerValues)
+
+    monkeypatch.setattr(st, "_Tokens", Counted)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, i, "w", t0 + dt.timedelta(seconds=i), i % 2 == 1 and i < 2000) for i in range(3000)]
+    got = run(st.token_stream(files(spark, str(tmp_path), [rows], CHUNKS), ["conv"]), "busy", "append", tmp_path).collect()
+    assert sorted((tuple(r) for r in got), key=str) == answers(rows, st.REPORT)
+    assert sum(map(int, seen.read_text().split())) == 2
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     table = sinks.OnceTable(spark, str(tmp_path / "once"), "id long, v string")
     assert table.rows().collect() == []
