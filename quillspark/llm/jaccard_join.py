@@ -18,11 +18,14 @@ original of many near copies. First each class is compared with the leader it sh
 with all its leaders of other components. At last all pairs of different components are compared that share
 a tile: in small tiles by a join, in large ones block by block, where only pairs that pass the bounds leave
 the task, nearly always from one tile that both name.
+
+Texts are read from the input where pairs are decided, in portions of the pairs, so that no copy of the texts is written
+and what a portion shuffles is bounded, however many pairs there are.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,9 @@ NAMED = 16
 #: Text bytes whose visits one task sorts. A word and a blank take two bytes and a set visits two bands, of a fifth of
 #: its size in tiles each at 80 percent, so that visits of 16 bytes take at most three times as much; a seventh is usual.
 TASK_BYTES = 64 << 20
+#: Pairs are decided in portions whose texts are at most half of all texts, or so many bytes if that is more, and of at most
+#: so many pairs, as these are broadcast.
+PORTION_BYTES, PORTION_PAIRS = 256 << 20, 100_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -120,13 +126,13 @@ def tiles(s: np.ndarray, starts: np.ndarray, num: int, den: int) -> np.ndarray:
 
 #: A task deals out its visits to tiles whenever it holds so many.
 VISITS = 1_000_000
-_ROW = ["part", "_id", "_h", "n", "node", "bits", "tile", "ones", "firsts"]
+_ROW = ["part", "_id", "_h", "n", "bytes", "node", "bits", "tile", "ones", "firsts"]
 
 
 def _signatures(n: int, num: int, den: int, parts: int):
     """Rows of two or three kinds, each with the partition where it goes.
 
-    A signature (_id, _h, n, node, bits) for each text; visits (tile, node) to tiles that two sets of this
+    A signature (_id, _h, n, bytes, node, bits) for each text; visits (tile, node) to tiles that two sets of this
     task share; and for each partition one row of the tiles that it is to judge, packed: ``ones`` holds tiles
     and nodes of single visits, ``firsts`` the tiles already known to be shared. Packed visits take 16 bytes
     each, and a tile goes out once from a task however many sets there visit it.
@@ -137,7 +143,7 @@ def _signatures(n: int, num: int, den: int, parts: int):
         held, nodes, keys = 0, [], []
 
         def row(count: int, **columns):
-            kinds = {"part": pa.int32(), "n": pa.int64(), "node": pa.int64(), "_h": pa.int64(), "bits": pa.list_(pa.int64()), "tile": pa.int64(), "ones": pa.binary(), "firsts": pa.binary(), "_id": kind}
+            kinds = {"part": pa.int32(), "n": pa.int64(), "bytes": pa.int64(), "node": pa.int64(), "_h": pa.int64(), "bits": pa.list_(pa.int64()), "tile": pa.int64(), "ones": pa.binary(), "firsts": pa.binary(), "_id": kind}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(count, kinds[c]) for c in _ROW], names=_ROW)
 
         def dealt():
@@ -180,7 +186,7 @@ def _signatures(n: int, num: int, den: int, parts: int):
                         held, nodes, keys = 0, [], []
                         seen.clear()
             part = pa.array((np.arange(batch.num_rows) % parts).astype(np.int32))
-            yield row(batch.num_rows, part=part, _id=batch.column(0), _h=batch.column(1), n=pa.array(sizes, pa.int64()), node=pa.array(sets, pa.int64()), bits=pa.array(bits, pa.list_(pa.int64())))
+            yield row(batch.num_rows, part=part, _id=batch.column(0), _h=batch.column(1), n=pa.array(sizes, pa.int64()), bytes=pa.compute.binary_length(batch.column(2)).cast(pa.int64()), node=pa.array(sets, pa.int64()), bits=pa.array(bits, pa.list_(pa.int64())))
         if held:
             yield from dealt()
 
@@ -229,26 +235,28 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _decide(n: int, num: int, den: int):
-    """Keep the pairs (a, ta, b, tb) whose sets link, by intersecting the sorted arrays."""
+    """Keep the pairs whose sets link, by intersecting the sorted arrays; rows (a, b, node, t) of a pair come together."""
 
     def run(batches):
-        cache, last = _Words(), {}
-
-        def of(node, text):
-            if node not in last:
-                if len(last) > 8:
-                    last.clear()
-                last[node] = shingles(text.as_py(), cache, n)
-            return last[node]
-
+        cache, pair, sets = _Words(), None, {}
         for batch in batches:
-            a, ta, b, tb = (batch.column(i) for i in range(4))
+            a, b, node = (batch.column(i).to_pylist() for i in range(3))
             keep = []
-            for i in range(batch.num_rows):
-                x, y = of(a[i].as_py(), ta[i]), of(b[i].as_py(), tb[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * den >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i, text in enumerate(batch.column(3)):
+                if pair != (a[i], b[i]):
+                    pair, open_ = (a[i], b[i]), {a[i], b[i]}
+                    sets = {k: v for k, v in sets.items() if k in open_}  # the next pair often has one of the last
+                if node[i] not in open_:
+                    continue  # the same id and text in several rows
+                open_.discard(node[i])
+                if node[i] not in sets:
+                    sets[node[i]] = shingles(text.as_py(), cache, n)
+                if not open_:
+                    x, y = sets[a[i]], sets[b[i]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both * den >= num * (len(x) + len(y) - both):
+                        keep.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -313,63 +321,73 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alone. Repeated rows, rows with a null id and rows that share an id keep a row each; null ids count as
     greater than all others. An empty table gives an empty table; other columns are ignored.
     Texts of any length are read whole. Sets and shingles are known by 64-bit hashes. ``keep_group`` adds ``_group``, which names the component
-    whatever its ids (null where there is no set).
+    whatever its ids (null where there is no set). ``docs`` is read once more for each portion of pairs.
     """
     num, den, stage = percent, 100, Tables()
     key = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     kind = key.schema["_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    row = f"_id {kind}, _h long, n long, node long, bits array<long>, tile long"
+    row = f"_id {kind}, _h long, n long, bytes long, node long, bits array<long>, tile long"
     dealt = key.mapInArrow(_signatures(shingle, num, den, parts), f"part int, {row}, ones binary, firsts binary").repartitionById(parts, "part")
     found = stage(dealt.mapInArrow(_shared, row), "signatures")
-    sig = found.where("tile is null")
-    classes = sig.where("node is not null").groupBy("node", "n").agg(F.min(F.struct("_id", "_h", "bits")).alias("m"))
-    classes = stage(classes.select("node", "n", "m._id", "m._h", "m.bits"), "classes")
+    sig = stage(found.where("tile is null").select("_id", "_h", "n", "node"), "named")
+    classes = found.where("tile is null and node is not null").groupBy("node", "n").agg(F.min(F.struct("_id", "_h", "bits", "bytes")).alias("m"))
+    classes = stage(classes.select("node", "n", "m._id", "m._h", "m.bits", "m.bytes"), "classes")
 
     visits = stage(found.where("tile is not null").select("tile", "node").distinct(), "visits")
+    stage.drop(found)
     widths = stage(visits.groupBy("tile").agg(F.count(F.lit(1)).alias("width")), "widths")
     known = stage(visits.join(widths, "tile").groupBy("node").agg(F.sum("width").alias("known")).join(classes.select("node", "n"), "node"), "known")
     met = stage(visits.join(widths, "tile").join(known, "node"), "met")
-    stage.drop(visits, widths)
-
-    taking_part = known.select("node").join(classes, "node")
-    texts = key.join(taking_part, null_safe(key, taking_part, "_id", "_h")).select("node", key["_h"], F.col("_t").alias("t"))
-    texts = stage(texts, "texts")
-    if texts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1):  # the same id and text in several rows
-        texts = stage(texts.dropDuplicates(["node"]), "texts")
+    stage.drop(visits, widths, known)
 
     def decided(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
-        y = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
         near = stage(_bounded(pairs, classes, num, den), "pairs")
-        links = stage(near.join(x, "a").join(y, "b").select("a", "ta", "b", "tb").mapInArrow(_decide(shingle, num, den), "a long, b long"), "links")
-        stage.drop(pairs, near)
-        return links
-
-    def led(rows: DataFrame) -> DataFrame:
-        """Pairs of a class and the leader of a tile, of different components, with the tiles they share."""
+        stage.drop(pairs)
+        place = classes.select("node", F.struct("node", "_id", "_h").alias("at"), "bytes")
+        x, y = (place.select(F.col("node").alias(c), F.col("at").alias(f"at{c}"), F.col("bytes").alias(f"bytes{c}")) for c in "ab")
+        sides = stage(near.join(x, "a").join(y, "b").select("a", "b", "ata", "atb", (F.col("bytesa") + F.col("bytesb")).alias("bytes")), "sides")
+        stage.drop(near)
+        count, total = sides.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+        portions, links = max(1, -(-(total or 0) // max(PORTION_BYTES, size // 2)), -(-count // PORTION_PAIRS)), []
+        for p in range(portions):
+            mine = sides.where(F.pmod(F.xxhash64("a", "b"), F.lit(portions)) == p).select("a", "b", F.explode(F.array("ata", "atb")).alias("at"))
+            mine = F.broadcast(mine.select("a", "b", "at.node", "at._id", "at._h"))
+            texts = key.join(mine, null_safe(key, mine, "_id", "_h")).select("a", "b", "node", "_t")
+            texts = texts.repartition("a", "b").sortWithinPartitions("b", "a")
+            links.append(stage(texts.mapInArrow(_decide(shingle, num, den), "a long, b long"), "links"))
+        stage.drop(sides)
+        return reduce(DataFrame.union, links)
+
+    def led(rows: DataFrame, one: bool = False) -> DataFrame:
+        """Pairs of a class and the leader of a tile, of different components: all, or that which shares most tiles."""
         leader = rows.groupBy("tile").agg(F.max_by(F.struct("node", "comp"), F.struct("known", -F.col("node"))).alias("l"))
-        pairs = rows.join(stage(leader, "leaders"), "tile").where(F.col("comp") != F.col("l.comp"))
-        return pairs.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-
-    def unsettled(comp: DataFrame) -> DataFrame:
-        """Rows of the tiles that hold more than one component."""
-        here = met.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("_n")
+        leader = stage(leader, "leaders")
+        pairs = rows.join(leader, "tile").where(F.col("comp") != F.col("l.comp"))
+        pairs = pairs.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")) if one else pairs.select("a", "b")
+        pairs = stage(pairs, "pairs")
+        stage.drop(leader)
+        return pairs
+
+    def unsettled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Those of ``rows`` that are of tiles which hold more than one component; they take the place of ``rows``."""
+        here = rows.drop("comp").join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("_n")
         here = stage(here, "here")
+        stage.drop(rows)
         several = here.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tile")
         several = stage(several, "several")
         out = stage(here.join(several, "tile"), "unsettled")
         stage.drop(here, several)
         return out
 
-    first = led(met.withColumn("comp", F.col("node"))).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    comp = stage.hold(connected_components(decided(stage(first, "pairs"))))
+    comp = stage.hold(connected_components(decided(led(met.withColumn("comp", F.col("node")), one=True))))
 
-    here = unsettled(comp)
-    comp = stage.hold(merged_components(comp, decided(stage(led(here).select("a", "b"), "pairs"))))
+    here = unsettled(met, comp)
+    comp = stage.hold(merged_components(comp, decided(led(here))))
 
-    here = unsettled(comp)
+    here = unsettled(here, comp)
     small = here.where(F.col("width") <= SMALL)
     x = small.select("tile", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = small.select("tile", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
@@ -382,9 +400,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = large.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
     large = large.select("tile", "pair.bi", "pair.bj", "node", "n", "comp", "bits", "least", (F.col("mine") != F.col("pair.bi")).alias("other"))
     rest = rest.select("a", "b").union(large.groupBy("tile", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")).distinct()
-    comp = stage.hold(merged_components(comp, decided(stage(rest, "pairs"))))
+    rest = stage(rest, "pairs")
+    stage.drop(here, named)
+    comp = stage.hold(merged_components(comp, decided(rest)))
 
-    named = sig.select("_id", "_h", "n", "node").join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    named = sig.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     named = stage(named.select("_id", "_h", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("comp")), "named")
     least = stage(named.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("component_id")), "least")
     stage.close(named, least)

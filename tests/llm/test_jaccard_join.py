@@ -127,3 +127,24 @@ def test_few_sets_visit_the_tiles_of_empty_parts():
             own += [tiles(s, starts, percent, 100) for s in x]
         keys, times = np.unique(np.concatenate(own), return_counts=True)
         assert (times > 1).sum() < len(keys) / 100
+
+
+def test_pairs_are_decided_in_portions_and_no_text_is_copied(spark, monkeypatch):
+    from quillspark.llm import jaccard_join
+
+    staged = []
+
+    class Seen(jaccard_join.Tables):
+        def __call__(self, df, label):
+            staged.append((label, {f.name for f in df.schema if f.dataType.simpleString() in ("binary", "string")}))
+            return super().__call__(df, label)
+
+    monkeypatch.setattr(jaccard_join, "Tables", Seen)
+    monkeypatch.setattr(jaccard_join, "PORTION_PAIRS", 4, raising=False)
+    rnd, base = random.Random(4), ["w%d" % i for i in range(90)]
+    rows = [(i, " ".join([*base[:k], "x%d" % rnd.randrange(10**6), *base[k:]])) for i, k in enumerate(range(0, 90, 10))]
+    rows += [rows[3], rows[3], (70, rows[4][1]), (80, ""), (81, None)]
+    got = jaccard_components(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+    assert not any(texts for _, texts in staged)
+    assert [label for label, _ in staged].count("links") > 3
