@@ -13,10 +13,15 @@ its standard deviations. In the worst case, a cluster whose vectors all lie at t
 a level parts such a pair with a probability that depends on ``reach`` alone, and there are as many trees as
 keep the chance that all of them part it below ``miss``.
 
-Equal vectors of a label are one class with a multiplicity, so copies cost nothing. Leaves of more than
-``block`` classes, e.g. clusters too tight to be split, are compared block by block in separate tasks. A pair
+Equal vectors of a label are one class with a multiplicity, so copies cost nothing. A task compares up to
+``block`` classes, all with all, so cells of no more are leaves. Larger leaves, e.g. clusters too tight to be
+split, are compared block by block in separate tasks. A pair
 met in several leaves counts in the first leaf that both visit (each row carries its list of leaves), so links
 are counted exactly without writing out pairs; only a spanning forest of each block pair leaves the task.
+
+Visits carry their vectors and are more than the vectors, by the number of trees and by the spill of each level. So they
+are grown, compared and deleted in portions, one after the other: some trees, or of one tree the cells below its first
+levels that a hash picks. What stays of a portion are the leaves of each vector, links and edges.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ SEED, CANDIDATES, QUANTILES = 11, 4, (0.4, 0.5, 0.6)
 CELL = ["label", "dim", "tree", "path"]
 #: Models of more cells than this are joined by sorting, so that the vectors of a cell come together.
 FEW_CELLS = 256
+#: A portion has about half as many bytes of visits as all vectors have, or so many if that is more.
+PORTION_BYTES = 256 << 20
+#: Visits of a level to those of the level above, as reckoned for portions; 1.2 is usual.
+GROWTH = 1.25
 
 
 def _unit(column, rows: np.ndarray, dim: int) -> np.ndarray:
@@ -138,44 +147,54 @@ def _route(threshold: float, reach: float):
     return run
 
 
+def _large(visits: DataFrame, leaf: int) -> DataFrame:
+    """The cells that are to be split, with their sizes."""
+    depth = F.floor(F.log2(F.col("path").cast("double")))
+    sizes = visits.groupBy(*CELL).agg(F.count(F.lit(1)).alias("size"), F.max("last").alias("last"), F.max("ended").alias("ended"))
+    return sizes.where(~F.col("ended") & (F.col("size") > 1.5 * leaf) & (depth < F.col("last"))).select(*CELL, "size")
+
+
+def _fitted(visits: DataFrame, more: DataFrame, threshold: float, reach: float, leaf: int, fit_rows: int, levels: int) -> DataFrame:
+    """The next levels of the cells ``more``, each fitted to a sample of its visits."""
+    kind = visits.schema["label"].dataType.simpleString()
+    chance = F.pmod(F.xxhash64("node", "tree", "path"), F.lit(1 << 30)) / float(1 << 30)
+    sample = visits.join(more, CELL).where(chance < F.lit(float(fit_rows)) / F.col("size")).select(*CELL, "size", "v")
+    return sample.groupBy(*CELL).applyInArrow(_fit(threshold, reach, leaf, levels), f"label {kind}, dim int, tree int, path long, chosen binary, cuts binary")
+
+
+def _routed(visits: DataFrame, model: DataFrame, cells: int, threshold: float, reach: float) -> DataFrame:
+    """The visits of the ``cells`` cells of ``model``, at the ends of its branches."""
+    kind, v = (visits.schema[c].dataType.simpleString() for c in ("label", "v"))
+    rows = visits.drop("ended").join(model.hint("merge") if cells > FEW_CELLS else model, CELL).withColumn("cell", F.xxhash64(*CELL))
+    return rows.mapInArrow(_route(threshold, reach), f"label {kind}, dim int, tree int, path long, node long, copies long, v {v}, last int, ended boolean")
+
+
 def _grown(visits: DataFrame, stage: Tables, threshold: float, reach: float, leaf: int, fit_rows: int, levels: int) -> DataFrame:
     """Route ``visits(label, dim, tree, path, node, copies, v, last, ended)`` down to leaves; ``last`` is the depth allowed."""
-    kind, v = (visits.schema[c].dataType.simpleString() for c in ("label", "v"))
     columns, done = [*CELL, "node", "copies", "v"], []
     while True:
-        depth = F.floor(F.log2(F.col("path").cast("double")))
-        sizes = visits.groupBy(*CELL).agg(F.count(F.lit(1)).alias("size"), F.max("last").alias("last"), F.max("ended").alias("ended"))
-        more = stage(sizes.where(~F.col("ended") & (F.col("size") > 1.5 * leaf) & (depth < F.col("last"))).select(*CELL, "size"), "cells")
+        more = stage(_large(visits, leaf), "cells")
         cells = more.count()
         if not cells:
             return reduce(DataFrame.union, [d.select(*columns) for d in [*done, visits]])
         done.append(stage(visits.join(more, CELL, "left_anti").select(*columns), "done"))
-        chance = F.pmod(F.xxhash64("node", "tree", "path"), F.lit(1 << 30)) / float(1 << 30)
-        sample = visits.join(more, CELL).where(chance < F.lit(float(fit_rows)) / F.col("size")).select(*CELL, "size", "v")
-        model = sample.groupBy(*CELL).applyInArrow(_fit(threshold, reach, leaf, levels), f"label {kind}, dim int, tree int, path long, chosen binary, cuts binary")
-        model = stage(model, "model")
-        routed = visits.drop("ended").join(model.hint("merge") if cells > FEW_CELLS else model, CELL).withColumn("cell", F.xxhash64(*CELL))
-        routed = routed.mapInArrow(_route(threshold, reach), f"label {kind}, dim int, tree int, path long, node long, copies long, v {v}, last int, ended boolean")
-        before, visits = visits, stage(routed, "visits")
+        model = stage(_fitted(visits, more, threshold, reach, leaf, fit_rows, levels), "model")
+        before, visits = visits, stage(_routed(visits, model, cells, threshold, reach), "visits")
         stage.drop(model, more, *(t for t in stage.held if t is before))  # the visits of one round are held, not of all
 
 
-def _earlier(leaf: int, offsets: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    """For each pair of rows whether they also share a leaf before ``leaf``; row ``i`` has the leaves between its offsets."""
-    m = len(offsets) - 1
-    row = np.repeat(np.arange(m), np.diff(offsets))
-    own = leaves[offsets[0] : offsets[-1]]
+def _earlier(leaf: int, offsets: np.ndarray, leaves: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """For each pair of the rows ``some`` whether they also share a leaf before ``leaf``; row ``i`` has the leaves between its offsets."""
+    sizes = offsets[some + 1] - offsets[some]
+    row = np.repeat(np.arange(len(some)), sizes)
+    own = leaves[np.repeat(offsets[some] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(len(row))]
     row, own = row[own < leaf], own[own < leaf]
-    _, of, times = np.unique(own, return_inverse=True, return_counts=True)
-    row, of = row[times[of] > 1], of[times[of] > 1]
-    if len(of):
-        of = np.unique(of, return_inverse=True)[1]
-    out, width = np.zeros((m, m), bool), 4096
-    for lo in range(0, int(of.max()) + 1 if len(of) else 0, width):
-        here = (of >= lo) & (of < lo + width)
-        x = np.zeros((m, width), np.float32)
-        x[row[here], of[here] - lo] = 1
-        out |= x @ x.T > 0
+    order = np.argsort(own, kind="stable")
+    row, own = row[order], own[order]
+    out = np.zeros((len(some), len(some)), bool)
+    for rows in np.split(row, np.flatnonzero(own[1:] != own[:-1]) + 1):
+        if len(rows) > 1:
+            out[np.ix_(rows, rows)] = True
     return out
 
 
@@ -185,12 +204,14 @@ def _judged(leaf: int, x: np.ndarray, side: np.ndarray, same: bool, node: np.nda
     np.fill_diagonal(close, False)
     if not same:
         close &= side[:, None] != side[None, :]
-    if close.any():
-        close &= ~_earlier(leaf, offsets, leaves)
     some = np.flatnonzero(close.any(axis=1))
     if not len(some):
         return None
-    close = close[np.ix_(some, some)]
+    close = close[np.ix_(some, some)] & ~_earlier(leaf, offsets, leaves, some)
+    left = np.flatnonzero(close.any(axis=1))
+    if not len(left):
+        return None
+    some, close = some[left], close[np.ix_(left, left)]
     node, links, comp = node[some], close @ copies[some], np.arange(len(some))
     while True:
         least = np.minimum(comp, np.where(close, comp[None, :], len(some)).min(axis=1))
@@ -258,8 +279,9 @@ def near_vectors(
     Returns ``(id, n_links, component_id)`` for each row. Vectors that are null, empty or zero, that hold null or
     non-finite components, and rows with a null label or id, link with nothing; such a row has itself as
     component. Equal vectors always link; rows that repeat an id count as further copies. An empty table gives
-    an empty table; other columns are ignored. ``leaf`` is the number of classes aimed at in a leaf; a label of
-    no more is compared whole. ``reach`` is the spill and ``miss`` the chance, in the worst case, that a pair at
+    an empty table; other columns are ignored. Cells are split down to ``leaf`` classes, or two thirds of ``block`` if that
+    is more; a label of no more than 1.5 times that is compared whole. The number of trees is that for leaves of ``leaf``
+    classes, so larger leaves only find more. ``reach`` is the spill and ``miss`` the chance, in the worst case, that a pair at
     the threshold shares no leaf; ``trees`` sets their number instead. ``fit_rows`` vectors of a cell fit its
     next ``levels`` levels. Classes are known by a 64-bit hash of label and vector.
     """
@@ -273,24 +295,50 @@ def near_vectors(
         t = t.withColumn("v", wide)
     classes = t.where("good").groupBy("label", "node").agg(F.min("v").alias("v"), F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes.withColumn("dim", F.size("v").cast("int")), "classes")
-    groups = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    groups, stop = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), max(leaf, 2 * block // 3)
     groups = groups.withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / float(leaf)))).cast("int"))
     needed: Column = F.lit(trees) if trees else F.ceil(math.log(miss) / F.log(1 - F.pow(F.lit(1 - parting(reach)), F.col("depth"))))
-    groups = stage(groups.withColumn("trees", F.when(F.col("depth") > 0, F.greatest(F.lit(2), needed)).otherwise(1).cast("int")), "groups")
+    groups = stage(groups.withColumn("trees", F.when(F.col("n") > 1.5 * stop, F.greatest(F.lit(2), needed)).otherwise(1).cast("int")), "groups")
     start = classes.join(groups, ["label", "dim"]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     last = F.when(F.col("depth") > 0, F.col("depth") + 3).otherwise(0).cast("int").alias("last")
     start = start.select("label", "dim", "tree", F.lit(1).cast("long").alias("path"), "node", "copies", "v", last, F.lit(False).alias("ended"))
-    visits = _grown(start, stage, threshold, reach, leaf, fit_rows, levels).withColumn("leaf", F.col("tree") * F.lit(1 << 48) + F.col("path"))
-    own = stage(visits.groupBy("label", "node").agg(F.collect_set("leaf").alias("leaves")), "leaves")
-    sizes = visits.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("size"))
-    sizes = stage(sizes.where("size > 1").select("label", "dim", "leaf", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sizes")
-    here = visits.select("label", "dim", "leaf", "node", "copies", "v").join(own, ["label", "node"]).join(sizes, ["label", "dim", "leaf"])
-    here = here.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    here = here.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
-    here = here.select(F.xxhash64("label", "dim", "leaf").alias("key"), "dim", "leaf", "pair.bi", "pair.bj", "node", "copies", "v", "leaves", F.when(F.col("mine") == F.col("pair.bi"), 0).otherwise(1).alias("side"))
-    here = here.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    met = stage(here.mapInArrow(_compare(threshold), "node long, links long, other long"), "met")
-    stage.close(classes, met)
+
+    vector = F.col("dim") * (4 if t.schema["v"].dataType.simpleString() == "array<float>" else 8)
+    grown = F.pow(F.lit(GROWTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / float(stop)))))
+    every = groups.agg(F.max("trees"), F.sum(F.col("n") * vector), F.sum(F.col("n") * F.col("trees") * grown * (vector + 16 * F.col("trees") + 48))).first()
+    most, raw, total = every[0] or 1, every[1] or 0, every[2] or 0
+    portions = max(1, math.ceil(total / max(PORTION_BYTES, raw // 2)))
+    splits = -(-portions // most)  # portions of a tree
+    cells = 0
+    if splits > 1:
+        portions = most * splits
+        more = stage(_large(start, stop), "cells")
+        cells = more.count()
+        model = stage(_fitted(start, more, threshold, reach, stop, fit_rows, levels), "model")
+    mets, seen = [], []
+    for p in range(portions):
+        part, split = Tables(), p % splits
+        first, end = (-(-x * most * splits // portions) for x in (p, p + 1))  # of tree * splits + split
+        visits = start.where(F.col("tree").between(first // splits, (end - 1) // splits))
+        if splits > 1:
+            whole = visits.join(more, CELL, "left_anti").select(*visits.columns)
+            visits = whole.union(_routed(visits, model, cells, threshold, reach)) if cells else whole
+            visits = part(visits.where(F.pmod(F.xxhash64(*CELL), F.lit(splits)) == split), "visits")
+        visits = _grown(visits, part, threshold, reach, stop, fit_rows, levels)
+        visits = visits.withColumn("leaf", (F.col("tree") * F.lit(splits) + F.lit(split)).cast("long") * F.lit(1 << 40) + F.col("path"))
+        seen.append(stage(visits.groupBy("label", "node").agg(F.collect_set("leaf").alias("leaves")), "leaves"))
+        own = reduce(DataFrame.union, seen).groupBy("label", "node").agg(F.flatten(F.collect_list("leaves")).alias("leaves")) if p else seen[0]
+        sizes = visits.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("size"))
+        sizes = part(sizes.where("size > 1").select("label", "dim", "leaf", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sizes")
+        here = visits.select("label", "dim", "leaf", "node", "copies", "v").join(own, ["label", "node"]).join(sizes, ["label", "dim", "leaf"])
+        here = here.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        here = here.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj")))))
+        here = here.select(F.xxhash64("label", "dim", "leaf").alias("key"), "dim", "leaf", "pair.bi", "pair.bj", "node", "copies", "v", "leaves", F.when(F.col("mine") == F.col("pair.bi"), 0).otherwise(1).alias("side"))
+        here = here.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        mets.append(stage(here.mapInArrow(_compare(threshold), "node long, links long, other long"), "met"))
+        part.close()
+    stage.close(classes, *mets)
+    met = reduce(DataFrame.union, mets)
     comp = stage.hold(connected_components(met.select(F.col("node").alias("a"), F.col("other").alias("b")).where("a <> b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     named = stage(classes.join(links, "node", "left").join(comp, "node", "left").select("label", "node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp")), "named")

@@ -104,3 +104,25 @@ def test_growth_holds_the_visits_of_one_round(spark):
     assert names.count("done") > 1 and names.count("visits") == 1 and "model" not in names
     assert out.select("node").distinct().count() == 300
     stage.close()
+
+
+def test_portions_hold_a_part_of_the_visits_and_count_a_link_once(spark, monkeypatch):
+    from quillspark.llm import projection_forest
+
+    sizes = []
+
+    class Seen(projection_forest.Tables):
+        def __call__(self, df, label):
+            out = super().__call__(df, label)
+            if {"tree", "v"} <= set(out.columns):
+                sizes.append(out.count())
+            return out
+
+    monkeypatch.setattr(projection_forest, "Tables", Seen)
+    monkeypatch.setattr(projection_forest, "PORTION_BYTES", 50_000, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [(3 * k + i, [float(np.float32(e)) for e in c + rng.standard_normal(16) * 0.01], 1, "x") for k, c in enumerate(rng.standard_normal((100, 16))) for i in range(3)]
+    rows += [(400 + i, v, 2, "x") for i, (_, v, _, _) in enumerate(rows[:9])]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), leaf=40, block=16, trees=2).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+    assert sizes and max(sizes) < 600  # of two trees
